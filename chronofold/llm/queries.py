@@ -1,4 +1,4 @@
-"""The registered query of each operator, over its whole table."""
+"""The registered query of each operator, over its whole table, and the SQL it must agree with where SQL can express it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import chat, packing, shards
+from chronofold.llm import chat, licenses, neardup, packing, quality_classifier, quality_rules, shards, topk, unigram, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,92 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.write_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge_documents(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the quality label of the document whose number its path ends with."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_reputation.split_url(F.col("url"))
+    number = F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    named = pages.select(host.alias("host"), F.when(number != "", number).cast("long").alias("doc_id"))
+    labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
+    outcomes = named.join(labels, "doc_id", "left").select("host", "bad")
+    return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score_documents(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ids`` are little-endian 32-bit; ``decoded_sha256`` digests what decoding them gives."""
+    encoded = unigram.encode_documents(_table(spark, sf_dir, "documents"))
+    return unigram.decode_documents(encoded).select("doc_id", "n_ids", "n_byte_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_packing": op2_packing,
     "op3_training_order": op3_training_order,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_top_k": op5_top_k,
+    "op6_license_scan": op6_license_scan,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_url_reputation": op8_url_reputation,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_unigram_pieces": op10_unigram_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5
+    """,
+    "op7_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS x
+            FROM d),
+        n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n_shingles FROM s),
+        e AS (SELECT doc_id, hash(unnest(x)) AS h FROM s),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (
+            SELECT a, b FROM shared JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
+            WHERE 100 * c >= 85 * (na.n_shingles + nb.n_shingles - c)),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM n
+            UNION
+            SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT n.doc_id, n_shingles, m AS component_id, n.doc_id = m AS kept FROM n JOIN least ON n.doc_id = least.a
+    """,
+}

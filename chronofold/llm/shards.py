@@ -49,18 +49,18 @@ def feistel_slots(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) ->
 
 
 def packed_sequences(docs: DataFrame, length: int = SEQUENCE_TOKENS, paths: tuple[str, str] | None = None) -> DataFrame:
-    """Sequences of one length: task, local (its number there), n_tokens, doc_ids, body (16-bit ids, zstd)."""
+    """Sequences of one length: task, local (its number there), n_tokens, doc_ids, body (little-endian 16-bit ids)."""
     paths = paths or tokens.default_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, rows = pa.Codec("zstd"), []
+        rows: list[tuple] = []
         for number, _, _, inside in packing.packed(batches, (length,), length, packing.WINDOW, paths):
             ids = np.frombuffer(b"".join(p[4] for p in inside), "<u4")
             if len(ids) and ids.max() >= 1 << 8 * TOKEN_BYTES:
                 raise ValueError("an id doesn't fit its bytes")
             body = np.zeros(length, "<u2")
             body[: len(ids)] = ids
-            rows.append((number >> 36, number & ((1 << 36) - 1), len(ids), list(dict.fromkeys(p[2] for p in inside)), codec.compress(body.tobytes(), asbytes=True)))
+            rows.append((number >> 36, number & ((1 << 36) - 1), len(ids), list(dict.fromkeys(p[2] for p in inside)), body.tobytes()))
             if len(rows) >= 1024:
                 yield _batch(rows)
                 rows = []
@@ -82,24 +82,43 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, key: int = 2024022
     spark = docs.sparkSession
     scratch = Scratch(spark)
     out_dir = out_dir or scratch.path("shards")
-    saved = scratch.save(packed_sequences(docs, length, paths), "sequences")
+    saved = scratch.save(packed_sequences(docs, length, paths), "sequences", level=6)
     counts = saved.groupBy("task").agg(F.count("*").alias("n"))
-    first = counts.select("task", (F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first"), "n")  # a row a task of the packing
+    first = counts.select("task", (F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_shards = max(1, -(-total // records))
+    # broadcast: 16 bytes a task of the packing, whatever the tasks hold
+    numbered = saved.join(F.broadcast(first), "task").select((F.col("first") + F.col("local")).alias("sequence_id"), "n_tokens", "doc_ids", "body")
+    routed = numbered.mapInArrow(_Router(total, key, records), "shard int, slots array<long>, sequence_ids array<long>, n_tokens array<int>, doc_ids array<array<long>>, bodies binary")
+    return routed.repartitionById(n_shards, F.col("shard")).mapInArrow(_Writer(out_dir, length, records), "slot long, shard long, byte_offset long, sequence_id long, n_tokens int, doc_ids array<long>, crc32 long")
 
-    @F.pandas_udf("long")
-    def slot_of(i):
-        import pandas as pd
 
-        return pd.Series(feistel_slots(i.to_numpy(), total, key))
+class _Router:
+    """Gives sequences their slots, and sends those of one shard on together, compressed as one."""
 
-    slotted = saved.join(first.drop("n"), "task").withColumn("sequence_id", F.col("first") + F.col("local")).withColumn("slot", slot_of("sequence_id"))
-    ranged = slotted.select("slot", "sequence_id", "n_tokens", "doc_ids", "body").repartitionById(n_shards, F.expr(f"cast(slot div {records} as int)")).sortWithinPartitions("slot")
-    return ranged.mapInArrow(_Writer(out_dir, length, records), "slot long, shard long, byte_offset long, sequence_id long, n_tokens int, doc_ids array<long>, crc32 long")
+    def __init__(self, total: int, key: int, records: int) -> None:
+        self.total, self.key, self.records = total, key, records
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
+        for b in textops.long_rows(batches):
+            slots = feistel_slots(b.column("sequence_id").to_numpy(), self.total, self.key)
+            order = np.argsort(slots)
+            b, slots = b.take(pa.array(order)), slots[order]
+            cuts = np.flatnonzero(np.diff(slots // self.records)) + 1
+            bounds = np.concatenate(([0], cuts, [len(slots)]))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x)
+            body = b.column("body")
+            blobs = [codec.compress(b"".join(x.as_buffer() for x in body.slice(lo, hi - lo)), asbytes=True) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots[bounds[:-1]] // self.records, pa.int32()), lists(pa.array(slots)), lists(b.column("sequence_id")), lists(b.column("n_tokens")), lists(b.column("doc_ids")), pa.array(blobs, pa.binary())],
+                names=["shard", "slots", "sequence_ids", "n_tokens", "doc_ids", "bodies"],
+            )
 
 
 class _Writer:
+    """Lays the records of a shard out by slot and writes them; a shard is a bounded number of records."""
+
     def __init__(self, out_dir: str, length: int, records: int) -> None:
         self.out_dir, self.length, self.records = out_dir, length, records
 
@@ -109,33 +128,31 @@ class _Writer:
 
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.out_dir)
-        store.create_dir(root, recursive=True)
         stride = self.length * TOKEN_BYTES
-        codec, sink, shard, draft = pa.Codec("zstd"), None, None, ""
-
-        def close() -> None:
-            if sink is not None:
-                sink.close()
-                store.move(draft, f"{root}/shard-{shard:08d}.bin")
-
+        codec, shard, space, rows = pa.Codec("zstd"), None, bytearray(), []
         for b in batches:
-            slots, crcs = b.column("slot").to_pylist(), []
-            for slot, body in zip(slots, b.column("body").to_pylist(), strict=True):
-                if slot // self.records != shard:
-                    close()
-                    shard = slot // self.records
-                    draft = f"{root}/draft-{shard:08d}-{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(draft)
-                record = codec.decompress(body, stride, asbytes=True)
-                sink.write(record)
-                crcs.append(zlib.crc32(record))
-            at = np.asarray(slots, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("slot"), pa.array(at // self.records), pa.array(at % self.records * stride), b.column("sequence_id"), b.column("n_tokens"), b.column("doc_ids"), pa.array(crcs, pa.int64())],
-                names=["slot", "shard", "byte_offset", "sequence_id", "n_tokens", "doc_ids", "crc32"],
-            )
-        close()
+            for r in b.to_pylist():
+                if shard is None:
+                    shard = r["shard"]
+                at = [s % self.records for s in r["slots"]]
+                bodies = codec.decompress(r["bodies"], stride * len(at), asbytes=True)
+                space.extend(bytes(max(0, (max(at) + 1) * stride - len(space))))
+                for i, s in enumerate(at):
+                    record = bodies[i * stride : (i + 1) * stride]
+                    space[s * stride : (s + 1) * stride] = record
+                    rows.append((r["slots"][i], shard, s * stride, r["sequence_ids"][i], r["n_tokens"][i], r["doc_ids"][i], zlib.crc32(record)))
+        if shard is None:
+            return
+        store, root = fs.FileSystem.from_uri(self.out_dir)
+        store.create_dir(root, recursive=True)
+        draft = f"{root}/draft-{shard:08d}-{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as sink:
+            sink.write(space)
+        store.move(draft, f"{root}/shard-{shard:08d}.bin")
+        rows.sort()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        names = ["slot", "shard", "byte_offset", "sequence_id", "n_tokens", "doc_ids", "crc32"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def read_slots(out_dir: str, start: int, stop: int, length: int = SEQUENCE_TOKENS, records: int = SHARD_RECORDS) -> Iterator[np.ndarray]:
