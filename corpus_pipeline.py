@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import queries
+from chronofold.llm import neardup, quality_classifier, quality_rules, queries
 from chronofold.llm.scratch import Scratch
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, predicts good."""
+    return quality_classifier.filter_documents(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base limits and the n-gram model, fitted on the labelled ones among them."""
+    return quality_rules.filter_documents(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the smallest id. Rows that repeat it go as well."""
+    return neardup.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences' pieces of the documents that remain."""
     return queries.pack_digest(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
+    ("quality rules", apply_rules),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("packing", pack),
+]
 
-#: Stages hold trained models, tokenizers and connected components, which SQL doesn't express.
+#: The stages hold trained models and a tokenizer, which SQL doesn't express.
 ORACLE_SQL = None
 
 
