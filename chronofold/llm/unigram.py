@@ -79,26 +79,30 @@ class DoubleArrayTrie:
                     ends.append(-1)
                 node = children[node][c]
             ends[node] = value
-        size = 2 * len(children) + 512
-        self.base, self.check, self.piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        taken = np.zeros(size, bool)
-        taken[0] = True
-        todo, free = [(0, 0)], 1
+        size = 3 * len(children) + 1024
+        base, check, piece, taken = [0] * size, [-1] * size, [-1] * size, bytearray(size)
+        taken[0] = 1
+        todo, free, front = [(0, 0)], 1, 0  # lone children fill holes from ``free`` on, siblings look for room from ``front`` on
         while todo:
             node, state = todo.pop()
-            self.piece[state] = ends[node]
-            if not children[node]:
+            piece[state] = ends[node]
+            labels = sorted(children[node])
+            if not labels:
                 continue
-            labels = np.fromiter(sorted(children[node]), np.int64)
-            while taken[free]:
-                free += 1
-            base = max(0, free - int(labels[0]) - 1)
-            while taken[base + labels + 1].any():
-                base += 1
-            self.base[state] = base
-            taken[base + labels + 1] = True
-            self.check[base + labels + 1] = state
-            todo += [(children[node][int(c)], base + int(c) + 1) for c in labels]
+            if len(labels) == 1:
+                while taken[free] or free <= labels[0]:
+                    free += 1
+                at = free - labels[0] - 1
+            else:
+                at = front
+                while any(taken[at + c + 1] for c in labels):
+                    at += 1
+                front = max(front, at - 64)
+            base[state] = at
+            for c in labels:
+                taken[at + c + 1], check[at + c + 1] = 1, state
+                todo.append((children[node][c], at + c + 1))
+        self.base, self.check, self.piece = (np.array(x, np.int32) for x in (base, check, piece))
 
     def matches(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into ``start``, end byte, id) of every piece that begins at a start and ends by its end."""
@@ -150,7 +154,7 @@ class UnigramModel:
         best[first + np.arange(len(raw))] = 0.0
         step = end - first[owner]
         order = np.lexsort((begin, dst, step))
-        src, dst, gain, step, piece = src[order], dst[order], gain[order], step[order], piece[order]
+        src, dst, gain, step, piece, owner = src[order], dst[order], gain[order], step[order], piece[order], owner[order]
         cuts = np.flatnonzero(np.diff(step)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(step)], strict=True) if len(step) else ():
             sums, to = best[src[lo:hi]] + gain[lo:hi], dst[lo:hi]
@@ -159,25 +163,37 @@ class UnigramModel:
             wins = np.flatnonzero(sums == np.repeat(top, np.diff(np.append(heads, len(to)))))
             one, at = np.unique(to[wins], return_index=True)  # the earliest beginning, so the longest last piece
             best[one], back[one] = top, lo + wins[at]
-        out = []
-        for u in range(len(raw)):
-            ids: list[int] = []
-            at, home = int(first[u] + u + size[u]), int(first[u] + u)
-            while at > home:
-                e = back[at]
-                if piece[e] >= 0:
-                    ids.append(int(piece[e]))
-                else:
-                    ids.extend(self._bytes(data[src[e] - u : at - u])[::-1])
-                at = int(src[e])
-            out.append(np.array(ids[::-1], "<i4").tobytes())
-        return out
-
-    def _bytes(self, raw: np.ndarray) -> list[int]:
+        # all units are followed back at once; places fall, so the edges of a unit come last first
+        home = first + np.arange(len(raw))
+        at, live = home + size, np.arange(len(raw))
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            edge = back[at]
+            steps.append((live, edge))
+            at = src[edge]
+            go = at > home[live]
+            at, live = at[go], live[go]
+        unit, edge = (np.concatenate(x)[::-1] for x in zip(*steps, strict=True))
+        order = np.argsort(unit, kind="stable")
+        unit, edge = unit[order], edge[order]
+        ids, width = piece[edge], np.ones(len(edge), np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            width[unknown] = (dst - src)[edge[unknown]]
+            where = np.concatenate(([0], np.cumsum(width)[:-1]))
+            ids = np.repeat(ids, width)
+            for e, w, n in zip(edge[unknown], where[unknown], width[unknown], strict=True):
+                lo = src[e] - owner[e]
+                ids[w : w + n] = self._bytes(data[lo : lo + n])
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(unit, width, len(raw)).astype(np.int64)))).tolist()
+        buffer = ids.astype("<i4").tobytes()
+        return [buffer[4 * lo : 4 * hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _bytes(self, raw: np.ndarray) -> np.ndarray:
         ids = self.pieces.bytes_at[raw]
         if (ids < 0).any():
             raise ValueError("the vocabulary has no piece for a byte")
-        return ids.tolist()
+        return ids
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit values."""
