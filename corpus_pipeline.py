@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm import neardup, quality_classifier, quality_rules, queries
-from chronofold.llm.scratch import Scratch
+from chronofold.scratch import Scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
