@@ -121,4 +121,43 @@ ORACLE_SQL: dict[str, str] = {
         least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
         SELECT n.doc_id, n_shingles, m AS component_id, n.doc_id = m AS kept FROM n JOIN least ON n.doc_id = least.a
     """,
+    "op8_url_reputation": r"""
+        WITH p AS (
+            SELECT page_id,
+                translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        q AS (SELECT doc_id, 1 - min(quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+        o AS (SELECT host, bad FROM p LEFT JOIN q ON doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1), '') AS BIGINT)),
+        h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM o GROUP BY host),
+        s AS (SELECT *, string_split(bare, '.') AS part FROM h),
+        t AS (
+            SELECT host, n, bad, CASE WHEN regexp_matches(bare, '^[\d.]+$') OR len(part) <= 2 THEN bare
+                WHEN length(part[len(part)]) = 2 AND part[len(part) - 1] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN array_to_string(part[len(part) - 2:], '.')
+                ELSE array_to_string(part[len(part) - 1:], '.') END AS domain
+            FROM s),
+        hosts AS (SELECT *, regexp_extract(domain, '^[^.]*\.(.*)$', 1) AS suffix FROM t),
+        domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+        overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
+        s1 AS (SELECT suffix, n, bad, m FROM suffixes, overall),
+        k1 AS (SELECT greatest(0, coalesce(sum(n * (bad / n - m) ** 2 / greatest(m * (1 - m), 1e-6)), 0) - count(*)) AS ov, coalesce(sum(n - 1), 0) AS more FROM s1 WHERE n > 0),
+        g1 AS (SELECT least(200, greatest(2, CASE WHEN ov * 200 <= more THEN 200 ELSE more / ov - 1 END)) AS k FROM k1),
+        r1 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s1, g1),
+        s2 AS (SELECT domain, n, bad, m FROM domains JOIN r1 USING (suffix)),
+        k2 AS (SELECT greatest(0, coalesce(sum(n * (bad / n - m) ** 2 / greatest(m * (1 - m), 1e-6)), 0) - count(*)) AS ov, coalesce(sum(n - 1), 0) AS more FROM s2 WHERE n > 0),
+        g2 AS (SELECT least(200, greatest(2, CASE WHEN ov * 200 <= more THEN 200 ELSE more / ov - 1 END)) AS k FROM k2),
+        r2 AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM s2, g2),
+        s3 AS (SELECT host, n, bad, m FROM hosts JOIN r2 USING (domain)),
+        k3 AS (SELECT greatest(0, coalesce(sum(n * (bad / n - m) ** 2 / greatest(m * (1 - m), 1e-6)), 0) - count(*)) AS ov, coalesce(sum(n - 1), 0) AS more FROM s3 WHERE n > 0),
+        g3 AS (SELECT least(200, greatest(2, CASE WHEN ov * 200 <= more THEN 200 ELSE more / ov - 1 END)) AS k FROM k3),
+        r3 AS (SELECT host, n, k, (bad + k * m) / (n + k) AS m FROM s3, g3),
+        b AS (SELECT host, m - sqrt(m * (1 - m) / (n + k + 1)) AS bound FROM r3),
+        rule AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) x(rh, rp, rv)),
+        fit AS (
+            SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+            FROM p JOIN rule ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.rv, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN fit USING (page_id) LEFT JOIN b ON b.host = p.host
+    """,
 }
