@@ -48,11 +48,10 @@ def describe_folds(assigned: DataFrame, time: str, by: Sequence[str] = ()) -> Da
 
 def split_statistics(assigned: DataFrame, entity: str | None = None) -> DataFrame:
     """One row: number of folds, mean sizes of train and test, distinct entities."""
-    sizes = assigned.groupBy("fold_id").agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"))
-    out = sizes.agg(F.count("*").alias("folds"), F.avg("train").alias("mean_train_size"), F.avg("test").alias("mean_test_size"))
-    if entity is None:
-        return out
-    return out.crossJoin(assigned.agg(F.count_distinct(entity).alias("entities")))  # two single rows
+    folds = F.count_distinct("fold_id")
+    mean_size = lambda role: F.count_if(F.col("role") == role) / folds
+    entities = [] if entity is None else [F.count_distinct(entity).alias("entities")]
+    return assigned.agg(folds.alias("folds"), mean_size("train").alias("mean_train_size"), mean_size("test").alias("mean_test_size"), *entities)
 
 
 def outside_train(assigned: DataFrame, keys: Sequence[str]) -> DataFrame:

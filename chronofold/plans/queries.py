@@ -256,7 +256,9 @@ def cross_section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months of each nation that have orders, in per cent of the months of all."""
     rows = orders_by_nation(spark, sf_dir)
-    grid = rows.select("entity").distinct().crossJoin(F.broadcast(rows.select("t").distinct()))  # nations by months: a calendar, not data
+    ends = rows.agg(F.min("t").alias("first"), F.max("t").alias("last")).first()
+    months = F.explode(F.sequence(F.lit(ends["first"]), F.lit(ends["last"]), F.expr("interval 1 month")))
+    grid = rows.select("entity").distinct().select("entity", months.alias("t"))
     return grid.join(rows.select("entity", "t", "y"), ["entity", "t"], "left").groupBy("entity").agg(F.round(features.share_known("y"), 6).alias("known"))
 
 

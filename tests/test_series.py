@@ -1,0 +1,151 @@
+import datetime as dt
+import random
+import warnings
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronofold import InSampleSplit, OutOfSampleSplit, TSInSampleSplit, TSOutOfSampleSplit
+from tests.folds import series_folds
+
+DAY = dt.date(2020, 1, 1)
+
+
+def days(spark, n, shuffled=False):
+    rows = [(DAY + dt.timedelta(i), i) for i in range(n)]
+    if shuffled:
+        random.Random(3).shuffle(rows)
+    return spark.createDataFrame(rows, "date date, value long")
+
+
+def folds_of(assigned, n):
+    out = [([], []) for _ in range(n)]
+    for r in assigned.collect():
+        out[r["fold_id"]][r["role"] == "test"].append(r["pos"])
+    return [(sorted(a), sorted(b)) for a, b in out]
+
+
+def span(a, b):
+    return list(range(a, b))
+
+
+GOLDEN_OOS = [
+    (20, {"n_splits": 3, "test_size": 5}, [(span(0, 5), span(5, 10)), (span(0, 10), span(10, 15)), (span(0, 15), span(15, 20))]),
+    (30, {"n_splits": 2, "test_size": 5, "gap": 3}, [(span(0, 17), span(20, 25)), (span(0, 22), span(25, 30))]),
+    (50, {"n_splits": 2, "test_size": 5, "max_train_size": 20}, [(span(20, 40), span(40, 45)), (span(25, 45), span(45, 50))]),
+    (10, {"n_splits": 2, "test_size": 2, "gap": 15}, [([], span(6, 8)), ([], span(8, 10))]),
+    (10, {"n_splits": 2, "test_size": 2, "gap": 7}, [([], span(6, 8)), (span(0, 1), span(8, 10))]),
+    (20, {"test_indices": ["2020-01-05", "2020-01-15"], "test_size": 3}, [(span(0, 4), span(4, 7)), (span(0, 14), span(14, 17))]),
+    (30, {"test_indices": ["2020-01-10", "2020-01-20"], "test_size": 3, "gap": 2}, [(span(0, 7), span(9, 12)), (span(0, 17), span(19, 22))]),
+    (20, {"n_splits": 2, "test_size": 2, "max_train_size": 0}, [(span(0, 16), span(16, 18)), (span(0, 18), span(18, 20))]),
+]
+GOLDEN_IS = [
+    (20, {"test_size": 5}, (span(0, 20), span(15, 20))),
+    (50, {"test_size": 5, "max_train_size": 20}, (span(30, 50), span(45, 50))),
+    (30, {"test_indices": "2020-01-15", "test_size": 5}, (span(0, 19), span(14, 19))),
+    (20, {"test_indices": ["2020-01-05", "2020-01-10", "2020-01-15"], "test_size": 7}, (span(0, 15), [4, 9, 14])),
+    (20, {"test_size": 10, "max_train_size": 5}, (span(10, 20), span(10, 20))),
+    (21, {}, (span(0, 21), span(18, 21))),
+    (20, {"test_indices": [4, 9, 14], "max_train_size": 5}, (span(10, 15), [4, 9, 14])),
+    (20, {"test_size": 2, "max_train_size": 0}, (span(18, 20), span(18, 20))),
+]
+
+
+@pytest.mark.parametrize("n, options, expected", GOLDEN_OOS)
+def test_out_of_sample(spark, n, options, expected):
+    assert folds_of(TSOutOfSampleSplit(**options).assign(days(spark, n), "date"), len(expected)) == expected
+
+
+@pytest.mark.parametrize("n, options, expected", GOLDEN_IS)
+def test_in_sample(spark, n, options, expected):
+    assert folds_of(TSInSampleSplit(**options).assign(days(spark, n), "date"), 1) == [expected]
+
+
+def test_random_parameters_against_loops(spark):
+    rng = random.Random(5)
+    for _ in range(6):
+        n, k, size = rng.randint(15, 40), rng.randint(2, 4), rng.randint(1, 3)
+        gap, m = rng.randint(0, 6), rng.choice([None, 1, 5])
+        got = folds_of(OutOfSampleSplit(k, test_size=size, gap=gap, max_train_size=m).assign(days(spark, n, True), "date"), k)
+        assert got == series_folds(n, "oos", k, size, gap, m)
+    places = [11, 2, 7, 7]
+    got = folds_of(OutOfSampleSplit(test_indices=places, test_size=3, gap=1).assign(days(spark, 13), "date"), 4)
+    assert got == series_folds(13, "oos", size=3, gap=1, anchors=places)
+    assert folds_of(InSampleSplit(test_indices=[3, 3, 8], max_train_size=4).assign(days(spark, 13), "date"), 1) == series_folds(13, "is", m=4, anchors=[3, 3, 8])
+
+
+def test_order_and_partitioning_do_not_matter(spark):
+    splitter = TSOutOfSampleSplit(2, test_size=2)
+    plain = folds_of(splitter.assign(days(spark, 10), "date"), 2)
+    assert plain == [(span(0, 6), span(6, 8)), (span(0, 8), span(8, 10))]
+    assert folds_of(splitter.assign(days(spark, 10, True).repartition(3), "date"), 2) == plain
+
+
+def test_split_gives_all_columns(spark):
+    df = days(spark, 12).withColumn("tag", F.lit("x"))
+    pairs = [(sorted(r["value"] for r in a.collect()), sorted(r["value"] for r in b.collect()), b.columns) for a, b in TSOutOfSampleSplit(2, test_size=3).split(df, "date")]
+    assert pairs == [(span(0, 6), span(6, 9), ["date", "value", "tag"]), (span(0, 9), span(9, 12), ["date", "value", "tag"])]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "timestamp", "timestamp_ntz"])
+def test_time_types(spark, kind):
+    value = {"string": F.format_string("period_%02d", "value"), "int": F.col("value").cast("int")}.get(kind, F.col("date").cast(kind))
+    df = days(spark, 12).withColumn("date", value)
+    anchor = {"string": "period_06", "int": None}.get(kind, dt.datetime(2020, 1, 7))
+    options = {"test_indices": [6]} if anchor is None else {"test_indices": [anchor]}
+    assert folds_of(TSOutOfSampleSplit(test_size=2, **options).assign(df, "date"), 1) == [(span(0, 6), [6, 7])]
+
+
+def test_anchor_forms(spark):
+    import numpy as np
+    import pandas as pd
+
+    df = days(spark, 12)
+    expected = [(span(0, 4), [4, 5])]
+    for form in ("2020-01-05", dt.date(2020, 1, 5), pd.Timestamp("2020-01-05"), np.datetime64("2020-01-05"), pd.DatetimeIndex(["2020-01-05"]), np.array([4]), 4, np.int64(4)):
+        assert folds_of(TSOutOfSampleSplit(test_indices=form, test_size=2).assign(df, "date"), 1) == expected
+    assert TSOutOfSampleSplit(test_indices=[], n_splits=2).get_n_splits(df, "date") == 2
+
+
+@pytest.mark.parametrize("options, message", [
+    ({"n_splits": 10}, "Cannot have number of folds"), ({"n_splits": 3, "test_size": 4}, "Too many splits"), ({"test_indices": [10]}, "beyond data length"),
+    ({"test_indices": [-1]}, "negative indices"), ({"test_indices": ["2021-05-05"]}, "not found in data"), ({"test_indices": [("A", "2020-01-02")]}, "need panel data"),
+])
+def test_errors_of_data(spark, options, message):
+    with pytest.raises(ValueError, match=message):
+        TSOutOfSampleSplit(**options).assign(days(spark, 10), "date")
+
+
+@pytest.mark.parametrize("options", [{"n_splits": -1}, {"n_splits": 1}, {"n_splits": 2.5}, {"gap": -1}, {"test_size": 0}, {"max_train_size": -2}, {"missing": "x"}])
+def test_errors_of_parameters(options):
+    with pytest.raises(ValueError):
+        TSOutOfSampleSplit(**options)
+
+
+def test_bad_keys(spark):
+    split = TSOutOfSampleSplit(2)
+    for rows, message in (([], "empty"), ([(None, 1), (DAY, 2)], "null"), ([(DAY, 1), (DAY, 2)], "repeated")):
+        with pytest.raises(ValueError, match=message):
+            split.assign(spark.createDataFrame(rows, "date date, value long"), "date")
+    x = days(spark, 10)
+    with pytest.raises(ValueError, match="same indexes"):
+        split.split(x, "date", y=x.withColumn("date", F.date_add("date", 1)))
+    assert folds_of(split.assign(x, "date", y=x), 2)
+    with pytest.raises(ValueError, match="no test rows"):
+        TSInSampleSplit(10).assign(days(spark, 5), "date")
+
+
+def test_warnings(spark):
+    x = days(spark, 10)
+    with pytest.warns(UserWarning, match="ignored"):
+        TSOutOfSampleSplit(2).assign(x, "date", "value")
+    with pytest.warns(UserWarning, match="not sorted by date"):
+        TSOutOfSampleSplit(2).assign(x.withColumn("place", -F.col("value")), "date", ordinal="place")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        TSOutOfSampleSplit(2).assign(x, "date", ordinal="value")
+
+
+def test_repr_and_fold_count(spark):
+    assert "test_size=3" in repr(TSOutOfSampleSplit(2, test_size=3))
+    assert TSInSampleSplit(5).get_n_splits(days(spark, 20), "date") == 1
