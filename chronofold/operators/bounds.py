@@ -7,43 +7,21 @@ There is a row a fold and entity that has test rows, so bounds stay small next t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.operators.keys import Keys
+from chronofold.operators.keys import Keys, Shape
 from chronofold.plans.spec import SplitSpec
 
 
-@dataclass(frozen=True)
-class Shape:
-    """What the driver knows of the data: rows, entities, distinct times."""
-
-    rows: int
-    entities: int
-    times: int
-
-
-def shape_of(ranks: DataFrame, keys: Keys) -> Shape:
-    if keys.entity is None:
-        n = ranks.count()
-        return Shape(n, 1, n)
-    r = ranks.agg(F.count("*").alias("n"), F.count_distinct(keys.entity).alias("e"), F.count_distinct(keys.time).alias("t")).first()
-    return Shape(r["n"], r["e"], r["t"])
-
-
-def fold_bounds(ranks: DataFrame, keys: Keys, spec: SplitSpec) -> tuple[DataFrame, int, int]:
-    """Bounds, number of folds, number of entities. ``ranks``: the keys with pos and size."""
-    shape = shape_of(ranks, keys)
-    if not shape.rows:
-        raise ValueError("X is empty")
+def fold_bounds(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int]:
+    """Bounds and number of folds. ``ranks``: the keys with pos and size."""
     tests, folds = _tests(ranks, keys, spec, shape)
     bounds = _with_train(tests, keys, spec)
     if spec.missing == "raise" and keys.entity is not None:
         _require_all(bounds, folds, shape.entities)
-    return bounds, folds, shape.entities
+    return bounds, folds
 
 
 def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int]:

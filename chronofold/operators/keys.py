@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from chronofold.scratch import Scratch
 
 
+#: A single series of so many rows at most is ranked by one task; a longer one by ranges.
+SERIES_IN_ONE_TASK = 1_000_000
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What the driver knows of the data: rows, entities, distinct times."""
+
+    rows: int
+    entities: int
+    times: int
+
+
 @dataclass(frozen=True)
 class Keys:
     """Columns that identify a row: the time and, for a panel, the entity."""
@@ -76,13 +89,13 @@ def ranked(df: DataFrame, keys: Keys, spread: bool | None = None) -> DataFrame:
 
     With ``spread`` rows are range-partitioned by (entity, time), so that an entity of any size, or a single long series, is
     ranked by many tasks; its offsets come from one small count a partition and entity. Without, one window over each entity
-    does it with one shuffle by entity. The default spreads a series and not a panel.
+    does it with one shuffle by entity. The default spreads a series (a caller who knows that it is short need not) and not a panel.
     """
     keys.check(df)
     spread = keys.entity is None if spread is None else spread
     own = df.select(*keys.columns)
     if not spread:
-        w = W.partitionBy(keys.entity)
+        w = W.partitionBy(*keys.columns[:-1])
         return own.withColumn("pos", F.row_number().over(w.orderBy(keys.time)).cast("long") - 1).withColumn("size", F.count("*").over(w))
     scratch = Scratch(df.sparkSession)
     sorted_rows = own.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns).withColumn("_id", F.monotonically_increasing_id())
@@ -96,17 +109,19 @@ def ranked(df: DataFrame, keys: Keys, spread: bool | None = None) -> DataFrame:
     return saved.join(starts, by).select(*keys.columns, (F.col("_local") - F.col("_first") + F.col("_before")).alias("pos"), "size")
 
 
-def check_keys(df: DataFrame, keys: Keys) -> None:
-    """Raises ValueError for an empty table, null keys or repeated keys: folds of such rows aren't defined."""
+def check_keys(df: DataFrame, keys: Keys) -> Shape:
+    """Raises ValueError for an empty table, null keys or repeated keys: folds of such rows aren't defined. One pass over the keys."""
     keys.check(df)
     per_key = df.groupBy(*keys.columns).agg(F.count("*").alias("n"))
-    null = None
-    for c in keys.columns:
-        null = F.col(c).isNull() if null is None else null | F.col(c).isNull()
-    seen = per_key.agg(F.count("*").alias("rows"), F.max(null.cast("int")).alias("nulls"), F.max("n").alias("most")).first()
+    null = F.col(keys.time).isNull()
+    if keys.entity is not None:
+        null = null | F.col(keys.entity).isNull()
+    distinct = [F.count_distinct(c).alias(name) for c, name in zip(keys.columns[::-1], ("times", "entities"), strict=False)] if keys.entity is not None else []
+    seen = per_key.agg(F.count("*").alias("rows"), F.max(null.cast("int")).alias("nulls"), F.max("n").alias("most"), *distinct).first()
     if not seen["rows"]:
         raise ValueError("X is empty")
     if seen["nulls"]:
         raise ValueError(f"null in key columns {keys.columns}")
     if seen["most"] > 1:
         raise ValueError(f"repeated keys in {keys.columns}")
+    return Shape(seen["rows"], seen["entities"], seen["times"]) if keys.entity is not None else Shape(seen["rows"], 1, seen["rows"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import assign as assigning
 from chronofold.operators.bounds import fold_bounds
-from chronofold.operators.keys import Keys, check_keys, ranked, same_keys, warn_if_unsorted
+from chronofold.operators.keys import SERIES_IN_ONE_TASK, Keys, Shape, check_keys, ranked, same_keys, warn_if_unsorted
 from chronofold.plans.spec import SplitSpec
 
 
@@ -34,31 +34,31 @@ class TemporalSplit:
     def _keys(self, time: str, entity: str | None) -> Keys:
         return Keys(time, entity)
 
-    def _prepared(self, df: DataFrame, time: str, entity: str | None, y: DataFrame | None, ordinal: str | None, hot_entities: bool) -> tuple[Keys, DataFrame]:
+    def _prepared(self, df: DataFrame, time: str, entity: str | None, y: DataFrame | None, ordinal: str | None, hot_entities: bool) -> tuple[Keys, DataFrame, Shape]:
         keys = self._keys(time, entity)
-        check_keys(df, keys)
+        shape = check_keys(df, keys)
         if y is not None and not same_keys(df, y, keys):
             raise ValueError("X and y should have the same indexes")
         if ordinal is not None:
             warn_if_unsorted(df, ordinal, keys)
-        return keys, ranked(df, keys, spread=True if hot_entities else None)
+        return keys, ranked(df, keys, spread=hot_entities or (keys.entity is None and shape.rows > SERIES_IN_ONE_TASK)), shape
 
     def bounds(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
         """fold_id, [entity], test_lo, test_hi, points, train_lo, train_hi: positions within the entity."""
-        keys, ranks = self._prepared(df, time, entity, y, ordinal, hot_entities)
-        return fold_bounds(ranks, keys, self.spec)[0]
+        keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
+        return fold_bounds(ranks, keys, self.spec, shape)[0]
 
     def assign(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
         """fold_id, role, [entity], time, pos of all folds. ``hot_entities``: rank by ranges, for entities too large for one task. Errors are raised here, not when the result is computed."""
-        keys, ranks = self._prepared(df, time, entity, y, ordinal, hot_entities)
-        bounds, folds, entities = fold_bounds(ranks, keys, self.spec)
-        return assigning.assignment(ranks, bounds, keys, folds * entities <= assigning.BROADCAST_BOUNDS)
+        keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
+        bounds, folds = fold_bounds(ranks, keys, self.spec, shape)
+        return assigning.assignment(ranks, bounds, keys, folds * shape.entities <= assigning.BROADCAST_BOUNDS)
 
     def split(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> Iterator[tuple[DataFrame, DataFrame]]:
         """(train, test) of each fold with all columns of ``df``. Checks run at once, folds when they are asked for."""
-        keys, ranks = self._prepared(df, time, entity, y, ordinal, hot_entities)
-        bounds, folds, entities = fold_bounds(ranks, keys, self.spec)
-        return self._folds(df, keys, ranks.persist(), bounds, folds, entities)
+        keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
+        bounds, folds = fold_bounds(ranks, keys, self.spec, shape)
+        return self._folds(df, keys, ranks.persist(), bounds, folds, shape.entities)
 
     def _folds(self, df: DataFrame, keys: Keys, ranks: DataFrame, bounds: DataFrame, folds: int, entities: int) -> Iterator[tuple[DataFrame, DataFrame]]:
         for i in range(folds):
@@ -71,8 +71,8 @@ class TemporalSplit:
 
     def get_n_splits(self, df: DataFrame, time: str, entity: str | None = None) -> int:
         """The number of folds that ``split`` gives for these data."""
-        keys = self._keys(time, entity)
-        return fold_bounds(ranked(df, keys), keys, self.spec)[1]
+        keys, ranks, shape = self._prepared(df, time, entity, None, None, False)
+        return fold_bounds(ranks, keys, self.spec, shape)[1]
 
 
 class OutOfSampleSplit(TemporalSplit):
@@ -131,8 +131,7 @@ class _EachEntity(_PanelOnly):
                 yield self._side(part, keys, rows, "train"), self._side(part, keys, rows, "test")
 
     def get_n_splits(self, df: DataFrame, time: str, entity: str | None = None) -> int:
-        keys = self._keys(time, entity)
-        return fold_bounds(ranked(df, keys), keys, self.spec)[0].count()
+        return self.bounds(df, time, entity).count()
 
 
 class PanelOutOfSampleSplitPerEntity(_EachEntity, OutOfSampleSplit):

@@ -190,8 +190,9 @@ def _described_sql(case: Case) -> str:
 def fold_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     case, keys = CASES["panel_oos_rolling"], Keys("t", "entity")
     splitter = case.splitter(**case.options)
-    ranks = key_ops.ranked(case.source(spark, sf_dir), keys)
-    return time_bounds(ranks, fold_bounds(ranks, keys, splitter.spec)[0], keys)
+    rows = case.source(spark, sf_dir)
+    ranks = key_ops.ranked(rows, keys)
+    return time_bounds(ranks, fold_bounds(ranks, keys, splitter.spec, key_ops.check_keys(rows, keys))[0], keys)
 
 
 def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def test_folds_described(spark):
     inside = PanelInSampleSplit(test_indices="2020-01-10").assign(p, "date", "entity")
     assert metrics.outside_train(inside, ["entity", "date"]).count() == 0 and metrics.overlap(inside, ["entity", "date"]).count() == 2
     ranks = key_ops.ranked(p, KEYS)
-    ends = {(r["fold_id"], r["role"]): (r["first"], r["last"]) for r in time_bounds(ranks, fold_bounds(ranks, KEYS, splitter.spec)[0], KEYS).where("entity = 'B'").collect()}
+    ends = {(r["fold_id"], r["role"]): (r["first"], r["last"]) for r in time_bounds(ranks, fold_bounds(ranks, KEYS, splitter.spec, key_ops.check_keys(p, KEYS))[0], KEYS).where("entity = 'B'").collect()}
     assert ends[0, "test"] == (dt.date(2020, 1, 15), dt.date(2020, 1, 17)) and ends[0, "train"] == (DAY, dt.date(2020, 1, 12))
 
 

@@ -81,6 +81,13 @@ def test_order_and_partitioning_do_not_matter(spark):
     assert folds_of(splitter.assign(days(spark, 10, True).repartition(3), "date"), 2) == plain
 
 
+def test_long_series_are_ranked_by_ranges(spark, monkeypatch):
+    from chronofold.operators import splitters
+
+    monkeypatch.setattr(splitters, "SERIES_IN_ONE_TASK", 5)
+    assert folds_of(TSOutOfSampleSplit(2, test_size=2).assign(days(spark, 10, True).repartition(3), "date"), 2) == [(span(0, 6), span(6, 8)), (span(0, 8), span(8, 10))]
+
+
 def test_split_gives_all_columns(spark):
     df = days(spark, 12).withColumn("tag", F.lit("x"))
     pairs = [(sorted(r["value"] for r in a.collect()), sorted(r["value"] for r in b.collect()), b.columns) for a, b in TSOutOfSampleSplit(2, test_size=3).split(df, "date")]
