@@ -11,13 +11,17 @@ from chronofold.scratch import Scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among them, predicts good."""
-    return quality_classifier.filter_documents(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that the quality classifier, fitted on the labelled ones of the raw table, predicts good."""
+    return quality_classifier.filter_documents(docs, quality_classifier.train(*_labelled(spark, sf_dir)))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base limits and the n-gram model, fitted on the labelled ones among them."""
-    return quality_rules.filter_documents(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that pass the base limits and the n-gram model, fitted on the labelled ones of the raw table (few bad ones are left among its own)."""
+    return quality_rules.filter_documents(docs, quality_rules.train(*_labelled(spark, sf_dir)))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
