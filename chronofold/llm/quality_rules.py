@@ -1,8 +1,8 @@
 """Quality rules: fixed limits on counts, then a hashed n-gram model with calibrated probabilities.
 
 A logistic regression over relative frequencies of hashed character n-grams, words, word pairs and pairs of word shapes is
-fitted on labelled rows with ``pyspark.ml``, a part of them is set aside to calibrate its margins to probabilities, and
-every document is scored in Arrow batches and held against a fixed threshold.
+fitted on labelled rows (by shares, whose weights are averaged), a part of them is set aside to calibrate its margins to
+probabilities, and every document is scored in Arrow batches and held against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base rules; a text without n-grams of a kind gets nothing from that
 kind; repeated rows are judged alike; a null doc_id is kept as it is; without labels of both classes the model's
@@ -16,13 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import doc_stats, textops
 from chronofold.llm.textops import U64
+from chronofold.scratch import Scratch
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -33,6 +32,10 @@ MAX_LABELLED = 6000
 BITS = 14
 #: Every so many labelled rows are for calibration only.
 CALIBRATION_PART = 5
+#: Labelled rows of a share, about; weight of the squared weights; gradient steps.
+FIT_ROWS = 750
+L2 = 1e-4
+STEPS = 250
 CHAR_GRAMS = (3, 5)
 SCALE = 30.0
 N_KINDS = len(CHAR_GRAMS) + 3
@@ -141,32 +144,70 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> QualityModel:
-    """Fits on a bounded sample of labelled documents; the sample is at most ``limit`` ids, so it is broadcast."""
-    sample = labelled_sample(labels, limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "part", "text")
+def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """Weights and intercept that minimise the mean log loss plus L2 / 2 times the squared weights, by accelerated gradient steps."""
+    slots, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    used, slots = np.unique(slots, return_inverse=True)
+    counts = np.array([len(r[0]) for r in rows])
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    norms = np.zeros(len(x) + 1)
+    np.cumsum(x * x, out=norms[1:])
+    step = 1 / ((norms[bounds[1:]] - norms[bounds[:-1]]).max() / 4 + 1 + L2)
+    w = v = np.zeros(len(used) + 1)
+    t, sums = 1.0, np.zeros(len(x) + 1)
+    for _ in range(STEPS):
+        np.cumsum(x * v[:-1][slots], out=sums[1:])
+        p = 1 / (1 + np.exp(-np.clip(sums[bounds[1:]] - sums[bounds[:-1]] + v[-1], -50, 50)))
+        miss = (p - y) / len(y)
+        slope = np.append(np.bincount(slots, x * np.repeat(miss, counts), len(used)) + L2 * v[:-1], miss.sum())
+        nearer, after = v - step * slope, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v = nearer + (t - 1) / after * (nearer - w)
+        w, t = nearer, after
+    out = np.zeros((N_KINDS << BITS) + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [r for part in doc_stats.over_batch(b.column("text"), lambda d, o: sparse_rows(doc_stats.TextFacts(d, o))) for r in part]
-            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("part"), pa.array([r[0] for r in made], pa.list_(pa.int32())), pa.array([r[1] for r in made], pa.list_(pa.float64()))], names=["y", "part", "slots", "x"])
 
-    vector = F.udf(lambda slots, x: SparseVector(N_KINDS << BITS, slots, x), VectorUDT())
-    found = rows.mapInArrow(extract, "y int, part int, slots array<int>, x array<double>").select("part", F.col("y").cast("double").alias("label"), vector("slots", "x").alias("features")).coalesce(8).persist()
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> QualityModel:
+    """Fits on a bounded sample of labelled documents; the sample is at most ``limit`` ids, so it is broadcast.
+
+    The sample is dealt to shares of about ``FIT_ROWS`` rows. Each has its own regression, fitted by one task, and the weights are averaged.
+    """
+    sample = labelled_sample(labels, limit)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "part", "text"), "labelled")
     try:
-        seen = {(r["set_aside"], r["label"]) for r in found.select((F.col("part") == 0).alias("set_aside"), "label").distinct().collect()}
-        if not {(False, 0.0), (False, 1.0)} <= seen:
+        seen = {(r["aside"], r["y"]): r["count"] for r in found.groupBy((F.col("part") == 0).alias("aside"), "y").count().collect()}
+        if not {(False, 0), (False, 1)} <= set(seen):
+            return KEEP_ALL
+        shares = max(1, round((seen[False, 0] + seen[False, 1]) / FIT_ROWS))
+        dealt = found.where("part <> 0").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shares)))
+        fitted = dealt.groupBy("share").applyInArrow(_fit_share, "n long, weights binary").collect()  # a row a share, however many tasks there are
+        if not fitted:
             return KEEP_ALL
-        model = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(found.where("part <> 0"))
-        weights = model.coefficients.toArray()
-        if not {(True, 0.0), (True, 1.0)} <= seen:
-            return QualityModel(weights, 1.0, float(model.intercept))
-        held = found.where("part = 0").select("features", "label").collect()  # a part of the bounded sample
-        margin = np.array([r["features"].dot(weights) for r in held]) + model.intercept
-        slope, intercept = _platt(margin, np.array([r["label"] for r in held]))
-        return QualityModel(weights, slope, intercept + slope * float(model.intercept))
+        mean = np.average([np.frombuffer(r["weights"], float) for r in fitted], axis=0, weights=[r["n"] for r in fitted])
+        weights, shift = mean[:-1], float(mean[-1])
+        if not {(True, 0), (True, 1)} <= set(seen):
+            return QualityModel(weights, 1.0, shift)
+
+        def margin_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in textops.long_rows(batches):
+                m = np.concatenate(doc_stats.over_batch(b.column("text"), lambda d, o: margins(doc_stats.TextFacts(d, o), weights)))
+                yield pa.RecordBatch.from_arrays([pa.array(m), b.column("y")], names=["margin", "y"])
+
+        held = found.where("part = 0").select("y", "text").mapInArrow(margin_of, "margin double, y int").collect()  # a part of the bounded sample
+        slope, intercept = _platt(np.array([r["margin"] for r in held]) + shift, np.array([r["y"] for r in held], float))
+        return QualityModel(weights, slope, intercept + slope * shift)
     finally:
-        found.unpersist()
+        scratch.drop(found)
+
+
+def _fit_share(share: pa.Table) -> pa.Table:
+    made = doc_stats.over_batch(share.column("text"), lambda d, o: sparse_rows(doc_stats.TextFacts(d, o)))
+    rows = [(slots.astype(np.int32), x.astype(np.float32)) for part in made for slots, x in part]
+    y = share.column("y").to_numpy()
+    both = len(set(y.tolist())) == 2  # a share without both classes has no say
+    return pa.table({"n": pa.array([len(y)] if both else [], pa.int64()), "weights": pa.array([_fit(rows, y.astype(float)).tobytes()] if both else [], pa.binary())})
 
 
 def _judged(b: pa.RecordBatch, model: QualityModel) -> dict[str, np.ndarray]:
