@@ -22,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chronofold.llm import textops
 
@@ -236,31 +235,41 @@ def model(path: str) -> UnigramModel:
     return _MODELS[path]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    m = model(path)
+    is_byte = np.zeros(len(m.pieces.texts), bool)
+    is_byte[m.pieces.bytes_at[m.pieces.bytes_at >= 0]] = True
+    for whole in textops.long_rows(batches):
+        for at in range(0, whole.num_rows, rows):
+            b = whole.slice(at, rows)
+            ids = m.encode_batch([t or "" for t in b.column("text").to_pylist()])
+            of_bytes = [int(is_byte[np.frombuffer(x, "<i4")].sum()) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids]), pa.array(of_bytes)], names=["doc_id", "ids", "n_ids", "n_byte_ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    m = model(path)
+    for b in batches:
+        texts = [None if x is None else m.decode(np.frombuffer(x, "<i4")) for x in b.column("ids").to_pylist()]
+        yield b.append_column("text", pa.array(texts, pa.string()))
+
+
+_SCHEMA = "doc_id long, ids binary, n_ids long, n_byte_ids long"
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text -> doc_id, ids (little-endian 32-bit), n_ids, n_byte_ids (pieces of single bytes)."""
     path = path or default_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        is_byte = np.zeros(len(m.pieces.texts), bool)
-        is_byte[m.pieces.bytes_at[m.pieces.bytes_at >= 0]] = True
-        for whole in textops.long_rows(batches):
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                ids = m.encode_batch([t or "" for t in b.column("text").to_pylist()])
-                of_bytes = [int(is_byte[np.frombuffer(x, "<i4")].sum()) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids]), pa.array(of_bytes)], names=["doc_id", "ids", "n_ids", "n_byte_ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_ids long, n_byte_ids long")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, path), _SCHEMA)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``text`` to rows that have ``ids``."""
+    """Adds ``text``, decoded, to the rows of ``encode_documents``."""
     path = path or default_path()
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path), f"{_SCHEMA}, text string")
 
-    @F.pandas_udf("string")
-    def decoded(ids):
-        m = model(path)
-        return ids.map(lambda x: None if x is None else m.decode(np.frombuffer(x, "<i4")))
 
-    return encoded.withColumn("text", decoded("ids"))
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decode_documents`` of ``encode_documents`` in one pass of one worker: the ids and the text that they give."""
+    path = path or default_path()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"{_SCHEMA}, text string")

@@ -70,6 +70,7 @@ def test_documents(spark):
     texts = [None, "", "  a the ", "x" * 20_000, "ünïcode ☃ " * 500, "same", "same"]
     df = spark.createDataFrame([(None if i == 2 else i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     rows = unigram.decode_documents(unigram.encode_documents(df)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, unigram.round_trip(df).collect()))
     got = {r["doc_id"]: r for r in rows}
     for i, t in enumerate(texts):
         r = got[None if i == 2 else i]
