@@ -11,6 +11,10 @@
 4. In a large region where several components meet, the full sets of its members are compared by products of 0/1
    matrices, those outside its largest component with all, and a link to each other component is added. So no link that
    would join two components is lost there, and the pairs of a region are never listed.
+5. Runs that were divided into several regions are made whole again: first one member a component and run is compared as
+   in a region, so that what belongs together joins by few links. Then the members outside a run's largest component meet
+   all members of divided runs in an exact join of sets: two sets that reach the limit share a shingle among the rarest 15
+   of 100 of both. So no link that would join two components of a run is lost, whatever its size.
 
 Components are found by alternating large-star and small-star steps, as joins and minima over the edge list; nothing about
 documents comes to the driver but counts.
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.llm import textops
@@ -48,6 +53,8 @@ SMALL = 12
 #: Estimates deviate by 0.03 at the limit with 128 hashes; pairs from this estimate on are confirmed.
 LIKELY = 0.70
 SEED = 11
+#: Shingles are ordered by how often their leading bits occur; the order decides how many pairs meet, not which links are found.
+BUCKET_BITS = 16
 
 
 def _multipliers() -> np.ndarray:
@@ -138,43 +145,66 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "tree int, key binary, id long")
 
 
-def _part(keys: np.ndarray, lo: int, hi: int, depth: int) -> Iterator[tuple[int, int]]:
-    """Regions of the sorted run lo..hi, which shares ``depth`` values: parted deeper where it is too large; equal keys by number."""
-    if hi - lo <= REGION:
-        if hi - lo > 1:
-            yield lo, hi
+def _part(keys: np.ndarray, lo: int, hi: int, depth: int, limit: int = REGION) -> Iterator[tuple[int, int]]:
+    """Regions of the sorted run lo..hi, which shares ``depth`` values: parted deeper where it is too large; equal keys by number. They cover it, so some may have one member."""
+    if hi - lo <= limit:
+        yield lo, hi
     elif depth == DEPTH:
-        for at in range(lo, hi, REGION):
-            yield at, min(hi, at + REGION)
+        for at in range(lo, hi, limit):
+            yield at, min(hi, at + limit)
     else:
         cuts = lo + 1 + np.flatnonzero(keys[lo + 1 : hi, depth] != keys[lo : hi - 1, depth])
         for a, b in zip([lo, *cuts], [*cuts, hi], strict=True):
-            yield from _part(keys, a, b, depth + 1)
+            yield from _part(keys, a, b, depth + 1, limit)
 
 
-def regions(rows: DataFrame) -> DataFrame:
-    """Members of the forest's regions: region, place (in order), id. Trees are range-partitioned in their order, so even a dense stretch is spread over tasks; a task holds one run of equal prefixes at a time, in blocks."""
+def _run_hashes(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number of each row's run (its tree and first values), the same in every task. Runs that share one are compared as one."""
+    out = tree.astype(U64)
+    with np.errstate(over="ignore"):
+        for j in range(MIN_DEPTH):
+            out = textops.mix(out * U64(textops.RADIX) + keys[:, j].astype(U64) + U64(1))
+    return out.view(np.int64)
+
+
+def regions(rows: DataFrame, limit: int = REGION) -> DataFrame:
+    """Members of the forest's regions: region, place (in order), size, id, run, divided (the region may be a part of its run). Trees are range-partitioned in their order, so even a dense stretch is spread over tasks; a task holds one run of equal prefixes at a time, in blocks."""
     ranged = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, number = TaskContext.get().partitionId() << 40, 0
+        base, number, began = TaskContext.get().partitionId() << 40, 0, False
         keep_tree, keep_key, keep_id = np.zeros(0, np.int32), np.zeros((0, DEPTH), ">u2"), np.zeros(0, np.int64)
 
-        def cut(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
-            nonlocal number
+        def cut(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, goes_on: bool = False) -> pa.RecordBatch | None:
+            """Regions of these rows; the first run may be the rest of one before, the last one ``goes_on``."""
+            nonlocal number, began
             new = np.flatnonzero((tree[1:] != tree[:-1]) | (keys[1:, :MIN_DEPTH] != keys[:-1, :MIN_DEPTH]).any(axis=1)) + 1
             bounds = np.concatenate(([0], new, [len(tree)]))
-            runs = np.flatnonzero(np.diff(bounds) > 1)
-            found = [r for i in runs for r in _part(keys, int(bounds[i]), int(bounds[i + 1]), MIN_DEPTH)]
+            is_part = np.zeros(len(bounds) - 1, bool)
+            is_part[0] |= began
+            is_part[-1] |= goes_on
+            began = goes_on
+            found, divided = [], []
+            for i in np.flatnonzero((np.diff(bounds) > 1) | is_part):
+                parts = list(_part(keys, int(bounds[i]), int(bounds[i + 1]), MIN_DEPTH, limit))
+                found += parts
+                divided += [is_part[i] or len(parts) > 1] * len(parts)
             if not found:
                 return None
             sizes = [b - a for a, b in found]
             where = np.concatenate([np.arange(a, b) for a, b in found])
-            out = pa.RecordBatch.from_arrays([pa.array(np.repeat(base + number + np.arange(len(found)), sizes)), pa.array(np.concatenate([np.arange(s) for s in sizes]), pa.int32()), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(ids[where])], names=["region", "place", "size", "id"])
+            columns = {
+                "region": pa.array(np.repeat(base + number + np.arange(len(found)), sizes)),
+                "place": pa.array(np.concatenate([np.arange(s) for s in sizes]), pa.int32()),
+                "size": pa.array(np.repeat(sizes, sizes), pa.int32()),
+                "id": pa.array(ids[where]),
+                "run": pa.array(_run_hashes(tree[where], keys[where])),
+                "divided": pa.array(np.repeat(np.array(divided, bool), sizes)),
+            }
             number += len(found)
-            return out
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         for b in textops.long_rows(batches):
             tree = np.concatenate([keep_tree, b.column("tree").to_numpy()])
@@ -182,16 +212,17 @@ def regions(rows: DataFrame) -> DataFrame:
             ids = np.concatenate([keep_id, b.column("id").to_numpy()])
             same = (tree == tree[-1]) & (keys[:, :MIN_DEPTH] == keys[-1, :MIN_DEPTH]).all(axis=1)
             whole = int(len(tree) - np.argmin(same[::-1])) if not same.all() else 0
-            if whole == 0 and len(tree) > 64 * REGION:  # a dense stretch: all but its last deepest run
+            dense = whole == 0 and len(tree) > 64 * limit
+            if dense:  # a dense stretch: all but its last deepest run
                 deep = (keys == keys[-1]).all(axis=1)
                 whole = int(len(tree) - np.argmin(deep[::-1])) if not deep.all() else len(tree)
-            if whole and (out := cut(tree[:whole], keys[:whole], ids[:whole])) is not None:
+            if whole and (out := cut(tree[:whole], keys[:whole], ids[:whole], dense)) is not None:
                 yield out
             keep_tree, keep_key, keep_id = tree[whole:], keys[whole:], ids[whole:]
         if len(keep_tree) and (out := cut(keep_tree, keep_key, keep_id)) is not None:
             yield out
 
-    return ranged.mapInArrow(run, "region long, place int, size int, id long")
+    return ranged.mapInArrow(run, "region long, place int, size int, id long, run long, divided boolean")
 
 
 def _by_region(members: DataFrame) -> DataFrame:
@@ -360,24 +391,117 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now, before = then, mark
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    return rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _likely_across(placed: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """Likely pairs among the first members of the components that meet in a run, in blocks of about ``limit``."""
+    first = placed.groupBy("run", "component").agg(F.min("id").alias("id"))
+    blocks = first.groupBy("run").agg(F.ceil(F.count("*") / limit).alias("blocks"))
+    dealt = first.join(blocks, "run").select("id", F.xxhash64("run", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("region")).distinct()
+    own = W.partitionBy("region")
+    members = dealt.select("region", F.row_number().over(own.orderBy("id")).alias("place"), F.count("*").over(own).cast("int").alias("size"), "id").where("size > 1")
+    return _proposed(members.join(classes.select("id", "signature"), "id"), _first_pairs)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket (their leading bits) occur in the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in textops.long_rows(batches):
+            for x in b.column("members"):
+                seen += np.bincount(_bucket(np.frombuffer(x.as_buffer(), np.uint64)), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
+
+    found = sets.select("members").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _sharing_rare(sets: DataFrame, limit: int) -> DataFrame:
+    """id, component, rest, members -> pairs a < b of a member of the rest with one of another component that may reach the limit.
+
+    In any order of shingles, the first one that two such sets share is among the first n - ceil(PERCENT n / 100) + 1 of both,
+    and what follows it must suffice. Rare ones come first, so few pairs meet; a shingle of many is met in blocks.
+    """
+    often = _frequencies(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in textops.long_rows(batches):
+            heads, sizes = [], []
+            for x in b.column("members"):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                heads.append(x[np.lexsort((x, often[_bucket(x)]))][: len(x) - -(-PERCENT * len(x) // 100) + 1])
+                sizes.append(len(x))
+            row = np.repeat(np.arange(b.num_rows), [len(h) for h in heads])
+            left = np.concatenate([n - np.arange(len(h)) for n, h in zip(sizes, heads, strict=True)])
+            columns = {"shingle": pa.array(np.concatenate(heads).view(np.int64)), "left": pa.array(left, pa.int64()), "n": pa.array(np.array(sizes)[row], pa.int64())}
+            columns |= {c: b.column(c).take(pa.array(row)) for c in ("id", "component", "rest")}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    heads = sets.select("id", "component", "rest", "members").mapInArrow(run, "shingle long, left long, n long, id long, component long, rest boolean")
+    blocks = heads.groupBy("shingle").agg(F.count("*").alias("all"), F.max("rest").alias("asked"), (F.min("component") < F.max("component")).alias("apart")).where("all > 1 and asked and apart")
+    heads = heads.join(blocks.select("shingle", F.ceil(F.col("all") / limit).cast("int").alias("blocks")).hint("merge"), "shingle")
+    x = heads.where("rest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = heads.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    shared = F.least("x.left", "y.left")
+    fits = (F.col("x.component") != F.col("y.component")) & (100 * shared >= PERCENT * (F.col("x.n") + F.col("y.n") - shared))
+    met = x.alias("x").hint("merge").join(y.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & fits)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _join_divided(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, joined: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
+    """The components with the links inside divided runs that join two of them."""
+    parts = members.where("divided")
+    several = parts.groupBy("run").agg(F.min("region").alias("least"), F.max("region").alias("most")).where("least < most").select("run")
+    runs = scratch.save(parts.join(several, "run", "left_semi").select("run", "id"), "divided")
+    if not runs.limit(1).count():
+        return joined
+    for find in (_likely_across, _likely_across, None):
+        placed = _with_component(runs, joined)
+        apart = placed.groupBy("run").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("run")
+        placed = scratch.save(placed.join(apart, "run", "left_semi"), "placed")
+        if find:
+            pairs = find(placed, classes, limit)
+        else:
+            largest = placed.groupBy("run", "component").count().groupBy("run").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+            judged = placed.join(largest, "run").groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("rest"))
+            pairs = _sharing_rare(scratch.save(judged.join(sets.hint("merge"), "id"), "divided-sets"), limit)
+        found = scratch.save(confirm(scratch.save(pairs, "pairs"), sets), "links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            joined = components(links, scratch)
+    return joined
+
+
+def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (it is the document's own)."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(document_prints(docs), "prints")
     classes = scratch.save(prints.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
-    members = scratch.save(regions(forest(classes)), "members")
-    signed = members.join(classes.select("id", "signature"), "id")
+    members = scratch.save(regions(forest(classes), region), "members")
+    signed = members.where("size > 1").select("region", "place", "size", "id").join(classes.select("id", "signature"), "id")
     pairs = scratch.save(_proposed(signed, _first_pairs), "pairs")
-    sets = scratch.save(class_sets(docs, members.where(F.col("size") > SMALL).select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()), "sets")
+    sets = scratch.save(class_sets(docs, members.where((F.col("size") > SMALL) | F.col("divided")).select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()), "sets")
     links = scratch.save(confirm(pairs, sets), "links")
     scratch.drop(pairs)
     joined = components(links, scratch)
-    large = members.where(F.col("size") > SMALL).join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = _with_component(members.where(F.col("size") > SMALL).select("region", "place", "id"), joined)
     apart = large.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("region")
     open_regions = large.join(apart, "region", "left_semi").join(sets.hint("merge"), "id").select("region", "place", "id", "component", "members")
     more = scratch.save(_proposed(open_regions, _exact_links), "more-links")
     if more.limit(1).count():
-        joined = components(links.unionByName(more), scratch)
+        links = links.unionByName(more)
+        joined = components(links, scratch)
+    joined = _join_divided(members, classes, sets, links, joined, scratch, region)
     scratch.drop(sets)
     known = classes.select("print", "id").join(joined, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
     out = prints.select("doc_id", "n_shingles", "print").join(known, "print", "left")

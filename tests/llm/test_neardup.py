@@ -98,3 +98,27 @@ def test_parts_of_a_region_cover_it():
     keys = np.sort(rng.integers(0, 3, (9000, neardup.DEPTH)).astype(">u2").view(f"S{2 * neardup.DEPTH}").ravel()).view(">u2").reshape(-1, neardup.DEPTH)
     parts = list(neardup._part(keys, 0, len(keys), 0))
     assert all(b - a <= neardup.REGION for a, b in parts) and sum(b - a for a, b in parts) > 8900
+
+
+def boilerplate_family(seed=0):
+    """Texts of a common passage and an own ending: any two stay under the limit but the pairs, which share a bit more and whose ids lie far apart."""
+    rng = random.Random(seed)
+    passage = [f"w{rng.randrange(5000)}" for _ in range(104)]
+    ends = [[f"e{i}x{j}" for j in range(11)] for i in range(300)]
+    texts = [passage + e for e in ends] + [passage + e[:3] + [f"o{w}" for w in e[3:]] for e in ends[:60]]
+    return [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_divided_runs_lose_no_component(spark, monkeypatch):
+    rows = boilerplate_family()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda limit: sorted(tuple(r) for r in neardup.near_duplicates(df, limit).collect())
+    assert found(2) == brute(rows)
+    monkeypatch.setattr(neardup, "_join_divided", lambda members, classes, sets, links, joined, scratch, limit: joined)
+    assert found(2) != brute(rows)
+
+
+def test_components_with_every_run_divided(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df, 3).collect()) == brute(rows)
