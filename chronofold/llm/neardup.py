@@ -11,7 +11,7 @@
 4. In a large region where several components meet, the full sets of its members are compared by products of 0/1
    matrices, those outside its largest component with all, and a link to each other component is added. So no link that
    would join two components is lost there, and the pairs of a region are never listed.
-5. Runs that were divided into several regions are made whole again: first one member a component and run is compared as
+5. Runs that were divided into several regions, by their size or by a bound of the range partitions, are made whole again: first one member a component and run is compared as
    in a region, so that what belongs together joins by few links. Then the members outside a run's largest component meet
    all members of divided runs in an exact join of sets: two sets that reach the limit share a shingle among the rarest 15
    of 100 of both. So no link that would join two components of a run is lost, whatever its size.
@@ -174,7 +174,7 @@ def regions(rows: DataFrame, limit: int = REGION) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, number, began = TaskContext.get().partitionId() << 40, 0, False
+        base, number, began = TaskContext.get().partitionId() << 40, 0, True  # a range's first run may have begun in the one before, and its last one go on
         keep_tree, keep_key, keep_id = np.zeros(0, np.int32), np.zeros((0, DEPTH), ">u2"), np.zeros(0, np.int64)
 
         def cut(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, goes_on: bool = False) -> pa.RecordBatch | None:
@@ -219,7 +219,7 @@ def regions(rows: DataFrame, limit: int = REGION) -> DataFrame:
             if whole and (out := cut(tree[:whole], keys[:whole], ids[:whole], dense)) is not None:
                 yield out
             keep_tree, keep_key, keep_id = tree[whole:], keys[whole:], ids[whole:]
-        if len(keep_tree) and (out := cut(keep_tree, keep_key, keep_id)) is not None:
+        if len(keep_tree) and (out := cut(keep_tree, keep_key, keep_id, True)) is not None:
             yield out
 
     return ranged.mapInArrow(run, "region long, place int, size int, id long, run long, divided boolean")

@@ -122,3 +122,22 @@ def test_components_with_every_run_divided(spark):
     rows = corpus(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in neardup.near_duplicates(df, 3).collect()) == brute(rows)
+
+
+def test_runs_across_range_bounds_are_whole(spark):
+    options = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    classes = spark.createDataFrame([(i, bytes(2 * neardup.HASHES)) for i in range(4)], "id long, signature binary")
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        members = neardup.regions(neardup.forest(classes)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    ids, parts = {}, {}
+    for r in members:
+        ids.setdefault(r["run"], []).append(r["id"])
+        parts.setdefault(r["run"], set()).add(r["region"])
+    assert len(ids) == neardup.TREES and all(sorted(x) == [0, 1, 2, 3] for x in ids.values())
+    assert max(map(len, parts.values())) > 1 and all(r["divided"] for r in members if len(parts[r["run"]]) > 1)
