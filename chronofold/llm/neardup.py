@@ -511,7 +511,14 @@ def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of documents that represent their class, with all their columns. Of rows that repeat an id one stays; rows with a null doc_id can't be told apart, and all stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The rows of documents that represent their class, with all their columns. Of equal rows one stays; different texts under one id are judged each by itself; rows with a null doc_id can't be told apart, and all stay."""
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = near_duplicates(named).where("kept").select("doc_id")
+        own = named.join(kept, "doc_id", "left_semi").select(docs.columns)
+    else:  # rows get numbers in the order of their ids, written, so that they stay the same
+        order = [F.col("doc_id"), F.xxhash64("text")]
+        rows = Scratch(docs.sparkSession).save(named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+        kept = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row"))
+        own = rows.join(kept, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return own.unionByName(docs.where("doc_id is null"))

@@ -141,3 +141,9 @@ def test_runs_across_range_bounds_are_whole(spark):
         parts.setdefault(r["run"], set()).add(r["region"])
     assert len(ids) == neardup.TREES and all(sorted(x) == [0, 1, 2, 3] for x in ids.values())
     assert max(map(len, parts.values())) > 1 and all(r["divided"] for r in members if len(parts[r["run"]]) > 1)
+
+
+def test_texts_under_one_id_are_judged_each_by_itself(spark):
+    rows = [(2, "a b c d e f"), (2, "quite another text under this id"), (5, "Quite another text under this id"), (1, "A b c d e f"), (7, "its own words"), (7, "its own words"), (9, None), (9, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in neardup.keep_one(df).collect()), key=str) == sorted([(2, rows[1][1]), rows[3], rows[4], (9, None), (None, "x")], key=str)
