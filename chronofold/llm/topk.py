@@ -9,8 +9,8 @@ group has a bound that reaches its k-th score. Scores equal to the k-th are not
 A shard (a bounded number of vectors) is held by one task; the groups of queries, of a bounded size too, stream past it, and the
 shards' top-k lists are merged by query. So memory depends on neither table's size, and every vector is tested.
 
-Defined cases: vectors that are null or hold a null or a non-finite component take no part; components are clamped to
-+-2**24 after quantising; a shorter vector ends in zeros; a query isn't its own candidate, by id, also where rows repeat (a
+Defined cases: vectors that are null or hold a null or a non-finite component take no part; a component
+or score beyond a long is an error; a shorter vector ends in zeros; a query isn't its own candidate, by id, also where rows repeat (a
 repeated row is a candidate of its own); rows with a null vec_id take no part; fewer than k candidates give fewer rows; an empty
 table gives no rows; other columns are ignored.
 """
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from chronofold.llm import textops
 
 SCALE = 256
-LIMIT = float(1 << 24)
 #: Vectors of a block, blocks of a shard, queries of a group.
 BLOCK = 512
 SHARD = 32_768
@@ -36,10 +35,11 @@ GROUP = 512
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding -> vec_id, weights array<int>: floor(256 x); without the rows that take no part."""
+    """vec_id, embedding -> vec_id, weights array<long>: floor(256 x); without the rows that take no part."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(float("inf"))))
-    level = F.transform(x, lambda c: F.least(F.greatest(F.floor(F.least(F.greatest(c.cast("double") * SCALE, F.lit(-LIMIT)), F.lit(LIMIT))), F.lit(int(-LIMIT))), F.lit(int(LIMIT))).cast("int"))
+    whole = lambda c: F.when(c.isNull() | (F.abs(c) < 2.0**63), F.floor(c)).otherwise(F.raise_error("a component exceeds a long").cast("long"))
+    level = F.transform(x, lambda c: whole(c.cast("double") * SCALE))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True))).select("vec_id", level.alias("weights"))
 
 
@@ -51,8 +51,8 @@ def _strongest(weights: Column) -> Column:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """An array<int> column as a matrix, shorter rows filled with zeros."""
-    column = column.cast(pa.large_list(pa.int32()))
+    """An array<long> column as a matrix, shorter rows filled with zeros. Whole numbers that came of doubles are exact as such."""
+    column = column.cast(pa.large_list(pa.int64()))
     off = np.asarray(column.offsets)
     values = column.values.to_numpy(zero_copy_only=False)
     sizes = np.diff(off)
@@ -97,11 +97,17 @@ class _Shard:
 
     def _wide(self, query_ids: np.ndarray, queries: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For weights whose products exceed what a double holds exactly."""
-        whole = weights.astype(np.int64)
-        for q, x in zip(query_ids, queries.astype(np.int64), strict=True):
+        most = np.abs(weights).max(axis=0) @ np.abs(queries).max(axis=0)
+        kind = np.int64 if most < 2**62 else object  # Python's own numbers don't overflow
+        whole = weights.astype(np.int64).astype(kind)
+        for q, x in zip(query_ids, queries.astype(np.int64).astype(kind), strict=True):
             scores = whole @ x
             other = self.ids != q
-            order = np.lexsort((self.ids[other], -scores[other]))[:k]
+            if kind is object:
+                if any(not -(2**63) <= s < 2**63 for s in scores[other]):
+                    raise OverflowError(f"a score of query {q} exceeds a long")
+                scores = np.array([s if o else 0 for s, o in zip(scores, other, strict=True)], np.int64)
+            order = np.lexsort((self.ids[other], ~scores[other]))[:k]
             yield np.full(len(order), q), self.ids[other][order], scores[other][order]
 
 
@@ -133,7 +139,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard: int = SH
             seen += b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(b.num_rows, -1), pa.int64()), b.column("vec_id"), b.column("weights")], names=["shard", "query_group", "vec_id", "weights"])
 
-    schema = "shard long, query_group long, vec_id long, weights array<int>"
+    schema = "shard long, query_group long, vec_id long, weights array<long>"
     ranged = candidates.withColumn("strongest", _strongest(F.col("weights"))).repartitionByRange(shards, "strongest", "vec_id").sortWithinPartitions("strongest", "vec_id")
     placed = ranged.select("vec_id", "weights").mapInArrow(numbered, schema).persist()
     present = placed.select("shard").distinct()

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronofold.llm import topk
@@ -63,3 +64,16 @@ def test_blocks_are_pruned():
     shard = topk._Shard(np.arange(len(weights)), weights)
     bounds = np.maximum(np.eye(8)[:1] * 40, 0) @ shard.high.T + np.minimum(np.eye(8)[:1] * 40, 0) @ shard.low.T
     assert (bounds[0] < np.sort(weights[:, 0] * 40)[-5]).sum() == 7
+
+
+def test_components_beyond_the_former_clamp(spark):
+    rows = [(i, [70000.0 + 1024 * i, 1.0]) for i in range(12)] + [(50, [-90000.0, 3.0]), (100, [2.0**20, -(2.0**22)])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_scores_near_the_end_of_a_long_and_beyond(spark):
+    rows = [(0, [2.0**23, 2.0**23]), (1, [2.0**23, -(2.0**23)]), (2, [2.0**22, 2.0**22]), (3, [2.0**23, 2.0**22])]
+    assert run(spark, rows) == brute(rows)
+    for more in ([(4, [2.0**23, 2.0**23])], [(4, [2.0**60, 0.0])]):
+        with pytest.raises(Exception, match="exceeds a long"):
+            run(spark, rows + more)
