@@ -53,15 +53,29 @@ def sorted_within_entities(df: DataFrame, ordinal: str, keys: Keys) -> bool:
     return not _falls(df, ordinal, keys.time, [keys.entity])
 
 
+def _in_ranges(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows sorted over range partitions, written (bounds are sampled), with ``_part``, the partition, and ``_local``, the place in it."""
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    return Scratch(df.sparkSession).save(ordered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_local", F.expr("_id & 8589934591L")).drop("_id"), "ranked")
+
+
 def _falls(df: DataFrame, ordinal: str, time: str, partition: list[str]) -> bool:
-    before = F.lag(time).over(W.partitionBy(*partition).orderBy(ordinal))
-    return df.select(F.coalesce(before > F.col(time), F.lit(False)).alias("falls")).agg(F.max("falls")).first()[0] or False
+    """Neighbours are compared inside range partitions, then each partition's first row with the last one before it."""
+    rows = _in_ranges(df.select(*partition, F.col(ordinal).alias("_ordinal"), F.col(time).alias("_time")), [*partition, "_ordinal"])
+    falls = lambda before, now: F.coalesce(before > F.col(now), F.lit(False)).alias("falls")
+    inside = rows.select(falls(F.lag("_time").over(W.partitionBy("_part", *partition).orderBy("_local")), "_time"))
+    ends = rows.groupBy("_part", *partition).agg(F.min_by("_time", "_local").alias("first"), F.max_by("_time", "_local").alias("last"))
+    across = ends.select(falls(F.lag("last").over(W.partitionBy(*partition).orderBy("_part")), "first"))
+    return inside.unionByName(across).agg(F.max("falls")).first()[0] or False
 
 
 def entity_runs(df: DataFrame, ordinal: str, entity: str) -> DataFrame:
     """Per entity: its rows, and whether they stand together along the ordinal column (as many places as rows between its ends)."""
-    ranked = df.select(entity, F.row_number().over(W.orderBy(ordinal)).alias("place"))
-    return ranked.groupBy(entity).agg(F.count("*").alias("n"), (F.max("place") - F.min("place") + 1 == F.count("*")).alias("together"))
+    rows = _in_ranges(df.select(entity, F.col(ordinal).alias("_ordinal")), ["_ordinal"])
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    placed = rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").select(entity, (F.col("_local") + F.col("_before")).alias("place"))
+    return placed.groupBy(entity).agg(F.count("*").alias("n"), (F.max("place") - F.min("place") + 1 == F.count("*")).alias("together"))
 
 
 def entities_grouped(df: DataFrame, ordinal: str, entity: str) -> bool:
@@ -97,9 +111,7 @@ def ranked(df: DataFrame, keys: Keys, spread: bool | None = None) -> DataFrame:
     if not spread:
         w = W.partitionBy(*keys.columns[:-1])
         return own.withColumn("pos", F.row_number().over(w.orderBy(keys.time)).cast("long") - 1).withColumn("size", F.count("*").over(w))
-    scratch = Scratch(df.sparkSession)
-    sorted_rows = own.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns).withColumn("_id", F.monotonically_increasing_id())
-    saved = scratch.save(sorted_rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_local", F.expr("_id & 8589934591L")).drop("_id"), "ranked")
+    saved = _in_ranges(own, keys.columns)
     by = ["_part"] if keys.entity is None else ["_part", keys.entity]
     counts = saved.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
     inside = W.partitionBy(*by[1:])

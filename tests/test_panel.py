@@ -137,3 +137,22 @@ def test_only_keys_are_read(spark, tmp_path):
     panel(spark, {"A": 20, "B": 20}).withColumn("wide", F.lit("x" * 50)).write.parquet(str(tmp_path / "p"))
     plan = PanelOutOfSampleSplit(2, test_size=2).assign(spark.read.parquet(str(tmp_path / "p")), "date", "entity")._jdf.queryExecution().executedPlan().toString()
     assert "wide" not in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_order_checks_by_ranges(spark):
+    options = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        for fall in (None, *range(1, 16)):  # wherever it lies, also at a bound
+            p = spark.createDataFrame([(i, i + (100 if fall is not None and i < fall else 0), "AB"[i >= 7]) for i in range(16)], "place int, date int, entity string")
+            assert key_ops.sorted_by_time(p, "place", "date") == (fall is None)
+            if fall in (None, 7, 10):
+                assert key_ops.sorted_within_entities(p, "place", KEYS) == (fall != 10)
+        runs = key_ops.entity_runs(p, "place", "entity")
+        assert sorted(map(tuple, runs.collect())) == [("A", 7, True), ("B", 9, True)]
+        assert "row_number" not in runs._jdf.queryExecution().toString()  # over all rows: one task
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
