@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from chronofold.scratch import Scratch
 
 
-#: A single series of so many rows at most is ranked by one task; a longer one by ranges.
+#: A series, or an entity of a panel, of so many rows at most is ranked by one task; a longer one by ranges.
 SERIES_IN_ONE_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What the driver knows of the data: rows, entities, distinct times."""
+    """What the driver knows of the data: rows, entities, distinct times, rows of the largest entity (at most)."""
 
     rows: int
     entities: int
     times: int
+    largest: int
 
 
 @dataclass(frozen=True)
@@ -136,4 +137,10 @@ def check_keys(df: DataFrame, keys: Keys) -> Shape:
         raise ValueError(f"null in key columns {keys.columns}")
     if seen["most"] > 1:
         raise ValueError(f"repeated keys in {keys.columns}")
-    return Shape(seen["rows"], seen["entities"], seen["times"]) if keys.entity is not None else Shape(seen["rows"], 1, seen["rows"])
+    if keys.entity is None:
+        return Shape(seen["rows"], 1, seen["rows"], seen["rows"])
+    # An entity has a row a time at most; only where that leaves it open are its rows counted.
+    largest = min(seen["rows"], seen["times"])
+    if largest > SERIES_IN_ONE_TASK:
+        largest = df.groupBy(keys.entity).count().agg(F.max("count")).first()[0]
+    return Shape(seen["rows"], seen["entities"], seen["times"], largest)

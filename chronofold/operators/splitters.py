@@ -41,7 +41,7 @@ class TemporalSplit:
             raise ValueError("X and y should have the same indexes")
         if ordinal is not None:
             warn_if_unsorted(df, ordinal, keys)
-        return keys, ranked(df, keys, spread=hot_entities or (keys.entity is None and shape.rows > SERIES_IN_ONE_TASK)), shape
+        return keys, ranked(df, keys, spread=hot_entities or shape.largest > SERIES_IN_ONE_TASK), shape
 
     def bounds(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
         """fold_id, [entity], test_lo, test_hi, points, train_lo, train_hi: positions within the entity."""
@@ -49,7 +49,7 @@ class TemporalSplit:
         return fold_bounds(ranks, keys, self.spec, shape)[0]
 
     def assign(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
-        """fold_id, role, [entity], time, pos of all folds. ``hot_entities``: rank by ranges, for entities too large for one task. Errors are raised here, not when the result is computed."""
+        """fold_id, role, [entity], time, pos of all folds. ``hot_entities``: rank by ranges in any case, not only where an entity is too large for one task. Errors are raised here, not when the result is computed."""
         keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
         bounds, folds = fold_bounds(ranks, keys, self.spec, shape)
         return assigning.assignment(ranks, bounds, keys, folds * shape.entities <= assigning.BROADCAST_BOUNDS)

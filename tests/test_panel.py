@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofold import PanelInSampleSplit, PanelInSampleSplitPerEntity, PanelOutOfSampleSplit, PanelOutOfSampleSplitPerEntity
 from chronofold.functions import metrics
-from chronofold.operators import keys as key_ops
+from chronofold.operators import keys as key_ops, splitters
 from chronofold.operators.assign import time_bounds
 from chronofold.operators.bounds import fold_bounds
 from chronofold.operators.keys import Keys
@@ -156,3 +156,14 @@ def test_order_checks_by_ranges(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_large_entity_is_ranked_by_ranges(spark, monkeypatch):
+    p = panel(spark, {"A": 30, "B": 8})
+    asked = []
+    monkeypatch.setattr(splitters, "ranked", lambda df, keys, spread=None: asked.append(spread) or key_ops.ranked(df, keys, spread))
+    for limit in (29, 30):
+        monkeypatch.setattr(splitters, "SERIES_IN_ONE_TASK", limit)
+        monkeypatch.setattr(key_ops, "SERIES_IN_ONE_TASK", limit)
+        assert PanelOutOfSampleSplit(2, test_size=2, missing="skip").get_n_splits(p, "date", "entity") == 2
+    assert asked == [True, False]
