@@ -8,14 +8,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new local one only where none is set (tests, a single machine)."""
+    """The folder in ``spark.checkpoint.dir``; a new local one only where none is set on a single machine. A cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="chronofold-"))
         found = _OWN[0]
@@ -40,10 +43,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{name}"
 
-    def save(self, df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    def save(self, df: DataFrame, name: str, level: int = 3, read_as: StructType | None = None) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(read_as or df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
 
