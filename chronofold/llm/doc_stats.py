@@ -13,6 +13,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 UPPER = textops.byte_class((65, 90))
 DIGIT = textops.byte_class((48, 57))
 PUNCTUATION = textops.byte_class((33, 47), (58, 64), (91, 96), (123, 126))
+SENTENCE_END = textops.byte_class((33, 33), (46, 46), (63, 63))
 NOT_CONTINUED = ~textops.byte_class((0x80, 0xBF))
 NEW_LINE = 10
 
@@ -89,7 +90,7 @@ class TextFacts:
 #: Names of the statistics that the quality classifier sees.
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "punctuation", "symbol", "wide", "white", "line_words",
-    "dup_lines", "repeat_words", "distinct_words", "next_equal", "upper_words", "symbol_ends", "short_words", "long_words", "marks_per_word", "pipe", "stop_ends",
+    "dup_lines", "repeat_words", "distinct_words", "next_equal", "upper_words", "symbol_ends", "short_words", "long_words", "marks_per_word", "sentence_ends",
 )
 
 
@@ -100,7 +101,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     per_byte, per_word = 1 / np.maximum(size, 1), 1 / np.maximum(words, 1)
     share = lambda flags: _sums(flags, offsets) * per_byte
     of_words = lambda flags: _sums(flags, f.first) * per_word
-    last, head, length = data[f.end - 1], data[f.start], f.end - f.start
+    last, length = data[f.end - 1], f.end - f.start
     up = np.zeros(len(data) + 1, np.int64)
     np.cumsum(UPPER[data], out=up[1:])
     upper_in = up[f.end] - up[f.start]
@@ -110,7 +111,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     marks = share(PUNCTUATION[data])
     columns = [
         np.log1p(size), np.log1p(words), np.log1p(_sums(textops.NOT_SPACE[data], offsets) * per_word), share(UPPER[data]), share(DIGIT[data]), marks, share(SYMBOLS[data]), share(data >= 128), share(~textops.NOT_SPACE[data]), np.log1p(words / np.maximum(n_lines, 1)),
-        dup / np.maximum(n_lines, 1), f.repeat_words() * per_word, _distinct(f.hashes, f.word_row, f.n) * per_word if len(f.hashes) else words, of_words(follows), of_words((upper_in >= 2) & (2 * upper_in >= length)), of_words(SYMBOLS[last]), of_words(length <= 2), of_words(length >= 20), np.log1p(marks * size * per_word), share(data == ord("|")), of_words((last == ord(".")) | (head == ord("!"))),
+        dup / np.maximum(n_lines, 1), f.repeat_words() * per_word, _distinct(f.hashes, f.word_row, f.n) * per_word if len(f.hashes) else words, of_words(follows), of_words((upper_in >= 2) & (2 * upper_in >= length)), of_words(SYMBOLS[last]), of_words(length <= 2), of_words(length >= 20), np.log1p(marks * size * per_word), of_words(SENTENCE_END[last]),
     ]
     return np.stack([np.asarray(c, float) for c in columns], axis=1)
 

@@ -4,9 +4,11 @@ Statistics of a whole text are standardised, mapped to cosine features whose inn
 and a ridge regression is solved from normal equations that every partition sums for itself. Scores of rows set aside are
 binned, and the pool-adjacent-violators rule turns bins into rising probabilities.
 
-Defined cases: a null text is empty and is scored like one; repeated rows score alike; a null doc_id is kept as it is;
-contradicting labels of one document are left out; without labels of both classes every score is the share of good
-labels (1/2 without any); an empty table gives no rows; other columns are ignored (``filter_documents`` passes them on).
+Defined cases: a null text is empty and is scored like one; a text of any length is measured whole (one beyond a megabyte by
+itself, in memory in proportion to it); repeated rows score alike; of rows that repeat a labelled id the text with the least
+hash is learned from, once; a null doc_id is kept as it is; contradicting labels of one document are left out; without
+labels of both classes every score is the share of good labels (1/2 without any); an empty table gives no rows; other
+columns are ignored (``filter_documents`` passes them on).
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import doc_stats, textops
-from chronofold.llm.quality_rules import labelled_sample
+from chronofold.llm.quality_rules import labelled_documents, labelled_sample
+from chronofold.scratch import Scratch
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -29,6 +32,8 @@ FEATURES = 320
 WIDTH = 4.0
 RIDGE = 1e-3
 BINS = 512
+#: Rows of either label added to each bin.
+SMOOTHING = 0.01
 SEED = 7
 
 
@@ -71,21 +76,21 @@ def _constant(value: float) -> FourierModel:
 
 
 def isotonic(centres: np.ndarray, counts: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising means of ``good / counts`` over bins in order, as points to interpolate between."""
+    """Rising means of ``good / counts`` over bins in order, as points to interpolate between. Bins are smoothed before they are pooled, so that no mean is 0 or 1 and all rise."""
     blocks: list[list[float]] = []
     for c, n, g in zip(centres, counts, good, strict=True):
+        n, g = n + 2 * SMOOTHING, g + SMOOTHING
         blocks.append([c * n, n, g])
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
     at = np.array([b[0] / b[1] for b in blocks])
-    return at, np.array([(b[2] + 0.01) / (b[1] + 0.02) for b in blocks])
+    return at, np.array([b[2] / b[1] for b in blocks])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> FourierModel:
-    """Fits on at most ``limit`` labelled documents that aren't held out; their ids are broadcast."""
-    sample = labelled_sample(labels, limit, ~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "part", "text")
+    """Fits on at most ``limit`` labelled documents that aren't held out."""
+    rows = labelled_documents(docs, labelled_sample(labels, limit, ~held_out(F.col("doc_id"))))
     d = len(doc_stats.STATISTICS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Four
             stats = np.concatenate(doc_stats.over_batch(b.column("text"), doc_stats.statistics))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("part"), *(pa.array(stats[:, i]) for i in range(d))], names=["y", "part", *doc_stats.STATISTICS])
 
-    found = rows.mapInArrow(measure, "y int, part int, " + ", ".join(f"{c} double" for c in doc_stats.STATISTICS)).coalesce(16).persist()
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(rows.select("y", "part", "text").mapInArrow(measure, "y int, part int, " + ", ".join(f"{c} double" for c in doc_stats.STATISTICS)), "statistics")
     try:
         one = found.agg(F.count("*").alias("n"), F.sum("y").alias("good"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(doc_stats.STATISTICS)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(doc_stats.STATISTICS))).first()
         if not one["n"]:
@@ -109,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Four
         knots, values = _calibrate(aside, model)
         return FourierModel(mean, scale, weights, knots, values) if len(knots) else model
     finally:
-        found.unpersist()
+        scratch.drop(found)
 
 
 def _numbers(b: pa.RecordBatch) -> np.ndarray:

@@ -1,12 +1,14 @@
 """Quality rules: fixed limits on counts, then a hashed n-gram model with calibrated probabilities.
 
-A logistic regression over relative frequencies of hashed character n-grams, words, word pairs and pairs of word shapes is
-fitted on labelled rows (by shares, whose weights are averaged), a part of them is set aside to calibrate its margins to
-probabilities, and every document is scored in Arrow batches and held against a fixed threshold.
+One logistic regression over relative frequencies of hashed character n-grams, words, word pairs and pairs of word shapes is
+fitted on labelled rows (each step sums the gradients of all partitions, until it converges), a part of them is set aside
+to calibrate its margins to probabilities, and every document is scored in Arrow batches and held against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base rules; a text without n-grams of a kind gets nothing from that
-kind; repeated rows are judged alike; a null doc_id is kept as it is; without labels of both classes the model's
-verdict is to keep; an empty table gives no rows; other columns are ignored (``filter_documents`` passes them on).
+kind; a text of any length is read whole (one beyond a megabyte is measured by itself, in memory in proportion to it);
+repeated rows are judged alike; of rows that repeat a labelled id the text with the least hash is learned from, once; a
+null doc_id is kept as it is; without labels of both classes the model's verdict is to keep; an empty table gives
+no rows; other columns are ignored (``filter_documents`` passes them on).
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronofold.llm import doc_stats, textops
 from chronofold.llm.textops import U64
@@ -32,10 +37,10 @@ MAX_LABELLED = 6000
 BITS = 14
 #: Every so many labelled rows are for calibration only.
 CALIBRATION_PART = 5
-#: Labelled rows of a share, about; weight of the squared weights; gradient steps.
-FIT_ROWS = 750
-L2 = 1e-4
-STEPS = 250
+#: Weight of the squared weights (of standardised features); steps at most, and the relative gain at which they end.
+L2 = 0.1
+STEPS = 200
+TOLERANCE = 1e-4
 CHAR_GRAMS = (3, 5)
 SCALE = 30.0
 N_KINDS = len(CHAR_GRAMS) + 3
@@ -144,49 +149,49 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Weights and intercept that minimise the mean log loss plus L2 / 2 times the squared weights, by accelerated gradient steps."""
-    slots, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    used, slots = np.unique(slots, return_inverse=True)
-    counts = np.array([len(r[0]) for r in rows])
-    bounds = np.concatenate(([0], np.cumsum(counts)))
-    norms = np.zeros(len(x) + 1)
-    np.cumsum(x * x, out=norms[1:])
-    step = 1 / ((norms[bounds[1:]] - norms[bounds[:-1]]).max() / 4 + 1 + L2)
-    w = v = np.zeros(len(used) + 1)
-    t, sums = 1.0, np.zeros(len(x) + 1)
-    for _ in range(STEPS):
-        np.cumsum(x * v[:-1][slots], out=sums[1:])
-        p = 1 / (1 + np.exp(-np.clip(sums[bounds[1:]] - sums[bounds[:-1]] + v[-1], -50, 50)))
-        miss = (p - y) / len(y)
-        slope = np.append(np.bincount(slots, x * np.repeat(miss, counts), len(used)) + L2 * v[:-1], miss.sum())
-        nearer, after = v - step * slope, (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v = nearer + (t - 1) / after * (nearer - w)
-        w, t = nearer, after
-    out = np.zeros((N_KINDS << BITS) + 1)
-    out[used], out[-1] = w[:-1], w[-1]
-    return out
+def labelled_documents(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text, y, part of the sampled documents, a row an id, so no more than the sample has. Its ids are broadcast: their number is a parameter."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y", "part")).alias("r"))
+    return one.select("doc_id", "r.text", "r.y", "r.part")
+
+
+def _vectors(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """label, features: the sparse rows as vectors, saved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in textops.long_rows(batches):
+            made = [r for part in doc_stats.over_batch(b.column("text"), lambda d, o: sparse_rows(doc_stats.TextFacts(d, o))) for r in part]
+            bounds = pa.array(np.concatenate(([0], np.cumsum([len(i) for i, _ in made]))), pa.int32())
+            index, value = pa.array(np.concatenate([i for i, _ in made]), pa.int32()), pa.array(np.concatenate([x for _, x in made]))
+            vector = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(len(made)), pa.int8()), pa.array(np.full(len(made), N_KINDS << BITS), pa.int32()), pa.ListArray.from_arrays(bounds, index), pa.ListArray.from_arrays(bounds, value)],
+                names=["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.float64()), vector], names=["label", "features"])
 
+    made = rows.select("text", "y").mapInArrow(run, "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
+    return scratch.save(made, "vectors", read_as=StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> QualityModel:
-    """Fits on a bounded sample of labelled documents; the sample is at most ``limit`` ids, so it is broadcast.
 
-    The sample is dealt to shares of about ``FIT_ROWS`` rows. Each has its own regression, fitted by one task, and the weights are averaged.
-    """
-    sample = labelled_sample(labels, limit)
+def _fit(vectors: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the mean log loss plus L2 / 2 times the squared weights, each times its feature's deviation."""
+    fitted = LogisticRegression(maxIter=STEPS, tol=TOLERANCE, regParam=L2, standardization=True, family="binomial").fit(vectors)
+    return fitted.coefficients.toArray(), float(fitted.intercept)
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, keep: Column | None = None) -> QualityModel:
+    """Fits on a bounded sample of labelled documents (``keep``: of those labels only)."""
+    sample = labelled_sample(labels, limit, keep)
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "part", "text"), "labelled")
+    found = scratch.save(labelled_documents(docs, sample), "labelled")
     try:
         seen = {(r["aside"], r["y"]): r["count"] for r in found.groupBy((F.col("part") == 0).alias("aside"), "y").count().collect()}
         if not {(False, 0), (False, 1)} <= set(seen):
             return KEEP_ALL
-        shares = max(1, round((seen[False, 0] + seen[False, 1]) / FIT_ROWS))
-        dealt = found.where("part <> 0").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shares)))
-        fitted = dealt.groupBy("share").applyInArrow(_fit_share, "n long, weights binary").collect()  # a row a share, however many tasks there are
-        if not fitted:
-            return KEEP_ALL
-        mean = np.average([np.frombuffer(r["weights"], float) for r in fitted], axis=0, weights=[r["n"] for r in fitted])
-        weights, shift = mean[:-1], float(mean[-1])
+        vectors = _vectors(found.where("part <> 0"), scratch)
+        weights, shift = _fit(vectors)
+        scratch.drop(vectors)
         if not {(True, 0), (True, 1)} <= set(seen):
             return QualityModel(weights, 1.0, shift)
 
@@ -202,14 +207,6 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Qual
         scratch.drop(found)
 
 
-def _fit_share(share: pa.Table) -> pa.Table:
-    made = doc_stats.over_batch(share.column("text"), lambda d, o: sparse_rows(doc_stats.TextFacts(d, o)))
-    rows = [(slots.astype(np.int32), x.astype(np.float32)) for part in made for slots, x in part]
-    y = share.column("y").to_numpy()
-    both = len(set(y.tolist())) == 2  # a share without both classes has no say
-    return pa.table({"n": pa.array([len(y)] if both else [], pa.int64()), "weights": pa.array([_fit(rows, y.astype(float)).tobytes()] if both else [], pa.binary())})
-
-
 def _judged(b: pa.RecordBatch, model: QualityModel) -> dict[str, np.ndarray]:
     def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         f = doc_stats.TextFacts(data, offsets)

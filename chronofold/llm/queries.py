@@ -59,7 +59,8 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = pages.select(host.alias("host"), F.when(number != "", number).cast("long").alias("doc_id"))
     labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
     outcomes = named.join(labels, "doc_id", "left").select("host", "bad")
-    return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_reputation.judge_urls(pages, outcomes)
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_bound")})
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +152,13 @@ ORACLE_SQL: dict[str, str] = {
         k3 AS (SELECT greatest(0, coalesce(sum(n * (bad / n - m) ** 2 / greatest(m * (1 - m), 1e-6)), 0) - count(*)) AS ov, coalesce(sum(n - 1), 0) AS more FROM s3 WHERE n > 0),
         g3 AS (SELECT least(200, greatest(2, CASE WHEN ov * 200 <= more THEN 200 ELSE more / ov - 1 END)) AS k FROM k3),
         r3 AS (SELECT host, n, k, (bad + k * m) / (n + k) AS m FROM s3, g3),
-        b AS (SELECT host, m - sqrt(m * (1 - m) / (n + k + 1)) AS bound FROM r3),
+        b AS (SELECT host, CAST(n AS BIGINT) AS n_outcomes, m AS bad_rate, m - sqrt(m * (1 - m) / (n + k + 1)) AS bound FROM r3),
         rule AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) x(rh, rp, rv)),
         fit AS (
             SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
             FROM p JOIN rule ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-        SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.rv, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.rv, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+            n_outcomes, round(bad_rate, 6) AS bad_rate, round(bound, 6) AS bad_rate_bound
         FROM p LEFT JOIN fit USING (page_id) LEFT JOIN b ON b.host = p.host
     """,
 }

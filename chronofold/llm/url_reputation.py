@@ -4,13 +4,14 @@ Labelled page outcomes (bad or not) are counted by host, registered domain and s
 beta-binomial prior: its mean is the shrunken rate of the level above, its strength is fitted by moments over the units of
 the level. A page without a rule is blocked where the lower bound of its host's posterior bad rate exceeds a limit.
 
-Only DataFrame operations. Counts are aggregated before they are shuffled, so a host with most of the pages is one row;
-pages meet their host's verdict in a sort-merge or broadcast join, as its size decides, whose hot partitions adaptive
-execution splits.
+Only DataFrame operations. Outcomes are counted by host once, before they are shuffled, so a host with most of the pages is one
+row; the counts are saved, and the levels above are sums of them. Pages meet their host's verdict in a sort-merge or
+broadcast join, as its size decides, whose hot partitions adaptive execution splits.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the reputation of
-the empty host; pages without a known outcome count in no rate; repeated rows are judged alike (their outcomes count once
-a row); a host that no outcome row names is allowed; an empty table gives no rows; other columns are ignored.
+the empty host; a url of any length is read whole; pages without a known outcome count in no rate; repeated rows are judged
+alike (their outcomes count once a row); a host that no outcome row names has no rate and is allowed; a bound equal to the
+limit allows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.scratch import Scratch
+
 #: Second-level labels under which country domains are registered one label deeper.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Standard deviations that the bound lies below the posterior mean.
@@ -116,10 +119,12 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 
     A host without known outcomes has the posterior mean of its domain, a domain that of its suffix.
     """
+    scratch = Scratch(outcomes.sparkSession)
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = scratch.save(hosts.withColumn("domain", registered_domain(F.col("host"))), "hosts")
+    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = scratch.save(domains.withColumn("suffix", suffix(F.col("domain"))), "domains")
+    suffixes = scratch.save(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
     top = _shrunk(suffixes.withColumn("prior", F.lit(overall)), "prior").select("suffix", F.col("rate").alias("prior"))
@@ -130,11 +135,11 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES, limit: float = LIMIT) -> DataFrame:
-    """page_id, url of pages and host, bad of the outcomes of all pages -> page_id, host, path, rule, verdict, bad_rate_bound."""
-    known = host_reputation(outcomes).select("host", F.col("bound").alias("bad_rate_bound"))
+    """page_id, url of pages and host, bad of the outcomes of all pages -> page_id, host, path, rule, verdict, n_outcomes, bad_rate, bad_rate_bound (those of the host)."""
+    known = host_reputation(outcomes).select("host", F.col("n").alias("n_outcomes"), F.col("rate").alias("bad_rate"), F.col("bound").alias("bad_rate_bound"))
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = rows.withColumn("rule", rule).withColumn("by_rule", verdict).join(known, "host", "left")
     own = F.when(F.col("bad_rate_bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "bad_rate_bound")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "n_outcomes", "bad_rate", "bad_rate_bound")

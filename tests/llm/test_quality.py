@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.llm import doc_stats, quality_classifier, quality_rules
 
@@ -116,8 +117,6 @@ def test_classifier_on_held_out_rows(spark, tables):
 
 def test_classifier_ignores_held_out_labels(spark, tables):
     docs, labels = tables
-    from pyspark.sql import functions as F
-
     turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality_classifier.train(docs, x) for x in (labels, turned))
     assert np.allclose(a.weights, b.weights) and np.allclose(a.values, b.values)
@@ -132,3 +131,97 @@ def test_classifier_without_labels(spark, tables):
 def test_isotonic_rises():
     at, values = quality_classifier.isotonic(np.arange(5.0), np.ones(5), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(values) >= 0).all() and len(at) == len(values)
+
+
+def test_isotonic_rises_where_counts_differ():
+    """Against the fit by its definition: the largest of the least means over runs of smoothed bins."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        counts = rng.integers(1, 1001, rng.integers(1, 12)).astype(float)
+        good = np.floor(counts * rng.random(len(counts)))
+        good[0], centres = 0, np.arange(float(len(counts)))
+        at, values = quality_classifier.isotonic(centres, counts, good)
+        n, g = counts + 2 * quality_classifier.SMOOTHING, good + quality_classifier.SMOOTHING
+        mean = lambda a, b: g[a : b + 1].sum() / n[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, len(n))) for a in range(i + 1)) for i in range(len(n))]
+        assert (np.diff(values) > 0).all() and np.allclose(np.unique(np.round(want, 12)), np.round(values, 12))
+    at, values = quality_classifier.isotonic(np.arange(2.0), np.array([1.0, 1000.0]), np.array([0.0, 1.0]))
+    assert (np.diff(values) >= 0).all()
+
+
+def test_classifier_equals_a_direct_solve(spark, tables):
+    """The query's scores, by one solve of the whole ridge system on the driver."""
+    import pyarrow as pa
+
+    docs, labels = tables
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    part = {r["doc_id"]: r["part"] for r in quality_rules.labelled_sample(labels, 10**6).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    ids = sorted(truth)
+    stats = lambda some: np.concatenate(doc_stats.over_batch(pa.array([texts[i] for i in some]), doc_stats.statistics))
+    x = stats(ids)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    z = quality_classifier.fourier((x - mean) / scale)
+    fit = np.array([part[i] != 0 for i in ids])
+    y = np.array([truth[i] for i in ids], float)
+    penalty = quality_classifier.RIDGE * fit.sum() / quality_classifier.FEATURES * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    weights = np.linalg.solve(z[fit].T @ z[fit] + penalty, z[fit].T @ y[fit])
+    bins = np.clip((z[~fit] @ weights + 0.5) / 2 * quality_classifier.BINS, 0, quality_classifier.BINS - 1).astype(int)
+    used = np.unique(bins)
+    knots, values = quality_classifier.isotonic(-0.5 + (used + 0.5) * 2 / quality_classifier.BINS, np.array([(bins == b).sum() for b in used], float), np.array([y[~fit][bins == b].sum() for b in used]))
+    want = dict(zip(sorted(texts), np.interp(quality_classifier.fourier((stats(sorted(texts)) - mean) / scale) @ weights, knots, values), strict=True))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_documents(docs, quality_classifier.train(docs, labels)).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
+def test_rules_fit_reaches_its_optimum(spark, tables):
+    """The gradient of the objective vanishes, and a direct descent from there gains nothing."""
+    import pyarrow as pa
+
+    from chronofold.scratch import Scratch
+
+    docs, labels = tables
+    found = quality_rules.labelled_documents(docs, quality_rules.labelled_sample(labels, 120)).where("part <> 0").collect()
+    rows = spark.createDataFrame([(r["text"], r["y"]) for r in found], "text string, y int").repartition(5)
+    w, b = quality_rules._fit(quality_rules._vectors(rows, Scratch(spark)))
+    sparse = [r for p in doc_stats.over_batch(pa.array([r["text"] for r in found]), lambda d, o: quality_rules.sparse_rows(doc_stats.TextFacts(d, o))) for r in p]
+    used = np.unique(np.concatenate([i for i, _ in sparse]))
+    x = np.zeros((len(sparse), len(used)))
+    for k, (i, v) in enumerate(sparse):
+        x[k, np.searchsorted(used, i)] = v
+    y = np.array([r["y"] for r in found], float)
+    deviation = x.std(axis=0, ddof=1)
+    x, u = x / np.where(deviation > 0, deviation, 1), w[used] * deviation
+    assert not w[np.setdiff1d(np.arange(len(w)), used)].any()
+
+    def loss(u, b):
+        m = x @ u + b
+        return np.mean(np.logaddexp(0, m) - y * m) + quality_rules.L2 / 2 * u @ u
+
+    def slope(u, b):
+        miss = (1 / (1 + np.exp(-(x @ u + b))) - y) / len(y)
+        return np.append(x.T @ miss + quality_rules.L2 * u, miss.sum())
+
+    best, step = (u.copy(), b), 1.0 / (np.linalg.norm(x, 2) ** 2 / 4 / len(y) + 1)
+    for _ in range(3000):
+        g = slope(*best)
+        best = best[0] - step * g[:-1], best[1] - step * g[-1]
+    assert loss(u, b) - loss(*best) < 1e-3 * loss(*best) and np.abs(slope(u, b)).max() < 1e-2
+
+
+def test_repeated_labelled_rows_are_learned_from_once(spark, tables):
+    docs, labels = tables
+    more = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 0").withColumn("text", F.lit("zzz " * 80)))
+    sample = quality_rules.labelled_sample(labels, 50)
+    rows = quality_rules.labelled_documents(more, sample).collect()
+    assert len(rows) == 50 == len({r["doc_id"] for r in rows})
+
+
+def test_rules_on_rows_that_were_not_learned_from(spark, tables):
+    docs, labels = tables
+    model = quality_rules.train(docs, labels, keep=~quality_classifier.held_out(F.col("doc_id")))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [r for r in quality_rules.judge_documents(docs, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert np.mean([r["kept"] == (truth[r["doc_id"]] == 1) for r in rows if not r["base_failed"]]) > 0.97

@@ -60,3 +60,27 @@ def test_query_against_its_sql(spark):
     want = sorted(db.execute(queries.ORACLE_SQL["op8_url_reputation"]).fetchall(), key=str)
     cols = [c[0] for c in db.execute(queries.ORACLE_SQL["op8_url_reputation"]).description]
     assert sorted((tuple(r[c] for c in cols) for r in queries.op8_url_reputation(spark, d).collect()), key=str) == want
+
+
+def test_query_blocks_hosts_by_reputation_as_its_sql(spark, tmp_path):
+    """A table in which the method decides: hosts with mostly bad pages, without any rule."""
+    pages, labels = [], []
+    for host, n, bad in (("bad.evil.org", 60, 57), ("new.evil.org", 3, 3), ("fine.good.org", 300, 9), ("few.mixed.org", 2, 1), ("x.y.co.uk", 40, 39), ("unknown.io", 0, 0)):
+        for i in range(max(n, 1)):
+            number = len(pages) + 1
+            pages.append((number, f"https://{host}/p/{number}.html"))
+            if i < n:
+                labels.append((number, int(i >= bad), 0))
+    pages += [(9000, None), (9001, "bad.evil.org"), (9002, "https://bad.evil.org/nothing"), (9002, "https://bad.evil.org/nothing"), (None, "https://fine.good.org/" + "x" * 50_000)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = db.execute(queries.ORACLE_SQL["op8_url_reputation"])
+    cols = [c[0] for c in found.description]
+    rows = queries.op8_url_reputation(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r[c] for c in cols) for r in rows), key=str) == sorted(found.fetchall(), key=str)
+    verdict = {r["host"]: r["verdict"] for r in rows}
+    assert {h for h, v in verdict.items() if v == "block"} == {"bad.evil.org", "new.evil.org", "x.y.co.uk"}
+    assert all(r["rule"] is None for r in rows)
