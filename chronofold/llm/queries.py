@@ -93,11 +93,12 @@ ORACLE_SQL: dict[str, str] = {
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT DISTINCT vec_id, w FROM v WHERE vec_id % 50 = 0),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+            SELECT q.vec_id AS query_id, q.w, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+            FROM q JOIN v c ON q.vec_id <> c.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 5
     """,
     "op7_near_duplicates": r"""

@@ -58,12 +58,62 @@ def test_huge_components_are_exact_up_to_the_clamp(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_blocks_are_pruned():
+def plain(ids, weights, queries, query_ids, k):
+    out = []
+    for q, x in zip(query_ids, queries, strict=True):
+        scored = sorted((-int(x @ w), int(i)) for i, w in zip(ids, weights, strict=True) if i != q)[:k]
+        out += [(int(q), i, -s) for s, i in scored]
+    return sorted(out)
+
+
+def test_search_prunes_blocks_of_near_vectors_and_stays_exact():
     rng = np.random.default_rng(1)
-    weights = np.concatenate([rng.normal(size=(topk.BLOCK, 8)) + 40 * np.eye(8)[i] for i in range(8)]).round()
-    shard = topk._Shard(np.arange(len(weights)), weights)
-    bounds = np.maximum(np.eye(8)[:1] * 40, 0) @ shard.high.T + np.minimum(np.eye(8)[:1] * 40, 0) @ shard.low.T
-    assert (bounds[0] < np.sort(weights[:, 0] * 40)[-5]).sum() == 7
+    weights = np.concatenate([rng.normal(size=(256, 8)) * 4 + 400 * np.eye(8)[i] for i in range(8)]).round()
+    shuffled = rng.permutation(len(weights))
+    shard = topk._Shard(shuffled, weights)
+    asked = np.arange(0, len(weights), 40)
+    row, ids, scores = shard.search(shuffled[asked], weights[asked], 5)
+    got = sorted(zip(shuffled[asked][row].tolist(), ids.tolist(), scores.tolist(), strict=True))
+    assert got == plain(shuffled, weights, weights[asked], shuffled[asked], 5)
+    assert shard.scored <= len(asked) * (len(shard.cuts) - 1) / 6  # seven of eight directions are never scored
+
+
+def test_search_scores_all_blocks_where_bounds_are_loose():
+    rng = np.random.default_rng(2)
+    weights = np.floor(rng.normal(size=(1000, 16)) * 60)
+    shard = topk._Shard(np.arange(1000), weights)
+    row, ids, scores = shard.search(np.arange(0, 1000, 50), weights[::50], 5)
+    assert sorted(zip((row * 50).tolist(), ids.tolist(), scores.tolist(), strict=True)) == plain(range(1000), weights, weights[::50], range(0, 1000, 50), 5)
+    assert shard.scored <= 20 * (len(shard.cuts) - 1)
+
+
+def test_shards_below_the_kth_score_are_not_asked(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=4) * 0.01 + np.eye(4)[i % 4]]) for i in range(800)]
+    assert run(spark, rows, shard=100) == brute(rows)
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    placed = topk._placed(vectors, 8, 100).persist()
+    extents = topk._extents(placed)
+    assert {r["shard"]: (r["high"], r["low"]) for r in extents.collect()} == {s: (np.maximum(np.max(w, axis=0), 0).tolist(), np.minimum(np.min(w, axis=0), 0).tolist()) for s, w in by_shard(placed).items()}
+    n = extents.count()
+    asked = vectors.where("vec_id = 0").selectExpr("1L AS query_key", "vec_id AS query_id", "weights AS query", "60000L AS least")
+    assert topk._routed(asked, extents, n, 1, True).count() == 1 and topk._routed(asked, extents, n, 1, False).count() < n / 2
+
+
+def by_shard(placed):
+    out = {}
+    for r in placed.collect():
+        out.setdefault(r["shard"], []).append(r["weights"])
+    return out
+
+
+def test_repeated_queries(spark):
+    rows = vectors(60) + [(50, vectors(60)[50][1]), (0, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = topk.quantised(df)
+    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()]
+    assert sorted(r for r in got if r[0] == 50) == sorted(r for r in brute(rows[:-2] + rows[-1:]) if r[0] == 50)
+    assert sorted(r[1] for r in got if r[0] == 0) == sorted(2 * [1, 2, 3, 4, 5])  # two vectors under one id: each is answered
 
 
 def test_components_beyond_the_former_clamp(spark):
