@@ -1,21 +1,24 @@
 """License scan by diagonal voting.
 
-Every rolling word k-gram of every text is hashed and joined to the positions of the same hash in license templates. Hits
-of a document and template are counted by diagonal (place in the text less place in the template); neighbouring diagonals
-with enough votes merge into one span, which stands for a copy with a few words added or left out; and a span counts when
-the words voted for and compared equal cover enough of its template. Short templates (phrases) use the shortest k-gram that
-they hold and must be covered whole.
-
-The hashes that no template has are left out before they reach the join, by a table of the templates' hashes: the join
-would drop them. The templates are a parameter of fixed size, so their side of the join is broadcast.
-
-Defined cases: a null text is empty and has no words; a text shorter than k has no k-grams; repeated rows are scanned one by
-one; overlapping spans of one template count once each by their start; a null doc_id is kept as it is; an empty table
-gives no rows; other columns are ignored.
+Every rolling word k-gram of every text is hashed, and all hashes are joined in Spark to the positions of the same hash in
+license templates. Words are compared with the templates' words byte by byte, so an equal hash of other words is no hit.
+Hits of a document and template are counted by diagonal (place in the text less place in the template); neighbouring
+diagonals with enough votes merge into one span, which stands for a copy with a few words added or left out. A span is
+verified on its aligned words: a chain of hits that moves forward both in the text and in the template must cover enough
+distinct words of the template, so a text that repeats one line of a notice is not a copy of it. Short templates (phrases)
+use the shortest k-gram that they hold and must be covered whole.
+
+The templates are a parameter of fixed size, so their side of the join is broadcast. The hits of a span are gathered for its
+verification: a span lies within one text, which one task has read whole before.
+
+Defined cases: a null text is empty and has no words; a text shorter than k has no k-grams; a text of any length is scanned
+whole; repeated rows are scanned one by one; overlapping spans of one template count once each by their start; a null
+doc_id is kept as it is; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +29,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.llm import textops
+from chronofold.scratch import Scratch
 
 PHRASE_K, NOTICE_K = 2, 4
 #: Share of a notice's words that its votes must cover.
 COVER = 0.6
 #: Diagonals this near to each other merge.
 NEAR = 6
+#: K-grams of a batch on their way to the join.
+GRAM_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -71,22 +77,63 @@ def _words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return data, start, end, first, textops.span_hashes(data, start, end)
 
 
-def template_grams(templates: tuple[Template, ...]) -> list[tuple[int, int, int, int, str, int]]:
-    """(hash, k, template, place, gram, words of the template) of every k-gram of the templates."""
+class Vocabulary:
+    """The templates' words: their numbers by hash, confirmed on their bytes."""
+
+    def __init__(self, templates: tuple[Template, ...]) -> None:
+        words = sorted({w for t in templates for w in self.split(t.text)})
+        tokens = np.concatenate([_words_of(w.decode())[4] for w in words])
+        order = np.argsort(tokens)
+        self.words, self.tokens = [words[i] for i in order], tokens[order]
+        self.length = np.array([len(w) for w in self.words])
+        self.bytes = np.zeros((len(words), self.length.max()), np.uint8)
+        for i, w in enumerate(self.words):
+            self.bytes[i, : len(w)] = np.frombuffer(w, np.uint8)
+
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        data, start, end, _, _ = _words_of(text)
+        return [data[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The number of each word in the vocabulary, or -1."""
+        out = np.full(len(tokens), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        maybe = np.flatnonzero((self.tokens[at] == tokens) & (self.length[at] == end - start))
+        at = at[maybe]
+        same = np.ones(len(maybe), bool)
+        for j in range(self.bytes.shape[1]):
+            inside = j < self.length[at]
+            same[inside] &= data[start[maybe[inside]] + j] == self.bytes[at[inside], j]
+        out[maybe[same]] = at[same]
+        return out
+
+    def codes(self, numbers: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """One number for the words of each k-gram that starts at ``at``, or -1 where one isn't in the vocabulary."""
+        out, known = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for i in range(k):
+            word = numbers[at + i]
+            known &= word >= 0
+            out = out * len(self.words) + word
+        return np.where(known, out, -1)
+
+
+def template_grams(templates: tuple[Template, ...], vocabulary: Vocabulary) -> list[tuple[int, int, int, int, int, int]]:
+    """(hash, k, template, place, code, words of the template) of every k-gram of the templates."""
     out = []
     for t, x in enumerate(templates):
         data, start, end, _, tokens = _words_of(x.text)
         k = PHRASE_K if x.phrase else NOTICE_K
         if len(tokens) < k:
             raise ValueError(f"the template {x.label} is shorter than {k} words")
-        for i, h in enumerate(textops.gram_hashes(tokens, k)):
-            gram = " ".join(data[start[j] : end[j]].tobytes().decode() for j in range(i, i + k))
-            out.append((int(h.astype(np.int64)), k, t, i, gram, len(tokens)))
+        places = np.arange(len(tokens) - k + 1)
+        codes = vocabulary.codes(vocabulary.numbers(data, start, end, tokens), places, k)
+        out += [(int(h.astype(np.int64)), k, t, int(i), int(c), len(tokens)) for i, h, c in zip(places, textops.gram_hashes(tokens, k), codes, strict=True)]
     return out
 
 
-def _gram_rows(docs: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
-    """row (one a document), doc_id, n_words and, for every k-gram that a template has, k, place, hash, gram; one row without those for each document."""
+def _gram_rows(docs: DataFrame, vocabulary: Vocabulary, ks: tuple[int, ...]) -> DataFrame:
+    """row (one a document) and hash, k, place, code of every rolling k-gram of the text; one row with k = 0 for each document, with its doc_id and n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -94,70 +141,101 @@ def _gram_rows(docs: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
         base = TaskContext.get().partitionId() << 40
         for b in textops.long_rows(batches):
             data, offsets = textops.text_bytes(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False) if not b.column("doc_id").null_count else None
             for lo, hi in textops.pieces(offsets):
                 part, off = textops.LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
                 start, end, first = textops.words(part, off, textops.ALNUM_LOWER)
                 tokens = textops.span_hashes(part, start, end)
-                n = np.diff(first)
-                rows, ks, places, hashes, grams = [np.arange(hi - lo)], [np.zeros(hi - lo, np.int64)], [np.zeros(hi - lo, np.int64)], [np.zeros(hi - lo, np.int64)], [""] * (hi - lo)
-                for k, table in known.items():
+                numbers = vocabulary.numbers(part, start, end, tokens)
+                rows = base + np.arange(lo, hi)
+                none, zero = pa.nulls(hi - lo, pa.int64()), pa.array(np.zeros(hi - lo, np.int32))
+                yield _batch(rows, b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(first)), zero, zero, none, none)
+                for k in ks:
                     at, counts = textops.gram_starts(first, k)
-                    own = textops.gram_hashes(tokens, k)[at]
-                    hit = np.flatnonzero(table[np.minimum(np.searchsorted(table, own), len(table) - 1)] == own)
-                    row = np.repeat(np.arange(hi - lo), counts)[hit]
-                    rows.append(row)
-                    ks.append(np.full(len(hit), k))
-                    places.append(at[hit] - first[row])
-                    hashes.append(own[hit].astype(np.int64))
-                    for w in at[hit]:
-                        grams.append(" ".join(part[start[j] : end[j]].tobytes().decode("utf-8", "replace") for j in range(w, w + k)))
-                row = np.concatenate(rows)
-                doc = b.column("doc_id").take(pa.array(lo + row)) if ids is None else pa.array(ids[lo + row])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(base + lo + row), doc, pa.array(n[row]), pa.array(np.concatenate(ks), pa.int32()), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes)), pa.array(grams, pa.string())],
-                    names=["row", "doc_id", "n_words", "k", "place", "hash", "gram"],
-                )
+                    own = np.repeat(np.arange(hi - lo), counts)
+                    grams = textops.gram_hashes(tokens, k)[at].view(np.int64)
+                    codes, places = vocabulary.codes(numbers, at, k), (at - first[own]).astype(np.int32)
+                    for some in range(0, len(at), GRAM_ROWS):
+                        cut = slice(some, some + GRAM_ROWS)
+                        n = len(at[cut])
+                        yield _batch(rows[own[cut]], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, k, np.int32)), pa.array(places[cut]), pa.array(grams[cut]), pa.array(codes[cut]))
             base += b.num_rows
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, k int, place long, hash long, gram string")
+    def _batch(rows: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows), *columns], names=["row", "doc_id", "n_words", "k", "place", "hash", "code"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, k int, place int, hash long, code long")
 
-def license_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES) -> DataFrame:
-    """A row a verified span: row, doc_id, n_words, label, phrase, first_word, last_word, cover; and a row with nulls for a document without any."""
+
+def _chain(pairs: list[tuple[int, int]], k: int) -> tuple[int, int, int]:
+    """(template words covered, first word, last word) by the longest run of hits (place, place in the template) that rises in both."""
+    places, targets = zip(*sorted(set(pairs), key=lambda p: (p[0], -p[1])), strict=True)
+    ends: list[int] = []  # the least last target of a chain of each length, and which hit it is
+    which: list[int] = []
+    before = [-1] * len(places)
+    for i, t in enumerate(targets):
+        at = bisect_left(ends, t)
+        before[i] = which[at - 1] if at else -1
+        ends[at : at + 1], which[at : at + 1] = [t], [i]
+    chain, i = [], which[-1]
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    covered = {targets[i] + j for i in chain for j in range(k)}
+    return len(covered), places[chain[-1]], places[chain[0]] + k - 1
+
+
+def _verified(spans: DataFrame) -> DataFrame:
+    """row, k, template, t_words, hits of spans -> row, template, first_word, last_word, cover of those that hold enough of their template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in textops.long_rows(batches):
+            out = []
+            for row, k, template, t_words, hits in zip(*(b.column(c).to_pylist() for c in ("row", "k", "template", "t_words", "hits")), strict=True):
+                n, first, last = _chain([(h["place"], h["t_place"]) for h in hits], k)
+                if n >= (t_words if k == PHRASE_K else COVER * t_words):
+                    out.append((row, template, first, last, n / t_words))
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "template", "first_word", "last_word", "cover"])
+
+    return spans.mapInArrow(run, "row long, template int, first_word long, last_word long, cover double")
+
+
+def license_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES) -> tuple[DataFrame, DataFrame]:
+    """Documents (row, doc_id, n_words), and a row a verified span: row, label, phrase, first_word, last_word, cover."""
     spark = docs.sparkSession
-    grams = template_grams(templates)
-    known = {k: np.array(sorted({g[0] % 2**64 for g in grams if g[1] == k}), np.uint64) for k in (PHRASE_K, NOTICE_K) if any(g[1] == k for g in grams)}
-    places = spark.createDataFrame(grams, "hash long, k int, template int, t_place int, t_gram string, t_words int")
+    vocabulary = Vocabulary(templates)
+    grams = template_grams(templates, vocabulary)
+    ks = tuple(sorted({g[1] for g in grams}))
+    places = spark.createDataFrame(grams, "hash long, t_k int, template int, t_place int, t_code long, t_words int")
     labels = spark.createDataFrame([(i, t.label, t.phrase) for i, t in enumerate(templates)], "template int, label string, phrase boolean")
     # the templates' side has a row a word of the templates: a parameter, not data
-    hits = _gram_rows(docs, known).join(F.broadcast(places), ["hash", "k"], "left").where((F.col("k") == 0) | (F.col("gram") == F.col("t_gram")))
-    diagonal = F.when(F.col("k") > 0, F.col("place") - F.col("t_place"))
-    votes = hits.groupBy("row", "doc_id", "n_words", "k", "template", "t_words", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"))
-    # neighbouring diagonals of a document and notice: a new span where the step is wide, or the text has moved on
+    met = _gram_rows(docs, vocabulary, ks).join(F.broadcast(places), "hash", "left").where((F.col("k") == 0) | ((F.col("k") == F.col("t_k")) & (F.col("code") == F.col("t_code"))))
+    met = Scratch(spark).save(met.select("row", "doc_id", "n_words", "k", "place", "template", "t_place", "t_words"), "hits")
+    hits = met.where("k > 0").withColumn("diagonal", F.col("place") - F.col("t_place"))
+    votes = hits.groupBy("row", "k", "template", "t_words", "diagonal").agg(F.count("*").alias("votes"), F.collect_list(F.struct("place", "t_place")).alias("hits"))
+    # neighbouring diagonals of a document and notice: a new span where the step is wide
     w = W.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("k") == NOTICE_K, NEAR).otherwise(0), F.lit(True))
     chained = votes.withColumn("span", F.sum(apart.cast("int")).over(w))
-    spans = chained.groupBy("row", "doc_id", "n_words", "k", "template", "t_words", "span").agg(F.sum("votes").alias("votes"), F.count("*").alias("diagonals"), F.min("first").alias("first_word"), (F.max("last") + F.max("k") - 1).alias("last_word"))
-    covered = F.least(F.lit(1.0), (F.col("votes") + (F.col("k") - 1) * F.col("diagonals")) / F.col("t_words"))
-    spans = spans.withColumn("cover", F.when(F.col("k") > 0, covered))
-    enough = F.when(F.col("k") == PHRASE_K, F.col("votes") == F.col("t_words") - PHRASE_K + 1).otherwise(F.col("cover") >= COVER)
-    good = spans.where((F.col("k") == 0) | enough)
-    return good.join(F.broadcast(labels), "template", "left").select("row", "doc_id", "n_words", "label", "phrase", "first_word", "last_word", "cover")
+    spans = chained.groupBy("row", "k", "template", "t_words", "span").agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list("hits")).alias("hits"))
+    enough = F.col("votes") + (F.col("k") - 1) * F.size("hits") >= F.when(F.col("k") == PHRASE_K, F.col("t_words")).otherwise(COVER * F.col("t_words"))
+    good = _verified(spans.where(enough)).join(F.broadcast(labels), "template")
+    return met.where("k = 0").select("row", "doc_id", "n_words"), good.select("row", "label", "phrase", "first_word", "last_word", "cover")
 
 
 def scan_documents(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES) -> DataFrame:
     """A row a document: doc_id, n_words, n_base, first_word and last_word (where the first and the last phrase starts), base_labels, labels, score (the best cover of a template; 1 for a phrase)."""
-    base = F.coalesce(F.col("phrase"), F.lit(False))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = license_spans(docs, templates).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("first_word"))).alias("first_word"),
-        F.max(F.when(base, F.col("first_word"))).alias("last_word"),
-        joined(F.when(base, F.col("label"))).alias("base_labels"),
+    rows, spans = license_spans(docs, templates)
+    found = spans.groupBy("row").agg(
+        F.count_if("phrase").alias("n_base"),
+        F.min(F.when(F.col("phrase"), F.col("first_word"))).alias("first_word"),
+        F.max(F.when(F.col("phrase"), F.col("first_word"))).alias("last_word"),
+        joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"),
         joined(F.col("label")).alias("labels"),
-        F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
+        F.max("cover").alias("score"),
     )
-    return out.drop("row")
+    empty = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
+    out = rows.join(found, "row", "left").drop("row")
+    return out.select("doc_id", "n_words", *(F.coalesce(c, empty[c]).alias(c) if c in empty else c for c in found.columns if c != "row"))

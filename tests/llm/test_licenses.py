@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from chronofold.llm import licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,3 +53,68 @@ def test_repeated_ids_and_empty_table(spark):
     rows = sorted((r["doc_id"] is None, r["labels"]) for r in licenses.scan_documents(df).collect())
     assert rows == [(False, "cc-by"), (False, "mit"), (False, "mit"), (True, "apache")]
     assert licenses.scan_documents(df.limit(0)).count() == 0
+
+
+def test_repeating_one_line_of_a_notice_is_no_copy(spark):
+    line = " ".join(NOTICE.split()[:4])
+    texts = [f"{line}, " * 8, f"{line} and more. " * 40, " ".join(NOTICE.split()[:15] * 6), (NOTICE + " ") * 3]
+    got = scan(spark, texts)
+    assert ["mit-notice" in got[i]["labels"].split(",") for i in range(4)] == [False, False, False, True]
+    assert got[0]["score"] == 0.0 and got[3]["score"] == 1.0
+
+
+def spans_by_hand(text):
+    """Labels of the notices and the best cover, by a plain search over diagonals."""
+    words, labels, best = WORD.findall(lower(text)), set(), 0.0
+    for t in licenses.PHRASES + licenses.NOTICES:
+        p, k = WORD.findall(lower(t.text)), 2 if t.phrase else 4
+        hits = {}
+        for i in range(len(words) - k + 1):
+            for j in range(len(p) - k + 1):
+                if words[i : i + k] == p[j : j + k]:
+                    hits.setdefault(i - j, []).append((i, j))
+        spans, before = [], None
+        for d in sorted(hits):
+            if before is None or d - before > (0 if t.phrase else licenses.NEAR):
+                spans.append([])
+            spans[-1] += hits[d]
+            before = d
+        for pairs in spans:
+            pairs = sorted(set(pairs))
+            longest = [1] * len(pairs)  # the longest rising chain ending at each hit
+            for x in range(len(pairs)):
+                longest[x] += max((longest[y] for y in range(x) if pairs[y][0] < pairs[x][0] and pairs[y][1] < pairs[x][1]), default=0)
+            n = licenses._chain(pairs, k)[0]
+            assert n >= max(longest) + k - 1 and n <= len({j + a for _, j in pairs for a in range(k)})
+            if n >= (len(p) if t.phrase else licenses.COVER * len(p)):
+                labels.add(t.label)
+                best = max(best, n / len(p))
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_score_against_plain_python(spark):
+    rng = random.Random(9)
+    notices = [t.text.split() for t in licenses.NOTICES]
+    texts = [None, "", "of the"]
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = list(rng.choice(notices))
+            for _ in range(rng.randint(0, len(own) // 2)):
+                at = rng.randrange(len(own))
+                rng.choice([lambda: own.insert(at, "and"), lambda: own.pop(at) if len(own) > 1 else None, lambda: own.__setitem__(at, "oddly")])()
+            words += own[: rng.randint(1, len(own))] + ["mit", "license"] * rng.randint(0, 1) + ["filler"] * rng.randint(0, 9)
+        texts.append(" ".join(words))
+    got = scan(spark, texts)
+    for i, t in enumerate(texts):
+        labels, best = spans_by_hand(t)
+        assert got[i]["labels"] == labels and abs(got[i]["score"] - best) < 1e-12, t
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) == base(t), t
+
+
+def test_words_are_compared_by_their_bytes():
+    v = licenses.Vocabulary(licenses.PHRASES)
+    data, start, end, _, tokens = licenses._words_of("the mit license of gnu")
+    assert [v.words[i].decode() if i >= 0 else None for i in v.numbers(data, start, end, tokens)] == [None, "mit", "license", None, "gnu"]
+    forged = np.full(len(tokens), v.tokens[v.words.index(b"mit")])  # equal hashes of other words
+    assert [i >= 0 for i in v.numbers(data, start, end, forged)] == [False, True, False, False, False]
