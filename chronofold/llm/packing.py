@@ -9,8 +9,9 @@ equal tokens each, so that their attention cost is even.
 A task packs its own input split through a bounded window, so nothing is shuffled and memory doesn't grow with the data;
 each task leaves at most one sequence that needs padding.
 
-Defined cases: a null text is empty and yields the end-of-document id alone; repeated rows are packed once each; rows with
-a null doc_id keep it; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty and yields the end-of-document id alone; a text of any length is encoded whole, and what
+it fills leaves in sequences of its own; the string of an added token gets that token's id; repeated rows are packed once
+each; rows with a null doc_id keep it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,11 +131,11 @@ class _Groups:
             yield from self.deal(tier)
 
 
-def packed(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], step_tokens: int, window: int, paths: tuple[str, str]) -> Iterator[tuple[int, int, int, list[tuple]]]:
-    """(sequence_id, step_group, tier, pieces) of a task's documents. Ids are unique over tasks: the task's number stands above 2**36."""
+def packed(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], step_tokens: int, window: int, paths: tuple[str, str], base: int | None = None) -> Iterator[tuple[int, int, int, list[tuple]]]:
+    """(sequence_id, step_group, tier, pieces) of some documents. Ids are unique over tasks: ``base``, else the task's number, stands above 2**36."""
     from pyspark import TaskContext
 
-    base = TaskContext.get().partitionId() << 36
+    base = (TaskContext.get().partitionId() if base is None else base) << 36
     encode, packer, groups = tokens.encoder(paths).encode, _Packer(tiers), _Groups(step_tokens, base)
     end = END_OF_DOCUMENT.to_bytes(4, "little")
     number = base

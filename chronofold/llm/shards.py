@@ -6,10 +6,16 @@ even number of bits, walked on until it lands below N, so no table of the permut
 shuffled to one task a range, which writes the range as one shard: records of a fixed number of bytes in slot order, so that
 slot s stands in shard s // records at byte (s % records) * stride and a reader can resume anywhere.
 
-A shard's bytes depend only on the input and the key; a task that runs again writes the same file and renames it into
-place, so lost executors and speculative copies do no harm.
+A task that runs again writes the same file and renames it into place, so lost executors and speculative copies do no harm.
+By default each task packs its own input split, nothing is shuffled before the slots, and a shard's bytes depend on the
+key, the documents *and how the scan was split* (``layout`` tells: tasks and their sequences). With ``bucket_documents`` the
+documents are first dealt to buckets by a hash of doc_id and text and ordered in them by both, and a shard's bytes depend on
+the documents and the key alone, whatever the partitioning, for one more shuffle of the texts.
 
-Defined cases: as for packing; the last record is padded with 0 after n_tokens ids; an empty table gives no shard.
+Without ``out_dir`` the shards lie in the scratch folder, which goes when the driver's Python ends.
+
+Defined cases: as for packing; the last record of a task or bucket is padded with 0 after n_tokens ids; equal
+rows share a bucket, which one task streams; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -48,13 +54,40 @@ def feistel_slots(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def packed_sequences(docs: DataFrame, length: int = SEQUENCE_TOKENS, paths: tuple[str, str] | None = None) -> DataFrame:
-    """Sequences of one length: task, local (its number there), n_tokens, doc_ids, body (little-endian 16-bit ids)."""
+def packed_sequences(docs: DataFrame, length: int = SEQUENCE_TOKENS, paths: tuple[str, str] | None = None, bucket_documents: int | None = None) -> DataFrame:
+    """Sequences of one length: task (or bucket), local (its number there), n_tokens, doc_ids, body (little-endian 16-bit ids)."""
     paths = paths or tokens.default_paths()
 
+    def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The batches come sorted by bucket; each bucket is packed by itself."""
+        waiting: list[pa.RecordBatch] = []
+        stream = textops.long_rows(batches)
+
+        def of(bucket: int) -> Iterator[pa.RecordBatch]:
+            while True:
+                b = waiting.pop() if waiting else next(stream, None)
+                if b is None:
+                    return
+                n = int(np.searchsorted(b.column("bucket").to_numpy(), bucket, "right"))
+                if n < b.num_rows:
+                    waiting.append(b.slice(n))
+                if n:
+                    yield b.slice(0, n)
+                if n < b.num_rows:
+                    return
+
+        while True:
+            if not waiting:
+                b = next(stream, None)
+                if b is None:
+                    return
+                waiting.append(b)
+            bucket = int(waiting[-1].column("bucket")[0].as_py())
+            yield from packing.packed(of(bucket), (length,), length, packing.WINDOW, paths, bucket)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for number, _, _, inside in packing.packed(batches, (length,), length, packing.WINDOW, paths):
+        for number, _, _, inside in each_bucket(batches) if bucket_documents else packing.packed(batches, (length,), length, packing.WINDOW, paths):
             ids = np.frombuffer(b"".join(p[4] for p in inside), "<u4")
             if len(ids) and ids.max() >= 1 << 8 * TOKEN_BYTES:
                 raise ValueError("an id doesn't fit its bytes")
@@ -71,26 +104,32 @@ def packed_sequences(docs: DataFrame, length: int = SEQUENCE_TOKENS, paths: tupl
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["task", "local", "n_tokens", "doc_ids", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "task long, local long, n_tokens int, doc_ids array<long>, body binary")
+    rows = docs.select("doc_id", "text")
+    if bucket_documents:
+        buckets = -(-docs.count() // bucket_documents) or 1
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    return rows.mapInArrow(run, "task long, local long, n_tokens int, doc_ids array<long>, body binary")
 
 
-def write_shards(docs: DataFrame, out_dir: str | None = None, key: int = 20240229, length: int = SEQUENCE_TOKENS, records: int = SHARD_RECORDS, paths: tuple[str, str] | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, out_dir: str | None = None, key: int = 20240229, length: int = SEQUENCE_TOKENS, records: int = SHARD_RECORDS, paths: tuple[str, str] | None = None, bucket_documents: int | None = None) -> DataFrame:
     """Writes shard-NNNNNNNN.bin files to ``out_dir`` (a folder that all executors reach) when the result is computed.
 
-    A row a sequence: slot, shard, byte_offset, sequence_id (its dense number), n_tokens, doc_ids, crc32 (of the record).
+    A row a sequence: slot, shard, byte_offset, sequence_id (its dense number), n_tokens, doc_ids, crc32 (of the record), layout (a digest of the tasks' or buckets' numbers of sequences, which together
+    with the key and the documents determine the order).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     out_dir = out_dir or scratch.path("shards")
-    saved = scratch.save(packed_sequences(docs, length, paths), "sequences", level=6)
+    saved = scratch.save(packed_sequences(docs, length, paths, bucket_documents), "sequences", level=6)
     counts = saved.groupBy("task").agg(F.count("*").alias("n"))
     first = counts.select("task", (F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, layout = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor(F.xxhash64("task", "n"))).first()
     n_shards = max(1, -(-total // records))
     # broadcast: 16 bytes a task of the packing, whatever the tasks hold
     numbered = saved.join(F.broadcast(first), "task").select((F.col("first") + F.col("local")).alias("sequence_id"), "n_tokens", "doc_ids", "body")
     routed = numbered.mapInArrow(_Router(total, key, records), "shard int, slots array<long>, sequence_ids array<long>, n_tokens array<int>, doc_ids array<array<long>>, bodies binary")
-    return routed.repartitionById(n_shards, F.col("shard")).mapInArrow(_Writer(out_dir, length, records), "slot long, shard long, byte_offset long, sequence_id long, n_tokens int, doc_ids array<long>, crc32 long")
+    return routed.repartitionById(n_shards, F.col("shard")).mapInArrow(_Writer(out_dir, length, records), "slot long, shard long, byte_offset long, sequence_id long, n_tokens int, doc_ids array<long>, crc32 long").withColumn("layout", F.lit(layout).cast("long"))
 
 
 class _Router:

@@ -16,11 +16,10 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_paths()[0])
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-@given(st.one_of(st.text(), st.lists(st.sampled_from(["a", "de", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "'s", "9", "!", "é"]), max_size=20).map("".join)))
+@given(st.one_of(st.text(), st.lists(st.sampled_from(["a", "de", " ", "  ", "<|endoftext|>", "\n", "\t", "\x1c", "\u00a0", "'s", "9", "!", "é"]), max_size=20).map("".join)))
 @settings(max_examples=200, deadline=None)
 def test_segments_give_the_tokenizers_ids(text):
     from tokenizers import Tokenizer
@@ -35,10 +34,14 @@ _KEPT = []
 def _tokenizer(cls):
     if not _KEPT:
         _KEPT.append(cls.from_file(tokens.default_paths()[0]))
-        _KEPT[0].encode_special_tokens = True
     return _KEPT[0]
 
 
+def test_added_tokens_have_their_own_ids():
+    ids = np.frombuffer(tokens.encoder(tokens.default_paths()).encode("x <|endoftext|> as text"), "<u4").tolist()
+    assert ids == [87, 220, 50256, 355, 2420]
+
+
 def docs(spark, texts=None, parts=2):
     texts = TEXTS if texts is None else texts
     rows = [(i, t, 0, "x") for i, t in enumerate(texts)]
@@ -116,3 +119,16 @@ def test_shards_hold_every_sequence_in_slot_order(spark, tmp_path, plain):
     assert not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith("draft")]
     again = shards.write_shards(docs(spark, TEXTS * 30).withColumn("more", F.lit(1)), out, key=3, length=128, records=100)
     assert again.count() == n
+
+
+def test_stable_shards_do_not_depend_on_the_partitioning(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS * 25)] + [(3, "a"), (3, "another text under the id"), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for parts in (2, 3):
+        out = str(tmp_path / f"shards-{parts}")
+        found = shards.write_shards(df.repartition(parts), out, key=3, length=128, records=100, bucket_documents=64).orderBy("slot").collect()
+        made.append((found, {p.name: p.read_bytes() for p in (tmp_path / f"shards-{parts}").iterdir()}))
+    assert made[0] == made[1] and len(made[0][1]) > 1
+    assert sum(r["n_tokens"] for r in made[0][0]) == sum(len(np.frombuffer(tokens.encoder(tokens.default_paths()).encode(t or ""), "<u4")) + 1 for _, t in rows)
+    assert shards.write_shards(df.limit(0), bucket_documents=64).count() == 0
