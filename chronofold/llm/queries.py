@@ -69,8 +69,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ids`` are little-endian 32-bit; ``decoded_sha256`` digests what decoding them gives."""
-    return unigram.round_trip(_table(spark, sf_dir, "documents")).select("doc_id", "n_ids", "n_byte_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    """``ids`` are little-endian 32-bit, by scores estimated on all documents; ``decoded_sha256`` digests what decoding them gives."""
+    docs = _table(spark, sf_dir, "documents")
+    return unigram.round_trip(docs, scores=unigram.estimate_scores(docs)).select("doc_id", "n_ids", "n_byte_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

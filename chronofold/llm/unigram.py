@@ -1,35 +1,53 @@
 """SentencePiece-style encoding by unigram Viterbi, and decoding.
 
-Pieces with their log scores stand in a double-array trie over UTF-8 bytes. White space becomes the marker U+2581, one is put
+The pieces and their ids are those of a given file and stay as they are. Their log scores are estimated on the corpus by
+expectation maximisation: Spark counts the distinct units of all texts, each step runs forward and backward over the
+segmentations of every unit, weighted by its count, and sums the expected uses of each piece over all partitions; the driver
+only sees one number a piece. (The file at hand is a BPE model, whose scores are merge ranks, not log probabilities.)
+
+Pieces stand in a double-array trie over UTF-8 bytes. White space becomes the marker U+2581, one is put
 in front of a text, and the segmentation with the highest sum of scores is found by dynamic programming; a character that no
 piece covers costs ``UNKNOWN_PENALTY`` below the lowest score and is written as its bytes' pieces. Where two segmentations tie,
 the one whose last piece is longer wins, at every place.
 
 No piece crosses from another character into a marker, so a text splits before each run of markers into units that are solved
 on their own. The distinct units of a batch are solved together, the trie walked and the sums carried on arrays, and the
-most recent units are remembered by the worker.
+most recent units are remembered by the worker; a long unit is solved by itself, edge by edge.
 
-Defined cases: a null text is empty and has no ids; U+2581 in a text decodes as a space; invalid ids raise an error;
-repeated rows are encoded alike; a null doc_id is kept as it is; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty and has no ids; a text of any length, with or without spaces, is encoded whole, in time and
+memory in proportion to it; U+2581 in a text decodes as a space; invalid ids raise an error;
+repeated rows are encoded alike and count each; a null doc_id is kept as it is; without any text all pieces score
+alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronofold.llm import textops
+from chronofold.scratch import Scratch
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units that a worker remembers, and how long they may be.
 CACHE_UNITS = 400_000
 CACHE_CHARS = 48
+#: Bytes from which a unit is solved by itself.
+LONG_UNIT = 256
+#: Steps of expectation maximisation, and what is added to each piece's expected uses.
+EM_STEPS = 4
+EM_SMOOTHING = 0.01
+#: Distinct units that a task counts before it passes them on.
+COUNTED_UNITS = 500_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -119,20 +137,32 @@ class DoubleArrayTrie:
         return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
+@dataclass(frozen=True)
+class _Lattice:
+    """Edges of the segmentations of some units: from byte ``begin`` to ``end`` by ``piece`` (-1: a bare character) of unit ``owner``, which starts at byte ``first``."""
+
+    data: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    owner: np.ndarray
+    gain: np.ndarray
+
+
 class UnigramModel:
-    def __init__(self, pieces: Pieces) -> None:
+    def __init__(self, pieces: Pieces, trie: DoubleArrayTrie | None = None) -> None:
         for t, ok in zip(pieces.texts, pieces.usable, strict=True):
             if ok and MARK in t.lstrip(MARK):
                 raise ValueError(f"a piece crosses into a marker: {t!r}")
         self.pieces = pieces
-        self.trie = DoubleArrayTrie([(t.encode(), i) for i, (t, ok) in enumerate(zip(pieces.texts, pieces.usable, strict=True)) if ok])
+        self.trie = trie or DoubleArrayTrie([(t.encode(), i) for i, (t, ok) in enumerate(zip(pieces.texts, pieces.usable, strict=True)) if ok])
         self.unknown = float(pieces.scores[pieces.usable].min()) - UNKNOWN_PENALTY
         self._cache: dict[str, bytes] = {}
         self._raw: list[bytes | None] | None = None
 
-    def solve(self, units: list[str]) -> list[bytes]:
-        """The best ids of each unit, as little-endian 32-bit values."""
-        raw = [u.encode() for u in units]
+    def _lattice(self, raw: list[bytes]) -> _Lattice:
         data = np.frombuffer(b"".join(raw), np.uint8)
         size = np.array([len(r) for r in raw], np.int64)
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -145,14 +175,47 @@ class UnigramModel:
         bare = np.flatnonzero(~whole)
         begin, end, piece = np.concatenate([lead[who], lead[bare]]), np.concatenate([end, after[bare]]), np.concatenate([piece, np.full(len(bare), -1)])
         gain = np.where(piece >= 0, self.pieces.scores[piece], self.unknown)
+        return _Lattice(data, first, size, begin, end, piece, np.repeat(np.arange(len(raw)), size)[begin], gain)
+
+    def solve(self, units: list[str]) -> list[bytes]:
+        """The best ids of each unit, as little-endian 32-bit values."""
+        raw = [u.encode() for u in units]
+        short = [i for i, r in enumerate(raw) if len(r) < LONG_UNIT]
+        out = [b""] * len(raw)
+        for i, ids in zip(short, self._solve_together([raw[i] for i in short]) if short else (), strict=True):
+            out[i] = ids
+        for i, r in enumerate(raw):
+            if len(r) >= LONG_UNIT:
+                out[i] = self._solve_long(r)
+        return out
+
+    def _solve_long(self, raw: bytes) -> bytes:
+        x = self._lattice([raw])
+        order = np.lexsort((x.begin, x.end))
+        begin, end, gain, piece = (c[order].tolist() for c in (x.begin, x.end, x.gain, x.piece))
+        best, back = [-math.inf] * (len(raw) + 1), [-1] * (len(raw) + 1)
+        best[0] = 0.0
+        for i, (b, e, g) in enumerate(zip(begin, end, gain, strict=True)):
+            if best[b] + g > best[e]:  # of equal sums the earliest beginning stays
+                best[e], back[e] = best[b] + g, i
+        ids: list[int] = []
+        at = len(raw)
+        while at:
+            i = back[at]
+            ids += [piece[i]] if piece[i] >= 0 else self._bytes(x.data[begin[i] : end[i]])[::-1].tolist()
+            at = begin[i]
+        return np.array(ids[::-1], "<i4").tobytes()
+
+    def _solve_together(self, raw: list[bytes]) -> list[bytes]:
+        x = self._lattice(raw)
+        data, first, size, gain, piece, owner = x.data, x.first, x.size, x.gain, x.piece, x.owner
         # a sum for each byte bound of each unit: unit u has bounds first[u] + u .. first[u] + u + size[u]
-        owner = np.repeat(np.arange(len(raw)), size)[begin]
-        src, dst = begin + owner, end + owner
+        src, dst = x.begin + owner, x.end + owner
         best = np.full(len(data) + len(raw), -np.inf)
         back = np.full(len(best), -1, np.int64)
         best[first + np.arange(len(raw))] = 0.0
-        step = end - first[owner]
-        order = np.lexsort((begin, dst, step))
+        step = x.end - first[owner]
+        order = np.lexsort((x.begin, dst, step))
         src, dst, gain, step, piece, owner = src[order], dst[order], gain[order], step[order], piece[order], owner[order]
         cuts = np.flatnonzero(np.diff(step)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(step)], strict=True) if len(step) else ():
@@ -188,6 +251,58 @@ class UnigramModel:
         buffer = ids.astype("<i4").tobytes()
         return [buffer[4 * lo : 4 * hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    def expected_uses(self, units: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """How often each piece is used in the segmentations of the units, each weighted by its probability and its unit's count; and the log likelihood."""
+        raw = [u.encode() for u in units]
+        uses, likelihood = np.zeros(len(self.pieces.texts)), 0.0
+        short = np.array([len(r) < LONG_UNIT for r in raw], bool)
+        parts = [(self._lattice([raw[i] for i in np.flatnonzero(short)]), counts[short], self._sums_together)] if short.any() else []
+        parts += [(self._lattice([raw[i]]), counts[i : i + 1], self._sums_long) for i in np.flatnonzero(~short)]
+        for x, n, sums in parts:
+            before, after, whole = sums(x)  # log sums up to each edge's begin, from its end on, and of its unit
+            weight = np.exp(before + x.gain + after - whole[x.owner]) * n[x.owner]
+            named = x.piece >= 0
+            uses += np.bincount(x.piece[named], weight[named], len(uses))
+            likelihood += float(whole @ n)
+        return uses, likelihood
+
+    @staticmethod
+    def _sums_together(x: _Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(x.first)
+        src, dst, home = x.begin + x.owner, x.end + x.owner, x.first + np.arange(n)
+        forward, backward = (np.full(len(x.data) + n, -np.inf) for _ in range(2))
+        forward[home] = backward[home + x.size] = 0.0
+
+        def carry(sums: np.ndarray, start: np.ndarray, to: np.ndarray, step: np.ndarray) -> None:
+            order = np.lexsort((to, step))
+            start, to, step, gain = start[order], to[order], step[order], x.gain[order]
+            cuts = np.flatnonzero(np.diff(step)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(step)], strict=True) if len(step) else ():
+                terms = sums[start[lo:hi]] + gain[lo:hi]
+                heads = np.concatenate(([0], np.flatnonzero(np.diff(to[lo:hi])) + 1))
+                top = np.maximum.reduceat(terms, heads)
+                rest = np.exp(terms - np.repeat(top, np.diff(np.append(heads, hi - lo))))
+                sums[to[lo:hi][heads]] = top + np.log(np.add.reduceat(rest, heads))
+
+        carry(forward, src, dst, x.end - x.first[x.owner])
+        carry(backward, dst, src, (x.first + x.size)[x.owner] - x.begin)
+        return forward[src], backward[dst], forward[home + x.size]
+
+    @staticmethod
+    def _sums_long(x: _Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def carry(start: np.ndarray, to: np.ndarray, order: np.ndarray, origin: int) -> np.ndarray:
+            sums = [-math.inf] * (len(x.data) + 1)
+            sums[origin] = 0.0
+            for a, b, g in zip(start[order].tolist(), to[order].tolist(), x.gain[order].tolist(), strict=True):
+                one, other = sums[b], sums[a] + g
+                high, low = (one, other) if one > other else (other, one)
+                sums[b] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+            return np.array(sums)
+
+        forward = carry(x.begin, x.end, np.argsort(x.end, kind="stable"), 0)
+        backward = carry(x.end, x.begin, np.argsort(-x.begin, kind="stable"), len(x.data))
+        return forward[x.begin], backward[x.end], forward[-1:]
+
     def _bytes(self, raw: np.ndarray) -> np.ndarray:
         ids = self.pieces.bytes_at[raw]
         if (ids < 0).any():
@@ -196,7 +311,7 @@ class UnigramModel:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit values."""
-        split = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [units_of(t) for t in texts]
         if len(self._cache) > CACHE_UNITS:
             self._cache.clear()
         new = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self._cache]
@@ -225,18 +340,98 @@ class UnigramModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def units_of(text: str) -> list[str]:
+    return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
 _MODELS: dict[str, UnigramModel] = {}
+_SCORED: dict[tuple[str, bytes], UnigramModel] = {}
 
 
-def model(path: str) -> UnigramModel:
-    """One model a process and file."""
+def model(path: str, scores: bytes | None = None) -> UnigramModel:
+    """One model a process and file; with other ``scores`` (doubles, as bytes) the last one for each file."""
     if path not in _MODELS:
         _MODELS[path] = UnigramModel(Pieces.load(path))
-    return _MODELS[path]
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    m = model(path)
+    if scores is None:
+        return _MODELS[path]
+    if (path, scores) not in _SCORED:
+        _SCORED.clear()
+        plain = _MODELS[path]
+        _SCORED[path, scores] = UnigramModel(replace(plain.pieces, scores=np.frombuffer(scores, float)), plain.trie)
+    return _SCORED[path, scores]
+
+
+def unit_counts(docs: DataFrame) -> DataFrame:
+    """unit, n: how often each unit stands in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for b in textops.long_rows(batches):
+            for text in b.column("text"):
+                seen.update(units_of(text.as_py() or ""))
+                if len(seen) >= COUNTED_UNITS:
+                    yield _rows(seen)
+                    seen = Counter()
+        if seen:
+            yield _rows(seen)
+
+    def _rows(seen: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
+
+    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _uses(units: DataFrame, path: str, scores: bytes) -> tuple[np.ndarray, float]:
+    """Expected uses of each piece and the log likelihood, summed over all partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path, scores)
+        total, likelihood = np.zeros(len(m.pieces.texts)), 0.0
+        for whole in textops.long_rows(batches):
+            for at in range(0, whole.num_rows, 20_000):
+                b = whole.slice(at, 20_000)
+                uses, more = m.expected_uses(b.column("unit").to_pylist(), b.column("n").to_numpy().astype(float))
+                total += uses
+                likelihood += more
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], likelihood))], names=["id", "uses"])
+
+    found = units.mapInArrow(run, "id int, uses double").groupBy("id").agg(F.sum("uses").alias("uses")).collect()  # a row a piece
+    out = np.zeros(len(np.frombuffer(scores, float)))
+    for r in found:
+        if r["id"] >= 0:
+            out[r["id"]] = r["uses"]
+    return out, sum(r["uses"] for r in found if r["id"] < 0)
+
+
+def estimate_scores(docs: DataFrame, path: str | None = None, steps: int = EM_STEPS) -> DataFrame:
+    """id, piece, score (its log probability), log_likelihood (of the corpus before the last step): saved, a row a piece of the file."""
+    path = path or default_path()
+    scratch = Scratch(docs.sparkSession)
+    units = scratch.save(unit_counts(docs), "units")
+    pieces = model(path).pieces
+    scores, likelihood = np.where(pieces.usable, -math.log(max(1, pieces.usable.sum())), 0.0), 0.0
+    for _ in range(steps):
+        uses, likelihood = _uses(units, path, scores.tobytes())
+        uses = np.where(pieces.usable, uses + EM_SMOOTHING, 0.0)
+        scores = np.zeros(len(uses))
+        scores[pieces.usable] = np.round(np.log(uses[pieces.usable] / uses.sum()), 6)  # sums differ in their last digits with the order of partitions
+    scratch.drop(units)
+    rows = pa.table({"id": pa.array(np.arange(len(scores)), pa.int32()), "piece": pa.array(pieces.texts), "score": pa.array(scores), "log_likelihood": pa.array(np.full(len(scores), likelihood))})
+    return scratch.save(docs.sparkSession.createDataFrame(rows), "scores")
+
+
+def _array(scores: DataFrame | None) -> bytes | None:
+    if scores is None:
+        return None
+    found = scores.select("id", "score").toArrow()  # a row a piece
+    out = np.zeros(found.num_rows)
+    out[found.column("id").to_numpy()] = found.column("score").to_numpy()
+    return out.tobytes()
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, scores: bytes | None, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    m = model(path, scores)
     is_byte = np.zeros(len(m.pieces.texts), bool)
     is_byte[m.pieces.bytes_at[m.pieces.bytes_at >= 0]] = True
     for whole in textops.long_rows(batches):
@@ -257,10 +452,10 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 _SCHEMA = "doc_id long, ids binary, n_ids long, n_byte_ids long"
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text -> doc_id, ids (little-endian 32-bit), n_ids, n_byte_ids (pieces of single bytes)."""
-    path = path or default_path()
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, path), _SCHEMA)
+def encode_documents(docs: DataFrame, path: str | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """doc_id, text -> doc_id, ids (little-endian 32-bit), n_ids, n_byte_ids (pieces of single bytes). ``scores``: as ``estimate_scores`` gives them; else the file's."""
+    path, values = path or default_path(), _array(scores)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, path, values), _SCHEMA)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -269,7 +464,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(lambda batches: _decoded(batches, path), f"{_SCHEMA}, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, scores: DataFrame | None = None) -> DataFrame:
     """``decode_documents`` of ``encode_documents`` in one pass of one worker: the ids and the text that they give."""
-    path = path or default_path()
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"{_SCHEMA}, text string")
+    path, values = path or default_path(), _array(scores)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path, values), path), f"{_SCHEMA}, text string")

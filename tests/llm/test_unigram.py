@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,7 +14,7 @@ ID = {t: i for i, (t, ok) in enumerate(zip(MODEL.pieces.texts, MODEL.pieces.usab
 LONGEST = max(map(len, SCORE))
 
 
-def viterbi(text):
+def viterbi(text, scores=SCORE, unknown=MODEL.unknown):
     """Ids by a plain search over the whole text."""
     if not text:
         return []
@@ -20,10 +23,10 @@ def viterbi(text):
     for end in range(1, len(text) + 1):
         for start in range(max(0, end - LONGEST), end):
             piece = text[start:end]
-            if piece in SCORE:
-                score = best[start][0] + SCORE[piece]
+            if piece in scores:
+                score = best[start][0] + scores[piece]
             elif end - start == 1:
-                score = best[start][0] + MODEL.unknown
+                score = best[start][0] + unknown
             else:
                 continue
             if best[end] is None or score > best[end][0]:
@@ -78,3 +81,75 @@ def test_documents(spark):
         assert len(t or "") > 6000 or np.frombuffer(r["ids"], "<i4").tolist() == viterbi(t)
     assert got[4]["n_byte_ids"] == 0 or got[4]["n_byte_ids"] % 500 == 0
     assert unigram.encode_documents(df.limit(0)).count() == 0
+
+
+def segmentations(text):
+    """All ways to cut a unit into pieces; a character that none covers may stand bare."""
+    if not text:
+        yield []
+    for end in range(1, min(len(text), LONGEST) + 1):
+        piece = text[:end] if text[:end] in SCORE else None
+        if piece is not None or end == 1:
+            for rest in segmentations(text[end:]):
+                yield [piece, *rest]
+
+
+def plain_em(counts, steps):
+    score = {t: -math.log(len(SCORE)) for t in SCORE}
+    for _ in range(steps):
+        uses, unknown, seen = dict.fromkeys(SCORE, unigram.EM_SMOOTHING), min(score.values()) - unigram.UNKNOWN_PENALTY, 0.0
+        for unit, n in counts.items():
+            ways = [(math.exp(sum(unknown if p is None else score[p] for p in way)), way) for way in segmentations(unit)]
+            whole = sum(w for w, _ in ways)
+            seen += n * math.log(whole)
+            for w, way in ways:
+                for p in way:
+                    if p is not None:
+                        uses[p] += n * w / whole
+        total = sum(uses.values())
+        score = {t: math.log(u / total) for t, u in uses.items()}
+    return score, seen
+
+
+EM_TEXTS = ["the cat and the other thing", "the  end", "日本 é\u0378x", None, "", "the cat", "nothing other"]
+
+
+def test_scores_by_plain_em(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(EM_TEXTS)], "id int, text string").repartition(3)
+    counts = Counter(u for t in EM_TEXTS for u in unigram.units_of(t or ""))
+    assert {r["unit"]: r["n"] for r in unigram.unit_counts(df).collect()} == counts
+    for steps in (1, 3):
+        want, seen = plain_em(counts, steps)
+        got = unigram.estimate_scores(df, steps=steps).collect()
+        assert max(abs(r["score"] - want[r["piece"]]) for r in got if MODEL.pieces.usable[r["id"]]) < 1e-5
+        assert abs(got[0]["log_likelihood"] - seen) < 1e-3 * abs(seen)
+
+
+def test_likelihood_rises_and_long_units_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    seen = [unigram.estimate_scores(docs, steps=n).first()["log_likelihood"] for n in (1, 2, 4)]
+    assert seen[0] < seen[1] < seen[2]
+    rng = np.random.default_rng(0)
+    units = ["".join(rng.choice(list("thingande日é"), n)) for n in (3, 40, 200, 255)]
+    uses, likelihood = MODEL.expected_uses(units, np.arange(1.0, 5.0))
+    parts = [MODEL._sums_long(MODEL._lattice([u.encode()])) for u in units]
+    assert np.isclose(likelihood, sum(n * w[0] for n, (_, _, w) in zip(range(1, 5), parts, strict=True)))
+    assert MODEL._solve_together([u.encode() for u in units]) == [MODEL._solve_long(u.encode()) for u in units]
+    assert np.isclose((uses * np.array([len(t) for t in MODEL.pieces.texts])).sum(), sum(n * len(u) for n, u in zip(range(1, 5), units, strict=True)))
+
+
+def test_estimated_scores_encode_by_plain_viterbi(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(EM_TEXTS)], "doc_id long, text string")
+    scores = unigram.estimate_scores(df, steps=2)
+    fitted = unigram.model(unigram.default_path(), unigram._array(scores))
+    own = {t: s for t, s, ok in zip(fitted.pieces.texts, fitted.pieces.scores, fitted.pieces.usable, strict=True) if ok}
+    for r in unigram.round_trip(df, scores=scores).collect():
+        text = EM_TEXTS[r["doc_id"]] or ""
+        assert r["text"] == text and np.frombuffer(r["ids"], "<i4").tolist() == viterbi(text, own, fitted.unknown)
+
+
+def test_one_unit_of_a_megabyte(spark):
+    text = "ab日x" * 160_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = unigram.round_trip(df).first()
+    assert r["text"] == text and r["n_ids"] == len(r["ids"]) // 4
