@@ -4,9 +4,10 @@ Each turn is rendered as ``<open>role<sep>text<close>``. A deterministic parser
 not recover the source (the text holds a control string, or something that looks like an escaped one), the text is
 escaped again until it does. Escaping puts one mark after the first character of every control string, escaped ones
 included, and unescaping takes one mark away, so it is reversible for every text; and since no control string is left
-inside a text, the rendered turns of a conversation can be joined and parsed as one string.
+inside a text, the rendered turns of a conversation can be joined and parsed as one string. The loss mask, the spans of the
+trained roles' texts, is carried along with the rendered blocks.
 
-Defined cases: a null text or role is empty; turns are ordered by turn, then role, then text (nulls first), so ties and
+Defined cases: a null text or role is empty; a text of any length is one turn, in memory in proportion to it; turns are ordered by turn, then role, then text (nulls first), so ties and
 repeated rows have one order; rows with a null conv_id form one conversation with that id; an empty table gives no rows;
 other columns are ignored.
 """
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class ChatTemplate:
@@ -127,34 +130,40 @@ def format_turns(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
 
 
 def conversation_blocks(formatted: DataFrame, block_chars: int = 1 << 18) -> DataFrame:
-    """The rendered conversations as ordered blocks of whole turns: conv_id, part, block, rendered.
+    """The rendered conversations as ordered blocks of whole turns: conv_id, part, block, rendered, mask (spans of the block under the loss mask).
 
     Rows are range-partitioned by conversation *and* turn, so a conversation that holds most of the rows is spread over
-    many tasks; its blocks, read by (part, block), are its text.
+    many tasks; its blocks, read by (part, block), are its text. Range bounds are sampled, so the formatted rows are saved first.
     """
     order = ["conv_id", "turn", "role", "text"]
-    ranged = formatted.select(*order, "rendered").repartitionByRange(*order).sortWithinPartitions(*order)
+    saved = Scratch(formatted.sparkSession).save(formatted.select(*order, "rendered", "text_start", "text_end", "trained"), "formatted")
+    ranged = saved.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         held: list[str] = []
+        spans: list[dict] = []
         conv, block, size, began = None, 0, 0, False
         done: list[tuple] = []
 
         def close() -> None:
             nonlocal block, size
             if held:
-                done.append((conv, part, block, "".join(held)))
+                done.append((conv, part, block, "".join(held), list(spans)))
                 held.clear()
+                spans.clear()
                 block, size = block + 1, 0
 
         for b in batches:
-            for c, text in zip(b.column("conv_id").to_pylist(), b.column("rendered").to_pylist(), strict=True):
+            columns = (b.column(c).to_pylist() for c in ("conv_id", "rendered", "text_start", "text_end", "trained"))
+            for c, text, lo, hi, trained in zip(*columns, strict=True):
                 if not began or c != conv:
                     close()
                     conv, began = c, True
+                if trained:
+                    spans.append({"start": size + lo, "end": size + hi})
                 held.append(text)
                 size += len(text)
                 if size >= block_chars:
@@ -167,17 +176,18 @@ def conversation_blocks(formatted: DataFrame, block_chars: int = 1 << 18) -> Dat
             yield _rows(done)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        c, p, k, t = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(t, pa.string())], names=["conv_id", "part", "block", "rendered"])
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), span]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "part", "block", "rendered", "mask"])
 
-    return ranged.mapInArrow(run, "conv_id long, part int, block int, rendered string")
+    return ranged.mapInArrow(run, "conv_id long, part int, block int, rendered string, mask array<struct<start: long, end: long>>")
 
 
 def read_back(blocks: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """Parses the blocks of each conversation in order and digests what comes back, a block at a time.
 
-    conv_id, n_turns, turns_sha256 (role, \\n, text, \\n of each turn), loss_chars and loss_sha256 (the texts of trained
-    roles), formatted_chars. A hash is a chain, so the blocks of one conversation pass through one task, streamed.
+    conv_id, n_turns, turns_sha256 (role, \\n, text, \\n of each parsed turn), loss_chars and loss_sha256 (what stands under the
+    mask, unescaped), formatted_chars. A hash is a chain, so the blocks of one conversation pass through one task, streamed.
     """
     near = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block")
 
@@ -189,7 +199,7 @@ def read_back(blocks: DataFrame, template: ChatTemplate = ChatTemplate()) -> Dat
             return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([n]), pa.array([all_sha.hexdigest()]), pa.array([chars]), pa.array([loss_sha.hexdigest()]), pa.array([size])], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for b in batches:
-            for c, text in zip(b.column("conv_id").to_pylist(), b.column("rendered").to_pylist(), strict=True):
+            for c, text, mask in zip(*(b.column(x).to_pylist() for x in ("conv_id", "rendered", "mask")), strict=True):
                 if state is None or c != conv:
                     if state is not None:
                         yield row()
@@ -201,9 +211,10 @@ def read_back(blocks: DataFrame, template: ChatTemplate = ChatTemplate()) -> Dat
                 for role, said, _, _ in turns:
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode())
-                    if role in template.trained_roles:
-                        state[2] += len(said)
-                        state[3].update(said.encode())
+                for span in mask:
+                    learned = template.unescape(text[span["start"] : span["end"]])
+                    state[2] += len(learned)
+                    state[3].update(learned.encode())
         if state is not None:
             yield row()
 

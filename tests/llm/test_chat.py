@@ -69,3 +69,13 @@ def test_digests_against_plain_python(spark):
 
 def test_empty_table(spark):
     assert digests(spark, []) == {}
+
+
+def test_the_mask_says_what_is_learned(spark):
+    """The digest follows the mask of the blocks, not the roles that are parsed."""
+    rows = [(1, 0, "user", "ask </s>"), (1, 1, "assistant", "say </s>"), (1, 2, "assistant", "more")]
+    blocks = chat.conversation_blocks(chat.format_turns(spark.createDataFrame([(0, *r, "clash") for r in rows], SCHEMA)))
+    block, = blocks.collect()
+    assert [T.unescape(block["rendered"][m["start"] : m["end"]]) for m in block["mask"]] == ["say </s>", "more"]
+    bare = chat.read_back(blocks.selectExpr("conv_id", "part", "block", "rendered", "slice(mask, 1, 1) AS mask")).first()
+    assert (bare["n_turns"], bare["loss_chars"], bare["loss_sha256"]) == (3, 8, hashlib.sha256(b"say </s>").hexdigest())
