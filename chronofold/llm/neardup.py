@@ -16,12 +16,16 @@
    all members of divided runs in an exact join of sets: two sets that reach the limit share a shingle among the rarest 15
    of 100 of both. So no link that would join two components of a run is lost, whatever its size.
 
-Components are found by alternating large-star and small-star steps, as joins and minima over the edge list; nothing about
-documents comes to the driver but counts.
+A region whose full sets together exceed ``REGION_BYTES`` (long texts) is treated as a divided run, so that no task holds it.
 
-Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is kept; repeated rows
-share a class; ties of ids fall to the smallest; a row with a null doc_id is judged by its text but represents nothing (if
-only such rows have a text it stands alone, with a null component); an empty table gives no rows; other columns are ignored.
+Components are found by alternating large-star and small-star steps, as joins and minima over the edge list, until a count, a
+sum and a xor of 64-bit hashes of the edges stay the same; nothing about documents comes to the driver but those.
+
+Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is kept; a text of any length
+has all its shingles, in memory in proportion to it; repeated rows share a class; ties of ids fall to the smallest; different
+texts under one doc_id are judged each by itself (rows of one doc_id may then differ in component_id); a row with a null
+doc_id is judged by its text but represents nothing (if only such rows have a text it stands alone, with a null component);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +52,8 @@ MIN_DEPTH = 5
 DEPTH = 8
 #: Classes of a region, at most, before it is parted by a deeper prefix.
 REGION = 2048
+#: Bytes of the full sets of a region, at most, that a task compares at once.
+REGION_BYTES = 64 << 20
 #: Regions up to this size propose all their likely pairs at once.
 SMALL = 12
 #: Estimates deviate by 0.03 at the limit with 128 hashes; pairs from this estimate on are confirmed.
@@ -385,7 +391,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         then = scratch.save(small, "edges")
         scratch.drop(now)
-        mark = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        own = F.xxhash64("a", "b")
+        mark = then.agg(F.count("*"), F.sum(own.cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if mark == before:
             return then.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(then.select(F.col("a").alias("id"), F.col("a").alias("component"))).distinct()
         now, before = then, mark
@@ -458,11 +465,9 @@ def _sharing_rare(sets: DataFrame, limit: int) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _join_divided(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, joined: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
-    """The components with the links inside divided runs that join two of them."""
-    parts = members.where("divided")
-    several = parts.groupBy("run").agg(F.min("region").alias("least"), F.max("region").alias("most")).where("least < most").select("run")
-    runs = scratch.save(parts.join(several, "run", "left_semi").select("run", "id"), "divided")
+def _join_divided(parts: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, joined: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
+    """The components with the links inside runs (run, id) that are in parts, or too large for one task, that join two of them."""
+    runs = scratch.save(parts, "divided")
     if not runs.limit(1).count():
         return joined
     for find in (_likely_across, _likely_across, None):
@@ -482,11 +487,35 @@ def _join_divided(members: DataFrame, classes: DataFrame, sets: DataFrame, links
     return joined
 
 
-def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, region: int = REGION, region_bytes: int = REGION_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (it is the document's own)."""
+    judged, rows, _ = _all_judged(docs, region, region_bytes)
+    if rows is None:
+        return judged
+    ids = rows.select("_row", "doc_id")
+    first = ids.select(F.col("_row").alias("component_id"), F.col("doc_id").alias("least"))  # rows are numbered in the order of their ids, so a component's first row has its smallest
+    named = judged.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").join(ids.hint("merge"), "_row").join(first.hint("merge"), "component_id")
+    return named.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("least"), F.col("least").isNull()).alias("kept"))
+
+
+def _all_judged(docs: DataFrame, region: int = REGION, region_bytes: int = REGION_BYTES) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The judgements and whether ids repeat. Where an id has different texts, the judgements name the rows of the second result, which have numbers (``_row``) of their own in the order of ids."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(document_prints(docs), "prints")
-    classes = scratch.save(prints.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
+    ids = prints.where("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("again"), (F.min("print") < F.max("print")).alias("differ"))
+    seen = ids.agg(F.max("again").alias("again"), F.max("differ").alias("differ")).first()
+    if not seen["differ"]:
+        return _judged(docs, prints, scratch, region, region_bytes), None, bool(seen["again"])
+    scratch.drop(prints)
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = scratch.save(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    return _judged(own, scratch.save(document_prints(own), "prints"), scratch, region, region_bytes), rows, True
+
+
+def _judged(docs: DataFrame, prints: DataFrame, scratch: Scratch, region: int, region_bytes: int) -> DataFrame:
+    known = prints.where("n_shingles > 0 and doc_id is not null").groupBy("print")
+    classes = scratch.save(known.agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     members = scratch.save(regions(forest(classes), region), "members")
     signed = members.where("size > 1").select("region", "place", "size", "id").join(classes.select("id", "signature"), "id")
     pairs = scratch.save(_proposed(signed, _first_pairs), "pairs")
@@ -494,14 +523,18 @@ def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
     links = scratch.save(confirm(pairs, sets), "links")
     scratch.drop(pairs)
     joined = components(links, scratch)
-    large = _with_component(members.where(F.col("size") > SMALL).select("region", "place", "id"), joined)
-    apart = large.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("region")
-    open_regions = large.join(apart, "region", "left_semi").join(sets.hint("merge"), "id").select("region", "place", "id", "component", "members")
+    large = _with_component(members.where(F.col("size") > SMALL).select("region", "place", "id"), joined).join(classes.select("id", "n_shingles"), "id")
+    of_regions = large.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), (8 * F.sum("n_shingles") > region_bytes).alias("heavy"))
+    apart = scratch.save(of_regions.where("least < most").select("region", "heavy"), "apart")
+    open_regions = large.join(apart.where("not heavy"), "region", "left_semi").join(sets.hint("merge"), "id").select("region", "place", "id", "component", "members")
     more = scratch.save(_proposed(open_regions, _exact_links), "more-links")
     if more.limit(1).count():
         links = links.unionByName(more)
         joined = components(links, scratch)
-    joined = _join_divided(members, classes, sets, links, joined, scratch, region)
+    parts = members.where("divided")
+    several = parts.groupBy("run").agg(F.min("region").alias("least"), F.max("region").alias("most")).where("least < most").select("run")
+    heavy = members.join(apart.where("heavy"), "region", "left_semi").select(F.xxhash64("region").alias("run"), "id")
+    joined = _join_divided(parts.join(several, "run", "left_semi").select("run", "id").unionByName(heavy), classes, sets, links, joined, scratch, region)
     scratch.drop(sets)
     known = classes.select("print", "id").join(joined, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
     out = prints.select("doc_id", "n_shingles", "print").join(known, "print", "left")
@@ -511,14 +544,16 @@ def near_duplicates(docs: DataFrame, region: int = REGION) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of documents that represent their class, with all their columns. Of equal rows one stays; different texts under one id are judged each by itself; rows with a null doc_id can't be told apart, and all stay."""
+    """The rows of documents that represent their class, with all their columns.
+
+    Of rows equal in id and text the one with the least hash of all columns stays; different texts under one id are judged each by itself; rows with
+    a null doc_id can't be told apart, and all stay. Columns of a type without a hash (maps) are left out of it.
+    """
     named = docs.where("doc_id is not null")
-    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = near_duplicates(named).where("kept").select("doc_id")
-        own = named.join(kept, "doc_id", "left_semi").select(docs.columns)
-    else:  # rows get numbers in the order of their ids, written, so that they stay the same
-        order = [F.col("doc_id"), F.xxhash64("text")]
-        rows = Scratch(docs.sparkSession).save(named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
-        kept = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row"))
-        own = rows.join(kept, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return own.unionByName(docs.where("doc_id is null"))
+    judged, rows, again = _all_judged(named)
+    kept = judged.where("kept").select("doc_id")
+    own = named.join(kept, "doc_id", "left_semi") if rows is None else rows.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi")
+    if again:
+        hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        own = own.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_r")).select("_r.*")
+    return own.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -71,10 +72,41 @@ def test_components_against_all_pairs(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_large_regions_are_parted_and_lose_no_component(spark, monkeypatch):
+def test_large_regions_are_parted_and_lose_no_component(spark):
+    """A limit that reaches the workers, so that nearly every region is parted."""
     rows = corpus(7)
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    assert run(spark, rows, 2) == brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df, region=16).collect()) == brute(rows)
+
+
+def test_regions_too_large_for_a_task_lose_no_component(spark):
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df, region_bytes=1).collect()) == brute(rows)
+
+
+def test_texts_under_one_id_have_components_of_their_own(spark):
+    rows = [(2, "a b c d e f"), (2, "quite another text under this id"), (5, "Quite another text under this id"), (1, "A b c d e f"), (7, "its own words"), (7, "its own words"), (9, None), (9, "words after none"), (None, "a b c d e f"), (None, "alone"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter([(2, 1, False), (2, 2, True), (5, 2, False), (1, 1, True), (7, 7, True), (7, 7, True), (9, 9, True), (9, 9, True), (None, 1, False), (None, None, True), (None, None, True)])
+
+
+def test_of_equal_rows_the_same_one_stays(spark):
+    rows = [(1, "some text", i, {"k": i}) for i in range(20)] + [(2, "other text", 7, {"k": 7})]
+    schema = "doc_id long, text string, n int, m map<string, int>"
+    kept = {tuple(sorted((r["doc_id"], r["n"]) for r in neardup.keep_one(spark.createDataFrame(some, schema).repartition(p)).collect())) for some in (rows, rows[::-1]) for p in (1, 3)}
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
+def test_components_of_a_long_path(spark):
+    from chronofold.scratch import Scratch
+
+    ids = list(range(1, 120))
+    random.Random(1).shuffle(ids)
+    edges = [(min(a, b), max(a, b)) for a, b in zip(ids, ids[1:])] + [(500, 501), (501, 502)]
+    got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {i: 1 for i in range(1, 120)} | {500: 500, 501: 500, 502: 500}
 
 
 def test_null_ids_repeats_and_empty_table(spark):
