@@ -27,9 +27,8 @@ def fold_bounds(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) ->
 def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int]:
     """fold_id, [entity], test_lo, test_hi, points, n_test; and the number of folds."""
     if spec.anchor_kind is None:
-        times, size = _default_times(ranks, keys, spec, shape)
-        found = _join_times(ranks, keys, times)
-        return _ranges(found, size), len(times)
+        times, folds, size = _default_times(ranks, keys, spec, shape)
+        return _ranges(ranks.join(F.broadcast(times), keys.time), size), folds  # a row a fold
     many = len(spec.anchors) > 1
     size = spec.test_size or 1
     by_time = keys.entity is not None and spec.anchor_kind == "time"
@@ -54,15 +53,15 @@ def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple
     return out.select(*group, F.array_min("points").alias("test_lo"), (F.array_max("points") + 1).alias("test_hi"), "points", F.size("points").cast("long").alias("n_test")), 1
 
 
-def _default_times(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[list, int]:
-    """The times at which the default folds' tests start, and the test size."""
+def _default_times(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int, int]:
+    """The times at which the default folds' tests start (fold_id, time), their number, and the test size."""
     k, n = spec.n_splits, shape.times
     if keys.entity is None:
         size = spec.test_size or n // (k + 1)
         if spec.mode == "is":
             if size < 1:
                 raise ValueError(f"no test rows: {n} samples for {k} folds")
-            return _times_from_end(ranks, keys, [min(n, size)]), size
+            return _times_from_end(ranks, keys, [min(n, size)]), 1, size
         if k + 1 > n:
             raise ValueError(f"Cannot have number of folds={k + 1} greater than the number of samples={n}.")
         if n - k * size <= 0:
@@ -70,22 +69,22 @@ def _default_times(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape)
     else:
         size = spec.test_size or 1
         if spec.mode == "is":
-            return _times_from_end(ranks, keys, [1]), size
+            return _times_from_end(ranks, keys, [1]), 1, size
         if n - k * size <= 0:
             raise ValueError(f"Too many splits={k} for number of time points={n} with test_size={size} and gap={spec.gap}.")
-    return _times_from_end(ranks, keys, [(k - i) * size for i in range(k)]), size
+    return _times_from_end(ranks, keys, [(k - i) * size for i in range(k)]), k, size
 
 
-def _times_from_end(ranks: DataFrame, keys: Keys, back: list[int]) -> list:
-    """The distinct times that stand so many places from the end (1: the last). Reads the latest ``max(back)`` times only."""
-    last = ranks.select(F.col(keys.time).alias("t")).distinct().orderBy(F.desc("t")).limit(max(back))
-    at = last.withColumn("back", F.row_number().over(W.orderBy(F.desc("t")))).where(F.col("back").isin(*back))
-    found = {r["back"]: r["t"] for r in at.collect()}
-    return [found[b] for b in back]
+def _times_from_end(ranks: DataFrame, keys: Keys, back: list[int]) -> DataFrame:
+    """fold_id, time: the distinct times that stand so many places from the end (1: the last). Reads the latest ``max(back)`` times only; they never leave Spark, so no time zone touches them."""
+    last = ranks.select(keys.time).distinct().orderBy(F.desc(keys.time)).limit(max(back))
+    at = last.withColumn("_back", F.row_number().over(W.orderBy(F.desc(keys.time))))
+    fold = F.array_position(F.array(*(F.lit(b) for b in back)), F.col("_back")) - 1
+    return at.select(fold.cast("int").alias("fold_id"), keys.time).where("fold_id >= 0")
 
 
 def _join_times(ranks: DataFrame, keys: Keys, times: list) -> DataFrame:
-    """Rows at the given times; fold_id is the place in the list. The list is a parameter, so its side is broadcast."""
+    """Rows at the times that the caller gave; fold_id is the place in the list. The list is a parameter, so its side is broadcast."""
     kind = ranks.schema[keys.time].dataType
     rows = [(i, t if not isinstance(t, str) else t) for i, t in enumerate(times)]
     spark = ranks.sparkSession
@@ -174,6 +173,6 @@ def _with_train(tests: DataFrame, keys: Keys, spec: SplitSpec) -> DataFrame:
 
 
 def _require_all(bounds: DataFrame, folds: int, entities: int) -> None:
-    short = bounds.groupBy("fold_id").agg(F.count("*").alias("n")).where(F.col("n") < entities)
-    if bounds.select("fold_id").distinct().count() < folds or short.limit(1).count():
+    seen = bounds.groupBy("fold_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("folds"), F.min("n").alias("least")).first()
+    if seen["folds"] < folds or seen["least"] < entities:
         raise ValueError("Cannot find test indices for the group: an entity has no test rows in some fold")

@@ -16,6 +16,10 @@ from chronofold.scratch import Scratch
 SERIES_IN_ONE_TASK = 1_000_000
 
 
+#: Columns of ranks, bounds and assignments; a key column can't have one of these names, nor begin with an underscore.
+RESERVED = frozenset(("fold_id", "role", "pos", "size", "test_lo", "test_hi", "points", "n_test", "train_lo", "train_hi"))
+
+
 @dataclass(frozen=True)
 class Shape:
     """What the driver knows of the data: rows, entities, distinct times, rows of the largest entity (at most)."""
@@ -42,6 +46,9 @@ class Keys:
         if missing:
             kind = "Panel data requires MultiIndex keys (entity and time)" if self.entity else "A time column is required"
             raise ValueError(f"{kind}: no column {', '.join(missing)}")
+        taken = [c for c in self.columns if c.lower() in RESERVED or c.startswith("_")]
+        if taken or len({c.lower() for c in self.columns}) < len(self.columns):
+            raise ValueError(f"key columns need names of their own, not {', '.join(taken or self.columns)}: rename them")
 
 
 def sorted_by_time(df: DataFrame, ordinal: str, time: str) -> bool:
@@ -112,14 +119,21 @@ def ranked(df: DataFrame, keys: Keys, spread: bool | None = None) -> DataFrame:
     if not spread:
         w = W.partitionBy(*keys.columns[:-1])
         return own.withColumn("pos", F.row_number().over(w.orderBy(keys.time)).cast("long") - 1).withColumn("size", F.count("*").over(w))
-    saved = _in_ranges(own, keys.columns)
-    by = ["_part"] if keys.entity is None else ["_part", keys.entity]
+    return with_places(own, keys)
+
+
+def with_places(df: DataFrame, keys: Keys) -> DataFrame:
+    """All columns of the rows with ``pos`` and ``size``, ranked by ranges (equal keys in any order)."""
+    saved = _in_ranges(df, keys.columns)
+    if keys.entity is not None:  # a null entity is one of its own
+        saved = saved.withColumn("_entity", F.struct(F.col(keys.entity)))
+    by = ["_part"] if keys.entity is None else ["_part", "_entity"]
     counts = saved.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
     inside = W.partitionBy(*by[1:])
     starts = counts.select(*by, "_first", (F.sum("_n").over(inside.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(inside).alias("size"))
     if keys.entity is None:
         starts = F.broadcast(starts)  # a row a partition
-    return saved.join(starts, by).select(*keys.columns, (F.col("_local") - F.col("_first") + F.col("_before")).alias("pos"), "size")
+    return saved.join(starts, by).select(*df.columns, (F.col("_local") - F.col("_first") + F.col("_before")).alias("pos"), "size")
 
 
 def check_keys(df: DataFrame, keys: Keys) -> Shape:

@@ -7,7 +7,7 @@ DataFrames with all columns. Rows are identified by key, so neither the order no
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -17,6 +17,7 @@ from chronofold.operators import assign as assigning
 from chronofold.operators.bounds import fold_bounds
 from chronofold.operators.keys import SERIES_IN_ONE_TASK, Keys, Shape, check_keys, ranked, same_keys, warn_if_unsorted
 from chronofold.plans.spec import SplitSpec
+from chronofold.scratch import Scratch
 
 
 class TemporalSplit:
@@ -36,12 +37,17 @@ class TemporalSplit:
 
     def _prepared(self, df: DataFrame, time: str, entity: str | None, y: DataFrame | None, ordinal: str | None, hot_entities: bool) -> tuple[Keys, DataFrame, Shape]:
         keys = self._keys(time, entity)
-        shape = check_keys(df, keys)
-        if y is not None and not same_keys(df, y, keys):
+        keys.check(df)
+        scratch = Scratch(df.sparkSession)
+        own = scratch.save(df.select(*keys.columns), "keys")  # what made df runs once; all that follows reads the keys
+        shape = check_keys(own, keys)
+        if y is not None and not same_keys(own, y, keys):
             raise ValueError("X and y should have the same indexes")
         if ordinal is not None:
             warn_if_unsorted(df, ordinal, keys)
-        return keys, ranked(df, keys, spread=hot_entities or shape.largest > SERIES_IN_ONE_TASK), shape
+        spread = hot_entities or shape.largest > SERIES_IN_ONE_TASK
+        ranks = ranked(own, keys, spread=spread)
+        return keys, scratch.save(ranks, "ranks") if not spread and shape.rows > SERIES_IN_ONE_TASK else ranks, shape
 
     def bounds(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
         """fold_id, [entity], test_lo, test_hi, points, train_lo, train_hi: positions within the entity."""
@@ -58,7 +64,7 @@ class TemporalSplit:
         """(train, test) of each fold with all columns of ``df``. Checks run at once, folds when they are asked for."""
         keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
         bounds, folds = fold_bounds(ranks, keys, self.spec, shape)
-        return self._folds(df, keys, ranks.persist(), bounds, folds, shape.entities)
+        return self._folds(df, keys, Scratch(df.sparkSession).save(ranks, "ranks"), bounds, folds, shape.entities)
 
     def _folds(self, df: DataFrame, keys: Keys, ranks: DataFrame, bounds: DataFrame, folds: int, entities: int) -> Iterator[tuple[DataFrame, DataFrame]]:
         for i in range(folds):
@@ -133,6 +139,26 @@ class _EachEntity(_PanelOnly):
     def get_n_splits(self, df: DataFrame, time: str, entity: str | None = None) -> int:
         return self.bounds(df, time, entity).count()
 
+    def each(self, df: DataFrame, time: str, entity: str, func: Callable[[Any, Any], Any], schema: str) -> DataFrame:
+        """``func(train, test)`` for every fold and entity at once, on the cluster: all columns of ``df`` as pandas frames in the order of time.
+
+        What it returns (a frame as ``schema`` says, without names fold_id and the entity's) becomes one relation with fold_id and the entity in front.
+        An entity's rows of a fold must fit a task; aggregates of larger ones are ``functions.models`` over ``assign``.
+        """
+        rows = self.assign(df, time, entity).select(F.col("fold_id").alias("_fold"), F.col("role").alias("_role"), entity, time)
+        data = df.join(rows, [entity, time])
+
+        def run(key: tuple, frame: Any) -> Any:
+            frame = frame.sort_values(time).reset_index(drop=True)
+            test = frame["_role"] == "test"
+            out = func(*(frame[side].drop(columns=["_fold", "_role"]).reset_index(drop=True) for side in (~test, test)))
+            out.insert(0, "fold_id", key[0])
+            out.insert(1, entity, key[1])
+            return out
+
+        kind = df.schema[entity].dataType.simpleString()
+        return data.groupBy("_fold", entity).applyInPandas(run, f"fold_id int, `{entity}` {kind}, {schema}")
+
 
 class PanelOutOfSampleSplitPerEntity(_EachEntity, OutOfSampleSplit):
     """Out of sample, each entity of a panel by itself."""

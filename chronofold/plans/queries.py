@@ -72,6 +72,7 @@ class Case:
     anchors_sql: str = ""
     test_size_sql: str = "1"
     points: bool = False
+    run_on: int | None = None
 
     @property
     def panel(self) -> bool:
@@ -94,7 +95,9 @@ class Case:
             start = "0" if m is None else f"greatest(hi - greatest({m}, n_test), 0)"
         else:
             start = f"greatest({end} - {m}, 0)" if m else "0"
-        if self.points:
+        if self.run_on is not None:
+            spans = f"SELECT 0 AS fold_id, g.e, min(g.pos) AS lo, max(g.pos) + 1 AS hi, count(*) AS n_test, NULL AS points FROM (SELECT *, row_number() OVER (ORDER BY e, t) - 1 AS g FROM k) g WHERE g.g >= {self.run_on} AND g.g < {self.run_on} + {self.test_size_sql} GROUP BY g.e"
+        elif self.points:
             spans = "SELECT 0 AS fold_id, k.e, min(k.pos) AS lo, max(k.pos) + 1 AS hi, count(*) AS n_test, list(k.pos) AS points FROM a JOIN k ON k.t = a.t AND (a.e IS NULL OR a.e = k.e) GROUP BY k.e"
         else:
             spans = f"SELECT a.fold_id, k.e, k.pos AS lo, least(k.pos + ({self.test_size_sql}), k.n) AS hi, least(k.pos + ({self.test_size_sql}), k.n) - k.pos AS n_test, NULL AS points FROM a JOIN k ON k.t = a.t AND (a.e IS NULL OR a.e = k.e) LEFT JOIN tt ON tt.t = a.t"
@@ -163,12 +166,14 @@ CASES: dict[str, Case] = {
     "panel_is_many_dates": Case(events_by_type, _PIS, {"test_indices": _dates("2024-01-10", "2024-01-20"), "test_size": 3}, _times_sql("2024-01-10", "2024-01-20"), points=True),
     "panel_is_max_train": Case(orders_by_priority, _PIS, {"test_indices": _dates("1998-01-01"), "test_size": 4, "max_train_size": 6}, _times_sql("1998-01-01"), "4"),
     "panel_is_positions": Case(events_by_type, _PIS, {"test_indices": [5, 20, 40], "missing": "skip"}, _GLOBAL_SQL.format(fold="0", places="5, 20, 40"), points=True),
+    "panel_is_position_runs_on": Case(events_by_type, _PIS, {"test_indices": [58], "test_size": 4, "missing": "skip"}, _GLOBAL_SQL.format(fold="0", places="58"), "4", run_on=58),
     "panel_is_one_position": Case(events_by_type, _PIS, {"test_indices": [40], "test_size": 4, "missing": "skip"}, _GLOBAL_SQL.format(fold="0", places="40"), "4"),
 }
 PER_ENTITY = {
     "per_entity_oos": Case(orders_by_priority, cf.PanelOutOfSampleSplitPerEntity, {"n_splits": 2, "test_size": 3, "gap": 1}, test_size_sql="3"),
     "per_entity_is": Case(events_by_type, cf.PanelInSampleSplitPerEntity, {"test_indices": _dates("2024-01-12"), "test_size": 4, "max_train_size": 9}, _times_sql("2024-01-12"), "4"),
 }
+_ML = Case(events_by_type, _POOS, {"n_splits": 3, "test_size": 4}, test_size_sql="4")
 _CV = Case(lines_by_supplier, _POOS, {"n_splits": 3, "test_size": 6, "gap": 1, "missing": "skip"}, test_size_sql="6")
 _CV_SERIES = CASES["ts_oos_rolling"]
 
@@ -222,9 +227,12 @@ def entity_grouped_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xy_key_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = events_by_type(spark, sf_dir)
-    keys = Keys("t", "entity")
-    return spark.createDataFrame([(key_ops.same_keys(x, x.select("entity", "t"), keys), key_ops.same_keys(x, x.where("t <> date'2024-01-07'"), keys))], "same boolean, fewer boolean")
+    """Keys against those of the raw rows in another order, against fewer, and against some of them twice."""
+    x, keys = events_by_type(spark, sf_dir), Keys("t", "entity")
+    raw = _ordered_events(spark, sf_dir).select(F.col("event_type").alias("entity"), F.col("ts").cast("date").alias("t"))
+    again = raw.distinct().unionByName(raw.where("entity = 'click'").distinct())
+    found = [key_ops.same_keys(x, y, keys) for y in (raw.distinct().orderBy(F.desc("t")), raw.where("t <> date'2024-01-07'").distinct(), again)]
+    return spark.createDataFrame([found], "same boolean, fewer boolean, twice boolean")
 
 
 def group_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,27 +309,70 @@ def synthetic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.synthetic_panel(spark)
 
 
-def ml_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def per_entity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each entity's train as the forecast of its test, all folds and entities side by side."""
+    import pandas as pd
+
+    case = PER_ENTITY["per_entity_oos"]
+
+    def fit(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n_train": [len(train)], "n_test": [len(test)], "mae": [round(float((test["x"] - train["x"].mean()).abs().mean()), 6)]})
+
+    return case.splitter(**case.options).each(case.source(spark, sf_dir), "t", "entity", fit, "n_train long, n_test long, mae double")
+
+
+def entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.entities(lines_by_supplier(spark, sf_dir), "entity")
+
+
+def entity_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.entity_section(orders_by_priority(spark, sf_dir).select("entity", "t", "x"), "entity", "2-HIGH")
+
+
+def time_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.time_section(orders_by_nation(spark, sf_dir).select("entity", "t", "x"), "t", "1996-02-01")
+
+
+def lag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags of one series, by ranges."""
+    return features.lag_features(events_daily(spark, sf_dir).select("t", "x"), "x", [1, 7], "t", spread=True)
+
+
+def _ml_scores(spark: SparkSession, sf_dir: str, regression) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
     from chronofold.ml import cross_validate
 
-    steps = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y")])
-    scores = cross_validate(steps, RegressionEvaluator(labelCol="y"), cf.PanelOutOfSampleSplit(3, test_size=4), events_by_type(spark, sf_dir), "t", "entity")
-    return spark.createDataFrame(list(enumerate(scores)), "fold_id int, rmse double")
+    steps = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), regression])
+    scores = cross_validate(steps, RegressionEvaluator(labelCol="y"), _ML.splitter(**_ML.options), events_by_type(spark, sf_dir), "t", "entity")
+    return spark.createDataFrame([(i, round(s, 3)) for i, s in enumerate(scores)], "fold_id int, rmse double")
+
+
+def ml_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.regression import LinearRegression
+
+    return _ml_scores(spark, sf_dir, LinearRegression(labelCol="y"))
+
+
+def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random forest a fold, which SQL doesn't express."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return _ml_scores(spark, sf_dir, RandomForestRegressor(labelCol="y", numTrees=10, maxDepth=4, seed=42))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.assign for name, case in CASES.items()} | {name: _described(case) for name, case in PER_ENTITY.items()}
+QUERIES |= {f"{name}_rows": case.assign for name, case in PER_ENTITY.items()}
 QUERIES |= {"fold_describe": _described(CASES["ts_oos_gap"])}
-QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_summary, synthetic_series, synthetic_panel, ml_cv)}
+QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_summary, synthetic_series, synthetic_panel, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
 
 _RATIO = """coefficient AS (SELECT fold_id, entity, avg(y / nullif(x, 0)) AS c FROM assigned WHERE role = 'train' GROUP BY ALL),
     predicted AS (SELECT a.*, a.x * c AS p FROM assigned a JOIN coefficient USING (fold_id, entity) WHERE role = 'test')"""
 
 ORACLE_SQL: dict[str, str] = {name: case.sql() for name, case in CASES.items()} | {name: _described_sql(case) for name, case in PER_ENTITY.items()}
+ORACLE_SQL |= {f"{name}_rows": case.sql() for name, case in PER_ENTITY.items()}
 ORACLE_SQL |= {
     "fold_describe": _described_sql(CASES["ts_oos_gap"]),
     "fold_time_bounds": f"WITH {CASES['panel_oos_rolling'].ctes()} SELECT fold_id, entity, role, min(t) AS first, max(t) AS last FROM assigned GROUP BY ALL",
@@ -333,7 +384,18 @@ ORACLE_SQL |= {
         NOT EXISTS (SELECT 1 FROM (SELECT ts, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE b > ts) AS within_entities""",
     "entity_grouped_check": """WITH r AS (SELECT event_type, row_number() OVER (ORDER BY event_id) AS p, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS q FROM events)
         SELECT event_type, count(*) AS n, count(DISTINCT p - q) = 1 AS together FROM r GROUP BY event_type""",
-    "xy_key_equality": "SELECT true AS same, false AS fewer",
+    "xy_key_equality": """WITH raw AS (SELECT event_type AS e, CAST(ts AS DATE) AS t FROM events),
+        x AS (SELECT e, t, count(*) AS rows_of_it, 1 AS n FROM raw GROUP BY e, t),
+        y AS (SELECT e, t, count(DISTINCT t) AS same, count(DISTINCT t) FILTER (t <> DATE '2024-01-07') AS fewer, count(DISTINCT t) * CASE WHEN e = 'click' THEN 2 ELSE 1 END AS twice FROM raw GROUP BY e, t)
+        SELECT bool_and(n = same) AS same, bool_and(n = fewer) AS fewer, bool_and(n = twice) AS twice FROM x FULL JOIN y USING (e, t)""",
+    "per_entity_fit": f"""WITH {PER_ENTITY["per_entity_oos"].ctes()}, m AS (SELECT fold_id, entity, avg(x) AS c, count(*) AS n FROM assigned WHERE role = 'train' GROUP BY ALL)
+        SELECT a.fold_id, a.entity, any_value(m.n) AS n_train, count(*) AS n_test, round(avg(abs(a.x - m.c)), 6) AS mae FROM assigned a JOIN m USING (fold_id, entity) WHERE a.role = 'test' GROUP BY ALL""",
+    "entity_list": "SELECT DISTINCT l_suppkey AS entity FROM lineitem",
+    "entity_section": f"SELECT t, x FROM ({_SOURCES_SQL[orders_by_priority]}) WHERE e = '2-HIGH'",
+    "time_section": f"SELECT e AS entity, x FROM ({_SOURCES_SQL[orders_by_nation]}) WHERE t = DATE '1996-02-01'",
+    "lag_series": f"SELECT t, x, lag(x, 1) OVER w AS x_lag_1, lag(x, 7) OVER w AS x_lag_7 FROM ({_SOURCES_SQL[events_daily]}) WINDOW w AS (ORDER BY t)",
+    "ml_cv": f"""WITH {_ML.ctes()}, line AS (SELECT fold_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM assigned WHERE role = 'train' GROUP BY ALL)
+        SELECT fold_id, round(sqrt(avg((y - (i + s * x)) * (y - (i + s * x)))), 3) AS rmse FROM assigned JOIN line USING (fold_id) WHERE role = 'test' GROUP BY fold_id""",
     "group_positions": f"SELECT e AS entity, t, row_number() OVER (PARTITION BY e ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY e) AS size FROM ({_SOURCES_SQL[lines_by_supplier]})",
     "align_horizon": f"SELECT * FROM (SELECT e AS entity, t, x, lead(x, 3) OVER (PARTITION BY e ORDER BY t) AS target_ahead FROM ({_SOURCES_SQL[orders_by_nation]})) WHERE target_ahead IS NOT NULL",
     "lag_features": f"SELECT * FROM (SELECT e AS entity, t, x, lag(x, 1) OVER w AS x_lag_1, lag(x, 7) OVER w AS x_lag_7, lag(x, 14) OVER w AS x_lag_14 FROM ({_SOURCES_SQL[lines_by_supplier]}) WINDOW w AS (PARTITION BY e ORDER BY t)) WHERE x_lag_14 IS NOT NULL",

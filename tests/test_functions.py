@@ -65,3 +65,52 @@ def test_synthetic_data_do_not_depend_on_partitions(spark):
     rows = sorted(map(tuple, p.collect()))
     assert rows == sorted(map(tuple, synthetic.synthetic_panel(spark, 6, 48).repartition(5).collect()))
     assert 0.85 < len(rows) / (6 * 48) < 1 and PanelOutOfSampleSplit(3, missing="skip").get_n_splits(p, "date", "entity") == 3
+
+
+def test_shifts_by_ranges_equal_one_window(spark, monkeypatch):
+    monkeypatch.setattr(features, "ROWS_A_BLOCK", 4)
+    one = series(spark, range(23)).repartition(3)
+    two = one.select(F.lit("a").alias("e"), "*").unionByName(one.where("y < 5").select(F.lit("b").alias("e"), "*"))
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+    for df, entity in ((one, None), (two, "e")):
+        for made in (
+            lambda d, e, s: features.lag_features(d, "y", [1, 6, 11], "t", e, spread=s),
+            lambda d, e, s: features.align_horizon(d, "y", 7, "t", e, spread=s),
+            lambda d, e, s: features.align_horizon(d, "y", 0, "t", e, spread=s),
+            lambda d, e, s: features.publication_delay(d, ["y"], 3, "t", e, spread=s),
+            lambda d, e, s: features.trend(d, "t", e, spread=s),
+        ):
+            assert rows(made(df, entity, True)) == rows(made(df, entity, False))
+
+
+def test_a_long_series_is_spread(spark, monkeypatch):
+    asked = []
+    real = features.with_places
+    monkeypatch.setattr(features, "with_places", lambda df, keys: asked.append(keys) or real(df, keys))
+    df = series(spark, range(8))
+    for limit in (8, 7):
+        monkeypatch.setattr(features, "SERIES_IN_ONE_TASK", limit)
+        assert features.lag_features(df, "y", [1], "t").where("y_lag_1 is null").count() == 1
+    assert len(asked) == 1
+
+
+def test_sections(spark):
+    df = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1), ("a", dt.date(2020, 1, 2), 2), ("b", dt.date(2020, 1, 1), 3), (None, None, 4)], "e string, t date, v int")
+    assert sorted(r[0] or "" for r in features.entities(df, "e").collect()) == ["", "a", "b"]
+    assert sorted(map(tuple, features.entity_section(df, "e", "a").collect())) == [(dt.date(2020, 1, 1), 1), (dt.date(2020, 1, 2), 2)]
+    assert sorted(map(tuple, features.time_section(df, "t", "2020-01-01").collect())) == [("a", 1), ("b", 3)]
+    assert features.entity_section(df, "e", None).first()["v"] == 4
+
+
+def test_forest_folds_repeat(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from chronofold.ml import cross_validate
+
+    df = series(spark, [i % 7 for i in range(60)]).withColumn("x", F.dayofweek("t").cast("double"))
+    steps = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), RandomForestRegressor(labelCol="y", numTrees=5, seed=1)])
+    scores = [cross_validate(steps, RegressionEvaluator(labelCol="y"), TSOutOfSampleSplit(2, test_size=7), df, "t") for _ in range(2)]
+    assert scores[0] == scores[1] and max(scores[0]) < 1.5

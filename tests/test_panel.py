@@ -167,3 +167,59 @@ def test_a_large_entity_is_ranked_by_ranges(spark, monkeypatch):
         monkeypatch.setattr(key_ops, "SERIES_IN_ONE_TASK", limit)
         assert PanelOutOfSampleSplit(2, test_size=2, missing="skip").get_n_splits(p, "date", "entity") == 2
     assert asked == [True, False]
+
+
+def test_reserved_names_are_refused(spark):
+    p = panel(spark, {"A": 9, "B": 9})
+    for name in ("pos", "Size", "fold_id", "role", "_local"):
+        for old in ("date", "entity"):
+            time, entity = (name, "entity") if old == "date" else ("date", name)
+            with pytest.raises(ValueError, match="names of their own"):
+                PanelOutOfSampleSplit(2, test_size=1).assign(p.withColumnRenamed(old, name), time, entity)
+    with pytest.raises(ValueError, match="names of their own"):
+        PanelOutOfSampleSplit(2, test_size=1).assign(p, "date", "date")
+    wide = p.withColumn("pos", F.lit(7)).withColumn("role", F.lit("x"))  # other columns may have them
+    train, test = next(iter(PanelOutOfSampleSplit(2, test_size=1).split(wide, "date", "entity")))
+    assert train.columns == wide.columns and test.count() == 2
+
+
+def test_each_fold_and_entity_side_by_side(spark):
+    import pandas as pd
+
+    p = panel(spark, {"A": 15, "B": 15, "C": 15})
+
+    def sides(train, test):
+        return pd.DataFrame({"train": [train["value"].tolist()], "test": [test["value"].tolist()], "columns": [",".join(train.columns)]})
+
+    schema = "train array<long>, test array<long>, columns string"
+    for splitter in (PanelOutOfSampleSplitPerEntity(2, test_size=3, gap=1), PanelInSampleSplitPerEntity(test_size=4, max_train_size=6), PanelOutOfSampleSplitPerEntity(2, test_size=3, gap=50)):
+        got = sorted((r["fold_id"], r["entity"], sorted(r["train"]), sorted(r["test"])) for r in splitter.each(p, "date", "entity", sides, schema).collect())
+        want = [(sorted(r["value"] for r in a.collect()), sorted(r["value"] for r in b.collect())) for a, b in splitter.split(p, "date", "entity")]
+        assert [(a, b) for _, _, a, b in got] == want and [e for _, e, _, _ in got] == list("ABC") * (len(got) // 3)
+
+
+def test_repeated_hours_stay_apart(spark):
+    """The hour that comes twice when daylight saving ends: default folds start at either one."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        hours = spark.range(8).select(F.timestamp_seconds(F.lit(1603576800) + F.col("id") * 1800).alias("date"), "id")  # 2020-10-25, from 00:00 in half hours
+        from chronofold import TSOutOfSampleSplit
+
+        rows = TSOutOfSampleSplit(5, test_size=1).assign(hours, "date").where("role = 'test'").select("fold_id", F.unix_seconds("date").alias("s")).collect()
+        assert sorted((r["fold_id"], (r["s"] - 1603576800) // 1800) for r in rows) == [(i, i + 3) for i in range(5)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_the_source_is_computed_once(spark, tmp_path):
+    p = panel(spark, {"A": 20, "B": 20})
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(r):
+        seen.add(1)
+        return r
+
+    counted = spark.createDataFrame(p.rdd.map(count), p.schema)
+    PanelOutOfSampleSplit(2, test_size=2).assign(counted, "date", "entity").collect()
+    assert seen.value == 40
