@@ -160,7 +160,7 @@ class UnigramModel:
         self.trie = trie or DoubleArrayTrie([(t.encode(), i) for i, (t, ok) in enumerate(zip(pieces.texts, pieces.usable, strict=True)) if ok])
         self.unknown = float(pieces.scores[pieces.usable].min()) - UNKNOWN_PENALTY
         self._cache: dict[str, bytes] = {}
-        self._raw: list[bytes | None] | None = None
+        self._raw: pa.Array | None = None
 
     def _lattice(self, raw: list[bytes]) -> _Lattice:
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -215,7 +215,7 @@ class UnigramModel:
         back = np.full(len(best), -1, np.int64)
         best[first + np.arange(len(raw))] = 0.0
         step = x.end - first[owner]
-        order = np.lexsort((x.begin, dst, step))
+        order = np.argsort((step << 48) + (dst << 9) - (x.end - x.begin))  # by step, then end, then beginning; units are shorter than 2**8 bytes
         src, dst, gain, step, piece, owner = src[order], dst[order], gain[order], step[order], piece[order], owner[order]
         cuts = np.flatnonzero(np.diff(step)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(step)], strict=True) if len(step) else ():
@@ -274,7 +274,7 @@ class UnigramModel:
         forward[home] = backward[home + x.size] = 0.0
 
         def carry(sums: np.ndarray, start: np.ndarray, to: np.ndarray, step: np.ndarray) -> None:
-            order = np.lexsort((to, step))
+            order = np.argsort((step << 40) + to)
             start, to, step, gain = start[order], to[order], step[order], x.gain[order]
             cuts = np.flatnonzero(np.diff(step)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(step)], strict=True) if len(step) else ():
@@ -314,14 +314,18 @@ class UnigramModel:
         split = [units_of(t) for t in texts]
         if len(self._cache) > CACHE_UNITS:
             self._cache.clear()
-        new = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self._cache]
-        now: dict[str, bytes] = {}
+        seen: set[str] = set()
+        for units in split:
+            seen.update(units)
+        new = list(seen.difference(self._cache))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            for u, ids in zip(some, self.solve(some), strict=True):
-                (self._cache if len(u) <= CACHE_CHARS else now)[u] = ids
-        get = self._cache.get
-        return [b"".join(ids if (ids := get(u)) is not None else now[u] for u in units) for units in split]
+            self._cache.update(zip(some, self.solve(some), strict=True))
+        out = [b"".join(map(self._cache.__getitem__, units)) for units in split]
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del self._cache[u]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: pieces and bytes are joined, markers become spaces, the one in front goes."""
@@ -330,13 +334,15 @@ class UnigramModel:
             for b, i in enumerate(self.pieces.bytes_at):
                 if i >= 0:
                     raw[i] = bytes([b])
-            self._raw = raw
+            self._raw = pa.array(raw, pa.large_binary())
         if len(ids) and not 0 <= ids.min() <= ids.max() < len(self._raw):
             raise ValueError("an id is out of range")
-        found = [self._raw[i] for i in ids.tolist()]
-        if None in found:
+        found = self._raw.take(pa.array(ids))
+        if found.null_count:
             raise ValueError("a control piece has no text")
-        text = b"".join(found).decode("utf-8", "replace").replace(MARK, " ")
+        _, bounds, data = found.buffers()
+        joined = data.slice(0, int(np.frombuffer(bounds, np.int64)[len(found)])).to_pybytes() if len(found) else b""
+        text = joined.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
