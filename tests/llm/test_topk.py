@@ -53,7 +53,7 @@ def test_few_candidates_and_empty_tables(spark):
     assert run(spark, [(0, [1.0]), (1, [0.5])]) == [(0, 1, 1, 128 * 256)]
 
 
-def test_huge_components_are_exact_up_to_the_clamp(spark):
+def test_huge_components_are_exact(spark):
     rows = [(i, [60000.0 + i] * 64) for i in range(12)]
     assert run(spark, rows) == brute(rows)
 
@@ -116,7 +116,7 @@ def test_repeated_queries(spark):
     assert sorted(r[1] for r in got if r[0] == 0) == sorted(2 * [1, 2, 3, 4, 5])  # two vectors under one id: each is answered
 
 
-def test_components_beyond_the_former_clamp(spark):
+def test_components_beyond_a_doubles_whole_numbers(spark):
     rows = [(i, [70000.0 + 1024 * i, 1.0]) for i in range(12)] + [(50, [-90000.0, 3.0]), (100, [2.0**20, -(2.0**22)])]
     assert run(spark, rows) == brute(rows)
 
