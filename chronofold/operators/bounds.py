@@ -69,16 +69,20 @@ def _default_times(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape)
     else:
         size = spec.test_size or 1
         if spec.mode == "is":
-            return _times_from_end(ranks, keys, [1]), 1, size
+            return _times_from_end(ranks, keys, [1], spec.time_order), 1, size
         if n - k * size <= 0:
             raise ValueError(f"Too many splits={k} for number of time points={n} with test_size={size} and gap={spec.gap}.")
-    return _times_from_end(ranks, keys, [(k - i) * size for i in range(k)]), k, size
+    return _times_from_end(ranks, keys, [(k - i) * size for i in range(k)], spec.time_order), k, size
 
 
-def _times_from_end(ranks: DataFrame, keys: Keys, back: list[int]) -> DataFrame:
-    """fold_id, time: the distinct times that stand so many places from the end (1: the last). Reads the latest ``max(back)`` times only; they never leave Spark, so no time zone touches them."""
-    last = ranks.select(keys.time).distinct().orderBy(F.desc(keys.time)).limit(max(back))
-    at = last.withColumn("_back", F.row_number().over(W.orderBy(F.desc(keys.time))))
+def _times_from_end(ranks: DataFrame, keys: Keys, back: list[int], time_order: str = "chronological") -> DataFrame:
+    """fold_id, time: the distinct times that stand so many places from the end (1: the last). Reads the last ``max(back)`` times only; they never leave Spark, so no time zone touches them."""
+    by = [F.desc(keys.time)]
+    if keys.entity is not None and time_order == "first_seen":
+        times, by = ranks.groupBy(keys.time).agg(F.min(keys.entity).alias("_first")), [F.desc("_first"), *by]
+    else:
+        times = ranks.select(keys.time).distinct()
+    at = times.orderBy(*by).limit(max(back)).withColumn("_back", F.row_number().over(W.orderBy(*by)))
     fold = F.array_position(F.array(*(F.lit(b) for b in back)), F.col("_back")) - 1
     return at.select(fold.cast("int").alias("fold_id"), keys.time).where("fold_id >= 0")
 

@@ -25,8 +25,8 @@ class TemporalSplit:
 
     mode = "oos"
 
-    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, gap: int = 0, missing: str = "raise") -> None:
-        self.spec = SplitSpec(self.mode, n_splits, test_size, gap, max_train_size, test_indices, missing)
+    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, gap: int = 0, missing: str = "raise", time_order: str = "chronological") -> None:
+        self.spec = SplitSpec(self.mode, n_splits, test_size, gap, max_train_size, test_indices, missing, time_order)
 
     def __repr__(self) -> str:
         s = self.spec
@@ -90,8 +90,8 @@ class InSampleSplit(TemporalSplit):
 
     mode = "is"
 
-    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, missing: str = "raise") -> None:
-        super().__init__(n_splits, test_indices=test_indices, max_train_size=max_train_size, test_size=test_size, missing=missing)
+    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, missing: str = "raise", time_order: str = "chronological") -> None:
+        super().__init__(n_splits, test_indices=test_indices, max_train_size=max_train_size, test_size=test_size, missing=missing, time_order=time_order)
 
 
 class _SeriesOnly:

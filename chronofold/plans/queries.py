@@ -89,6 +89,7 @@ class Case:
         o = self.options
         k, gap, m = o.get("n_splits", 5), o.get("gap", 0), o.get("max_train_size")
         default = f"SELECT f.i AS fold_id, NULL AS e, tt.t FROM range({k}) f(i) JOIN tt ON tt.i = tt.nt - {k} * ({self.test_size_sql}) + f.i * ({self.test_size_sql})"
+        time_order = "min(e), t" if o.get("time_order") == "first_seen" else "t"
         in_sample = self.splitter.mode == "is"
         end = "hi" if in_sample else f"greatest(lo - {gap}, 0)"
         if in_sample:
@@ -104,7 +105,7 @@ class Case:
         return f"""
             src AS ({_SOURCES_SQL[self.source]}),
             k AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY e) AS n FROM src),
-            tt AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS nt FROM (SELECT DISTINCT t FROM src)),
+            tt AS (SELECT t, row_number() OVER (ORDER BY {time_order}) - 1 AS i, count(*) OVER () AS nt FROM src GROUP BY t),
             a AS ({self.anchors_sql or default}),
             b AS ({spans}),
             w AS (SELECT *, {start} AS train_lo, {end} AS train_hi FROM b),
@@ -159,6 +160,7 @@ CASES: dict[str, Case] = {
     "panel_oos_dates": Case(orders_by_priority, _POOS, {"test_indices": _dates("1996-04-01", "1999-10-01"), "test_size": 2}, _times_sql("1996-04-01", "1999-10-01"), "2"),
     "panel_oos_dates_unsorted_order": Case(orders_by_priority, _POOS, {"test_indices": _dates("1999-10-01", "1996-04-01"), "test_size": 2}, _times_sql("1999-10-01", "1996-04-01"), "2"),
     "panel_oos_skip_missing": Case(orders_by_nation, _POOS, {"n_splits": 4, "test_size": 3, "missing": "skip"}, test_size_sql="3"),
+    "panel_oos_first_seen": Case(lines_by_supplier, _POOS, {"n_splits": 4, "test_size": 3, "missing": "skip", "time_order": "first_seen"}, test_size_sql="3"),
     "panel_oos_many_entities": Case(lines_by_supplier, _POOS, {"n_splits": 3, "test_size": 2, "gap": 1, "max_train_size": 12, "missing": "skip"}, test_size_sql="2"),
     "panel_oos_tuples_skip": Case(orders_by_nation, _POOS, {"test_indices": [(e, dt.date.fromisoformat(d)) for e, d in _PAIRS], "test_size": 2, "missing": "skip"}, _pairs_sql(*_PAIRS), "2"),
     "panel_is_default": Case(events_by_type, _PIS, {"test_size": 5}, _IS_DEFAULT.format(size=1), "5"),

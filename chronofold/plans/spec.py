@@ -16,6 +16,8 @@ class SplitSpec:
     mode: "oos" (test follows train, after a gap) or "is" (test is part of train).
     anchors: where tests start: times, (entity, time) pairs, or positions; None or empty for the default folds.
     missing: what to do where an entity has no test row in a fold: "raise", or "skip" it there.
+    time_order: how the default folds of a panel line up its distinct times: "chronological", or "first_seen" (as they first occur when rows are
+    sorted by entity, then time, so that the times that only later entities have come last).
     """
 
     mode: str = "oos"
@@ -25,6 +27,7 @@ class SplitSpec:
     max_train_size: int | None = None
     anchors: tuple[Any, ...] | None = None
     missing: str = "raise"
+    time_order: str = "chronological"
 
     def __post_init__(self) -> None:
         if self.mode not in ("oos", "is"):
@@ -43,6 +46,8 @@ class SplitSpec:
             raise ValueError(f"max_train_size must not be negative: {self.max_train_size}")
         if self.missing not in ("raise", "skip"):
             raise ValueError(f"missing must be 'raise' or 'skip', not {self.missing!r}")
+        if self.time_order not in ("chronological", "first_seen"):
+            raise ValueError(f"time_order must be 'chronological' or 'first_seen', not {self.time_order!r}")
         object.__setattr__(self, "anchors", normal_anchors(self.anchors))
 
     @property

@@ -223,3 +223,14 @@ def test_the_source_is_computed_once(spark, tmp_path):
     counted = spark.createDataFrame(p.rdd.map(count), p.schema)
     PanelOutOfSampleSplit(2, test_size=2).assign(counted, "date", "entity").collect()
     assert seen.value == 40
+
+
+def test_times_as_first_seen(spark):
+    days = {"A": [3, 4], "B": [1, 2, 3]}
+    p = spark.createDataFrame([(e, DAY + dt.timedelta(d)) for e, own in days.items() for d in own], "entity string, date date")
+    of = lambda order: PanelOutOfSampleSplit(2, test_size=1, missing="skip", time_order=order).assign(p, "date", "entity").where("role = 'test'")
+    days_of = lambda order: sorted((r["fold_id"], r["entity"], (r["date"] - DAY).days) for r in of(order).collect())
+    assert days_of("chronological") == [(0, "A", 3), (0, "B", 3), (1, "A", 4)]
+    assert days_of("first_seen") == [(0, "B", 1), (1, "B", 2)]  # in the order 3, 4, 1, 2
+    with pytest.raises(ValueError, match="time_order"):
+        PanelOutOfSampleSplit(time_order="random")
