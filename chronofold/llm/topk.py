@@ -35,7 +35,7 @@ from chronofold.scratch import Scratch
 
 SCALE = 256
 #: Vectors of a block, vectors of a shard, queries of a group.
-BLOCK = 64
+BLOCK = 128
 SHARD = 32_768
 GROUP = 512
 #: Shards whose bounds a task holds at a time, and queries that meet them there, about.
@@ -111,14 +111,25 @@ class _Shard:
         cuts = np.arange(0, len(ids), BLOCK)
         self.cuts = np.append(cuts, len(ids))
         self.high, self.low = np.maximum.reduceat(self.weights, cuts, axis=0), np.minimum.reduceat(self.weights, cuts, axis=0)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.most = float(np.abs(weights).max(initial=0))
         self.scored = 0
 
+    def _own(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of a query, place of a vector with its id), in the order of places."""
+        named = self.ids[self.by_id]
+        lo, hi = np.searchsorted(named, query_ids, "left"), np.searchsorted(named, query_ids, "right")
+        row = np.repeat(np.arange(len(query_ids)), hi - lo)
+        place = self.by_id[np.repeat(lo, hi - lo) + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+        order = np.argsort(place, kind="stable")
+        return row[order], place[order]
+
     def _scores(self, queries: np.ndarray, block: int, own: np.ndarray) -> np.ndarray:
         """Exact inner products with a block (``own`` pairs aside): in doubles where these hold them, else in longs, else in Python's numbers."""
         weights = _widened(self.weights[self.cuts[block] : self.cuts[block + 1]], queries.shape[1])
-        most = float(np.abs(queries).max(initial=0)) * float(np.abs(weights).max(initial=0)) * queries.shape[1]
+        most = float(np.abs(queries).max(initial=0)) * self.most * queries.shape[1]
         if most < 2**53:
-            return (queries @ weights.T).astype(np.int64)
+            return queries @ weights.T
         queries, weights = queries.astype(np.int64), weights.astype(np.int64)
         if most < 2**62:
             return queries @ weights.T
@@ -136,6 +147,7 @@ class _Shard:
         n, blocks = bounds.shape
         top, top_ids = np.full((n, k), NO_SCORE), np.full((n, k), NO_ID)
         need = np.full(n, -np.inf) if least is None else least.astype(float)
+        own_row, own_place = self._own(query_ids)
         done, take = 0, 1
         while done < blocks:
             upto = min(blocks, done + take)
@@ -153,10 +165,18 @@ class _Shard:
                 if not len(rows):
                     continue
                 self.scored += len(rows)
-                ids = np.broadcast_to(self.ids[self.cuts[b] : self.cuts[b + 1]], (len(rows), self.cuts[b + 1] - self.cuts[b]))
-                own = query_ids[rows][:, None] == ids
+                first, last = self.cuts[b], self.cuts[b + 1]
+                own = np.zeros((len(rows), last - first), bool)
+                mine = slice(*np.searchsorted(own_place, (first, last)))
+                at = np.minimum(np.searchsorted(rows, own_row[mine]), len(rows) - 1)  # rows rise
+                here = rows[at] == own_row[mine]
+                own[at[here], own_place[mine][here] - first] = True
                 scores = self._scores(queries[rows], b, own)
-                scores, ids = np.where(own, NO_SCORE, scores), np.where(own, NO_ID, ids)
+                reach = scores.max(axis=1) >= need[rows]  # only these can change
+                rows, scores, own = rows[reach], np.where(own[reach], NO_SCORE, scores[reach].astype(np.int64)), own[reach]
+                if not len(rows):
+                    continue
+                ids = np.where(own, NO_ID, self.ids[first:last][None, :])
                 top[rows], top_ids[rows] = _best(np.concatenate([top[rows], scores], axis=1), np.concatenate([top_ids[rows], ids], axis=1), k)
                 full = top_ids[rows, -1] != NO_ID
                 need[rows[full]] = np.maximum(need[rows[full]], top[rows[full], -1])
