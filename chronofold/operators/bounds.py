@@ -26,9 +26,12 @@ def fold_bounds(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) ->
 
 def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int]:
     """fold_id, [entity], test_lo, test_hi, points, n_test; and the number of folds."""
+    if keys.entity is None and spec.anchor_kind in (None, "position"):
+        return _series_tests(ranks, spec, shape)
     if spec.anchor_kind is None:
-        times, folds, size = _default_times(ranks, keys, spec, shape)
-        return _ranges(ranks.join(F.broadcast(times), keys.time), size), folds  # a row a fold
+        back, size = _default_starts(keys, spec, shape)
+        times = _times_from_end(ranks, keys, back, spec.time_order)
+        return _ranges(ranks.join(F.broadcast(times), keys.time), size), len(back)  # a row a fold
     many = len(spec.anchors) > 1
     size = spec.test_size or 1
     by_time = keys.entity is not None and spec.anchor_kind == "time"
@@ -45,23 +48,36 @@ def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple
         return _ranges(found, size), 1
     if not by_time and not many:
         return (_ranges(found, size) if keys.entity is None else _run_from(ranks, keys, found, size)), 1
-    group = ["fold_id", *([keys.entity] if keys.entity else [])]
-    points = F.sort_array(F.collect_list("pos"))
-    if by_time:
-        points = F.sort_array(F.collect_set("pos"))
-    out = found.groupBy(*group).agg(points.alias("points"))
-    return out.select(*group, F.array_min("points").alias("test_lo"), (F.array_max("points") + 1).alias("test_hi"), "points", F.size("points").cast("long").alias("n_test")), 1
+    return _points(found, [keys.entity] if keys.entity else [], F.collect_set("pos") if by_time else F.collect_list("pos")), 1
 
 
-def _default_times(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int, int]:
-    """The times at which the default folds' tests start (fold_id, time), their number, and the test size."""
+def _points(found: DataFrame, entity: list[str], gathered: Column) -> DataFrame:
+    out = found.groupBy("fold_id", *entity).agg(F.sort_array(gathered).alias("points"))
+    return out.select("fold_id", *entity, F.array_min("points").alias("test_lo"), (F.array_max("points") + 1).alias("test_hi"), "points", F.size("points").cast("long").alias("n_test"))
+
+
+def _series_tests(ranks: DataFrame, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int]:
+    """The places of a series are known from its length: no data are read."""
+    if spec.anchor_kind is None:
+        back, size = _default_starts(Keys(""), spec, shape)
+        starts = [shape.rows - n for n in back]
+    else:
+        _check_places(spec, shape)
+        starts, size = sorted(int(p) for p in spec.anchors), spec.test_size or 1
+    one_set = spec.mode == "is" and len(starts) > 1
+    found = ranks.sparkSession.createDataFrame([(0 if one_set else i, p, shape.rows) for i, p in enumerate(starts)], "fold_id int, pos long, size long")
+    return (_points(found, [], F.collect_list("pos")), 1) if one_set else (_ranges(found, size), len(starts))
+
+
+def _default_starts(keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[list[int], int]:
+    """How many distinct times from the end the default folds' tests start (1: the last), and the test size."""
     k, n = spec.n_splits, shape.times
     if keys.entity is None:
         size = spec.test_size or n // (k + 1)
         if spec.mode == "is":
             if size < 1:
                 raise ValueError(f"no test rows: {n} samples for {k} folds")
-            return _times_from_end(ranks, keys, [min(n, size)]), 1, size
+            return [min(n, size)], size
         if k + 1 > n:
             raise ValueError(f"Cannot have number of folds={k + 1} greater than the number of samples={n}.")
         if n - k * size <= 0:
@@ -69,10 +85,10 @@ def _default_times(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape)
     else:
         size = spec.test_size or 1
         if spec.mode == "is":
-            return _times_from_end(ranks, keys, [1], spec.time_order), 1, size
+            return [1], size
         if n - k * size <= 0:
             raise ValueError(f"Too many splits={k} for number of time points={n} with test_size={size} and gap={spec.gap}.")
-    return _times_from_end(ranks, keys, [(k - i) * size for i in range(k)], spec.time_order), k, size
+    return [(k - i) * size for i in range(k)], size
 
 
 def _times_from_end(ranks: DataFrame, keys: Keys, back: list[int], time_order: str = "chronological") -> DataFrame:
@@ -117,10 +133,7 @@ def _resolved(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> Da
     anchors, kind = list(spec.anchors), spec.anchor_kind
     spark = ranks.sparkSession
     if kind == "position":
-        if max(anchors) >= shape.rows:
-            raise ValueError("test_indices contain indices beyond data length")
-        if min(anchors) < 0:
-            raise ValueError("test_indices contain negative indices")
+        _check_places(spec, shape)
         wanted = F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(anchors)], "fold_id int, _place long"))
         return _global(ranks, keys).join(wanted, "_place").drop("_place")
     if kind == "pair":
@@ -139,6 +152,13 @@ def _resolved(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> Da
     return found
 
 
+def _check_places(spec: SplitSpec, shape: Shape) -> None:
+    if max(spec.anchors) >= shape.rows:
+        raise ValueError("test_indices contain indices beyond data length")
+    if min(spec.anchors) < 0:
+        raise ValueError("test_indices contain negative indices")
+
+
 def _global(ranks: DataFrame, keys: Keys) -> DataFrame:
     """Adds the position over all entities in their order: sizes of the entities before, summed up, plus pos."""
     if keys.entity is None:
