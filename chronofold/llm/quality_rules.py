@@ -41,6 +41,8 @@ CALIBRATION_PART = 5
 L2 = 0.1
 STEPS = 200
 TOLERANCE = 1e-4
+#: Rows whose vectors stand in a task's memory at a time.
+VECTOR_ROWS = 128
 CHAR_GRAMS = (3, 5)
 SCALE = 30.0
 N_KINDS = len(CHAR_GRAMS) + 3
@@ -160,7 +162,7 @@ def _vectors(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """label, features: the sparse rows as vectors, saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in textops.long_rows(batches):
+        for b in (whole.slice(at, VECTOR_ROWS) for whole in textops.long_rows(batches) for at in range(0, whole.num_rows, VECTOR_ROWS)):
             made = [r for part in doc_stats.over_batch(b.column("text"), lambda d, o: sparse_rows(doc_stats.TextFacts(d, o))) for r in part]
             bounds = pa.array(np.concatenate(([0], np.cumsum([len(i) for i, _ in made]))), pa.int32())
             index, value = pa.array(np.concatenate([i for i, _ in made]), pa.int32()), pa.array(np.concatenate([x for _, x in made]))
