@@ -113,9 +113,21 @@ def _role_in(head: str) -> str:
     return re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), head)
 
 
-def format_turns(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """conv_id, turn, role, text -> those of each row with ``rendered`` and the span [text_start, text_end) in it that holds the text (``trained``: under the loss mask)."""
+ORDER = ("conv_id", "turn", "role", "text")
+
+
+def _ordered(turns: DataFrame) -> DataFrame:
+    """Range-partitioned by conversation *and* turn, so a conversation that holds most of the rows is spread over many tasks."""
+    return turns.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+
+
+def format_turns(turns: DataFrame, template: ChatTemplate = ChatTemplate(), ordered: bool = False) -> DataFrame:
+    """conv_id, turn, role, text -> those of each row with ``rendered`` and the span [text_start, text_end) in it that holds the text (``trained``: under the loss mask).
+
+    ``ordered``: the turns are brought into order before they are formatted, for ``conversation_blocks``.
+    """
     src = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    src = _ordered(src) if ordered else src
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,15 +141,14 @@ def format_turns(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
     return src.mapInArrow(run, "conv_id long, turn long, role string, text string, rendered string, text_start long, text_end long, trained boolean")
 
 
-def conversation_blocks(formatted: DataFrame, block_chars: int = 1 << 18) -> DataFrame:
+def conversation_blocks(formatted: DataFrame, block_chars: int = 1 << 18, ordered: bool = False) -> DataFrame:
     """The rendered conversations as ordered blocks of whole turns: conv_id, part, block, rendered, mask (spans of the block under the loss mask).
 
-    Rows are range-partitioned by conversation *and* turn, so a conversation that holds most of the rows is spread over
-    many tasks; its blocks, read by (part, block), are its text. Range bounds are sampled, so the formatted rows are saved first.
+    A conversation's blocks, read by (part, block), are its text. ``ordered``: ``format_turns`` did it, so the rows are not shuffled again. Else they are
+    saved first: the bounds of ranges are sampled, which would format all turns a second time.
     """
-    order = ["conv_id", "turn", "role", "text"]
-    saved = Scratch(formatted.sparkSession).save(formatted.select(*order, "rendered", "text_start", "text_end", "trained"), "formatted")
-    ranged = saved.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = formatted.select(*ORDER, "rendered", "text_start", "text_end", "trained")
+    ranged = rows if ordered else _ordered(Scratch(formatted.sparkSession).save(rows, "formatted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

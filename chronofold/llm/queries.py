@@ -18,7 +18,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
-    return chat.read_back(chat.conversation_blocks(chat.format_turns(turns)))
+    return chat.read_back(chat.conversation_blocks(chat.format_turns(turns, ordered=True), ordered=True))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,8 @@ SCHEMA = "extra int, conv_id long, turn long, role string, text string, rendered
 def digests(spark, rows, block_chars=1 << 18):
     df = spark.createDataFrame([(0, *r, "clash") for r in rows], SCHEMA).repartition(3)
     out = chat.read_back(chat.conversation_blocks(chat.format_turns(df), block_chars)).collect()
+    first = chat.read_back(chat.conversation_blocks(chat.format_turns(df, ordered=True), block_chars, ordered=True)).collect()
+    assert sorted(out, key=str) == sorted(first, key=str)
     return {r["conv_id"]: r.asDict() for r in out}
 
 
