@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -76,7 +77,7 @@ class Case:
 
     @property
     def panel(self) -> bool:
-        return "Panel" in self.splitter.__name__
+        return "Panel" in self.splitter.__name__ or self.source not in (events_daily, orders_monthly)
 
     @property
     def columns(self) -> list[str]:
@@ -154,6 +155,10 @@ CASES: dict[str, Case] = {
     "ts_is_max_train": Case(orders_monthly, _IS, {"test_size": 6, "max_train_size": 24}, _IS_DEFAULT.format(size=6), "6"),
     "ts_is_max_train_below_test": Case(orders_monthly, _IS, {"test_size": 6, "max_train_size": 2}, _IS_DEFAULT.format(size=6), "6"),
     "ts_is_many_small_max": Case(orders_monthly, _IS, {"test_indices": [4, 9, 14], "max_train_size": 5}, _PLACES_SQL.format(fold="0", places="4, 9, 14"), points=True),
+    "base_oos_series": Case(orders_monthly, cf.OutOfSampleSplit, {"n_splits": 4, "test_size": 5, "gap": 1, "max_train_size": 30}, test_size_sql="5"),
+    "base_oos_panel": Case(orders_by_priority, cf.OutOfSampleSplit, {"n_splits": 3, "test_size": 2, "gap": 1}, test_size_sql="2"),
+    "base_is_series": Case(events_daily, cf.InSampleSplit, {"test_size": 7, "max_train_size": 10}, _IS_DEFAULT.format(size=7), "7"),
+    "base_is_panel": Case(events_by_type, cf.InSampleSplit, {"test_indices": _dates("2024-01-10", "2024-01-20"), "max_train_size": 4}, _times_sql("2024-01-10", "2024-01-20"), points=True),
     "panel_oos_default": Case(orders_by_priority, _POOS, {"n_splits": 4, "test_size": 2}, test_size_sql="2"),
     "panel_oos_gap": Case(events_by_type, _POOS, {"n_splits": 2, "test_size": 3, "gap": 5}, test_size_sql="3"),
     "panel_oos_rolling": Case(events_by_type, _POOS, {"n_splits": 3, "test_size": 5, "gap": 2, "max_train_size": 10}, test_size_sql="5"),
@@ -228,6 +233,50 @@ def entity_grouped_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_ops.entity_runs(_ordered_events(spark, sf_dir), "event_id", "event_type")
 
 
+def unsorted_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a splitter that is told the order of the rows warns: of the raw order, and of one by event type and time."""
+    rows = _ordered_events(spark, sf_dir).groupBy("event_type", "ts").agg(F.min("event_id").alias("event_id"))
+    orders = {"as_stored": rows, "by_key": rows.withColumn("event_id", F.struct("event_type", "ts"))}
+    found = []
+    for name, df in orders.items():
+        with warnings.catch_warnings(record=True) as seen:
+            warnings.simplefilter("always")
+            key_ops.warn_if_unsorted(df, "event_id", Keys("ts", "event_type"))
+        found.append((name, any("not sorted" in str(w.message) for w in seen)))
+    return spark.createDataFrame(found, "rows_in string, warned boolean")
+
+
+#: Anchors of one test each, known or not.
+ANCHORS = {
+    "last_position": 149, "position_beyond": 150, "negative_position": -1,
+    "known_time": "2024-01-10", "unknown_time": "2025-01-01",
+    "known_pair": ("click", dt.date(2024, 1, 10)), "unknown_entity": ("nobody", dt.date(2024, 1, 10)), "unknown_time_of_entity": ("click", dt.date(2025, 1, 1)),
+}
+
+
+def anchor_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which anchors are refused."""
+    rows, found = events_by_type(spark, sf_dir), []
+    for name, anchor in ANCHORS.items():
+        try:
+            cf.PanelInSampleSplit(test_indices=[anchor], missing="skip").assign(rows, "t", "entity")
+            found.append((name, False))
+        except ValueError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "anchor string, refused boolean")
+
+
+def _anchors_sql() -> str:
+    def refused(anchor) -> str:
+        if isinstance(anchor, int):
+            return f"{anchor} < 0 OR {anchor} >= (SELECT count(*) FROM k)"
+        entity, day = anchor if isinstance(anchor, tuple) else (None, anchor)
+        return f"NOT EXISTS (SELECT 1 FROM k WHERE t = DATE '{day}'" + (f" AND e = '{entity}')" if entity else ")")
+
+    cases = " UNION ALL ".join(f"SELECT '{name}' AS anchor, {refused(anchor)} AS refused" for name, anchor in ANCHORS.items())
+    return f"WITH k AS ({_SOURCES_SQL[events_by_type]}) {cases}"
+
+
 def xy_key_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys against those of the raw rows in another order, against fewer, and against some of them twice."""
     x, keys = events_by_type(spark, sf_dir), Keys("t", "entity")
@@ -368,7 +417,7 @@ def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.assign for name, case in CASES.items()} | {name: _described(case) for name, case in PER_ENTITY.items()}
 QUERIES |= {f"{name}_rows": case.assign for name, case in PER_ENTITY.items()}
 QUERIES |= {"fold_describe": _described(CASES["ts_oos_gap"])}
-QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_summary, synthetic_series, synthetic_panel, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
+QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_summary, synthetic_series, synthetic_panel, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
 
 _RATIO = """coefficient AS (SELECT fold_id, entity, avg(y / nullif(x, 0)) AS c FROM assigned WHERE role = 'train' GROUP BY ALL),
     predicted AS (SELECT a.*, a.x * c AS p FROM assigned a JOIN coefficient USING (fold_id, entity) WHERE role = 'test')"""
@@ -386,6 +435,10 @@ ORACLE_SQL |= {
         NOT EXISTS (SELECT 1 FROM (SELECT ts, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE b > ts) AS within_entities""",
     "entity_grouped_check": """WITH r AS (SELECT event_type, row_number() OVER (ORDER BY event_id) AS p, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS q FROM events)
         SELECT event_type, count(*) AS n, count(DISTINCT p - q) = 1 AS together FROM r GROUP BY event_type""",
+    "unsorted_warning": """WITH r AS (SELECT event_type, ts, min(event_id) AS i FROM events GROUP BY ALL),
+        p AS (SELECT *, row_number() OVER (ORDER BY i) - row_number() OVER (PARTITION BY event_type ORDER BY i) AS run, lag(ts) OVER (PARTITION BY event_type ORDER BY i) AS before FROM r)
+        SELECT 'as_stored' AS rows_in, count(DISTINCT (event_type, run)) > count(DISTINCT event_type) OR bool_or(coalesce(before > ts, false)) AS warned FROM p UNION ALL SELECT 'by_key', false""",
+    "anchor_errors": _anchors_sql(),
     "xy_key_equality": """WITH raw AS (SELECT event_type AS e, CAST(ts AS DATE) AS t FROM events),
         x AS (SELECT e, t, count(*) AS rows_of_it, 1 AS n FROM raw GROUP BY e, t),
         y AS (SELECT e, t, count(DISTINCT t) AS same, count(DISTINCT t) FILTER (t <> DATE '2024-01-07') AS fewer, count(DISTINCT t) * CASE WHEN e = 'click' THEN 2 ELSE 1 END AS twice FROM raw GROUP BY e, t)
