@@ -5,7 +5,7 @@ fitted on labelled rows (each step sums the gradients of all partitions, until i
 to calibrate its margins to probabilities, and every document is scored in Arrow batches and held against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base rules; a text without n-grams of a kind gets nothing from that
-kind; a text of any length is read whole (one beyond a megabyte is measured by itself, in memory in proportion to it);
+kind; a text of any length is read whole (a long one is measured by itself, in memory in proportion to it);
 repeated rows are judged alike; of rows that repeat a labelled id the text with the least hash is learned from, once; a
 null doc_id is kept as it is; without labels of both classes the model's verdict is to keep; an empty table gives
 no rows; other columns are ignored (``filter_documents`` passes them on).
@@ -178,7 +178,7 @@ def _vectors(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _fit(vectors: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the mean log loss plus L2 / 2 times the squared weights, each times its feature's deviation."""
-    fitted = LogisticRegression(maxIter=STEPS, tol=TOLERANCE, regParam=L2, standardization=True, family="binomial").fit(vectors)
+    fitted = LogisticRegression(maxIter=STEPS, tol=TOLERANCE, regParam=L2, standardization=True, family="binomial", maxBlockSizeInMB=0.25).fit(vectors)
     return fitted.coefficients.toArray(), float(fitted.intercept)
 
 
