@@ -46,7 +46,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each (a longer text stands alone), so that work arrays stay in cache."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
