@@ -30,6 +30,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ LONG_UNIT = 256
 #: Steps of expectation maximisation, and what is added to each piece's expected uses.
 EM_STEPS = 4
 EM_SMOOTHING = 0.01
+#: Units solved together, of about equal lengths: few enough that their edges stay in the processor's cache.
+SOLVED_UNITS = 2000
 #: Distinct units that a task counts before it passes them on.
 COUNTED_UNITS = 500_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -223,8 +226,8 @@ class UnigramModel:
             heads = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1))
             top = np.maximum.reduceat(sums, heads)
             wins = np.flatnonzero(sums == np.repeat(top, np.diff(np.append(heads, len(to)))))
-            one, at = np.unique(to[wins], return_index=True)  # the earliest beginning, so the longest last piece
-            best[one], back[one] = top, lo + wins[at]
+            one = to[heads]
+            best[one], back[one] = top, lo + wins[np.searchsorted(wins, heads)]  # the earliest beginning, so the longest last piece
         # all units are followed back at once; places fall, so the edges of a unit come last first
         home = first + np.arange(len(raw))
         at, live = home + size, np.arange(len(raw))
@@ -317,9 +320,9 @@ class UnigramModel:
         seen: set[str] = set()
         for units in split:
             seen.update(units)
-        new = list(seen.difference(self._cache))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        new = sorted(seen.difference(self._cache), key=len)
+        for at in range(0, len(new), SOLVED_UNITS):
+            some = new[at : at + SOLVED_UNITS]
             self._cache.update(zip(some, self.solve(some), strict=True))
         out = [b"".join(map(self._cache.__getitem__, units)) for units in split]
         for u in new:
@@ -394,8 +397,9 @@ def _uses(units: DataFrame, path: str, scores: bytes) -> tuple[np.ndarray, float
         m = model(path, scores)
         total, likelihood = np.zeros(len(m.pieces.texts)), 0.0
         for whole in textops.long_rows(batches):
-            for at in range(0, whole.num_rows, 20_000):
-                b = whole.slice(at, 20_000)
+            whole = whole.take(pc.sort_indices(pc.binary_length(whole.column("unit"))))
+            for at in range(0, whole.num_rows, SOLVED_UNITS):
+                b = whole.slice(at, SOLVED_UNITS)
                 uses, more = m.expected_uses(b.column("unit").to_pylist(), b.column("n").to_numpy().astype(float))
                 total += uses
                 likelihood += more
