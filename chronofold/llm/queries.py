@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import chat, licenses, neardup, packing, quality_classifier, quality_rules, shards, topk, unigram, url_reputation
+from chronofold.llm import audit, bpe, chat, licenses, neardup, negatives, packing, quality_classifier, quality_rules, shards, topk, unigram, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,23 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(docs, scores=unigram.estimate_scores(docs)).select("doc_id", "n_ids", "n_byte_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the text that decoding them gives."""
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents"))
+    written = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows = negatives.prepared(vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_packing": op2_packing,
@@ -85,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_reputation": op8_url_reputation,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_unigram_pieces": op10_unigram_pieces,
+    "op11_bpe": op11_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -163,4 +183,52 @@ ORACLE_SQL: dict[str, str] = {
             n_outcomes, round(bad_rate, 6) AS bad_rate, round(bound, 6) AS bad_rate_bound
         FROM p LEFT JOIN fit USING (page_id) LEFT JOIN b ON b.host = p.host
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        a AS (SELECT *, row_number() OVER () AS anchor FROM (SELECT DISTINCT vec_id, label, w FROM v WHERE vec_id % 100 = 0)),
+        s AS (
+            SELECT anchor, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.w, c.w) AS BIGINT) AS score
+            FROM a CROSS JOIN v c),
+        p AS (
+            SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+            FROM s WHERE same AND vec_id <> anchor_id QUALIFY place <= 5),
+        n AS (
+            SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                row_number() OVER (PARTITION BY anchor, place ORDER BY score DESC, vec_id) AS rank
+            FROM p JOIN s USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        f AS (
+            SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+                    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
+                coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+        i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        o AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        m AS (
+            SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, i AS step, o[i] AS own, n, good, toxic, fails[o[i]] AS failed,
+                len(list_filter(o[1:i - 1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone
+            FROM c, o, i),
+        g AS (
+            SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failed), 0) AS removed,
+                coalesce(sum(n) FILTER (gone AND failed), 0) AS redundant, coalesce(sum(n) FILTER (failed AND alone), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (NOT gone AND failed), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failed), 0) AS toxic_lost
+            FROM m GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM g
+    """,
 }
