@@ -502,7 +502,8 @@ def _all_judged(docs: DataFrame, region: int = REGION, region_bytes: int = REGIO
     """The judgements and whether ids repeat. Where an id has different texts, the judgements name the rows of the second result, which have numbers (``_row``) of their own in the order of ids."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(document_prints(docs), "prints")
-    ids = prints.where("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("again"), (F.min("print") < F.max("print")).alias("differ"))
+    text = F.coalesce("print", F.lit(bytearray()))  # an empty text is a text of its own
+    ids = prints.where("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("again"), (F.min(text) < F.max(text)).alias("differ"))
     seen = ids.agg(F.max("again").alias("again"), F.max("differ").alias("differ")).first()
     if not seen["differ"]:
         return _judged(docs, prints, scratch, region, region_bytes), None, bool(seen["again"])

@@ -179,3 +179,13 @@ def test_texts_under_one_id_are_judged_each_by_itself(spark):
     rows = [(2, "a b c d e f"), (2, "quite another text under this id"), (5, "Quite another text under this id"), (1, "A b c d e f"), (7, "its own words"), (7, "its own words"), (9, None), (9, None), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in neardup.keep_one(df).collect()), key=str) == sorted([(2, rows[1][1]), rows[3], rows[4], (9, None), (None, "x")], key=str)
+
+
+def test_an_empty_and_a_full_text_under_one_id_in_any_order(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, None), (2, changed(rng, words, 1)), (3, "other words that stand by themselves here")]
+    for order in (rows, rows[::-1], [rows[2], rows[1], rows[3], rows[0]], [rows[0], (2, " \n"), *rows[2:]]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert sorted(tuple(r) for r in neardup.near_duplicates(df).collect()) == brute(rows)
+        assert sorted((r["doc_id"], (r["text"] or "").strip()) for r in neardup.keep_one(df).collect()) == [rows[0], (2, ""), rows[3]]
