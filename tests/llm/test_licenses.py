@@ -63,6 +63,10 @@ def test_repeating_one_line_of_a_notice_is_no_copy(spark):
     assert got[0]["score"] == 0.0 and got[3]["score"] == 1.0
 
 
+def pairs_cover(pairs, k, at):
+    return any(j <= at < j + k for _, j in pairs)
+
+
 def spans_by_hand(text):
     """Labels of the notices and the best cover, by a plain search over diagonals."""
     words, labels, best = WORD.findall(lower(text)), set(), 0.0
@@ -75,20 +79,32 @@ def spans_by_hand(text):
                     hits.setdefault(i - j, []).append((i, j))
         spans, before = [], None
         for d in sorted(hits):
-            if before is None or d - before > (0 if t.phrase else licenses.NEAR):
+            if before is None or d - before > (0 if t.phrase or t.whole else licenses.NEAR):
                 spans.append([])
             spans[-1] += hits[d]
             before = d
         for pairs in spans:
             pairs = sorted(set(pairs))
-            longest = [1] * len(pairs)  # the longest rising chain ending at each hit
-            for x in range(len(pairs)):
-                longest[x] += max((longest[y] for y in range(x) if pairs[y][0] < pairs[x][0] and pairs[y][1] < pairs[x][1]), default=0)
-            n = licenses._chain(pairs, k)[0]
-            assert n >= max(longest) + k - 1 and n <= len({j + a for _, j in pairs for a in range(k)})
-            if n >= (len(p) if t.phrase else licenses.COVER * len(p)):
-                labels.add(t.label)
-                best = max(best, n / len(p))
+            ends = []  # (matched - inserted, matched) of the best chain that ends at each hit
+            for x, (i, j) in enumerate(pairs):
+                found = [(k, k)]
+                for y in range(x):
+                    di, dj = i - pairs[y][0], j - pairs[y][1]
+                    if di > 0 and dj > 0:
+                        new = min(di, dj, k)
+                        found.append((ends[y][0] + new - (di - new), ends[y][1] + new))
+                ends.append(max(found))
+            value, matched = max(ends)
+            cover = matched / (len(p) + matched - value)
+            if cover < (1 if t.phrase or t.whole else licenses.COVER):
+                continue
+            if any(all(not pairs_cover(pairs, k, at) for at in range(len(p)) if p[at] == w) for w in t.need.split()):
+                continue
+            first, last = min(i for i, _ in pairs), max(i for i, _ in pairs) + k
+            if set(t.never.split()) & set(words[first:last]):
+                continue
+            labels.add(t.label)
+            best = max(best, cover)
     return ",".join(sorted(labels)), best
 
 
@@ -118,3 +134,26 @@ def test_words_are_compared_by_their_bytes():
     assert [v.words[i].decode() if i >= 0 else None for i in v.numbers(data, start, end, tokens)] == [None, "mit", "license", None, "gnu"]
     forged = np.full(len(tokens), v.tokens[v.words.index(b"mit")])  # equal hashes of other words
     assert [i >= 0 for i in v.numbers(data, start, end, forged)] == [False, True, False, False, False]
+
+
+def test_words_that_tell_licenses_apart(spark):
+    wrong = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-mention",
+        "Creative Commons Zero dedication": "cc-by-mention",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-mention",
+        "released under the MIT Press imprint": "mit-mention",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "gpl-mention",
+        "Licensed under the Apache License, Version 1.1.": "apache-mention",
+        licenses.NOTICES[3].text.replace("GNU General", "GNU Lesser General"): "gpl-notice",
+        licenses.NOTICES[3].text.replace("the GNU General Public License", "the Common Development License"): "gpl-notice",
+        licenses.NOTICES[9].text.replace("Mozilla", "Eclipse"): "mpl-notice",
+        licenses.NOTICES[7].text.replace("are permitted", "are not permitted"): "bsd-notice",
+        NOTICE.replace(" ", " very much indeed and so on "): "mit-notice",
+        " ".join(w + " and or else" * (i % 4 == 3) for i, w in enumerate(NOTICE.split())): "mit-notice",
+    }
+    right = [t.text for t in licenses.NOTICES] + ["Some words. " + t.text + " And others, not lesser ones." for t in licenses.NOTICES]
+    got = scan(spark, [*wrong, *right])
+    for i, (text, label) in enumerate(wrong.items()):
+        assert label not in got[i]["labels"].split(","), text
+    for i, t in enumerate(licenses.NOTICES * 2):
+        assert t.label in got[len(wrong) + i]["labels"].split(",") and got[len(wrong) + i]["score"] == 1.0, t.text
