@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions.prefix import fold_sums
+from chronofold.operators.keys import Source
+from chronofold.operators.splitters import TemporalSplit
+
 
 def _sides(data: DataFrame, assigned: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     rows = data.join(assigned.select("fold_id", "role", *keys), list(keys))
@@ -21,6 +25,16 @@ def ratio_model(data: DataFrame, assigned: DataFrame, keys: Sequence[str], y: st
     return test.join(coefficients, group).withColumn("prediction", F.col(x) * F.col("coefficient")).drop("coefficient")
 
 
+def ratio_by_sums(splitter: TemporalSplit, source: Source, y: str, x: str) -> DataFrame:
+    """``ratio_model`` by fold and entity over a saved source: means are differences of running sums, so no train row is copied."""
+    group = ["fold_id", *([source.keys.entity] if source.keys.entity else [])]
+    ratio = F.col(y) / F.nullif(F.col(x), F.lit(0))
+    sums = fold_sums(splitter, source, {"_sum": ratio, "_known": F.when(ratio.isNotNull(), F.lit(1))})
+    coefficients = sums.select(*group, (F.col("_sum") / F.nullif(F.col("_known"), F.lit(0))).alias("_coefficient"))
+    test = splitter.assign_rows(source, role="test").drop("role")
+    return test.join(coefficients, group).withColumn("prediction", F.col(x) * F.col("_coefficient")).drop("_coefficient")
+
+
 def linear_model(data: DataFrame, assigned: DataFrame, keys: Sequence[str], y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Test rows with ``prediction`` of the least-squares line of y on x over the train rows."""
     train, test = _sides(data, assigned, keys)

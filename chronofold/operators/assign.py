@@ -5,35 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.operators.keys import Keys
+from chronofold.operators.bounds import LITERAL_FOLDS
+from chronofold.operators.keys import Keys, Shape
+from chronofold.scratch import Scratch
 
 #: Bounds of so many (fold, entity) pairs at most are broadcast; more are joined by entity.
 BROADCAST_BOUNDS = 100_000
+#: Blocks of folds that are broadcast at most; more are joined by block.
+BROADCAST_BLOCKS = 500_000
 
 
-def assignment(ranks: DataFrame, bounds: DataFrame, keys: Keys, small: bool) -> DataFrame:
-    """fold_id, role ('train' or 'test'), the key, pos: a row for each fold and role that a key has (both, in sample; as often as it is named, at repeated anchors).
+def assignment(ranks: DataFrame, bounds: DataFrame, keys: Keys, folds: int, shape: Shape, spans: int = 0, role: str | None = None) -> DataFrame:
+    """fold_id, role ('train' or 'test'), all columns of ``ranks`` but size: a row for each fold and role that a key has (both, in sample; as often as it is named, at repeated anchors).
 
-    All folds of an entity stand in one array that meets each of its rows once, so the join's output has a row an input row
-    whatever the number of folds. Only keys are read; features are joined to the result.
+    Up to ``LITERAL_FOLDS`` folds (``spans``: test rows of one fold, where a test is a set) stand in one array that meets each row of their entity once;
+    more are met block by block, see ``_by_blocks``. ``role``: only rows of this role, without making the others.
     """
+    small = folds * shape.entities <= BROADCAST_BOUNDS
+    columns = [c for c in ranks.columns if c not in ("pos", "size")]
+    if max(folds, spans) > LITERAL_FOLDS:
+        return _by_blocks(ranks, bounds, keys, folds, shape, role).select("fold_id", "role", *columns, "pos")
     names = ["fold_id", "test_lo", "test_hi", "points", "train_lo", "train_hi"]
     if keys.entity is None:  # as many rows as folds: they become a literal
         kinds = bounds.schema
-        folds = [F.struct(*(F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in names)) for r in bounds.select(*names).orderBy("fold_id").collect()]
+        rows = sorted(bounds.select(*names).collect(), key=lambda r: r["fold_id"])
+        folds = [F.struct(*(F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in names)) for r in rows]
         met = ranks.withColumn("_folds", F.array(*folds))
     else:
         per = bounds.groupBy(keys.entity).agg(F.collect_list(F.struct(*names)).alias("_folds"))
         met = ranks.join(F.broadcast(per) if small else per, keys.entity)
-    pos = F.col("pos")
+    pos, none = F.col("pos"), F.array().cast("array<string>")
 
     def roles(b):
-        train = F.when((pos >= b["train_lo"]) & (pos < b["train_hi"]), F.array(F.lit("train"))).otherwise(F.array().cast("array<string>"))
+        train = none if role == "test" else F.when((pos >= b["train_lo"]) & (pos < b["train_hi"]), F.array(F.lit("train"))).otherwise(none)
         times = F.when(b["points"].isNotNull(), F.size(F.filter(b["points"], lambda p: p == pos))).otherwise(((pos >= b["test_lo"]) & (pos < b["test_hi"])).cast("int"))
-        return F.transform(F.concat(train, F.array_repeat(F.lit("test"), times)), lambda r: F.struct(b["fold_id"].alias("fold_id"), r.alias("role")))
+        test = none if role == "train" else F.array_repeat(F.lit("test"), times)
+        return F.transform(F.concat(train, test), lambda r: F.struct(b["fold_id"].alias("fold_id"), r.alias("role")))
 
-    out = met.select(*keys.columns, "pos", F.explode(F.flatten(F.transform("_folds", roles))).alias("_f"))
-    return out.select("_f.fold_id", "_f.role", *keys.columns, "pos")
+    out = met.select(*columns, "pos", F.explode(F.flatten(F.transform("_folds", roles))).alias("_f"))
+    return out.select("_f.fold_id", "_f.role", *columns, "pos")
+
+
+def _by_blocks(ranks: DataFrame, bounds: DataFrame, keys: Keys, folds: int, shape: Shape, role: str | None) -> DataFrame:
+    """A row meets the folds whose range holds it, by an equi-join on blocks of positions.
+
+    Blocks of level l have ``width`` * 2^l positions. A range is cut into the fewest whole blocks, of a few levels, and at most two parts of
+    blocks of the lowest level at its ends, where positions are compared. A row has one block a level. With ``width`` = rows / folds
+    there are about log2(folds) levels, so n rows and k folds cost (n + k) log k besides the output, and a fold lies in one or two blocks of the ends.
+    """
+    entity = [keys.entity] if keys.entity else []
+    sides = [F.struct(F.lit(r).alias("role"), F.col(f"{r}_lo").alias("lo"), F.col(f"{r}_hi").alias("hi")) for r in ("train", "test") if role in (None, r)]
+    single = F.transform(F.coalesce("points", F.array().cast("array<long>")), lambda p: F.struct(F.lit("test").alias("role"), p.alias("lo"), (p + 1).alias("hi")))
+    ranges = F.filter(F.array(*sides), lambda s: (s["hi"] > s["lo"]) & (F.col("points").isNull() | (s["role"] == "train")))
+    spans = bounds.select("fold_id", *entity, F.explode(F.concat(ranges, single) if role != "train" else ranges).alias("_s")).select("fold_id", *entity, "_s.role", "_s.lo", "_s.hi")
+    spans = Scratch(ranks.sparkSession).save(spans, "ranges")
+    longest, n = spans.agg(F.max(F.col("hi") - F.col("lo")), F.count("*")).first()
+    low = max(0, (shape.largest // max(1, n // max(1, shape.entities))).bit_length() - 1)  # width = 2^low
+    levels = max(1, (int(longest or 1) >> low).bit_length())
+    lo, hi = F.expr(f"shiftright(lo + {(1 << low) - 1}L, {low})"), F.expr(f"shiftright(hi, {low})")
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), _blocks_of_level))
+    ends = F.array_distinct(F.filter(F.array(F.when(F.expr(f"pmod(lo, {1 << low}L) > 0"), F.expr(f"shiftright(lo, {low})")), F.when(F.expr(f"pmod(hi, {1 << low}L) > 0"), F.col("_hi"))), lambda b: b.isNotNull()))
+    edge = F.transform(ends, lambda b: F.struct(F.lit(-1).alias("level"), b.alias("block")))
+    blocks = spans.withColumns({"_lo": lo, "_hi": hi}).select("fold_id", *entity, "role", "lo", "hi", F.explode(F.concat(whole, edge)).alias("_b"))
+    blocks = blocks.select("fold_id", *entity, "role", "lo", "hi", "_b.level", "_b.block")
+    if n * (2 * levels + 2) <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    own = F.expr(f"shiftright(pos, {low})")
+    at = F.transform(F.sequence(F.lit(-1), F.lit(levels - 1)), lambda v: F.struct(v.alias("level"), F.call_function("shiftright", own, F.greatest(v, F.lit(0))).alias("block")))
+    rows = ranks.drop("size").withColumn("_b", F.explode(at)).withColumns({"level": F.col("_b.level"), "block": F.col("_b.block")}).drop("_b")
+    return rows.join(blocks, [*entity, "level", "block"]).where("level >= 0 or pos >= lo and pos < hi")
+
+
+def _blocks_of_level(level):
+    """The blocks of a level, at most one at either end, of the whole blocks [_lo, _hi) of the lowest level."""
+    lo = F.call_function("shiftright", F.col("_lo") + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+    hi = F.call_function("shiftright", F.col("_hi"), level)
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+    first = F.when(odd(lo) & (lo < hi), F.struct(level.alias("level"), lo.alias("block")))
+    last = F.when(odd(hi) & (lo + F.pmod(lo, F.lit(2)) < hi), F.struct(level.alias("level"), (hi - 1).alias("block")))
+    return F.filter(F.array(first, last), lambda b: b.isNotNull())
 
 
 def time_bounds(ranks: DataFrame, bounds: DataFrame, keys: Keys) -> DataFrame:

@@ -7,12 +7,16 @@ There is a row a fold and entity that has test rows, so bounds stay small next t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.operators.keys import Keys, Shape
 from chronofold.plans.spec import SplitSpec
+from chronofold.scratch import Scratch
+
+#: Folds of a series that become literals of a plan at most; more are a table.
+LITERAL_FOLDS = 32
 
 
 def fold_bounds(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple[DataFrame, int]:
@@ -20,7 +24,7 @@ def fold_bounds(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) ->
     tests, folds = _tests(ranks, keys, spec, shape)
     bounds = _with_train(tests, keys, spec)
     if spec.missing == "raise" and keys.entity is not None:
-        _require_all(bounds, folds, shape.entities)
+        bounds = _with_all(bounds, folds * shape.entities)
     return bounds, folds
 
 
@@ -65,7 +69,11 @@ def _series_tests(ranks: DataFrame, spec: SplitSpec, shape: Shape) -> tuple[Data
         _check_places(spec, shape)
         starts, size = sorted(int(p) for p in spec.anchors), spec.test_size or 1
     one_set = spec.mode == "is" and len(starts) > 1
-    found = ranks.sparkSession.createDataFrame([(0 if one_set else i, p, shape.rows) for i, p in enumerate(starts)], "fold_id int, pos long, size long")
+    rows = [(0 if one_set else i, p, shape.rows) for i, p in enumerate(starts)]
+    if len(rows) > LITERAL_FOLDS or one_set:
+        found = ranks.sparkSession.createDataFrame(rows, "fold_id int, pos long, size long")
+    else:  # no job is needed to read these
+        found = ranks.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(f'({i}, {p}L, {n}L)' for i, p, n in rows)} AS t(fold_id, pos, size)")
     return (_points(found, [], F.collect_list("pos")), 1) if one_set else (_ranges(found, size), len(starts))
 
 
@@ -196,7 +204,10 @@ def _with_train(tests: DataFrame, keys: Keys, spec: SplitSpec) -> DataFrame:
     return tests.select(F.col("fold_id").cast("int").alias("fold_id"), *entity, "test_lo", "test_hi", "points", start.cast("long").alias("train_lo"), end.cast("long").alias("train_hi"))
 
 
-def _require_all(bounds: DataFrame, folds: int, entities: int) -> None:
-    seen = bounds.groupBy("fold_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("folds"), F.min("n").alias("least")).first()
-    if seen["folds"] < folds or seen["least"] < entities:
+def _with_all(bounds: DataFrame, least: int) -> DataFrame:
+    """The bounds, written and counted on the way: there is a row a fold and entity, if each entity has test rows in each fold."""
+    seen = Observation()
+    saved = Scratch(bounds.sparkSession).save(bounds.observe(seen, F.count(F.lit(1)).alias("n")), "bounds")
+    if (seen.get.get("n") or 0) < least:
         raise ValueError("Cannot find test indices for the group: an entity has no test rows in some fold")
+    return saved

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,14 +15,13 @@ from chronofold.scratch import Scratch
 #: A series, or an entity of a panel, of so many rows at most is ranked by one task; a longer one by ranges.
 SERIES_IN_ONE_TASK = 1_000_000
 
-
 #: Columns of ranks, bounds and assignments; a key column can't have one of these names, nor begin with an underscore.
 RESERVED = frozenset(("fold_id", "role", "pos", "size", "test_lo", "test_hi", "points", "n_test", "train_lo", "train_hi"))
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What the driver knows of the data: rows, entities, distinct times, rows of the largest entity (at most)."""
+    """What the driver knows of the data: rows, entities, distinct times (0: not counted), rows of the largest entity (at most)."""
 
     rows: int
     entities: int
@@ -106,8 +105,8 @@ def same_keys(x: DataFrame, y: DataFrame, keys: Keys) -> bool:
     return both.where("nx is null or ny is null or nx <> ny").limit(1).count() == 0
 
 
-def ranked(df: DataFrame, keys: Keys, spread: bool | None = None) -> DataFrame:
-    """The keys with ``pos``, the 0-based rank of a row within its entity, and ``size``, the entity's rows.
+def ranked(df: DataFrame, keys: Keys, spread: bool | None = None, data: bool = False) -> DataFrame:
+    """The keys (with ``data`` all columns) with ``pos``, the 0-based rank of a row within its entity, and ``size``, the entity's rows.
 
     With ``spread`` rows are range-partitioned by (entity, time), so that an entity of any size, or a single long series, is
     ranked by many tasks; its offsets come from one small count a partition and entity. Without, one window over each entity
@@ -115,11 +114,13 @@ def ranked(df: DataFrame, keys: Keys, spread: bool | None = None) -> DataFrame:
     """
     keys.check(df)
     spread = keys.entity is None if spread is None else spread
-    own = df.select(*keys.columns)
-    if not spread:
-        w = W.partitionBy(*keys.columns[:-1])
-        return own.withColumn("pos", F.row_number().over(w.orderBy(keys.time)).cast("long") - 1).withColumn("size", F.count("*").over(w))
-    return with_places(own, keys)
+    own = df if data else df.select(*keys.columns)
+    return with_places(own, keys) if spread else _by_window(own, keys)
+
+
+def _by_window(df: DataFrame, keys: Keys) -> DataFrame:
+    w = W.partitionBy(*keys.columns[:-1])
+    return df.withColumn("pos", F.row_number().over(w.orderBy(keys.time)).cast("long") - 1).withColumn("size", F.count("*").over(w))
 
 
 def with_places(df: DataFrame, keys: Keys) -> DataFrame:
@@ -136,21 +137,48 @@ def with_places(df: DataFrame, keys: Keys) -> DataFrame:
     return saved.join(starts, by).select(*df.columns, (F.col("_local") - F.col("_first") + F.col("_before")).alias("pos"), "size")
 
 
+@dataclass(frozen=True)
+class Source:
+    """Ranked keys, written to the shared folder: the keys, pos, size and, if asked for, all other columns as the struct ``_data``."""
+
+    keys: Keys
+    ranks: DataFrame
+    shape: Shape
+
+
+def _nulls(keys: Keys):
+    null = F.col(keys.time).isNull()
+    return null if keys.entity is None else null | F.col(keys.entity).isNull()
+
+
+def ranked_at_once(own: DataFrame, keys: Keys) -> Source:
+    """Ranks the rows by one window and checks them by an observation of the same write."""
+    again = F.coalesce(F.lag(keys.time).over(W.partitionBy(*keys.columns[:-1]).orderBy(keys.time)) == F.col(keys.time), F.lit(False))
+    seen = Observation()
+    marked = _by_window(own, keys).withColumns({"_again": again, "_null": _nulls(keys)})
+    counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("_null").alias("nulls"), F.max("_again").alias("again"), F.count_if(F.col("pos") == 0).alias("entities"), F.max("size").alias("largest"))
+    ranks = Scratch(own.sparkSession).save(counted.drop("_again", "_null"), "ranks")
+    found = seen.get
+    _refuse(keys, found.get("rows") or 0, found.get("nulls"), found.get("again"))
+    return Source(keys, ranks, Shape(found["rows"], found["entities"], found["rows"] if keys.entity is None else 0, found["largest"]))
+
+
+def _refuse(keys: Keys, rows: int, nulls, again) -> None:
+    if not rows:
+        raise ValueError("X is empty")
+    if nulls:
+        raise ValueError(f"null in key columns {keys.columns}")
+    if again:
+        raise ValueError(f"repeated keys in {keys.columns}")
+
+
 def check_keys(df: DataFrame, keys: Keys) -> Shape:
     """Raises ValueError for an empty table, null keys or repeated keys: folds of such rows aren't defined. One pass over the keys."""
     keys.check(df)
     per_key = df.groupBy(*keys.columns).agg(F.count("*").alias("n"))
-    null = F.col(keys.time).isNull()
-    if keys.entity is not None:
-        null = null | F.col(keys.entity).isNull()
     distinct = [F.count_distinct(c).alias(name) for c, name in zip(keys.columns[::-1], ("times", "entities"), strict=False)] if keys.entity is not None else []
-    seen = per_key.agg(F.count("*").alias("rows"), F.max(null.cast("int")).alias("nulls"), F.max("n").alias("most"), *distinct).first()
-    if not seen["rows"]:
-        raise ValueError("X is empty")
-    if seen["nulls"]:
-        raise ValueError(f"null in key columns {keys.columns}")
-    if seen["most"] > 1:
-        raise ValueError(f"repeated keys in {keys.columns}")
+    seen = per_key.agg(F.count("*").alias("rows"), F.max(_nulls(keys)).alias("nulls"), F.max("n").alias("most"), *distinct).first()
+    _refuse(keys, seen["rows"], seen["nulls"], (seen["most"] or 0) > 1)
     if keys.entity is None:
         return Shape(seen["rows"], 1, seen["rows"], seen["rows"])
     # An entity has a row a time at most; only where that leaves it open are its rows counted.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,33 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import assign as assigning
 from chronofold.operators.bounds import fold_bounds
-from chronofold.operators.keys import SERIES_IN_ONE_TASK, Keys, Shape, check_keys, ranked, same_keys, warn_if_unsorted
+from chronofold.operators.keys import SERIES_IN_ONE_TASK, Keys, Source, check_keys, ranked, ranked_at_once, same_keys, warn_if_unsorted
 from chronofold.plans.spec import SplitSpec
 from chronofold.scratch import Scratch
 
 
+#: Bytes that Spark may expect of a row, at most, for a source to count as small.
+ROW_BYTES = 64
+
+
+def _prepared(df: DataFrame, keys: Keys, data: bool, hot: bool) -> Source:
+    """Checks and ranks the rows, running what made them once.
+
+    A source that Spark expects to have few enough rows for one task is ranked and checked as it is first written. Of another one the keys are written
+    first; where they show an entity too large for one task, or with ``hot``, rows are ranked by ranges.
+    """
+    others = [c for c in df.columns if c not in keys.columns]
+    own = df.select(*keys.columns, F.struct(*others).alias("_data")) if data and others else df.select(*keys.columns)
+    if not hot and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ROW_BYTES * SERIES_IN_ONE_TASK:
+        return ranked_at_once(own, keys)
+    scratch = Scratch(df.sparkSession)
+    saved = scratch.save(own, "keys")
+    shape = check_keys(saved.select(*keys.columns), keys)
+    spread = hot or shape.largest > SERIES_IN_ONE_TASK
+    ranks = ranked(saved, keys, spread=spread, **({"data": True} if data else {}))
+    return Source(keys, scratch.save(ranks, "ranks") if not spread and (data or shape.rows > SERIES_IN_ONE_TASK) else ranks, shape)
+
+
 class TemporalSplit:
     """What all splitters share; a subclass says the mode and which keys it takes."""
 
@@ -35,50 +58,65 @@ class TemporalSplit:
     def _keys(self, time: str, entity: str | None) -> Keys:
         return Keys(time, entity)
 
-    def _prepared(self, df: DataFrame, time: str, entity: str | None, y: DataFrame | None, ordinal: str | None, hot_entities: bool) -> tuple[Keys, DataFrame, Shape]:
+    def source(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False, data: bool = True) -> Source:
+        """The rows, checked, ranked and saved with all their columns, so that what made ``df`` runs once. The methods below take it in place of ``df``."""
         keys = self._keys(time, entity)
         keys.check(df)
-        scratch = Scratch(df.sparkSession)
-        own = scratch.save(df.select(*keys.columns), "keys")  # what made df runs once; all that follows reads the keys
-        shape = check_keys(own, keys)
-        if y is not None and not same_keys(own, y, keys):
+        found = _prepared(df, keys, data, hot_entities)
+        if y is not None and not same_keys(found.ranks, y, keys):
             raise ValueError("X and y should have the same indexes")
         if ordinal is not None:
             warn_if_unsorted(df, ordinal, keys)
-        spread = hot_entities or shape.largest > SERIES_IN_ONE_TASK
-        ranks = ranked(own, keys, spread=spread)
-        return keys, scratch.save(ranks, "ranks") if not spread and shape.rows > SERIES_IN_ONE_TASK else ranks, shape
+        return found
 
-    def bounds(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
-        """fold_id, [entity], test_lo, test_hi, points, train_lo, train_hi: positions within the entity."""
-        keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
-        return fold_bounds(ranks, keys, self.spec, shape)[0]
+    def _taken(self, df: DataFrame | Source, time: str | None, entity: str | None, y: DataFrame | None, ordinal: str | None, hot_entities: bool) -> Source:
+        found = df if isinstance(df, Source) else self.source(df, time, entity, y=y, ordinal=ordinal, hot_entities=hot_entities, data=False)
+        self._keys(found.keys.time, found.keys.entity)
+        if found.keys.entity is not None and self.spec.anchor_kind is None and not found.shape.times:
+            found = replace(found, shape=replace(found.shape, times=found.ranks.agg(F.count_distinct(found.keys.time)).first()[0]))
+        return found
 
-    def assign(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
-        """fold_id, role, [entity], time, pos of all folds. ``hot_entities``: rank by ranges in any case, not only where an entity is too large for one task. Errors are raised here, not when the result is computed."""
-        keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
-        bounds, folds = fold_bounds(ranks, keys, self.spec, shape)
-        return assigning.assignment(ranks, bounds, keys, folds * shape.entities <= assigning.BROADCAST_BOUNDS)
+    def bounds(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> DataFrame:
+        """fold_id, [entity], test_lo, test_hi, points, train_lo, train_hi: positions within the entity."""
+        found = self._taken(df, time, entity, y, ordinal, hot_entities)
+        return fold_bounds(found.ranks, found.keys, self.spec, found.shape)[0]
+
+    def assign(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False, role: str | None = None) -> DataFrame:
+        """fold_id, role, [entity], time, pos of all folds. ``hot_entities``: rank by ranges in any case, not only where an entity is too large for one task. ``role``: 'train' or 'test' rows only. Errors are raised here, not when the result is computed."""
+        found = self._taken(df, time, entity, y, ordinal, hot_entities)
+        return self._assigned(found, found.ranks.select(*found.keys.columns, "pos", "size"), role)
+
+    def assign_rows(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None, *, hot_entities: bool = False, role: str | None = None) -> DataFrame:
+        """fold_id, role and all columns of the rows of all folds, from a saved source: nothing is joined."""
+        if not isinstance(df, Source):
+            df = self.source(df, time, entity, hot_entities=hot_entities)
+        found = self._taken(df, None, None, None, None, False)
+        out = self._assigned(found, found.ranks, role).drop("pos")
+        return out.select("fold_id", "role", *found.keys.columns, "_data.*") if "_data" in out.columns else out
+
+    def _assigned(self, found: Source, ranks: DataFrame, role: str | None) -> DataFrame:
+        bounds, folds = fold_bounds(found.ranks, found.keys, self.spec, found.shape)
+        return assigning.assignment(ranks, bounds, found.keys, folds, found.shape, len(self.spec.anchors or ()), role)
 
     def split(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False) -> Iterator[tuple[DataFrame, DataFrame]]:
         """(train, test) of each fold with all columns of ``df``. Checks run at once, folds when they are asked for."""
-        keys, ranks, shape = self._prepared(df, time, entity, y, ordinal, hot_entities)
-        bounds, folds = fold_bounds(ranks, keys, self.spec, shape)
-        return self._folds(df, keys, Scratch(df.sparkSession).save(ranks, "ranks"), bounds, folds, shape.entities)
+        found = self._taken(df, time, entity, y, ordinal, hot_entities)
+        bounds, folds = fold_bounds(found.ranks, found.keys, self.spec, found.shape)
+        return self._folds(df, found, bounds, folds)
 
-    def _folds(self, df: DataFrame, keys: Keys, ranks: DataFrame, bounds: DataFrame, folds: int, entities: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    def _folds(self, df: DataFrame, found: Source, bounds: DataFrame, folds: int) -> Iterator[tuple[DataFrame, DataFrame]]:
         for i in range(folds):
-            rows = assigning.assignment(ranks, bounds.where(F.col("fold_id") == i), keys, entities <= assigning.BROADCAST_BOUNDS)
-            yield self._side(df, keys, rows, "train"), self._side(df, keys, rows, "test")
+            rows = assigning.assignment(found.ranks, bounds.where(F.col("fold_id") == i), found.keys, 1, found.shape, len(self.spec.anchors or ()) if folds == 1 else 0)
+            yield self._side(df, found.keys, rows, "train"), self._side(df, found.keys, rows, "test")
 
     @staticmethod
     def _side(df: DataFrame, keys: Keys, rows: DataFrame, role: str) -> DataFrame:
         return df.join(rows.where(F.col("role") == role).select(*keys.columns).distinct(), keys.columns, "left_semi")
 
-    def get_n_splits(self, df: DataFrame, time: str, entity: str | None = None) -> int:
+    def get_n_splits(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None) -> int:
         """The number of folds that ``split`` gives for these data."""
-        keys, ranks, shape = self._prepared(df, time, entity, None, None, False)
-        return fold_bounds(ranks, keys, self.spec, shape)[1]
+        found = self._taken(df, time, entity, None, None, False)
+        return fold_bounds(found.ranks, found.keys, self.spec, found.shape)[1]
 
 
 class OutOfSampleSplit(TemporalSplit):
@@ -127,16 +165,17 @@ class PanelInSampleSplit(_PanelOnly, InSampleSplit):
 class _EachEntity(_PanelOnly):
     """Folds by entity: ``split`` gives a pair for each fold and, in its order, each entity that has test rows there."""
 
-    def _folds(self, df: DataFrame, keys: Keys, ranks: DataFrame, bounds: DataFrame, folds: int, entities: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    def _folds(self, df: DataFrame, found: Source, bounds: DataFrame, folds: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+        entity = found.keys.entity
         for i in range(folds):
             own = bounds.where(F.col("fold_id") == i)
-            for row in own.select(keys.entity).orderBy(keys.entity).toLocalIterator():
-                one = F.col(keys.entity).eqNullSafe(F.lit(row[0]))
-                rows = assigning.assignment(ranks.where(one), own.where(one), keys, True)
+            for row in own.select(entity).orderBy(entity).toLocalIterator():
+                one = F.col(entity).eqNullSafe(F.lit(row[0]))
+                rows = assigning.assignment(found.ranks.where(one), own.where(one), found.keys, 1, found.shape)
                 part = df.where(one)
-                yield self._side(part, keys, rows, "train"), self._side(part, keys, rows, "test")
+                yield self._side(part, found.keys, rows, "train"), self._side(part, found.keys, rows, "test")
 
-    def get_n_splits(self, df: DataFrame, time: str, entity: str | None = None) -> int:
+    def get_n_splits(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None) -> int:
         return self.bounds(df, time, entity).count()
 
     def each(self, df: DataFrame, time: str, entity: str, func: Callable[[Any, Any], Any], schema: str) -> DataFrame:
@@ -145,8 +184,8 @@ class _EachEntity(_PanelOnly):
         What it returns (a frame as ``schema`` says, without names fold_id and the entity's) becomes one relation with fold_id and the entity in front.
         An entity's rows of a fold must fit a task; aggregates of larger ones are ``functions.models`` over ``assign``.
         """
-        rows = self.assign(df, time, entity).select(F.col("fold_id").alias("_fold"), F.col("role").alias("_role"), entity, time)
-        data = df.join(rows, [entity, time])
+        data = self.assign_rows(df.select("*"), time, entity).withColumnsRenamed({"fold_id": "_fold", "role": "_role"})
+        data = data.select("_fold", "_role", *df.columns)
 
         def run(key: tuple, frame: Any) -> Any:
             frame = frame.sort_values(time).reset_index(drop=True)

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import chronofold as cf
-from chronofold.functions import features, metrics, models
+from chronofold.functions import features, metrics, models, regression
 from chronofold.operators import keys as key_ops
 from chronofold.operators.assign import time_bounds
 from chronofold.operators.bounds import fold_bounds
 from chronofold.operators.keys import Keys
-from chronofold.sources import synthetic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +30,10 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("t")).agg(F.sum("value").alias("y"), F.count("*").cast("double").alias("x"))
 
 
+def events_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy(F.col("ts").alias("t")).agg(F.sum("value").alias("y"), F.count("*").cast("double").alias("x"))
+
+
 def orders_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").groupBy(_trunc("month", "o_orderdate").alias("t")).agg(F.sum("o_totalprice").alias("y"), F.count("*").cast("double").alias("x"))
 
@@ -55,6 +58,7 @@ def lines_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SOURCES_SQL = {
     events_daily: "SELECT 'all' AS e, CAST(ts AS DATE) AS t, sum(value) AS y, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY ALL",
+    events_by_time: "SELECT 'all' AS e, ts AS t, sum(value) AS y, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY ALL",
     orders_monthly: "SELECT 'all' AS e, CAST(date_trunc('month', o_orderdate) AS DATE) AS t, sum(o_totalprice) AS y, CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY ALL",
     events_by_type: "SELECT event_type AS e, CAST(ts AS DATE) AS t, sum(value) AS y, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY ALL",
     orders_by_priority: "SELECT o_orderpriority AS e, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS t, sum(o_totalprice) AS y, CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY ALL",
@@ -77,7 +81,7 @@ class Case:
 
     @property
     def panel(self) -> bool:
-        return "Panel" in self.splitter.__name__ or self.source not in (events_daily, orders_monthly)
+        return "Panel" in self.splitter.__name__ or self.source not in (events_daily, events_by_time, orders_monthly)
 
     @property
     def columns(self) -> list[str]:
@@ -146,6 +150,8 @@ CASES: dict[str, Case] = {
     "ts_oos_rolling": Case(events_daily, _OOS, {"n_splits": 3, "test_size": 4, "gap": 1, "max_train_size": 8}, test_size_sql="4"),
     "ts_oos_empty_train": Case(events_daily, _OOS, {"n_splits": 3, "test_size": 5, "gap": 20}, test_size_sql="5"),
     "ts_oos_zero_max_train": Case(events_daily, _OOS, {"n_splits": 2, "test_size": 2, "max_train_size": 0}, test_size_sql="2"),
+    "ts_oos_thousand_folds": Case(events_by_time, _OOS, {"n_splits": 999, "gap": 5, "max_train_size": 200}, test_size_sql="tt.nt // 1000"),
+    "ts_is_many_positions": Case(events_by_time, _IS, {"test_indices": list(range(3, 900, 9)), "max_train_size": 120}, _PLACES_SQL.format(fold="0", places=", ".join(map(str, range(3, 900, 9)))), points=True),
     "ts_oos_dates": Case(orders_monthly, _OOS, {"test_indices": _dates("1996-03-01", "1998-06-01"), "test_size": 3, "gap": 1}, _times_sql("1996-03-01", "1998-06-01"), "3"),
     "ts_oos_positions": Case(orders_monthly, _OOS, {"test_indices": [70, 10, 40], "test_size": 2}, _PLACES_SQL.format(fold="row_number() OVER (ORDER BY t) - 1", places="10, 40, 70"), "2"),
     "ts_is_default": Case(orders_monthly, _IS, {"test_size": 6}, _IS_DEFAULT.format(size=6), "6"),
@@ -167,6 +173,7 @@ CASES: dict[str, Case] = {
     "panel_oos_skip_missing": Case(orders_by_nation, _POOS, {"n_splits": 4, "test_size": 3, "missing": "skip"}, test_size_sql="3"),
     "panel_oos_first_seen": Case(lines_by_supplier, _POOS, {"n_splits": 4, "test_size": 3, "missing": "skip", "time_order": "first_seen"}, test_size_sql="3"),
     "panel_oos_many_entities": Case(lines_by_supplier, _POOS, {"n_splits": 3, "test_size": 2, "gap": 1, "max_train_size": 12, "missing": "skip"}, test_size_sql="2"),
+    "panel_oos_many_folds": Case(lines_by_supplier, _POOS, {"n_splits": 60, "test_size": 1, "gap": 1, "max_train_size": 6, "missing": "skip"}, test_size_sql="1"),
     "panel_oos_tuples_skip": Case(orders_by_nation, _POOS, {"test_indices": [(e, dt.date.fromisoformat(d)) for e, d in _PAIRS], "test_size": 2, "missing": "skip"}, _pairs_sql(*_PAIRS), "2"),
     "panel_is_default": Case(events_by_type, _PIS, {"test_size": 5}, _IS_DEFAULT.format(size=1), "5"),
     "panel_is_one_date": Case(events_by_type, _PIS, {"test_indices": "2024-01-15", "test_size": 3}, _times_sql("2024-01-15"), "3"),
@@ -182,6 +189,7 @@ PER_ENTITY = {
 }
 _ML = Case(events_by_type, _POOS, {"n_splits": 3, "test_size": 4}, test_size_sql="4")
 _CV = Case(lines_by_supplier, _POOS, {"n_splits": 3, "test_size": 6, "gap": 1, "missing": "skip"}, test_size_sql="6")
+_CV_NATIONS = Case(orders_by_nation, _POOS, {"n_splits": 4, "test_size": 3, "gap": 1, "missing": "skip"}, test_size_sql="3")
 _CV_SERIES = CASES["ts_oos_rolling"]
 
 
@@ -322,44 +330,52 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(rows.select("entity", "t", "y"), ["entity", "t"], "left").groupBy("entity").agg(F.round(features.share_known("y"), 6).alias("known"))
 
 
-def _cv_rows(spark: SparkSession, sf_dir: str, model) -> DataFrame:
-    data = lines_by_supplier(spark, sf_dir)
-    return model(data, _CV.assign(spark, sf_dir), ["entity", "t"], "y", "x", ["entity"])
+def _cv_source(case: Case, spark: SparkSession, sf_dir: str):
+    splitter = case.splitter(**case.options)
+    return splitter, splitter.source(case.source(spark, sf_dir), "t", "entity" if case.panel else None)
 
 
 def cv_ratio_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cv_rows(spark, sf_dir, models.ratio_model)
+    rows = models.ratio_by_sums(*_cv_source(_CV, spark, sf_dir), "y", "x")
     return rows.groupBy("fold_id").agg(F.round(metrics.rmse("y", "prediction"), 3).alias("rmse"), F.count("*").alias("n"))
 
 
 def cv_mae_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cv_rows(spark, sf_dir, models.ratio_model)
+    rows = models.ratio_by_sums(*_cv_source(_CV, spark, sf_dir), "y", "x")
     return rows.groupBy("fold_id").agg(F.round(metrics.mae("y", "prediction"), 3).alias("mae"), F.round(metrics.mape("y", "prediction"), 5).alias("mape"))
 
 
+def cv_ratio_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from copies of each fold's train rows, of nations in place of suppliers."""
+    splitter, source = _cv_source(_CV_NATIONS, spark, sf_dir)
+    rows = splitter.assign_rows(source)
+    predicted = models.ratio_model(rows.select("entity", "t", "y", "x").distinct(), rows.select("fold_id", "role", "entity", "t"), ["entity", "t"], "y", "x", ["entity"])
+    return predicted.groupBy("fold_id").agg(F.round(metrics.rmse("y", "prediction"), 3).alias("rmse"), F.count("*").alias("n"))
+
+
 def cv_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.ratio_model(events_daily(spark, sf_dir), _CV_SERIES.assign(spark, sf_dir), ["t"], "y", "x")
+    rows = models.ratio_by_sums(*_cv_source(_CV_SERIES, spark, sf_dir), "y", "x")
     return metrics.direction_accuracy(rows, "y", "prediction", "t", ["fold_id"]).withColumn("direction_accuracy", F.round("direction_accuracy", 6))
 
 
 def cv_linear_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cv_rows(spark, sf_dir, models.linear_model)
+    rows = regression.regression_model(*_cv_source(_CV, spark, sf_dir), "y", ["x"])
     return rows.groupBy("entity").agg(F.round(metrics.mae("y", "prediction"), 2).alias("mae"))
 
 
+def cv_two_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target on this and the last month's quantity, by fold and supplier."""
+    splitter = _CV.splitter(**_CV.options)
+    source = splitter.source(features.lag_features(_CV.source(spark, sf_dir), "x", [1], "t", "entity"), "t", "entity")
+    rows = regression.regression_model(splitter, source, "y", ["x", "x_lag_1"])
+    return rows.groupBy("fold_id").agg(F.round(metrics.rmse("y", "prediction"), 2).alias("rmse"), F.round(metrics.mae("y", "prediction"), 2).alias("mae"), F.count("prediction").alias("n"))
+
+
 def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.fold_summary(cv_ratio_rmse(spark, sf_dir), "rmse")
     return out.select("folds", *(F.round(c, 2).alias(c) for c in ("mean", "std_pop", "std_samp")))
 
 
-def synthetic_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.synthetic_series(spark)
-
-
-def synthetic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.synthetic_panel(spark)
-
-
 def per_entity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each entity's train as the forecast of its test, all folds and entities side by side."""
     import pandas as pd
@@ -417,7 +433,7 @@ def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.assign for name, case in CASES.items()} | {name: _described(case) for name, case in PER_ENTITY.items()}
 QUERIES |= {f"{name}_rows": case.assign for name, case in PER_ENTITY.items()}
 QUERIES |= {"fold_describe": _described(CASES["ts_oos_gap"])}
-QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_summary, synthetic_series, synthetic_panel, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
+QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
 
 _RATIO = """coefficient AS (SELECT fold_id, entity, avg(y / nullif(x, 0)) AS c FROM assigned WHERE role = 'train' GROUP BY ALL),
     predicted AS (SELECT a.*, a.x * c AS p FROM assigned a JOIN coefficient USING (fold_id, entity) WHERE role = 'test')"""
@@ -459,6 +475,12 @@ ORACLE_SQL |= {
     "cross_section_stats": f"SELECT t, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std FROM ({_SOURCES_SQL[lines_by_supplier]}) GROUP BY t",
     "completeness": f"WITH s AS ({_SOURCES_SQL[orders_by_nation]}) SELECT e AS entity, round(100.0 * count(*) / (SELECT count(DISTINCT t) FROM s), 6) AS known FROM s GROUP BY e",
     "cv_ratio_rmse": f"WITH {_CV.ctes()}, {_RATIO} SELECT fold_id, round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, count(*) AS n FROM predicted GROUP BY fold_id",
+    "cv_ratio_rows": f"WITH {_CV_NATIONS.ctes()}, {_RATIO} SELECT fold_id, round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, count(*) AS n FROM predicted GROUP BY fold_id",
+    "cv_two_regressors": f"""WITH {_CV.ctes()}, z AS (SELECT e AS entity, t, lag(x) OVER (PARTITION BY e ORDER BY t) AS z FROM src), r AS (SELECT * FROM assigned JOIN z USING (entity, t)),
+        moments AS (SELECT fold_id, entity, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM r WHERE role = 'train' AND z IS NOT NULL GROUP BY ALL),
+        slopes AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM moments),
+        fitted AS (SELECT fold_id, y, my + bx * (x - mx) + bz * (z - mz) AS p FROM r JOIN slopes USING (fold_id, entity) WHERE role = 'test')
+        SELECT fold_id, round(sqrt(avg((y - p) * (y - p))), 2) AS rmse, round(avg(abs(y - p)), 2) AS mae, count(p) AS n FROM fitted GROUP BY fold_id""",
     "cv_mae_mape": f"WITH {_CV.ctes()}, {_RATIO} SELECT fold_id, round(avg(abs(y - p)), 3) AS mae, round(100 * avg(abs((y - p) / nullif(y, 0))), 5) AS mape FROM predicted GROUP BY fold_id",
     "cv_direction": f"""WITH {_CV_SERIES.ctes()}, {_RATIO}, d AS (SELECT fold_id, y - lag(y) OVER w AS dy, p - lag(p) OVER w AS dp FROM predicted WINDOW w AS (PARTITION BY fold_id ORDER BY t))
         SELECT fold_id, round(avg(CASE WHEN sign(dy) = sign(dp) THEN 1.0 ELSE 0.0 END), 6) AS direction_accuracy FROM d GROUP BY fold_id""",
