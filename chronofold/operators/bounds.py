@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.operators.keys import Keys, Shape
+from chronofold.operators.keys import SERIES_IN_ONE_TASK, Keys, Shape, summed_before
 from chronofold.plans.spec import SplitSpec
 from chronofold.scratch import Scratch
 
@@ -35,7 +35,7 @@ def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple
     if spec.anchor_kind is None:
         back, size = _default_starts(keys, spec, shape)
         times = _times_from_end(ranks, keys, back, spec.time_order)
-        return _ranges(ranks.join(F.broadcast(times), keys.time), size), len(back)  # a row a fold
+        return _ranges(_first_of_time(ranks.join(F.broadcast(times), keys.time), keys), size), len(back)  # a row a fold
     many = len(spec.anchors) > 1
     size = spec.test_size or 1
     by_time = keys.entity is not None and spec.anchor_kind == "time"
@@ -51,7 +51,7 @@ def _tests(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> tuple
     if by_time and not many:
         return _ranges(found, size), 1
     if not by_time and not many:
-        return (_ranges(found, size) if keys.entity is None else _run_from(ranks, keys, found, size)), 1
+        return (_ranges(found, size) if keys.entity is None else _run_from(ranks, keys, found, size, shape.entities)), 1
     return _points(found, [keys.entity] if keys.entity else [], F.collect_set("pos") if by_time else F.collect_list("pos")), 1
 
 
@@ -143,16 +143,17 @@ def _resolved(ranks: DataFrame, keys: Keys, spec: SplitSpec, shape: Shape) -> Da
     if kind == "position":
         _check_places(spec, shape)
         wanted = F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(anchors)], "fold_id int, _place long"))
-        return _global(ranks, keys).join(wanted, "_place").drop("_place")
+        return _global(ranks, keys, shape.entities).join(wanted, "_place").drop("_place")
     if kind == "pair":
         if keys.entity is None:
             raise ValueError("(entity, time) anchors need panel data")
-        e, t = (ranks.schema[c].dataType.simpleString() for c in keys.columns)
+        e, t = (ranks.schema[c].dataType.simpleString() for c in (keys.entity, keys.time))
         rows = [(i, a[0], _as(t, a[1]) if not isinstance(a[1], str) else a[1]) for i, a in enumerate(anchors)]
         given = spark.createDataFrame(rows, f"fold_id int, `{keys.entity}` {e}, `{keys.time}` {'string' if isinstance(rows[0][2], str) else t}")
-        found = ranks.join(F.broadcast(given.withColumn(keys.time, F.col(keys.time).cast(ranks.schema[keys.time].dataType))), keys.columns)
+        found = ranks.join(F.broadcast(given.withColumn(keys.time, F.col(keys.time).cast(ranks.schema[keys.time].dataType))), [keys.entity, keys.time])
     else:
         found = _join_times(ranks, keys, anchors)
+    found = _first_of_time(found, keys)
     seen = {r[0] for r in found.select("fold_id").distinct().collect()}  # one a anchor
     lost = [a for i, a in enumerate(anchors) if i not in seen]
     if lost:
@@ -167,12 +168,20 @@ def _check_places(spec: SplitSpec, shape: Shape) -> None:
         raise ValueError("test_indices contain negative indices")
 
 
-def _global(ranks: DataFrame, keys: Keys) -> DataFrame:
-    """Adds the position over all entities in their order: sizes of the entities before, summed up, plus pos."""
+def _first_of_time(found: DataFrame, keys: Keys) -> DataFrame:
+    """Where times repeat, a time stands for its first row in the entity."""
+    if not keys.tiebreak:
+        return found
+    others = [c for c in ("_place", *keys.tiebreak) if c in found.columns]
+    return found.groupBy("fold_id", *keys.within, keys.time).agg(F.min("pos").alias("pos"), F.first("size").alias("size"), *(F.min_by(c, "pos").alias(c) for c in others))
+
+
+def _global(ranks: DataFrame, keys: Keys, entities: int) -> DataFrame:
+    """Adds the position over all entities in their order: sizes of the entities before, summed up (many entities: by ranges), plus pos."""
     if keys.entity is None:
         return ranks.withColumn("_place", F.col("pos"))
     sizes = ranks.where("pos = 0").select(keys.entity, "size")
-    before = sizes.select(keys.entity, (F.sum("size").over(W.orderBy(keys.entity).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("_before"))  # a row an entity
+    before = summed_before(sizes, [keys.entity], "size", "_before", entities > SERIES_IN_ONE_TASK).drop("size")
     return ranks.join(before, keys.entity).withColumn("_place", F.col("_before") + F.col("pos")).drop("_before")
 
 
@@ -183,10 +192,10 @@ def _ranges(found: DataFrame, size: int) -> DataFrame:
     return found.withColumn("test_lo", F.col("pos")).withColumn("test_hi", hi).withColumn("points", F.lit(None).cast("array<long>")).withColumn("n_test", hi - F.col("pos")).drop(*drop)
 
 
-def _run_from(ranks: DataFrame, keys: Keys, found: DataFrame, size: int) -> DataFrame:
+def _run_from(ranks: DataFrame, keys: Keys, found: DataFrame, size: int, entities: int) -> DataFrame:
     """One test of ``size`` rows of the whole panel from one found row, on into the entities that follow."""
-    place = _global(ranks, keys).join(F.broadcast(found.select(*keys.columns)), keys.columns).first()["_place"]
-    each = _global(ranks.where("pos = 0"), keys).select(keys.entity, (F.lit(place) - F.col("_place")).alias("_from"), "size")
+    place = _global(ranks, keys, entities).join(F.broadcast(found.select(*keys.columns)), keys.columns).first()["_place"]
+    each = _global(ranks.where("pos = 0"), keys, entities).select(keys.entity, (F.lit(place) - F.col("_place")).alias("_from"), "size")
     lo, hi = F.greatest(F.col("_from"), F.lit(0)), F.least(F.col("_from") + size, F.col("size"))
     ranges = each.select(F.lit(0).alias("fold_id"), keys.entity, lo.alias("test_lo"), hi.alias("test_hi")).where("test_hi > test_lo")
     return ranges.withColumn("points", F.lit(None).cast("array<long>")).withColumn("n_test", F.col("test_hi") - F.col("test_lo"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ from chronofold.scratch import Scratch
 #: A series, or an entity of a panel, of so many rows at most is ranked by one task; a longer one by ranges.
 SERIES_IN_ONE_TASK = 1_000_000
 
+#: Files whose row counts are broadcast at most.
+BROADCAST_FILES = 100_000
+#: Names the order of rows in their files in place of a column.
+STORED = "_metadata"
+
 #: Columns of ranks, bounds and assignments; a key column can't have one of these names, nor begin with an underscore.
 RESERVED = frozenset(("fold_id", "role", "pos", "size", "test_lo", "test_hi", "points", "n_test", "train_lo", "train_hi"))
 
@@ -31,14 +38,23 @@ class Shape:
 
 @dataclass(frozen=True)
 class Keys:
-    """Columns that identify a row: the time and, for a panel, the entity."""
+    """Columns that identify a row: the time and, for a panel, the entity. Where times repeat in an entity, ``tiebreak`` columns put their rows in order."""
 
     time: str
     entity: str | None = None
+    tiebreak: tuple[str, ...] = ()
+
+    @property
+    def within(self) -> list[str]:
+        return [] if self.entity is None else [self.entity]
+
+    @property
+    def order(self) -> list[str]:
+        return [self.time, *self.tiebreak]
 
     @property
     def columns(self) -> list[str]:
-        return [self.time] if self.entity is None else [self.entity, self.time]
+        return [*self.within, *self.order]
 
     def check(self, df: DataFrame) -> None:
         missing = [c for c in self.columns if c not in df.columns]
@@ -66,6 +82,38 @@ def _in_ranges(df: DataFrame, by: list[str]) -> DataFrame:
     return Scratch(df.sparkSession).save(ordered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_local", F.expr("_id & 8589934591L")).drop("_id"), "ranked")
 
 
+def stored(df: DataFrame) -> Column:
+    """Where a row of files stands as a value to order by: the file's path, then the row's place in the file. No column of the data is read for it."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
+def with_stored_positions(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """All columns of a table just read from Parquet files and ``name``: the 0-based position of the row, files in the order of their paths.
+
+    Rows of a file are counted by their places alone, and counts summed up over the files; how the files are split among tasks doesn't matter.
+    """
+    file = F.col("_metadata.file_path").alias("_file")
+    counts = df.select(file).groupBy("_file").agg(F.count("*").alias("_n"))
+    counts = Scratch(df.sparkSession).save(counts, "files")
+    n = counts.count()
+    before = summed_before(counts, ["_file"], "_n", "_before", n > SERIES_IN_ONE_TASK).select("_file", "_before")
+    rows = df.select("*", file, F.col("_metadata.row_index").alias("_row"))
+    met = rows.join(F.broadcast(before) if n <= BROADCAST_FILES else before, "_file")
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_row")).alias(name))
+
+
+def summed_before(df: DataFrame, by: list[str], value: str, name: str, spread: bool) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before, in the order of ``by``. ``spread``: in range partitions, whose sums are added up first, so no task has all rows."""
+    earlier = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if not spread:
+        return df.withColumn(name, earlier(W.orderBy(*by)))
+    rows = _in_ranges(df, by)
+    parts = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = parts.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_parts_before"))  # a row a partition
+    summed = rows.withColumn(name, earlier(W.partitionBy("_part").orderBy("_local"))).join(F.broadcast(before), "_part")
+    return summed.withColumn(name, F.col(name) + F.col("_parts_before")).select(*df.columns, name)
+
+
 def _falls(df: DataFrame, ordinal: str, time: str, partition: list[str]) -> bool:
     """Neighbours are compared inside range partitions, then each partition's first row with the last one before it."""
     rows = _in_ranges(df.select(*partition, F.col(ordinal).alias("_ordinal"), F.col(time).alias("_time")), [*partition, "_ordinal"])
@@ -90,7 +138,10 @@ def entities_grouped(df: DataFrame, ordinal: str, entity: str) -> bool:
 
 
 def warn_if_unsorted(df: DataFrame, ordinal: str, keys: Keys) -> None:
-    """Order never matters here, since rows are identified by key; a caller who expects it is told."""
+    """Order never matters here, since rows are identified by key; a caller who expects it is told. ``STORED`` as the ordinal: the order of the rows in their files."""
+    if ordinal == STORED:
+        df = df.select(*keys.columns, stored(df).alias("_stored"))
+        ordinal = "_stored"
     if keys.entity is None:
         if not sorted_by_time(df, ordinal, keys.time):
             warnings.warn("X is not sorted by date; rows are ranked by date.", stacklevel=3)
@@ -119,8 +170,8 @@ def ranked(df: DataFrame, keys: Keys, spread: bool | None = None, data: bool = F
 
 
 def _by_window(df: DataFrame, keys: Keys) -> DataFrame:
-    w = W.partitionBy(*keys.columns[:-1])
-    return df.withColumn("pos", F.row_number().over(w.orderBy(keys.time)).cast("long") - 1).withColumn("size", F.count("*").over(w))
+    w = W.partitionBy(*keys.within)
+    return df.withColumn("pos", F.row_number().over(w.orderBy(*keys.order)).cast("long") - 1).withColumn("size", F.count("*").over(w))
 
 
 def with_places(df: DataFrame, keys: Keys) -> DataFrame:
@@ -147,13 +198,13 @@ class Source:
 
 
 def _nulls(keys: Keys):
-    null = F.col(keys.time).isNull()
-    return null if keys.entity is None else null | F.col(keys.entity).isNull()
+    return reduce(or_, (F.col(c).isNull() for c in keys.columns))
 
 
 def ranked_at_once(own: DataFrame, keys: Keys) -> Source:
     """Ranks the rows by one window and checks them by an observation of the same write."""
-    again = F.coalesce(F.lag(keys.time).over(W.partitionBy(*keys.columns[:-1]).orderBy(keys.time)) == F.col(keys.time), F.lit(False))
+    own_key = F.struct(*keys.order)
+    again = F.coalesce(F.lag(own_key).over(W.partitionBy(*keys.within).orderBy(*keys.order)) == own_key, F.lit(False))
     seen = Observation()
     marked = _by_window(own, keys).withColumns({"_again": again, "_null": _nulls(keys)})
     counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("_null").alias("nulls"), F.max("_again").alias("again"), F.count_if(F.col("pos") == 0).alias("entities"), F.max("size").alias("largest"))
@@ -176,13 +227,13 @@ def check_keys(df: DataFrame, keys: Keys) -> Shape:
     """Raises ValueError for an empty table, null keys or repeated keys: folds of such rows aren't defined. One pass over the keys."""
     keys.check(df)
     per_key = df.groupBy(*keys.columns).agg(F.count("*").alias("n"))
-    distinct = [F.count_distinct(c).alias(name) for c, name in zip(keys.columns[::-1], ("times", "entities"), strict=False)] if keys.entity is not None else []
+    distinct = [F.count_distinct(keys.time).alias("times"), F.count_distinct(keys.entity).alias("entities")] if keys.entity is not None else []
     seen = per_key.agg(F.count("*").alias("rows"), F.max(_nulls(keys)).alias("nulls"), F.max("n").alias("most"), *distinct).first()
     _refuse(keys, seen["rows"], seen["nulls"], (seen["most"] or 0) > 1)
     if keys.entity is None:
         return Shape(seen["rows"], 1, seen["rows"], seen["rows"])
     # An entity has a row a time at most; only where that leaves it open are its rows counted.
-    largest = min(seen["rows"], seen["times"])
+    largest = seen["rows"] if keys.tiebreak else min(seen["rows"], seen["times"])
     if largest > SERIES_IN_ONE_TASK:
         largest = df.groupBy(keys.entity).count().agg(F.max("count")).first()[0]
     return Shape(seen["rows"], seen["entities"], seen["times"], largest)

@@ -7,7 +7,7 @@ DataFrames with all columns. Rows are identified by key, so neither the order no
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 from typing import Any
 
@@ -44,19 +44,24 @@ def _prepared(df: DataFrame, keys: Keys, data: bool, hot: bool) -> Source:
 
 
 class TemporalSplit:
-    """What all splitters share; a subclass says the mode and which keys it takes."""
+    """What all splitters share; a subclass says the mode and which keys it takes.
+
+    ``tiebreak``: columns that put rows of equal times in order; then only time and tiebreak together must not repeat in an entity, and an anchor's
+    time stands for its first row.
+    """
 
     mode = "oos"
 
-    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, gap: int = 0, missing: str = "raise", time_order: str = "chronological") -> None:
+    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, gap: int = 0, missing: str = "raise", time_order: str = "chronological", tiebreak: Sequence[str] = ()) -> None:
         self.spec = SplitSpec(self.mode, n_splits, test_size, gap, max_train_size, test_indices, missing, time_order)
+        self.tiebreak = (tiebreak,) if isinstance(tiebreak, str) else tuple(tiebreak)
 
     def __repr__(self) -> str:
         s = self.spec
         return f"{type(self).__name__}(n_splits={s.n_splits}, test_indices={s.anchors}, max_train_size={s.max_train_size}, test_size={s.test_size}, gap={s.gap})"
 
     def _keys(self, time: str, entity: str | None) -> Keys:
-        return Keys(time, entity)
+        return Keys(time, entity, self.tiebreak)
 
     def source(self, df: DataFrame, time: str, entity: str | None = None, *, y: DataFrame | None = None, ordinal: str | None = None, hot_entities: bool = False, data: bool = True) -> Source:
         """The rows, checked, ranked and saved with all their columns, so that what made ``df`` runs once. The methods below take it in place of ``df``."""
@@ -128,22 +133,22 @@ class InSampleSplit(TemporalSplit):
 
     mode = "is"
 
-    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, missing: str = "raise", time_order: str = "chronological") -> None:
-        super().__init__(n_splits, test_indices=test_indices, max_train_size=max_train_size, test_size=test_size, missing=missing, time_order=time_order)
+    def __init__(self, n_splits: int = 5, *, test_indices: Any = None, max_train_size: int | None = None, test_size: int | None = None, missing: str = "raise", time_order: str = "chronological", tiebreak: Sequence[str] = ()) -> None:
+        super().__init__(n_splits, test_indices=test_indices, max_train_size=max_train_size, test_size=test_size, missing=missing, time_order=time_order, tiebreak=tiebreak)
 
 
 class _SeriesOnly:
     def _keys(self, time: str, entity: str | None) -> Keys:
         if entity is not None:
             warnings.warn("groups are ignored by a time series splitter", stacklevel=4)
-        return Keys(time)
+        return Keys(time, None, self.tiebreak)
 
 
 class _PanelOnly:
     def _keys(self, time: str, entity: str | None) -> Keys:
         if entity is None:
             raise ValueError("Panel data requires MultiIndex keys: an entity and a time column")
-        return Keys(time, entity)
+        return Keys(time, entity, self.tiebreak)
 
 
 class TSOutOfSampleSplit(_SeriesOnly, OutOfSampleSplit):
@@ -188,7 +193,7 @@ class _EachEntity(_PanelOnly):
         data = data.select("_fold", "_role", *df.columns)
 
         def run(key: tuple, frame: Any) -> Any:
-            frame = frame.sort_values(time).reset_index(drop=True)
+            frame = frame.sort_values([time, *self.tiebreak]).reset_index(drop=True)
             test = frame["_role"] == "test"
             out = func(*(frame[side].drop(columns=["_fold", "_role"]).reset_index(drop=True) for side in (~test, test)))
             out.insert(0, "fold_id", key[0])

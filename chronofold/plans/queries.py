@@ -285,6 +285,37 @@ def _anchors_sql() -> str:
     return f"WITH k AS ({_SOURCES_SQL[events_by_type]}) {cases}"
 
 
+def stored_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line stands in its file."""
+    return key_ops.with_stored_positions(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "position")
+
+
+def stored_order_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a splitter warns of the order in which files hold their rows, without a column that numbers them."""
+    cases = {"events_by_time": ("events", Keys("ts")), "events_by_type": ("events", Keys("ts", "event_type")), "orders_by_time": ("orders", Keys("o_orderdate")), "nations_by_key": ("nation", Keys("n_nationkey"))}
+    found = []
+    for name, (table, keys) in cases.items():
+        with warnings.catch_warnings(record=True) as seen:
+            warnings.simplefilter("always")
+            key_ops.warn_if_unsorted(_table(spark, sf_dir, table), key_ops.STORED, keys)
+        found.append((name, any("not sorted" in str(w.message) for w in seen)))
+    return spark.createDataFrame(found, "rows_of string, warned boolean")
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("entity"), F.date_trunc("hour", "ts").alias("t"), F.col("event_id").alias("id"))
+
+
+def repeated_times_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the hour, so times repeat: rows of an hour stand in the order of their ids."""
+    return cf.TSOutOfSampleSplit(4, test_size=50, gap=3, max_train_size=120, tiebreak="id").assign(_hourly(spark, sf_dir).drop("entity"), "t")
+
+
+def repeated_times_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by event type; tests start with the first event of the last hours."""
+    return cf.PanelOutOfSampleSplit(3, test_size=8, gap=1, max_train_size=30, missing="skip", tiebreak=["id"]).assign(_hourly(spark, sf_dir), "t", "entity")
+
+
 def xy_key_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys against those of the raw rows in another order, against fewer, and against some of them twice."""
     x, keys = events_by_type(spark, sf_dir), Keys("t", "entity")
@@ -433,7 +464,7 @@ def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.assign for name, case in CASES.items()} | {name: _described(case) for name, case in PER_ENTITY.items()}
 QUERIES |= {f"{name}_rows": case.assign for name, case in PER_ENTITY.items()}
 QUERIES |= {"fold_describe": _described(CASES["ts_oos_gap"])}
-QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
+QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, stored_positions, stored_order_warning, repeated_times_oos, repeated_times_panel, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
 
 _RATIO = """coefficient AS (SELECT fold_id, entity, avg(y / nullif(x, 0)) AS c FROM assigned WHERE role = 'train' GROUP BY ALL),
     predicted AS (SELECT a.*, a.x * c AS p FROM assigned a JOIN coefficient USING (fold_id, entity) WHERE role = 'test')"""
@@ -454,6 +485,19 @@ ORACLE_SQL |= {
     "unsorted_warning": """WITH r AS (SELECT event_type, ts, min(event_id) AS i FROM events GROUP BY ALL),
         p AS (SELECT *, row_number() OVER (ORDER BY i) - row_number() OVER (PARTITION BY event_type ORDER BY i) AS run, lag(ts) OVER (PARTITION BY event_type ORDER BY i) AS before FROM r)
         SELECT 'as_stored' AS rows_in, count(DISTINCT (event_type, run)) > count(DISTINCT event_type) OR bool_or(coalesce(before > ts, false)) AS warned FROM p UNION ALL SELECT 'by_key', false""",
+    "stored_positions": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER () - 1 AS position FROM lineitem",
+    "stored_order_warning": """WITH e AS (SELECT event_type AS e, ts, row_number() OVER () AS i FROM events), o AS (SELECT o_orderdate AS t, row_number() OVER () AS i FROM orders), n AS (SELECT n_nationkey AS t, row_number() OVER () AS i FROM nation)
+        SELECT 'events_by_time' AS rows_of, bool_or(coalesce(b > ts, false)) AS warned FROM (SELECT ts, lag(ts) OVER (ORDER BY i) AS b FROM e) UNION ALL
+        SELECT 'events_by_type', count(*) FILTER (new) > count(DISTINCT e) OR bool_or(coalesce(b > ts, false)) FROM (SELECT e, ts, e IS DISTINCT FROM lag(e) OVER (ORDER BY i) AS new, lag(ts) OVER (PARTITION BY e ORDER BY i) AS b FROM e) UNION ALL
+        SELECT 'orders_by_time', bool_or(coalesce(b > t, false)) FROM (SELECT t, lag(t) OVER (ORDER BY i) AS b FROM o) UNION ALL
+        SELECT 'nations_by_key', bool_or(coalesce(b > t, false)) FROM (SELECT t, lag(t) OVER (ORDER BY i) AS b FROM n)""",
+    "repeated_times_oos": """WITH k AS (SELECT date_trunc('hour', ts) AS t, event_id AS id, row_number() OVER (ORDER BY date_trunc('hour', ts), event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
+        b AS (SELECT i, n - (4 - i) * 50 AS lo FROM (SELECT DISTINCT n FROM k), range(4) r(i))
+        SELECT CAST(i AS INTEGER) AS fold_id, CASE WHEN pos >= lo THEN 'test' ELSE 'train' END AS role, t, id, pos FROM k, b WHERE pos >= lo AND pos < lo + 50 OR pos < lo - 3 AND pos >= greatest(lo - 3, 0) - 120""",
+    "repeated_times_panel": """WITH k AS (SELECT event_type AS e, date_trunc('hour', ts) AS t, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts), event_id) - 1 AS pos FROM events),
+        h AS (SELECT t, row_number() OVER (ORDER BY t DESC) AS back FROM (SELECT DISTINCT t FROM k)),
+        b AS (SELECT e, 3 - back // 8 AS i, min(pos) AS lo FROM k JOIN h USING (t) WHERE back IN (8, 16, 24) GROUP BY ALL)
+        SELECT CAST(i AS INTEGER) AS fold_id, CASE WHEN pos >= lo THEN 'test' ELSE 'train' END AS role, e AS entity, t, id, pos FROM k JOIN b USING (e) WHERE pos >= lo AND pos < lo + 8 OR pos < lo - 1 AND pos >= greatest(lo - 1, 0) - 30""",
     "anchor_errors": _anchors_sql(),
     "xy_key_equality": """WITH raw AS (SELECT event_type AS e, CAST(ts AS DATE) AS t FROM events),
         x AS (SELECT e, t, count(*) AS rows_of_it, 1 AS n FROM raw GROUP BY e, t),
