@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,15 @@ EM_STEPS = 4
 EM_SMOOTHING = 0.01
 #: Units solved together, of about equal lengths: few enough that their edges stay in the processor's cache.
 SOLVED_UNITS = 2000
-#: Distinct units that a task counts before it passes them on.
+#: Distinct units, and characters of them, that a task counts before it passes them on.
 COUNTED_UNITS = 500_000
+COUNTED_CHARS = 16 << 20
+#: Bytes of units solved together, if they aren't one.
+SOLVED_BYTES = 1 << 18
+#: Bytes below which sums over the segmentations of a unit are made of probabilities, not of their logarithms.
+LINEAR_UNIT = 64
+#: Sums of such a unit, scaled, that count as exact.
+LEAST_SUM, MOST_SUM = 1e-250, 1e250
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -257,11 +265,17 @@ class UnigramModel:
     def expected_uses(self, units: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
         """How often each piece is used in the segmentations of the units, each weighted by its probability and its unit's count; and the log likelihood."""
         raw = [u.encode() for u in units]
+        size = np.array([len(r) for r in raw], np.int64)
         uses, likelihood = np.zeros(len(self.pieces.texts)), 0.0
-        short = np.array([len(r) < LONG_UNIT for r in raw], bool)
-        parts = [(self._lattice([raw[i] for i in np.flatnonzero(short)]), counts[short], self._sums_together)] if short.any() else []
-        parts += [(self._lattice([raw[i]]), counts[i : i + 1], self._sums_long) for i in np.flatnonzero(~short)]
-        for x, n, sums in parts:
+        some = np.flatnonzero(size < LINEAR_UNIT)
+        if len(some):
+            more, likelihood, left = self._linear_uses(self._lattice([raw[i] for i in some]), counts[some])
+            uses += more
+            some = some[left]
+        short = np.sort(np.concatenate([some, np.flatnonzero((size >= LINEAR_UNIT) & (size < LONG_UNIT))]))
+        parts = [(self._lattice([raw[i] for i in short]), counts[short], self._sums_together)] if len(short) else []
+        long = ((self._lattice([raw[i]]), counts[i : i + 1], self._sums_long) for i in np.flatnonzero(size >= LONG_UNIT))  # one at a time
+        for x, n, sums in chain(parts, long):
             before, after, whole = sums(x)  # log sums up to each edge's begin, from its end on, and of its unit
             weight = np.exp(before + x.gain + after - whole[x.owner]) * n[x.owner]
             named = x.piece >= 0
@@ -269,6 +283,37 @@ class UnigramModel:
             likelihood += float(whole @ n)
         return uses, likelihood
 
+    def _linear_uses(self, x: _Lattice, counts: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """``expected_uses`` of short units, place by place for all of them; and which units' sums left the range of doubles, so that they don't count here.
+
+        Every byte's share is scaled by the same factor, by which the sums of a usual unit come near 1.
+        """
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            return self._scaled_uses(x, counts)
+
+    def _scaled_uses(self, x: _Lattice, counts: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        n, width = len(x.first), int(x.size.max())
+        begin, end = (x.begin - x.first[x.owner]).astype(np.uint8), (x.end - x.first[x.owner]).astype(np.uint8)
+        a_byte = -float(np.median(x.gain / (x.end - x.begin)))
+        weight = np.exp(x.gain + a_byte * (x.end - x.begin))
+        forward, backward = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        forward[0] = 1.0
+        backward[x.size, np.arange(n)] = 1.0
+        for sums, start, to, places in ((forward, begin, end, range(1, width + 1)), (backward, end, begin, range(width - 1, -1, -1))):
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(width + 2))
+            start, own, share = start[order], x.owner[order], weight[order]
+            for p in places:
+                at = slice(cuts[p], cuts[p + 1])
+                if at.start < at.stop:
+                    sums[p] += np.bincount(own[at], sums[start[at], own[at]] * share[at], n)
+        whole = forward[x.size, np.arange(n)]
+        good = (whole > LEAST_SUM) & (whole < MOST_SUM) & (forward.max(axis=0) < MOST_SUM) & (backward.max(axis=0) < MOST_SUM)
+        expected = forward[begin, x.owner] * weight * backward[end, x.owner] * (np.where(good, counts, 0.0) / np.where(good, whole, 1.0))[x.owner]
+        named = (x.piece >= 0) & good[x.owner]
+        likelihood = float((np.log(whole[good]) - a_byte * x.size[good]) @ counts[good])
+        return np.bincount(x.piece[named], expected[named], len(self.pieces.texts)), likelihood, np.flatnonzero(~good)
+
     @staticmethod
     def _sums_together(x: _Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(x.first)
@@ -375,12 +420,18 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        met = 0  # characters at most in ``seen``
         for b in textops.long_rows(batches):
             for text in b.column("text"):
-                seen.update(units_of(text.as_py() or ""))
-                if len(seen) >= COUNTED_UNITS:
+                text = text.as_py() or ""
+                seen.update(units_of(text))
+                met, full = met + len(text), False
+                if met >= COUNTED_CHARS:
+                    met = sum(map(len, seen))
+                    full = met >= COUNTED_CHARS // 2
+                if len(seen) >= COUNTED_UNITS or full:
                     yield _rows(seen)
-                    seen = Counter()
+                    seen, met = Counter(), 0
         if seen:
             yield _rows(seen)
 
@@ -397,12 +448,15 @@ def _uses(units: DataFrame, path: str, scores: bytes) -> tuple[np.ndarray, float
         m = model(path, scores)
         total, likelihood = np.zeros(len(m.pieces.texts)), 0.0
         for whole in textops.long_rows(batches):
-            whole = whole.take(pc.sort_indices(pc.binary_length(whole.column("unit"))))
-            for at in range(0, whole.num_rows, SOLVED_UNITS):
-                b = whole.slice(at, SOLVED_UNITS)
-                uses, more = m.expected_uses(b.column("unit").to_pylist(), b.column("n").to_numpy().astype(float))
-                total += uses
-                likelihood += more
+            size = pc.binary_length(whole.column("unit")).to_numpy()
+            order = np.argsort(size, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(size[order], dtype=np.int64)))
+            for lo, hi in textops.pieces(ends, SOLVED_BYTES):
+                for at in range(lo, hi, SOLVED_UNITS):
+                    b = whole.take(pa.array(order[at : min(hi, at + SOLVED_UNITS)]))
+                    uses, more = m.expected_uses(b.column("unit").to_pylist(), b.column("n").to_numpy().astype(float))
+                    total += uses
+                    likelihood += more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], likelihood))], names=["id", "uses"])
 

@@ -153,3 +153,38 @@ def test_one_unit_of_a_megabyte(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = unigram.round_trip(df).first()
     assert r["text"] == text and r["n_ids"] == len(r["ids"]) // 4
+
+
+def test_many_distinct_units_without_spaces_are_passed_on(spark, monkeypatch):
+    monkeypatch.setattr(unigram, "COUNTED_CHARS", 20_000)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdeé日"), 300)) + str(i) for i in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:50] + ["a b a", None]], "text string").coalesce(1)
+    rows = df.select("text").mapInArrow(lambda b: b, "text string")
+    assert {r["unit"]: r["n"] for r in unigram.unit_counts(rows).collect()} == Counter(u for t in [*texts, *texts[:50], "a b a"] for u in unigram.units_of(t))
+    scores = unigram.estimate_scores(df, steps=1)
+    assert scores.count() == len(MODEL.pieces.texts)
+
+
+def test_sums_of_probabilities_equal_sums_of_logarithms():
+    rng = np.random.default_rng(2)
+    units = ["".join(rng.choice(list("thingande日é\u0378"), n)) for n in range(1, 21)] * 3 + ["x" * 63, "\u0378" * 31, "the"]
+    counts = rng.integers(1, 9, len(units)).astype(float)
+    x = MODEL._lattice([u.encode() for u in units])
+    before, after, whole = MODEL._sums_together(x)
+    weight = np.exp(before + x.gain + after - whole[x.owner]) * counts[x.owner]
+    plain = np.bincount(x.piece[x.piece >= 0], weight[x.piece >= 0], len(MODEL.pieces.texts))
+    uses, likelihood, left = MODEL._linear_uses(x, counts)
+    assert len(left) == 0 and np.allclose(uses, plain, rtol=1e-9) and np.isclose(likelihood, whole @ counts, rtol=1e-12)
+    assert np.allclose(MODEL.expected_uses(units, counts)[0], plain, rtol=1e-9)
+
+
+def test_sums_that_leave_the_range_of_doubles_go_by_logarithms(monkeypatch):
+    units = ["thing", "the", "\u0378" * 20, "nothing", "x" * 50]
+    counts = np.arange(1.0, 6.0)
+    plain = MODEL.expected_uses(units, counts)
+    monkeypatch.setattr(unigram, "LEAST_SUM", 1e-3)
+    monkeypatch.setattr(unigram, "MOST_SUM", 1e3)
+    left = MODEL._linear_uses(MODEL._lattice([u.encode() for u in units]), counts)[2]
+    again = MODEL.expected_uses(units, counts)
+    assert 0 < len(left) and np.allclose(plain[0], again[0]) and np.isclose(plain[1], again[1])
