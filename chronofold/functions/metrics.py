@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofold.functions.features import over_neighbours
+
 
 def rmse(actual: str, predicted: str) -> Column:
     return F.sqrt(F.avg(F.pow(F.col(actual) - F.col(predicted), 2)))
@@ -23,9 +24,12 @@ def mape(actual: str, predicted: str) -> Column:
 
 
 def direction_accuracy(df: DataFrame, actual: str, predicted: str, time: str, by: Sequence[str] = ()) -> DataFrame:
-    """Share of rows whose change from the row before has the same sign in both; the first row has no change and counts as a miss."""
-    w = W.partitionBy(*by).orderBy(time)
-    same = F.signum(F.col(actual) - F.lag(actual).over(w)) == F.signum(F.col(predicted) - F.lag(predicted).over(w))
+    """Share of rows whose change from the row before has the same sign in both; the first row has no change and counts as a miss. A fold too large for one task is compared by ranges."""
+    group = F.struct(*by).alias("_by") if by else F.lit(0).alias("_by")
+    rows = df.select(*by, F.col(time).alias("_time"), F.col(actual).alias("_actual"), F.col(predicted).alias("_predicted"), group)
+    before = {"_actual": "_actual_before", "_predicted": "_predicted_before"}
+    df = over_neighbours(rows, lambda w: {name: F.lag(c).over(w) for c, name in before.items()}, 1, 0, "_time", "_by")
+    same = F.signum(F.col("_actual") - F.col("_actual_before")) == F.signum(F.col("_predicted") - F.col("_predicted_before"))
     return df.withColumn("_hit", F.coalesce(same, F.lit(False)).cast("int")).groupBy(*by).agg(F.avg("_hit").alias("direction_accuracy"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.operators.bounds import LITERAL_FOLDS
@@ -86,6 +86,19 @@ def _blocks_of_level(level):
     return F.filter(F.array(first, last), lambda b: b.isNotNull())
 
 
+def time_ranges(ranks: DataFrame, bounds: DataFrame, keys: Keys) -> dict[tuple[int, str], Column]:
+    """For each fold and role a condition on the time column with literals: from the first to the last time of its rows in all entities. Roles without rows have none.
+
+    A row a fold and role comes to the driver, as numbers or texts that name a time exactly whatever the time zone.
+    """
+    kind = ranks.schema[keys.time].dataType.simpleString()
+    out = F.unix_micros if kind == "timestamp" else lambda c: F.col(c).cast("string")
+    back = (lambda v: F.timestamp_micros(F.lit(v))) if kind == "timestamp" else lambda v: F.lit(v).cast(kind)
+    ends = time_bounds(ranks, bounds, keys).groupBy("fold_id", "role").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = ends.select("fold_id", "role", out("first").alias("first"), out("last").alias("last")).collect()
+    return {(r["fold_id"], r["role"]): F.col(keys.time).between(back(r["first"]), back(r["last"])) for r in found}
+
+
 def time_bounds(ranks: DataFrame, bounds: DataFrame, keys: Keys) -> DataFrame:
     """Bounds as times, for filters that reach the scan of the raw table: fold_id, [entity], role, first and last time (points, where a test is a set, stay positions)."""
     ends = [("test", F.col("test_lo"), F.col("test_hi")), ("train", F.col("train_lo"), F.col("train_hi"))]

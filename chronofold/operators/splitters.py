@@ -93,11 +93,17 @@ class TemporalSplit:
 
     def assign_rows(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None, *, hot_entities: bool = False, role: str | None = None) -> DataFrame:
         """fold_id, role and all columns of the rows of all folds, from a saved source: nothing is joined."""
+        return self._rows(df, time, entity, hot_entities, role, "fold_id", "role")
+
+    def _rows(self, df: DataFrame | Source, time: str | None, entity: str | None, hot_entities: bool, role: str | None, *names: str) -> DataFrame:
         if not isinstance(df, Source):
             df = self.source(df, time, entity, hot_entities=hot_entities)
         found = self._taken(df, None, None, None, None, False)
-        out = self._assigned(found, found.ranks, role).drop("pos")
-        return out.select("fold_id", "role", *found.keys.columns, "_data.*") if "_data" in out.columns else out
+        out = self._assigned(found, found.ranks, role).drop("pos").withColumnsRenamed(dict(zip(("fold_id", "role"), names, strict=True)))
+        data = out.schema["_data"].dataType.names if "_data" in out.columns else []
+        if taken := [c for c in data if c in names]:
+            raise ValueError(f"columns need names of their own, not {', '.join(taken)}: rename them")
+        return out.select(*names, *found.keys.columns, *(["_data.*"] if data else []))
 
     def _assigned(self, found: Source, ranks: DataFrame, role: str | None) -> DataFrame:
         bounds, folds = fold_bounds(found.ranks, found.keys, self.spec, found.shape)
@@ -110,9 +116,23 @@ class TemporalSplit:
         return self._folds(df, found, bounds, folds)
 
     def _folds(self, df: DataFrame, found: Source, bounds: DataFrame, folds: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+        """Each side reads only its own times: they are literals of a filter, which a scan can use. Of a series, whose times are unique, nothing else tells a range of rows apart."""
+        keys = found.keys
+        times = assigning.time_ranges(found.ranks, bounds, keys)
+        sets = len(self.spec.anchors or ()) > 1 and self.spec.mode == "is"
+        if keys.entity is None and not keys.tiebreak:
+            slices = {(i, role): df.where(times.get((i, role), F.lit(False))) for i in range(folds) for role in ("train", "test")}
+            for i in range(folds):
+                test = slices[i, "test"]
+                if sets:
+                    rows = assigning.assignment(found.ranks, bounds.where(F.col("fold_id") == i), keys, 1, found.shape, len(self.spec.anchors), "test")
+                    test = self._side(test, keys, rows, "test")
+                yield slices[i, "train"], test
+            return
         for i in range(folds):
+            part = {role: df.where(times.get((i, role), F.lit(False))) for role in ("train", "test")}
             rows = assigning.assignment(found.ranks, bounds.where(F.col("fold_id") == i), found.keys, 1, found.shape, len(self.spec.anchors or ()) if folds == 1 else 0)
-            yield self._side(df, found.keys, rows, "train"), self._side(df, found.keys, rows, "test")
+            yield self._side(part["train"], keys, rows, "train"), self._side(part["test"], keys, rows, "test")
 
     @staticmethod
     def _side(df: DataFrame, keys: Keys, rows: DataFrame, role: str) -> DataFrame:
@@ -183,13 +203,37 @@ class _EachEntity(_PanelOnly):
     def get_n_splits(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None) -> int:
         return self.bounds(df, time, entity).count()
 
+    def each_streamed(self, df: DataFrame, time: str, entity: str, func: Callable[[Iterator[Any], Iterator[Any]], Iterator[Any]], schema: str) -> DataFrame:
+        """As ``each`` for entities of any size: ``func(train, test)`` takes two iterators of pandas frames in the order of time, first all of train, then test, and yields frames.
+
+        A task holds one batch of Arrow at a time; what ``func`` keeps of train (a model that learns by batches, sums) is its own. What it leaves of either is skipped.
+        """
+        rows = self._rows(df, time, entity, False, None, "_fold", "_role")
+        columns = df.columns
+        order = ["_fold", entity, F.desc("_role"), time, *self.tiebreak]  # train before test
+        data = rows.select("_fold", "_role", *columns).repartition("_fold", entity).sortWithinPartitions(*order)
+
+        def run(frames: Iterator[Any]) -> Iterator[Any]:
+            parts = _Parts(frames, entity)
+            while (key := parts.next_key()) is not None:
+                train, test = (parts.of(key, role, columns) for role in ("train", "test"))
+                for out in func(train, test):
+                    out.insert(0, "fold_id", key[0])
+                    out.insert(1, entity, key[1])
+                    yield out
+                for _ in (*train, *test):
+                    pass
+
+        kind = df.schema[entity].dataType.simpleString()
+        return data.mapInPandas(run, f"fold_id int, `{entity}` {kind}, {schema}")
+
     def each(self, df: DataFrame, time: str, entity: str, func: Callable[[Any, Any], Any], schema: str) -> DataFrame:
         """``func(train, test)`` for every fold and entity at once, on the cluster: all columns of ``df`` as pandas frames in the order of time.
 
         What it returns (a frame as ``schema`` says, without names fold_id and the entity's) becomes one relation with fold_id and the entity in front.
         An entity's rows of a fold must fit a task; aggregates of larger ones are ``functions.models`` over ``assign``.
         """
-        data = self.assign_rows(df.select("*"), time, entity).withColumnsRenamed({"fold_id": "_fold", "role": "_role"})
+        data = self._rows(df, time, entity, False, None, "_fold", "_role")
         data = data.select("_fold", "_role", *df.columns)
 
         def run(key: tuple, frame: Any) -> Any:
@@ -204,6 +248,35 @@ class _EachEntity(_PanelOnly):
         return data.groupBy("_fold", entity).applyInPandas(run, f"fold_id int, `{entity}` {kind}, {schema}")
 
 
+class _Parts:
+    """Sorted frames cut where fold, entity or role change."""
+
+    def __init__(self, frames: Iterator[Any], entity: str) -> None:
+        self._cut = self._pieces(frames, entity)
+        self._ahead = next(self._cut, None)
+
+    @staticmethod
+    def _pieces(frames: Iterator[Any], entity: str) -> Iterator[tuple[tuple, str, Any]]:
+        for frame in frames:
+            if len(frame):
+                by = frame[["_fold", entity, "_role"]]
+                starts = [0, *(i for i in range(1, len(frame)) if tuple(by.iloc[i]) != tuple(by.iloc[i - 1]))] if len(by.drop_duplicates()) > 1 else [0]
+                for lo, hi in zip(starts, [*starts[1:], len(frame)], strict=True):
+                    fold, name, role = by.iloc[lo]
+                    yield (int(fold), name), role, frame.iloc[lo:hi]
+
+    def next_key(self) -> tuple | None:
+        return None if self._ahead is None else self._ahead[0]
+
+    def of(self, key: tuple, role: str, columns: list[str]) -> Iterator[Any]:
+        """The frames of a role of a key. Test frames come once those of train have been read or skipped."""
+        while self._ahead is not None and self._ahead[0] == key and self._ahead[1] != role and role == "test":
+            self._ahead = next(self._cut, None)
+        while self._ahead is not None and self._ahead[:2] == (key, role):
+            frame, self._ahead = self._ahead[2], next(self._cut, None)
+            yield frame[columns].reset_index(drop=True)
+
+
 class PanelOutOfSampleSplitPerEntity(_EachEntity, OutOfSampleSplit):
     """Out of sample, each entity of a panel by itself."""
 

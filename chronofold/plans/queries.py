@@ -419,6 +419,34 @@ def per_entity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case.splitter(**case.options).each(case.source(spark, sf_dir), "t", "entity", fit, "n_train long, n_test long, mae double")
 
 
+def split_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of every fold by ``split``, whose filters on time reach the scan of the events."""
+    out = None
+    for i, pair in enumerate(cf.TSOutOfSampleSplit(3, gap=10, max_train_size=700).split(_table(spark, sf_dir, "events").select("ts", "value"), "ts")):
+        for role, rows in zip(("train", "test"), pair, strict=True):
+            one = rows.agg(F.lit(i).alias("fold_id"), F.lit(role).alias("role"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def per_entity_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``per_entity_fit``, by batches: the mean of train from sums of batches, the errors of test from each."""
+    import pandas as pd
+
+    case = PER_ENTITY["per_entity_oos"]
+
+    def fit(train, test):
+        n, total = 0, 0.0
+        for frame in train:
+            n, total = n + len(frame), total + float(frame["x"].sum())
+        seen, errors = 0, 0.0
+        for frame in test:
+            seen, errors = seen + len(frame), errors + float((frame["x"] - total / n).abs().sum())
+        yield pd.DataFrame({"n_train": [n], "n_test": [seen], "mae": [round(errors / seen, 6)]})
+
+    return case.splitter(**case.options).each_streamed(case.source(spark, sf_dir), "t", "entity", fit, "n_train long, n_test long, mae double")
+
+
 def entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.entities(lines_by_supplier(spark, sf_dir), "entity")
 
@@ -454,6 +482,22 @@ def ml_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ml_scores(spark, sf_dir, LinearRegression(labelCol="y"))
 
 
+def ml_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of lines with and without an intercept by fold, and which of the two is chosen."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from chronofold.ml import TemporalSearch
+
+    line = LinearRegression(labelCol="y")
+    steps = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), line])
+    search = TemporalSearch(steps, [{line.fitIntercept: True}, {line.fitIntercept: False}], RegressionEvaluator(labelCol="y"), _ML.splitter(**_ML.options), "t", "entity")
+    found = search.fit(events_by_type(spark, sf_dir))
+    return found.by_fold(spark).select("map", "fold_id", F.round("metric", 3).alias("rmse"), (F.col("map") == found.best).alias("chosen"))
+
+
 def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random forest a fold, which SQL doesn't express."""
     from pyspark.ml.regression import RandomForestRegressor
@@ -464,7 +508,7 @@ def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.assign for name, case in CASES.items()} | {name: _described(case) for name, case in PER_ENTITY.items()}
 QUERIES |= {f"{name}_rows": case.assign for name, case in PER_ENTITY.items()}
 QUERIES |= {"fold_describe": _described(CASES["ts_oos_gap"])}
-QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, stored_positions, stored_order_warning, repeated_times_oos, repeated_times_panel, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, entity_list, entity_section, time_section, lag_series, ml_cv, ml_cv_forest)}
+QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, stored_positions, stored_order_warning, repeated_times_oos, repeated_times_panel, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, per_entity_streamed, split_slices, entity_list, entity_section, time_section, lag_series, ml_cv, ml_search, ml_cv_forest)}
 
 _RATIO = """coefficient AS (SELECT fold_id, entity, avg(y / nullif(x, 0)) AS c FROM assigned WHERE role = 'train' GROUP BY ALL),
     predicted AS (SELECT a.*, a.x * c AS p FROM assigned a JOIN coefficient USING (fold_id, entity) WHERE role = 'test')"""
@@ -505,12 +549,22 @@ ORACLE_SQL |= {
         SELECT bool_and(n = same) AS same, bool_and(n = fewer) AS fewer, bool_and(n = twice) AS twice FROM x FULL JOIN y USING (e, t)""",
     "per_entity_fit": f"""WITH {PER_ENTITY["per_entity_oos"].ctes()}, m AS (SELECT fold_id, entity, avg(x) AS c, count(*) AS n FROM assigned WHERE role = 'train' GROUP BY ALL)
         SELECT a.fold_id, a.entity, any_value(m.n) AS n_train, count(*) AS n_test, round(avg(abs(a.x - m.c)), 6) AS mae FROM assigned a JOIN m USING (fold_id, entity) WHERE a.role = 'test' GROUP BY ALL""",
+    "per_entity_streamed": f"""WITH {PER_ENTITY["per_entity_oos"].ctes()}, m AS (SELECT fold_id, entity, avg(x) AS c, count(*) AS n FROM assigned WHERE role = 'train' GROUP BY ALL)
+        SELECT a.fold_id, a.entity, any_value(m.n) AS n_train, count(*) AS n_test, round(avg(abs(a.x - m.c)), 6) AS mae FROM assigned a JOIN m USING (fold_id, entity) WHERE a.role = 'test' GROUP BY ALL""",
+    "split_slices": """WITH k AS (SELECT ts, value, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM events),
+        b AS (SELECT i, n - (3 - i) * (n // 4) AS lo, n // 4 AS size FROM (SELECT DISTINCT n FROM k), range(3) r(i))
+        SELECT CAST(i AS INTEGER) AS fold_id, role, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first, max(ts) AS last
+        FROM (SELECT i, 'test' AS role, k.* FROM k, b WHERE pos >= lo AND pos < lo + size UNION ALL SELECT i, 'train', k.* FROM k, b WHERE pos < lo - 10 AND pos >= lo - 10 - 700) GROUP BY ALL""",
     "entity_list": "SELECT DISTINCT l_suppkey AS entity FROM lineitem",
     "entity_section": f"SELECT t, x FROM ({_SOURCES_SQL[orders_by_priority]}) WHERE e = '2-HIGH'",
     "time_section": f"SELECT e AS entity, x FROM ({_SOURCES_SQL[orders_by_nation]}) WHERE t = DATE '1996-02-01'",
     "lag_series": f"SELECT t, x, lag(x, 1) OVER w AS x_lag_1, lag(x, 7) OVER w AS x_lag_7 FROM ({_SOURCES_SQL[events_daily]}) WINDOW w AS (ORDER BY t)",
     "ml_cv": f"""WITH {_ML.ctes()}, line AS (SELECT fold_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM assigned WHERE role = 'train' GROUP BY ALL)
         SELECT fold_id, round(sqrt(avg((y - (i + s * x)) * (y - (i + s * x)))), 3) AS rmse FROM assigned JOIN line USING (fold_id) WHERE role = 'test' GROUP BY fold_id""",
+    "ml_search": f"""WITH {_ML.ctes()}, line AS (SELECT fold_id, 0 AS map, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM assigned WHERE role = 'train' GROUP BY ALL UNION ALL SELECT fold_id, 1, sum(x * y) / sum(x * x), 0 FROM assigned WHERE role = 'train' GROUP BY ALL),
+        m AS (SELECT map, fold_id, sqrt(avg((y - (i + s * x)) * (y - (i + s * x)))) AS rmse FROM assigned JOIN line USING (fold_id) WHERE role = 'test' GROUP BY ALL),
+        best AS (SELECT map AS chosen_map FROM m GROUP BY map ORDER BY avg(rmse), map LIMIT 1)
+        SELECT CAST(map AS INTEGER) AS map, fold_id, round(rmse, 3) AS rmse, map = chosen_map AS chosen FROM m, best""",
     "group_positions": f"SELECT e AS entity, t, row_number() OVER (PARTITION BY e ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY e) AS size FROM ({_SOURCES_SQL[lines_by_supplier]})",
     "align_horizon": f"SELECT * FROM (SELECT e AS entity, t, x, lead(x, 3) OVER (PARTITION BY e ORDER BY t) AS target_ahead FROM ({_SOURCES_SQL[orders_by_nation]})) WHERE target_ahead IS NOT NULL",
     "lag_features": f"SELECT * FROM (SELECT e AS entity, t, x, lag(x, 1) OVER w AS x_lag_1, lag(x, 7) OVER w AS x_lag_7, lag(x, 14) OVER w AS x_lag_14 FROM ({_SOURCES_SQL[lines_by_supplier]}) WINDOW w AS (PARTITION BY e ORDER BY t)) WHERE x_lag_14 IS NOT NULL",

@@ -43,9 +43,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{name}"
 
-    def save(self, df: DataFrame, name: str, level: int = 3, read_as: StructType | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, level: int = 3, read_as: StructType | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+        """``by``: a directory for each of their values."""
         path = self.path(name)
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path, partitionBy=list(by) or None)
         out = self.spark.read.schema(read_as or df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

@@ -88,5 +88,7 @@ def test_a_saved_source_serves_all_methods(spark):
 
 def test_columns_of_any_name_go_along(spark):
     df = series(spark, 30).withColumns({"pos": F.lit("a"), "size": F.lit("b"), "_b": F.lit("c"), "test_lo": F.lit(1)})
+    with pytest.raises(ValueError, match="names of their own"):
+        TSOutOfSampleSplit(2, test_size=2).assign_rows(df.withColumn("role", F.lit(1)), "t")
     rows = TSOutOfSampleSplit(2, test_size=2).assign_rows(df, "t")
     assert rows.columns == ["fold_id", "role", *df.columns] and {(r["pos"], r["size"], r["_b"]) for r in rows.collect()} == {("a", "b", "c")}
