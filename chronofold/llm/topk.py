@@ -10,7 +10,7 @@ and stops where the next bound lies below its k-th score. Scores equal to the k-
 Whole shards are pruned the same way: their largest and smallest weights meet the queries in a join of bounded cells, a query
 first searches the shard with its best bound, and then goes on only to shards whose bound reaches the k-th score found
 there. A shard is held by one task, queries stream past it in groups of a bounded size, and the lists of shards are merged
-by query. So memory depends on neither table's size, and every vector is tested or bounded. Bounds of dense vectors in all
+by query. So memory depends neither on a table's size nor on the vectors' (the more components, the fewer vectors in a shard), and every vector is tested or bounded. Bounds of dense vectors in all
 directions are loose; what is pruned depends on the data, and the results don't.
 
 Defined cases: vectors that are null or hold a null or a non-finite component take no part; a component
@@ -34,12 +34,12 @@ from chronofold.llm import textops
 from chronofold.scratch import Scratch
 
 SCALE = 256
-#: Vectors of a block, vectors of a shard, queries of a group.
+#: Vectors of a block; vectors of a shard and queries of a group at most, and their bytes as doubles (a block of vectors, and a query, at least).
 BLOCK = 128
-SHARD = 32_768
-GROUP = 512
-#: Shards whose bounds a task holds at a time, and queries that meet them there, about.
-CELL_SHARDS = 4096
+SHARD, SHARD_BYTES = 32_768, 16 << 20
+GROUP, GROUP_BYTES = 512, 2 << 20
+#: Shards whose bounds a task holds at a time, about, and their bytes; and queries that meet them there.
+CELL_SHARDS, CELL_BYTES = 4096, 32 << 20
 CELL_QUERIES = 65_536
 NO_SCORE, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -232,9 +232,9 @@ def _extents(placed: DataFrame) -> DataFrame:
     return by_term.groupBy("shard").agg(terms.alias("t")).select("shard", F.col("t.high").alias("high"), F.col("t.low").alias("low"))
 
 
-def _routed(asked: DataFrame, extents: DataFrame, shards: int, queries: int, first: bool) -> DataFrame:
+def _routed(asked: DataFrame, extents: DataFrame, shards: int, queries: int, first: bool, width: int) -> DataFrame:
     """The queries with the shards that they go to: of each cell of shards the one with the best bound, or all others whose bound reaches ``least``."""
-    chunks, salts = -(-shards // CELL_SHARDS), -(-queries // CELL_QUERIES)
+    chunks, salts = -(-shards // max(1, min(CELL_SHARDS, CELL_BYTES // (16 * width)))), -(-queries // CELL_QUERIES)
     cell = lambda chunk, salt: (chunk * salts + salt).cast("long").alias("cell")
     of_shards = extents.select(F.pmod(F.xxhash64("shard"), F.lit(chunks)).alias("chunk"), "*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     of_shards = of_shards.select(cell(F.col("chunk"), F.col("salt")), "shard", "high", "low", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _QUERY.split(", "))))
@@ -295,15 +295,18 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard: int = SH
     scratch = Scratch(candidates.sparkSession)
     asked = queries.groupBy("vec_id", "weights").count().select(F.xxhash64("weights").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("weights").alias("query"), F.lit(None).cast("long").alias("least"))
     asked = scratch.save(asked, "queries")
-    placed = scratch.save(_placed(candidates, max(1, -(-candidates.count() // shard)), shard), "shards")
+    seen = candidates.agg(F.count("*").alias("n"), F.max(F.size("weights")).alias("width")).first()
+    width = max(1, seen["width"] or 1)
+    shard, group = min(shard, max(BLOCK, SHARD_BYTES // (8 * width))), min(group, max(1, GROUP_BYTES // (8 * width)))
+    placed = scratch.save(_placed(candidates, max(1, -(-seen["n"] // shard)), shard), "shards")
     extents = scratch.save(_extents(placed), "extents")
     shards, n_queries = max(1, extents.count()), max(1, asked.count())
-    best = scratch.save(_searched(placed, _routed(asked, extents, shards, n_queries, True), shards, k, group), "first")
+    best = scratch.save(_searched(placed, _routed(asked, extents, shards, n_queries, True, width), shards, k, group), "first")
     order = W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     if shards > 1:
         kth = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "query_key", F.col("score").alias("least"))
         still = asked.drop("least").join(kth, ["query_id", "query_key"], "left").select("query_key", "query_id", "query", "least")
-        best = best.unionByName(_searched(placed, _routed(still, extents, shards, n_queries, False), shards, k, group))
+        best = best.unionByName(_searched(placed, _routed(still, extents, shards, n_queries, False, width), shards, k, group))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -127,3 +127,15 @@ def test_scores_near_the_end_of_a_long_and_beyond(spark):
     for more in ([(4, [2.0**23, 2.0**23])], [(4, [2.0**60, 0.0])]):
         with pytest.raises(Exception, match="exceeds a long"):
             run(spark, rows + more)
+
+
+def test_shards_and_groups_are_bounded_by_bytes(spark, monkeypatch):
+    rows = vectors(900, d=40, seed=8)
+    plain = brute(rows)
+    seen = []
+    real = topk._placed
+    monkeypatch.setattr(topk, "_placed", lambda candidates, shards, shard: seen.append((shards, shard)) or real(candidates, shards, shard))
+    monkeypatch.setattr(topk, "SHARD_BYTES", 8 * 40 * 200)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 8 * 40 * 3)
+    monkeypatch.setattr(topk, "CELL_BYTES", 16 * 40 * 2)
+    assert run(spark, rows) == plain and seen == [(5, 200)]
