@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.llm import doc_stats, quality_classifier, quality_rules
+from chronofold.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", "  \n\t ", "one", "a b c a b c a b c", "line\nline\n\n  \nline \nother", "x" * 3000, "é ü\u00a0ß 日本 語\n日本 語", "a\x0bb\x0cc\rd", "# * $ % & | < >", "tail\n", "\nhead", "A a A a A a"]
@@ -225,3 +227,88 @@ def test_rules_on_rows_that_were_not_learned_from(spark, tables):
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
     rows = [r for r in quality_rules.judge_documents(docs, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert np.mean([r["kept"] == (truth[r["doc_id"]] == 1) for r in rows if not r["base_failed"]]) > 0.97
+
+
+M64, RADIX = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_slots(text):
+    """The n-grams of a text, counted by kind and slot, one by one."""
+    data = (text or "").encode()
+    words = [w.encode() for w in WORD.findall(text or "")]
+    top = lambda h, kind: (h >> (64 - quality_rules.BITS)) + (kind << quality_rules.BITS)
+    kinds = []
+    for kind, k in enumerate(quality_rules.CHAR_GRAMS):
+        hashes = [(int.from_bytes(data[i : i + k], "little") * RADIX) & M64 for i in range(len(data) - k + 1)]
+        kinds.append(Counter(top(h ^ ((h << 29) & M64), kind) for h in hashes))
+    names = [mixed((sum((b + 1) * pow(RADIX, j, 1 << 64) for j, b in enumerate(w)) + len(w)) & M64) for w in words]
+    kinds.append(Counter(top(h, len(kinds)) for h in names))
+    is_mark = lambda b: bool(doc_stats.PUNCTUATION[b])
+    looks = []
+    for i, w in enumerate(words):
+        upper = sum(65 <= b <= 90 for b in w)
+        case = 0 if upper == 0 else (2 if upper >= max(2, len(w) // 2) else 1)
+        again = i > 0 and words[i - 1] == w
+        looks.append(mixed((((case * 128 + (w[-1] if is_mark(w[-1]) else 0)) * 2 + is_mark(w[0])) * 2 + again) * 8 + min(len(w) // 3, 7)))
+    for tokens in (names, looks):
+        kinds.append(Counter(top(mixed((a * RADIX + b) & M64), len(kinds)) for a, b in zip(tokens, tokens[1:])))
+    return kinds
+
+
+def plain_margin(text, weights):
+    return sum(quality_rules.SCALE * sum(weights[s] * n for s, n in c.items()) / max(1, sum(c.values())) for c in plain_slots(text))
+
+
+def plain_platt(margin, y):
+    """Slope and intercept that minimise the log loss against smoothed targets, by plain gradient steps along each of them in turn."""
+    n1, n0 = sum(y), len(y) - sum(y)
+    target = [(n1 + 1) / (n1 + 2) if v else 1 / (n0 + 2) for v in y]
+
+    def loss(a, b):
+        z = [a * m + b for m in margin]
+        return sum(max(v, 0) - t * v + math.log1p(math.exp(-abs(v))) for v, t in zip(z, target)) + 5e-4 * ((a - 1) ** 2 + b**2)
+
+    at, step = [1.0, 0.0], [1.0, 1.0]
+    for _ in range(4000):
+        for i in (0, 1):
+            for way in (1, -1):
+                to = list(at)
+                to[i] += way * step[i]
+                if loss(*to) < loss(*at):
+                    at = to
+                    step[i] *= 1.5
+                    break
+            else:
+                step[i] /= 2
+        if max(step) < 1e-9:
+            break
+    return at
+
+
+def test_verdict_against_plain_python(spark, tables):
+    docs, labels = tables
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" Ende!! END \u00e9\u00df Wort Wort"))).otherwise(F.col("text")))
+    model = quality_rules.train(docs, labels)
+    found = quality_rules.labelled_documents(docs, quality_rules.labelled_sample(labels, quality_rules.MAX_LABELLED))
+    held = found.where("part = 0").collect()
+    _, shift = quality_rules._fit(quality_rules._vectors(found.where("part <> 0"), Scratch(spark)))
+    slope, intercept = plain_platt([plain_margin(r["text"], model.weights) + shift for r in held], [r["y"] for r in held])
+    assert model.slope == pytest.approx(slope, rel=1e-3) and model.intercept == pytest.approx(intercept + slope * shift, rel=1e-3, abs=1e-3)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {-1 - i: t for i, t in enumerate(ODD)}
+    asked = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    rows = quality_rules.judge_documents(asked, model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        z = max(-50, min(50, model.slope * plain_margin(texts[r["doc_id"]], model.weights) + model.intercept))
+        probability = 1 / (1 + math.exp(-z))
+        n_words, *_, repeated = base(texts[r["doc_id"]])
+        failed = n_words < 50 or 100 * repeated > 50 * n_words
+        assert r["probability"] == pytest.approx(probability, rel=1e-6, abs=1e-12)
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and probability >= 0.5)
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
