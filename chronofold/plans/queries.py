@@ -274,6 +274,49 @@ def anchor_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "anchor string, refused boolean")
 
 
+def _refused(build: Callable[[], object]) -> bool:
+    try:
+        build()
+    except ValueError:
+        return True
+    return False
+
+
+def split_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which requests are refused, of the daily events and of the nations' months, whose nations don't all have orders in every month."""
+    series, panel = events_daily(spark, sf_dir), orders_by_nation(spark, sf_dir)
+    first = "1992-01-01"
+    cases = {
+        "panel_without_entity": lambda: _POOS(2).assign(panel, "t"),
+        "panel_without_its_column": lambda: _POOS(2).assign(panel.drop("entity"), "t", "entity"),
+        "series_without_time": lambda: _OOS(test_indices="2024-01-10").assign(series.drop("t"), "t"),
+        "one_fold": lambda: _OOS(1),
+        "half_folds": lambda: _OOS(2.5),
+        "two_folds": lambda: _OOS(2).assign(series, "t"),
+        "pair_on_a_series": lambda: _OOS(test_indices=[("click", dt.date(2024, 1, 10))]).assign(series, "t"),
+        "label_of_a_series": lambda: _OOS(test_indices="2024-01-10").assign(series, "t"),
+        "nation_without_test_rows": lambda: _POOS(test_indices=first, test_size=1).assign(panel, "t", "entity"),
+        "nation_skipped": lambda: _POOS(test_indices=first, test_size=1, missing="skip").assign(panel, "t", "entity"),
+        "month_of_all_or_none": lambda: _POOS(test_indices="1996-02-01", test_size=1).assign(panel, "t", "entity"),
+    }
+    return spark.createDataFrame([(name, _refused(build)) for name, build in cases.items()], "request string, refused boolean")
+
+
+def fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many folds splitters say that they give, which is how many they give, whatever n_splits says."""
+    months, types = orders_monthly(spark, sf_dir), events_by_type(spark, sf_dir)
+    asked = {
+        "default": (_OOS(4, test_size=3), months, None), "positions": (_OOS(test_indices=[9, 4, 30]), months, None), "in_sample": (_IS(5), months, None),
+        "panel": (_POOS(3, test_size=2), types, "entity"), "panel_times": (_POOS(test_indices=_dates("2024-01-10", "2024-01-20")), types, "entity"), "each_entity": (cf.PanelOutOfSampleSplitPerEntity(3, test_size=2), types, "entity"),
+    }
+    found = []
+    for name, (splitter, df, entity) in asked.items():
+        source = splitter.source(df, "t", entity)
+        keys = ["fold_id", *([entity] if name == "each_entity" else [])]
+        found.append((name, splitter.get_n_splits(source), splitter.assign(source, role="test").select(*keys).distinct().count(), splitter.spec.n_splits))
+    return spark.createDataFrame(found, "splitter string, said long, given long, n_splits long")
+
+
 def _anchors_sql() -> str:
     def refused(anchor) -> str:
         if isinstance(anchor, int):
@@ -508,7 +551,7 @@ def ml_cv_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.assign for name, case in CASES.items()} | {name: _described(case) for name, case in PER_ENTITY.items()}
 QUERIES |= {f"{name}_rows": case.assign for name, case in PER_ENTITY.items()}
 QUERIES |= {"fold_describe": _described(CASES["ts_oos_gap"])}
-QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, stored_positions, stored_order_warning, repeated_times_oos, repeated_times_panel, anchor_errors, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, per_entity_streamed, split_slices, entity_list, entity_section, time_section, lag_series, ml_cv, ml_search, ml_cv_forest)}
+QUERIES |= {f.__name__: f for f in (fold_time_bounds, split_stats, in_sample_check, overlap, key_sorted_check, entity_grouped_check, unsorted_warning, stored_positions, stored_order_warning, repeated_times_oos, repeated_times_panel, anchor_errors, split_errors, fold_counts, xy_key_equality, group_positions, align_horizon, lag_features, publication_delay, calendar_features, cross_section_stats, completeness, cv_ratio_rmse, cv_ratio_rows, cv_mae_mape, cv_direction, cv_linear_per_entity, cv_two_regressors, cv_summary, per_entity_fit, per_entity_streamed, split_slices, entity_list, entity_section, time_section, lag_series, ml_cv, ml_search, ml_cv_forest)}
 
 _RATIO = """coefficient AS (SELECT fold_id, entity, avg(y / nullif(x, 0)) AS c FROM assigned WHERE role = 'train' GROUP BY ALL),
     predicted AS (SELECT a.*, a.x * c AS p FROM assigned a JOIN coefficient USING (fold_id, entity) WHERE role = 'test')"""
@@ -543,6 +586,14 @@ ORACLE_SQL |= {
         b AS (SELECT e, 3 - back // 8 AS i, min(pos) AS lo FROM k JOIN h USING (t) WHERE back IN (8, 16, 24) GROUP BY ALL)
         SELECT CAST(i AS INTEGER) AS fold_id, CASE WHEN pos >= lo THEN 'test' ELSE 'train' END AS role, e AS entity, t, id, pos FROM k JOIN b USING (e) WHERE pos >= lo AND pos < lo + 8 OR pos < lo - 1 AND pos >= greatest(lo - 1, 0) - 30""",
     "anchor_errors": _anchors_sql(),
+    "split_errors": f"""WITH s AS ({_SOURCES_SQL[events_daily]}), p AS ({_SOURCES_SQL[orders_by_nation]}), n AS (SELECT count(DISTINCT e) AS n FROM p),
+        m AS (SELECT n > (SELECT count(DISTINCT e) FROM p WHERE t = DATE '1992-01-01') AS early, n > (SELECT count(DISTINCT e) FROM p WHERE t = DATE '1996-02-01') AS late FROM n)
+        SELECT unnest(['panel_without_entity', 'panel_without_its_column', 'series_without_time', 'one_fold', 'half_folds', 'pair_on_a_series']) AS request, true AS refused
+        UNION ALL SELECT 'two_folds', count(DISTINCT t) < 3 FROM s UNION ALL SELECT 'label_of_a_series', NOT bool_or(t = DATE '2024-01-10') FROM s
+        UNION ALL SELECT 'nation_without_test_rows', early FROM m UNION ALL SELECT 'nation_skipped', NOT bool_or(t = DATE '1992-01-01') FROM p UNION ALL SELECT 'month_of_all_or_none', late FROM m""",
+    "fold_counts": f"""SELECT splitter, CAST(said AS BIGINT) AS said, CAST(said AS BIGINT) AS given, CAST(n_splits AS BIGINT) AS n_splits
+        FROM (VALUES ('default', 4, 4), ('positions', 3, 5), ('in_sample', 1, 5), ('panel', 3, 3), ('panel_times', 2, 5)) x(splitter, said, n_splits)
+        UNION ALL SELECT 'each_entity', 3 * count(DISTINCT e), 3 * count(DISTINCT e), 3 FROM ({_SOURCES_SQL[events_by_type]})""",
     "xy_key_equality": """WITH raw AS (SELECT event_type AS e, CAST(ts AS DATE) AS t FROM events),
         x AS (SELECT e, t, count(*) AS rows_of_it, 1 AS n FROM raw GROUP BY e, t),
         y AS (SELECT e, t, count(DISTINCT t) AS same, count(DISTINCT t) FILTER (t <> DATE '2024-01-07') AS fewer, count(DISTINCT t) * CASE WHEN e = 'click' THEN 2 ELSE 1 END AS twice FROM raw GROUP BY e, t)
