@@ -139,15 +139,21 @@ def labelled_sample(labels: DataFrame, limit: int, keep=None) -> DataFrame:
 
 
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, with smoothed targets."""
+    """Slope and intercept by Newton steps, with smoothed targets. A step that would raise the loss is halved, since whole steps can swing to and fro where margins lie far from the cut."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([margin, np.ones_like(margin)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0])), -5, 5)
+    w, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    loss = lambda w: float((np.logaddexp(0, x @ w) - target * (x @ w)).sum() + 5e-4 * (w - start) @ (w - start))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (p - target) + 1e-3 * (w - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), gradient)
+        while np.abs(step).max() > 1e-12 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() <= 1e-10:
+            break
     return float(w[0]), float(w[1])
 
 

@@ -232,7 +232,7 @@ def _extents(placed: DataFrame) -> DataFrame:
     return by_term.groupBy("shard").agg(terms.alias("t")).select("shard", F.col("t.high").alias("high"), F.col("t.low").alias("low"))
 
 
-def _routed(asked: DataFrame, extents: DataFrame, shards: int, queries: int, first: bool, width: int) -> DataFrame:
+def _routed(asked: DataFrame, extents: DataFrame, shards: int, queries: int, first: bool, width: int = 1) -> DataFrame:
     """The queries with the shards that they go to: of each cell of shards the one with the best bound, or all others whose bound reaches ``least``."""
     chunks, salts = -(-shards // max(1, min(CELL_SHARDS, CELL_BYTES // (16 * width)))), -(-queries // CELL_QUERIES)
     cell = lambda chunk, salt: (chunk * salts + salt).cast("long").alias("cell")

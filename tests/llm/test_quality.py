@@ -266,7 +266,7 @@ def plain_margin(text, weights):
 
 
 def plain_platt(margin, y):
-    """Slope and intercept that minimise the log loss against smoothed targets, by plain gradient steps along each of them in turn."""
+    """Slope and intercept that minimise the log loss against smoothed targets, by steps that never go uphill, until the gradient is zero."""
     n1, n0 = sum(y), len(y) - sum(y)
     target = [(n1 + 1) / (n1 + 2) if v else 1 / (n0 + 2) for v in y]
 
@@ -274,21 +274,21 @@ def plain_platt(margin, y):
         z = [a * m + b for m in margin]
         return sum(max(v, 0) - t * v + math.log1p(math.exp(-abs(v))) for v, t in zip(z, target)) + 5e-4 * ((a - 1) ** 2 + b**2)
 
-    at, step = [1.0, 0.0], [1.0, 1.0]
-    for _ in range(4000):
-        for i in (0, 1):
-            for way in (1, -1):
-                to = list(at)
-                to[i] += way * step[i]
-                if loss(*to) < loss(*at):
-                    at = to
-                    step[i] *= 1.5
-                    break
-            else:
-                step[i] /= 2
-        if max(step) < 1e-9:
-            break
-    return at
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        p = [1 / (1 + math.exp(-max(-700, min(700, a * m + b)))) for m in margin]
+        da = sum((q - t) * m for q, t, m in zip(p, target, margin)) + 1e-3 * (a - 1)
+        db = sum(q - t for q, t in zip(p, target)) + 1e-3 * b
+        aa = sum(q * (1 - q) * m * m for q, m in zip(p, margin)) + 1e-3
+        ab = sum(q * (1 - q) * m for q, m in zip(p, margin))
+        bb = sum(q * (1 - q) for q in p) + 1e-3
+        va, vb = (bb * da - ab * db) / (aa * bb - ab * ab), (aa * db - ab * da) / (aa * bb - ab * ab)
+        share = 1.0
+        while share > 1e-9 and loss(a - share * va, b - share * vb) > loss(a, b):  # never uphill
+            share /= 2
+        a, b = a - share * va, b - share * vb
+    assert abs(da) + abs(db) < 1e-6
+    return a, b
 
 
 def test_verdict_against_plain_python(spark, tables):
