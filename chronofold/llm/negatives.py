@@ -175,8 +175,8 @@ def _joined(placed: DataFrame, anchors: DataFrame, space: _Space, n_rows: int, l
     return met.mapInArrow(join, "row long, part int, vec_id long, score long")
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers: in doubles where these hold them, else in longs, else in Python's numbers."""
+def _products(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers: in doubles where these hold them, else in longs, else in Python's numbers (of the pairs asked for)."""
     width = max(a.shape[1], b.shape[1])
     a, b = topk._widened(a, width), topk._widened(b, width)
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width
@@ -185,7 +185,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a.astype(np.int64), b.astype(np.int64)
     if most < 2**62:
         return a @ b.T
-    scores = a.astype(object) @ b.astype(object).T
+    scores = np.where(asked, a.astype(object) @ b.astype(object).T, 0)
     if ((scores < -(2**63)) | (scores >= 2**63)).any():
         raise OverflowError("a score exceeds a long")
     return scores.astype(np.int64)
@@ -244,9 +244,9 @@ class _Anchors:
 
     def meet(self, b: pa.RecordBatch) -> None:
         ids, label = b.column("vec_id").to_numpy(), b.column("label").to_numpy()
-        scores = _products(self.weights, topk._matrix(b.column("weights"), 0))
         same = self.label[:, None] == label[None, :]
         allowed = ~same if self.bounded else same & (self.id[:, None] != ids[None, :])
+        scores = _products(self.weights, topk._matrix(b.column("weights"), 0), allowed)
         for part in range(self.scores.shape[1]):
             fits = allowed
             if self.bounded:
@@ -284,7 +284,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     in_order = F.sort_array(F.collect_list(F.struct("at", "lo", "hi")))  # as many as an anchor has positives
     per = bounds.groupBy("row").agg(in_order.alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("row", F.flatten(F.transform("b", lambda x: F.array(x["lo"], x["hi"]))).alias("bounds"), "lo", "hi")
     square = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) + F.lit(space.squares)
-    far = lambda s: F.sqrt(F.greatest(square - 2 * F.col(s), F.lit(0.0)))
+    far = lambda s: F.sqrt(F.greatest(square - 2.0 * F.col(s).cast("double"), F.lit(0.0)))
     still = scratch.save(asked.join(per.where("hi >= 0"), "row").withColumns({"near": far("hi"), "away": far("lo")}), "bounded")
     counts, radius, near, away = _cells(still, space, [F.count("*"), F.max("dist"), F.min("near"), F.max("away")])
     found = _joined(placed, still, space, n, near, away, counts.astype(int), radius, _Join(negatives, positives))
