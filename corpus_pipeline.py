@@ -3,7 +3,7 @@
 Each stage works on all rows that it is given and passes on all of their columns, whatever their names; an empty table gives
 none. Null and empty texts: the classifier scores them as empty (labels say whether these are good), the rules let none
 through, since they have fewer than 50 words; later stages would keep each (no text is a copy of none) and pack its
-end-of-document id. Rows with a null doc_id are judged by their text, are no one's representative and stay. Of rows equal in
+end-of-document id. Rows with a null doc_id are judged by the classifier and the rules; as copies they are not judged, and stay. Of rows equal in
 id and text the near-duplicate stage keeps one, different texts under one id are judged each by itself, and of a class the
 smallest id stays. Texts of any length are read whole.
 """
