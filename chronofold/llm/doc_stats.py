@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,36 +17,62 @@ DIGIT = textops.byte_class((48, 57))
 PUNCTUATION = textops.byte_class((33, 47), (58, 64), (91, 96), (123, 126))
 SENTENCE_END = textops.byte_class((33, 33), (46, 46), (63, 63))
 NOT_CONTINUED = ~textops.byte_class((0x80, 0xBF))
+WIDE = textops.byte_class((128, 255))
 NEW_LINE = 10
 
 
+#: Keys that are sorted at a time.
+SORTED = 1 << 20
+
+
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    if len(bounds) == 2:
+        return np.array([np.count_nonzero(flags[bounds[0] : bounds[1]])])
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _by_top_bits(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the keys, those of equal keys together, in parts that are sorted for themselves."""
+    bits = int(len(keys) // SORTED).bit_length()
+    if not bits:
+        yield np.arange(len(keys))
+        return
+    for part in range(1 << bits):
+        yield np.flatnonzero(keys >> U64(64 - bits) == U64(part))
+
+
+def _own(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys that differ between rows."""
+    with np.errstate(over="ignore"):
+        return keys ^ textops.mix(np.arange(1, int(row[-1]) + 2, dtype=U64))[row]
+
+
 def _repeated(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Which keys occur more than once in their row."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    with np.errstate(over="ignore"):
-        own = keys ^ textops.mix(row.astype(U64) + U64(1))
-    order = np.argsort(own)
-    sorted_keys = own[order]
-    same = sorted_keys[1:] == sorted_keys[:-1]
     out = np.zeros(len(keys), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    if not len(keys):
+        return out
+    own = _own(keys, row)
+    for at in _by_top_bits(own):
+        at = at[np.argsort(own[at])]
+        same = own[at[1:]] == own[at[:-1]]
+        out[at[1:][same]] = True
+        out[at[:-1][same]] = True
     return out
 
 
 def _distinct(keys: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """Distinct keys of each row."""
-    with np.errstate(over="ignore"):
-        own = keys ^ textops.mix(row.astype(U64) + U64(1))
-    _, at = np.unique(own, return_index=True)
-    return np.bincount(row[at], minlength=n)
+    out = np.zeros(n, np.int64)
+    if not len(keys):
+        return out
+    own = _own(keys, row)
+    for at in _by_top_bits(own):
+        _, first = np.unique(own[at], return_index=True)
+        out += np.bincount(row[at[first]], minlength=n)
+    return out
 
 
 class TextFacts:
@@ -57,6 +85,10 @@ class TextFacts:
         self.word_row = np.repeat(np.arange(self.n), self.n_words)
         self.hashes = textops.span_hashes(data, self.start, self.end)
 
+    def count(self, table: np.ndarray) -> np.ndarray:
+        """Bytes of a class in each text."""
+        return textops.table_counts(table, self.data, self.offsets[:-1], self.offsets[1:])
+
     def repeat_words(self) -> np.ndarray:
         """Words that stand in a 3-word window which their text has twice or more."""
         at, counts = textops.gram_starts(self.first, 3)
@@ -83,8 +115,7 @@ class TextFacts:
 
     def base(self) -> dict[str, np.ndarray]:
         """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-        inside = textops.NOT_SPACE[self.data] & NOT_CONTINUED[self.data]
-        return {"n_words": self.n_words, "word_chars": _sums(inside, self.offsets), "n_symbols": _sums(SYMBOLS[self.data], self.offsets), "n_dup_lines": self.lines()[1], "n_repeat_words": self.repeat_words()}
+        return {"n_words": self.n_words, "word_chars": self.count(textops.NOT_SPACE & NOT_CONTINUED), "n_symbols": self.count(SYMBOLS), "n_dup_lines": self.lines()[1], "n_repeat_words": self.repeat_words()}
 
 
 #: Names of the statistics that the quality classifier sees.
@@ -99,18 +130,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     f = TextFacts(data, offsets)
     size, words = np.diff(offsets).astype(float), f.n_words.astype(float)
     per_byte, per_word = 1 / np.maximum(size, 1), 1 / np.maximum(words, 1)
-    share = lambda flags: _sums(flags, offsets) * per_byte
+    share = lambda table: f.count(table) * per_byte
     of_words = lambda flags: _sums(flags, f.first) * per_word
     last, length = data[f.end - 1], f.end - f.start
-    up = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(UPPER[data], out=up[1:])
-    upper_in = up[f.end] - up[f.start]
+    upper_in = textops.table_counts(UPPER, data, f.start, f.end)
     follows = np.zeros(len(f.hashes), bool)
     follows[1:] = (f.hashes[1:] == f.hashes[:-1]) & (f.word_row[1:] == f.word_row[:-1])
     n_lines, dup = f.lines()
-    marks = share(PUNCTUATION[data])
+    marks = share(PUNCTUATION)
     columns = [
-        np.log1p(size), np.log1p(words), np.log1p(_sums(textops.NOT_SPACE[data], offsets) * per_word), share(UPPER[data]), share(DIGIT[data]), marks, share(SYMBOLS[data]), share(data >= 128), share(~textops.NOT_SPACE[data]), np.log1p(words / np.maximum(n_lines, 1)),
+        np.log1p(size), np.log1p(words), np.log1p(f.count(textops.NOT_SPACE) * per_word), share(UPPER), share(DIGIT), marks, share(SYMBOLS), share(WIDE), share(~textops.NOT_SPACE), np.log1p(words / np.maximum(n_lines, 1)),
         dup / np.maximum(n_lines, 1), f.repeat_words() * per_word, _distinct(f.hashes, f.word_row, f.n) * per_word if len(f.hashes) else words, of_words(follows), of_words((upper_in >= 2) & (2 * upper_in >= length)), of_words(SYMBOLS[last]), of_words(length <= 2), of_words(length >= 20), np.log1p(marks * size * per_word), of_words(SENTENCE_END[last]),
     ]
     return np.stack([np.asarray(c, float) for c in columns], axis=1)

@@ -4,8 +4,8 @@ Statistics of a whole text are standardised, mapped to cosine features whose inn
 and a ridge regression is solved from normal equations that every partition sums for itself. Scores of rows set aside are
 binned, and the pool-adjacent-violators rule turns bins into rising probabilities.
 
-Defined cases: a null text is empty and is scored like one; a text of any length is measured whole (a long one by
-itself, in memory in proportion to it); repeated rows score alike; of rows that repeat a labelled id the text with the least
+Defined cases: a null text is empty and is scored like one; a text of any length is measured whole (a long one in
+windows, memory follows its words and lines); repeated rows score alike; of rows that repeat a labelled id the text with the least
 hash is learned from, once; a null doc_id is kept as it is; contradicting labels of one document are left out; without
 labels of both classes every score is the share of good labels (1/2 without any); an empty table gives no rows; other
 columns are ignored (``filter_documents`` passes them on).

@@ -5,7 +5,7 @@ fitted on labelled rows (each step sums the gradients of all partitions, until i
 to calibrate its margins to probabilities, and every document is scored in Arrow batches and held against a fixed threshold.
 
 Defined cases: a null text has no words and fails the base rules; a text without n-grams of a kind gets nothing from that
-kind; a text of any length is read whole (a long one is measured by itself, in memory in proportion to it);
+kind; a text of any length is read whole (a long one in windows whose counts add up: memory follows its words and lines);
 repeated rows are judged alike; of rows that repeat a labelled id the text with the least hash is learned from, once; a
 null doc_id is kept as it is; without labels of both classes the model's verdict is to keep; an empty table gives
 no rows; other columns are ignored (``filter_documents`` passes them on).
@@ -52,66 +52,89 @@ def _slot(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (hashes >> U64(64 - BITS)).astype(np.int64) + (kind << BITS)
 
 
-def _shapes(f: doc_stats.TextFacts) -> np.ndarray:
-    """A small number for the look of each word: case, last and first mark, length, equal to the word before."""
-    data, length = f.data, f.end - f.start
-    up = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(doc_stats.UPPER[data], out=up[1:])
-    upper = up[f.end] - up[f.start]
+def _shapes(f: doc_stats.TextFacts, lo: int, hi: int) -> np.ndarray:
+    """A small number for the look of each of the words lo..hi: case, last and first mark, length, equal to the word before."""
+    data, start, end = f.data, f.start[lo:hi], f.end[lo:hi]
+    length = end - start
+    upper = textops.table_counts(doc_stats.UPPER, data, start, end)
     case = np.where(upper == 0, 0, np.where(upper >= np.maximum(2, length // 2), 2, 1))
-    last, head = data[f.end - 1] if len(f.end) else data[:0], data[f.start] if len(f.start) else data[:0]
+    last, head = data[end - 1] if len(end) else data[:0], data[start] if len(start) else data[:0]
     mark = np.where(doc_stats.PUNCTUATION[last], last, 0).astype(np.int64)
     front = doc_stats.PUNCTUATION[head].astype(np.int64)
-    again = np.zeros(len(f.hashes), np.int64)
-    again[1:] = (f.hashes[1:] == f.hashes[:-1]) & (f.word_row[1:] == f.word_row[:-1])
+    again = np.zeros(len(start), np.int64)
+    first = 1 if lo == 0 else 0
+    before = slice(lo + first - 1, max(lo + first, hi) - 1)
+    again[first:] = (f.hashes[lo + first : hi] == f.hashes[before]) & (f.word_row[lo + first : hi] == f.word_row[before])
     return ((((case * 128 + mark) * 2 + front) * 2 + again) * 8 + np.minimum(length // 3, 7)).astype(U64)
 
 
-def features(f: doc_stats.TextFacts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of n-gram the feature slots of all rows one after another, and where each row's begin (n + 1 bounds)."""
-    data, size = f.data.astype(U64), np.diff(f.offsets)
+def _windows(n: int, k: int) -> Iterator[tuple[int, int]]:
+    """Ranges that overlap so that each run of k of n things lies in just one of them; all in one if they are few."""
+    if n <= textops.WINDOW + k:
+        yield 0, n
+        return
+    for at in range(0, n - k + 1, textops.WINDOW):
+        yield at, min(at + textops.WINDOW + k - 1, n)
+
+
+def _char_slots(data: np.ndarray, offsets: np.ndarray, kind: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    data, counts = data.astype(U64), np.maximum(np.diff(offsets) - k + 1, 0)
+    hashes = np.zeros(max(0, len(data) - k + 1), U64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            hashes |= data[i : i + len(hashes)] << U64(8 * i)
+        hashes *= U64(textops.RADIX)
+    slots = _slot(hashes ^ (hashes << U64(29)), kind)
+    inside = np.ones(len(slots), bool)
+    for i in range(1, k):  # n-grams that would reach into the next row
+        ends = offsets[1:] - i
+        ends = ends[(ends >= 0) & (ends < len(slots))]
+        inside[ends] = False
+    # a row shorter than k has its bytes dropped by the rule above as well
+    return slots[inside], np.concatenate(([0], np.cumsum(counts)))
+
+
+def features(f: doc_stats.TextFacts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind of n-gram, its feature slots of all rows one after another, and where each row's begin (n + 1 bounds). A long text, which is the only row then, gives each kind in several parts."""
     for kind, k in enumerate(CHAR_GRAMS):
-        counts = np.maximum(size - k + 1, 0)
-        hashes = np.zeros(max(0, len(data) - k + 1), U64)
-        with np.errstate(over="ignore"):
-            for i in range(k):
-                hashes |= data[i : i + len(hashes)] << U64(8 * i)
-            hashes *= U64(textops.RADIX)
-        slots = _slot(hashes ^ (hashes << U64(29)), kind)
-        inside = np.ones(len(slots), bool)
-        for i in range(1, k):  # n-grams that would reach into the next row
-            ends = f.offsets[1:] - i
-            ends = ends[(ends >= 0) & (ends < len(slots))]
-            inside[ends] = False
-        # a row shorter than k has its bytes dropped by the rule above as well
-        yield slots[inside], np.concatenate(([0], np.cumsum(counts)))
+        for lo, hi in _windows(len(f.data), k) if f.n == 1 else [(0, len(f.data))]:
+            yield kind, *_char_slots(f.data[lo:hi], np.array([0, hi - lo]) if f.n == 1 else f.offsets, kind, k)
     kind = len(CHAR_GRAMS)
-    bounds = f.first
-    yield _slot(f.hashes, kind), bounds
-    for offset, tokens in ((1, f.hashes), (2, textops.mix(_shapes(f)))):
-        at, counts = textops.gram_starts(f.first, 2)
-        yield _slot(textops.gram_hashes(tokens, 2)[at], kind + offset), np.concatenate(([0], np.cumsum(counts)))
+    for lo, hi in _windows(len(f.hashes), 2) if f.n == 1 else [(0, len(f.hashes))]:
+        first = np.array([0, hi - lo]) if f.n == 1 else f.first
+        alone = np.array([0, hi - lo - (hi < len(f.hashes))]) if f.n == 1 else f.first  # a window's last word is the next one's first
+        yield kind, _slot(f.hashes[lo : lo + alone[-1]], kind), alone
+        at, counts = textops.gram_starts(first, 2)
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        yield kind + 1, _slot(textops.gram_hashes(f.hashes[lo:hi], 2)[at], kind + 1), bounds
+        yield kind + 2, _slot(textops.gram_hashes(textops.mix(_shapes(f, lo, hi)), 2)[at], kind + 2), bounds
 
 
 def margins(f: doc_stats.TextFacts, weights: np.ndarray) -> np.ndarray:
     """Weighted relative frequencies, summed over the kinds."""
-    out = np.zeros(f.n)
-    for slots, bounds in features(f):
+    total, seen = np.zeros((N_KINDS, f.n)), np.zeros((N_KINDS, f.n), np.int64)
+    for kind, slots, bounds in features(f):
         sums = np.zeros(len(slots) + 1)
         np.cumsum(weights[slots], out=sums[1:])
-        out += SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
-    return out
+        total[kind] += sums[bounds[1:]] - sums[bounds[:-1]]
+        seen[kind] += np.diff(bounds)
+    return (SCALE * total / np.maximum(seen, 1)).sum(axis=0)
 
 
 def sparse_rows(f: doc_stats.TextFacts) -> list[tuple[np.ndarray, np.ndarray]]:
     """Feature slots and values of each row, for training."""
-    rows: list[tuple[list, list]] = [([], []) for _ in range(f.n)]
-    for slots, bounds in features(f):
+    found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    seen = np.zeros((N_KINDS, f.n), np.int64)
+    for kind, slots, bounds in features(f):
+        seen[kind] += np.diff(bounds)
         for i in range(f.n):
             own, counts = np.unique(slots[bounds[i] : bounds[i + 1]], return_counts=True)
-            rows[i][0].append(own)
-            rows[i][1].append(SCALE * counts / max(1, bounds[i + 1] - bounds[i]))
-    return [(np.concatenate(a), np.concatenate(b)) for a, b in rows]
+            if (kind, i) in found:
+                own, place = np.unique(np.concatenate((found[kind, i][0], own)), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate((found[kind, i][1], counts)), minlength=len(own)).astype(np.int64)
+            found[kind, i] = own, counts
+    kinds = range(N_KINDS)
+    return [(np.concatenate([found[k, i][0] for k in kinds]), np.concatenate([SCALE * found[k, i][1] / max(1, seen[k, i]) for k in kinds])) for i in range(f.n)]
 
 
 @dataclass(frozen=True)

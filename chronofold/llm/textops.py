@@ -15,6 +15,8 @@ U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64.
 RADIX = 0x9E3779B97F4A7C15
 RADIX_INV = pow(RADIX, -1, 1 << 64)
+#: Bytes of a long text, or entries of its arrays, that are worked on at a time.
+WINDOW = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -57,15 +59,43 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 17) -> Iterator[tuple[int, int
 
 def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the first word of each text (one more entry: the number of words)."""
-    flag = np.zeros(len(data) + 2, bool)
-    flag[1:-1] = in_word[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    start = np.flatnonzero(flag[1:] & (~flag[:-1] | cut))
-    end = np.flatnonzero(flag[:-1] & (~flag[1:] | cut))
+    starts, ends = [], []
+    for lo in range(0, len(data) + 1, WINDOW):
+        hi = min(lo + WINDOW, len(data) + 1)
+        a, b = max(lo - 1, 0), min(hi, len(data))
+        flag = np.zeros(hi - lo + 1, bool)  # of the bytes lo - 1 .. hi - 1; those outside are in no word
+        flag[a - lo + 1 : b - lo + 1] = in_word[data[a:b]]
+        cut = np.zeros(hi - lo, bool)
+        cut[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo] = True
+        starts.append(lo + np.flatnonzero(flag[1:] & (~flag[:-1] | cut)))
+        ends.append(lo + np.flatnonzero(flag[:-1] & (~flag[1:] | cut)))
+    start, end = np.concatenate(starts), np.concatenate(ends)
     return start, end, np.searchsorted(start, offsets)
 
 
+def span_windows(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs lo..hi of spans, which stand in order, that lie in one window each. A longer span stands alone."""
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + WINDOW, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def table_counts(table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bytes of each span, which stand in order, belong to a byte class."""
+    out = np.zeros(len(start), np.int64)
+    for lo, hi in span_windows(start, end):
+        base, stop = int(start[lo]), int(end[hi - 1])
+        if stop - base > WINDOW:
+            out[lo] = sum(int(np.count_nonzero(table[data[at : min(at + WINDOW, stop)]])) for at in range(base, stop, WINDOW))
+        else:
+            total = np.zeros(stop - base + 1, np.int64)
+            np.cumsum(table[data[base:stop]], out=total[1:])
+            out[lo:hi] = total[end[lo:hi] - base] - total[start[lo:hi] - base]
+    return out
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -88,13 +118,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the bytes, each times its power."""
+    sums = np.zeros(len(data) + 1, U64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(U64) + U64(1)) * _powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by differences of prefix sums."""
-    up, down = _powers(len(data) + 1)
+    """A 64-bit hash of each byte span, by differences of prefix sums. Spans stand in order and don't overlap; sums are taken in windows, so memory follows the number of spans."""
+    out = np.zeros(len(start), U64)
+    for lo, hi in span_windows(start, end):
+        base, stop = int(start[lo]), int(end[hi - 1])
+        if stop - base > WINDOW:
+            total = sum(int(_sums(data[at : min(at + WINDOW, stop)])[-1]) * pow(RADIX, at - base, 1 << 64) for at in range(base, stop, WINDOW))
+            out[lo] = total % (1 << 64)
+        else:
+            sums, down = _sums(data[base:stop]), _powers(stop - base + 1)[1]
+            with np.errstate(over="ignore"):
+                out[lo:hi] = (sums[end[lo:hi] - base] - sums[start[lo:hi] - base]) * down[start[lo:hi] - base]
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+        return _mixed(out + (end - start).astype(U64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place, a window at a time."""
+    for at in range(0, len(x), WINDOW):
+        x[at : at + WINDOW] = mix(x[at : at + WINDOW])
+    return x
 
 
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -103,8 +155,9 @@ def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.zeros(n, U64)
         for i in range(k):
-            out = out * U64(RADIX) + tokens[i : i + n]
-    return mix(out)
+            out *= U64(RADIX)
+            out += tokens[i : i + n]
+    return _mixed(out)
 
 
 def gram_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

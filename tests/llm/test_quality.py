@@ -78,6 +78,68 @@ def test_margins_equal_sparse_rows():
         assert np.allclose(quality_rules.margins(alone, weights)[0], whole[i])
 
 
+def judged(text, weights):
+    """Everything that is measured of one text."""
+    import pyarrow as pa
+
+    from chronofold.llm import textops
+
+    data, offsets = textops.text_bytes(pa.array([text]))
+    f = doc_stats.TextFacts(data, offsets)
+    base = {k: int(v[0]) for k, v in f.base().items()}
+    return base, doc_stats.statistics(data, offsets)[0], quality_rules.margins(f, weights)[0], quality_rules.sparse_rows(f)[0], f.hashes
+
+
+LONG = [
+    "one",
+    "x" * 300,
+    " " * 300,
+    "Wort Wort Wort\n" * 40,
+    ("a b " * 50 + "z" * 90 + " \u00e9\u00df\u4e2d END! END! $# \n\n same line here\n same line here\n") * 3,
+    "\u4e2d\u6587" * 200 + " tail",
+]
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 64])
+def test_long_texts_in_windows_equal_whole_ones(monkeypatch, window):
+    from chronofold.llm import textops
+
+    weights = np.random.default_rng(1).normal(size=quality_rules.N_KINDS << quality_rules.BITS)
+    whole = [judged(t, weights) for t in LONG]
+    monkeypatch.setattr(textops, "WINDOW", window)
+    monkeypatch.setattr(doc_stats, "SORTED", 5)
+    for text, (counts, stats, margin, (slots, values), hashes) in zip(LONG, whole, strict=True):
+        again = judged(text, weights)
+        assert again[0] == counts and (again[4] == hashes).all()
+        assert np.allclose(again[1], stats) and np.isclose(again[2], margin)
+        assert (again[3][0] == slots).all() and np.allclose(again[3][1], values)
+        assert [again[0][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [int(x) for x in base(text)]
+
+
+@pytest.mark.parametrize("kind", ["prose", "unbroken"])
+def test_a_text_of_fifty_megabytes(kind):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    block = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(150_000)) if kind == "prose" else "".join(rng.choices("abc\u4e2d", k=700_000))
+    text = block * (50_000_000 // len(block.encode()) + 1)
+    column, size = pa.array([text]), len(text.encode())
+    model = quality_rules.QualityModel(np.random.default_rng(2).normal(size=quality_rules.N_KINDS << quality_rules.BITS), 1.0, 0.0)
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    doc_stats.over_batch(pa.array(["warm up"]), doc_stats.statistics)
+    tracemalloc.start()
+    try:
+        out = quality_rules._judged(batch, model)
+        doc_stats.over_batch(column, doc_stats.statistics)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 50_000_000 and peak < (16 if kind == "prose" else 5) * size, peak / size
+    assert out["n_words"][0] == text.count(" ") + 1 and out["word_chars"][0] == len(text) - text.count(" ")
+
+
 def test_rules_learn_and_filter(spark, tables):
     docs, labels = tables
     model = quality_rules.train(docs, labels)
