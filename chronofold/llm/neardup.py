@@ -380,16 +380,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _save_links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The confirmed pairs, dealt anew: full sets are compared in all tasks, the few links written by few."""
+    return scratch.save(confirm(pairs, sets).repartition(scratch.few()), "links")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id -> component (the smallest id reachable) for every id in an edge (a < b)."""
-    now, before = scratch.save(edges.distinct(), "edges"), None
+    now, before = scratch.save(edges.distinct(), "edges", light=True), None
     while True:
         near = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = near.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        then = scratch.save(small, "edges")
+        then = scratch.save(small, "edges", light=True)
         scratch.drop(now)
         own = F.xxhash64("a", "b")
         mark = then.agg(F.count("*"), F.sum(own.cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
@@ -467,20 +472,20 @@ def _sharing_rare(sets: DataFrame, limit: int) -> DataFrame:
 
 def _join_divided(parts: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, joined: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
     """The components with the links inside runs (run, id) that are in parts, or too large for one task, that join two of them."""
-    runs = scratch.save(parts, "divided")
+    runs = scratch.save(parts, "divided", light=True)
     if not runs.limit(1).count():
         return joined
     for find in (_likely_across, _likely_across, None):
         placed = _with_component(runs, joined)
         apart = placed.groupBy("run").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("run")
-        placed = scratch.save(placed.join(apart, "run", "left_semi"), "placed")
+        placed = scratch.save(placed.join(apart, "run", "left_semi"), "placed", light=True)
         if find:
             pairs = find(placed, classes, limit)
         else:
             largest = placed.groupBy("run", "component").count().groupBy("run").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
             judged = placed.join(largest, "run").groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("rest"))
             pairs = _sharing_rare(scratch.save(judged.join(sets.hint("merge"), "id"), "divided-sets"), limit)
-        found = scratch.save(confirm(scratch.save(pairs, "pairs"), sets), "links")
+        found = _save_links(scratch.save(pairs, "pairs", light=True), sets, scratch)
         if found.limit(1).count():
             links = links.unionByName(found)
             joined = components(links, scratch)
@@ -516,19 +521,19 @@ def _all_judged(docs: DataFrame, region: int = REGION, region_bytes: int = REGIO
 
 def _judged(docs: DataFrame, prints: DataFrame, scratch: Scratch, region: int, region_bytes: int) -> DataFrame:
     known = prints.where("n_shingles > 0 and doc_id is not null").groupBy("print")
-    classes = scratch.save(known.agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = scratch.save(known.agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes", light=True)
     members = scratch.save(regions(forest(classes), region), "members")
     signed = members.where("size > 1").select("region", "place", "size", "id").join(classes.select("id", "signature"), "id")
-    pairs = scratch.save(_proposed(signed, _first_pairs), "pairs")
+    pairs = scratch.save(_proposed(signed, _first_pairs), "pairs", light=True)
     sets = scratch.save(class_sets(docs, members.where((F.col("size") > SMALL) | F.col("divided")).select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()), "sets")
-    links = scratch.save(confirm(pairs, sets), "links")
+    links = _save_links(pairs, sets, scratch)
     scratch.drop(pairs)
     joined = components(links, scratch)
     large = _with_component(members.where(F.col("size") > SMALL).select("region", "place", "id"), joined).join(classes.select("id", "n_shingles"), "id")
     of_regions = large.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), (8 * F.sum("n_shingles") > region_bytes).alias("heavy"))
-    apart = scratch.save(of_regions.where("least < most").select("region", "heavy"), "apart")
+    apart = scratch.save(of_regions.where("least < most").select("region", "heavy"), "apart", light=True)
     open_regions = large.join(apart.where("not heavy"), "region", "left_semi").join(sets.hint("merge"), "id").select("region", "place", "id", "component", "members")
-    more = scratch.save(_proposed(open_regions, _exact_links), "more-links")
+    more = scratch.save(_proposed(open_regions, _exact_links), "more-links", light=True)
     if more.limit(1).count():
         links = links.unionByName(more)
         joined = components(links, scratch)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _OWN: list[str] = []
+#: Partitions of a shuffle that one task of a light table writes together.
+TOGETHER = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,14 +45,24 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{name}"
 
-    def save(self, df: DataFrame, name: str, level: int = 3, read_as: StructType | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-        """``by``: a directory for each of their values."""
+    def save(self, df: DataFrame, name: str, level: int = 3, read_as: StructType | None = None, by: tuple[str, ...] = (), light: bool = False) -> DataFrame:
+        """``by``: a directory for each of their values.
+
+        ``light``: little is done after the last shuffle, so each task writes several of its partitions into one file. A file and its folders cost
+        calls of the file system; Hadoop's local one starts a process for each, which counts with its executor's whole memory until it runs.
+        """
         path = self.path(name)
+        if light:
+            df = df.coalesce(self.few())
         df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path, partitionBy=list(by) or None)
         out = self.spark.read.schema(read_as or df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
 
+    def few(self) -> int:
+        """Tasks that write a light table: a share of a shuffle's partitions, so that they grow with it."""
+        return max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER)
+
     def drop(self, *saved: DataFrame) -> None:
         for df in saved:
             self._delete(self._paths.pop(id(df)))

@@ -79,6 +79,31 @@ def test_large_regions_are_parted_and_lose_no_component(spark):
     assert sorted(tuple(r) for r in neardup.near_duplicates(df, region=16).collect()) == brute(rows)
 
 
+def test_small_tables_are_not_dealt_into_a_file_a_partition(spark, monkeypatch):
+    """Light tables stand in few files, however many partitions a shuffle has."""
+    from chronofold.scratch import Scratch
+
+    files, plain = {}, Scratch.save
+
+    def save(self, df, name, *rest, **named):
+        out = plain(self, df, name, *rest, **named)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", save)
+    rows, held = corpus(4), {"spark.sql.shuffle.partitions": "120", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert run(spark, rows) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = max(120 // 8, 2 * spark.sparkContext.defaultParallelism)
+    assert all(files[name] <= most for name in ("classes", "pairs", "links", "edges")), files
+
+
 def test_regions_too_large_for_a_task_lose_no_component(spark):
     rows = corpus(8)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
