@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import chain
@@ -39,6 +38,7 @@ from chronofold.llm import textops
 from chronofold.scratch import Scratch
 
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 UNKNOWN_PENALTY = 10.0
 #: Units that a worker remembers, and how long they may be.
 CACHE_UNITS = 400_000
@@ -50,9 +50,11 @@ EM_STEPS = 4
 EM_SMOOTHING = 0.01
 #: Units solved together, of about equal lengths: few enough that their edges stay in the processor's cache.
 SOLVED_UNITS = 2000
-#: Distinct units, and characters of them, that a task counts before it passes them on.
-COUNTED_UNITS = 500_000
+#: Bytes of texts whose units a task counts together (a longer text stands alone), and distinct units that it passes on at once.
 COUNTED_CHARS = 16 << 20
+PASSED_UNITS = 100_000
+#: Ids of texts decoded together (a longer text stands alone).
+DECODED_IDS = 1 << 20
 #: Bytes of units solved together, if they aren't one.
 SOLVED_BYTES = 1 << 18
 #: Bytes below which sums over the segmentations of a unit are made of probabilities, not of their logarithms.
@@ -359,45 +361,73 @@ class UnigramModel:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit values."""
-        split = [units_of(t) for t in texts]
+        return self.encode_column(pa.array(texts, pa.large_string())).to_pylist()
+
+    def encode_column(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """``encode_batch`` of a column; nulls are empty."""
+        units, first = split_units(texts)
+        if not len(units):
+            return pa.array([b""] * len(texts), pa.large_binary())
         if len(self._cache) > CACHE_UNITS:
             self._cache.clear()
-        seen: set[str] = set()
-        for units in split:
-            seen.update(units)
-        new = sorted(seen.difference(self._cache), key=len)
+        units = units.dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        new = sorted((u for u in distinct if u not in self._cache), key=len)
         for at in range(0, len(new), SOLVED_UNITS):
             some = new[at : at + SOLVED_UNITS]
             self._cache.update(zip(some, self.solve(some), strict=True))
-        out = [b"".join(map(self._cache.__getitem__, units)) for units in split]
-        for u in new:
-            if len(u) > CACHE_CHARS:
-                del self._cache[u]
-        return out
+        _, bounds, data = pa.array(map(self._cache.__getitem__, distinct), pa.large_binary()).take(units.indices).buffers()
+        for u in reversed(new):  # by length
+            if len(u) <= CACHE_CHARS:
+                break
+            del self._cache[u]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.frombuffer(bounds, np.int64)[first]), data])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: pieces and bytes are joined, markers become spaces, the one in front goes."""
+        return self.decode_parts(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_parts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """``decode`` of each part between two bounds."""
         if self._raw is None:
             raw = [t.encode() if ok else None for t, ok in zip(self.pieces.texts, self.pieces.usable, strict=True)]
             for b, i in enumerate(self.pieces.bytes_at):
                 if i >= 0:
                     raw[i] = bytes([b])
             self._raw = pa.array(raw, pa.large_binary())
-        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self._raw):
+        if not len(ids):
+            return [""] * (len(bounds) - 1)
+        if not 0 <= ids.min() <= ids.max() < len(self._raw):
             raise ValueError("an id is out of range")
         found = self._raw.take(pa.array(ids))
         if found.null_count:
             raise ValueError("a control piece has no text")
-        _, bounds, data = found.buffers()
-        joined = data.slice(0, int(np.frombuffer(bounds, np.int64)[len(found)])).to_pybytes() if len(found) else b""
-        text = joined.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        _, at, data = found.buffers()
+        at = np.frombuffer(at, np.int64)[bounds].tolist()
+        texts = (str(data[lo:hi], "utf-8", "replace").replace(MARK, " ") for lo, hi in zip(at[:-1], at[1:], strict=True))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def units_of(text: str) -> list[str]:
     return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def split_units(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """``units_of`` all texts in one array over their bytes, and the first one of each text (one more entry: their number). Nulls are empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    marked = pc.replace_substring(texts, " ", MARK)
+    marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), marked, pa.scalar("", pa.large_string())))
+    data, offsets = textops.text_bytes(marked)
+    at = np.flatnonzero(data[:-2] == MARK_BYTES[0]) if len(data) else np.zeros(0, np.int64)
+    at = at[(data[at + 1] == MARK_BYTES[1]) & (data[at + 2] == MARK_BYTES[2])]
+    begins = np.ones(len(at), bool)
+    begins[1:] = np.diff(at) > len(MARK_BYTES)
+    begins[np.searchsorted(at, offsets[:-1][np.diff(offsets) > 0])] = True  # each text that isn't empty begins with a marker, wherever the one before ends
+    at = at[begins]
+    bounds = np.append(at, len(data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data)), np.searchsorted(at, offsets)
+
+
 _MODELS: dict[str, UnigramModel] = {}
 _SCORED: dict[tuple[str, bytes], UnigramModel] = {}
 
@@ -419,24 +449,14 @@ def unit_counts(docs: DataFrame) -> DataFrame:
     """unit, n: how often each unit stands in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        met = 0  # characters at most in ``seen``
         for b in textops.long_rows(batches):
-            for text in b.column("text"):
-                text = text.as_py() or ""
-                seen.update(units_of(text))
-                met, full = met + len(text), False
-                if met >= COUNTED_CHARS:
-                    met = sum(map(len, seen))
-                    full = met >= COUNTED_CHARS // 2
-                if len(seen) >= COUNTED_UNITS or full:
-                    yield _rows(seen)
-                    seen, met = Counter(), 0
-        if seen:
-            yield _rows(seen)
-
-    def _rows(seen: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
+            column = b.column("text")
+            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in textops.pieces(np.concatenate(([0], np.cumsum(size, dtype=np.int64))), COUNTED_CHARS):
+                found = split_units(column.slice(lo, hi - lo))[0].value_counts()
+                for at in range(0, len(found), PASSED_UNITS):
+                    unit, n = found.slice(at, PASSED_UNITS).flatten()
+                    yield pa.RecordBatch.from_arrays([unit.cast(pa.string()), n], names=["unit", "n"])
 
     return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -501,16 +521,28 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, scores: bytes | None,
     for whole in textops.long_rows(batches):
         for at in range(0, whole.num_rows, rows):
             b = whole.slice(at, rows)
-            ids = m.encode_batch([t or "" for t in b.column("text").to_pylist()])
-            of_bytes = [int(is_byte[np.frombuffer(x, "<i4")].sum()) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids]), pa.array(of_bytes)], names=["doc_id", "ids", "n_ids", "n_byte_ids"])
+            coded = m.encode_column(b.column("text"))
+            ids, bounds = _flat_ids(coded)
+            of_bytes = np.concatenate(([0], np.cumsum(is_byte[ids])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), coded.cast(pa.binary()), pa.array(np.diff(bounds)), pa.array(np.diff(of_bytes[bounds]))], names=["doc_id", "ids", "n_ids", "n_byte_ids"])
+
+
+def _flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of them, and the bounds of its rows; nulls are empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if data is None or off[0] == off[-1]:
+        return np.zeros(0, "<i4"), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<i4"), (off - off[0]) // 4
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for b in batches:
-        texts = [None if x is None else m.decode(np.frombuffer(x, "<i4")) for x in b.column("ids").to_pylist()]
-        yield b.append_column("text", pa.array(texts, pa.string()))
+        ids, bounds = _flat_ids(b.column("ids"))
+        texts = [t for lo, hi in textops.pieces(bounds, DECODED_IDS) for t in m.decode_parts(ids[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])]
+        yield b.append_column("text", pc.if_else(b.column("ids").is_valid(), pa.array(texts, pa.string()), None))
 
 
 _SCHEMA = "doc_id long, ids binary, n_ids long, n_byte_ids long"

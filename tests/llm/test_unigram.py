@@ -3,6 +3,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -149,6 +150,19 @@ def test_estimated_scores_encode_by_plain_viterbi(spark):
         assert r["text"] == text and np.frombuffer(r["ids"], "<i4").tolist() == viterbi(text, own, fitted.unknown)
 
 
+def test_units_of_a_column_are_those_of_each_text():
+    """Cut, encoded and decoded on the bytes of a whole column, slices of it and nulls included."""
+    texts = [None, "", " ", "  ", "a", " a", "a ", "▁", "a▁", "▁▁a b", "x▁ y", "é 日本 ▁", "▀ ▂", "", "b  c", "\x00 \n\t", "long" * 40 + " a", "a"]
+    for some in (pa.array(texts), pa.array(texts).slice(3, 9), pa.array(texts[:2], pa.string()), pa.array([], pa.string()), pa.array(["▁", "▁"])):
+        units, first = unigram.split_units(some)
+        units = units.to_pylist()
+        assert [units[lo:hi] for lo, hi in zip(first[:-1], first[1:], strict=True)] == [unigram.units_of(t or "") for t in some.to_pylist()]
+        coded = MODEL.encode_column(some).to_pylist()
+        assert coded == [b"".join(MODEL.solve(unigram.units_of(t or ""))) for t in some.to_pylist()]
+        ids, bounds = unigram._flat_ids(pa.array(coded, pa.binary()))
+        assert MODEL.decode_parts(ids, bounds) == [(t or "").replace("▁", " ") for t in some.to_pylist()]
+
+
 def test_one_unit_of_a_megabyte(spark):
     text = "ab日x" * 160_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
