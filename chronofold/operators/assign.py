@@ -15,6 +15,11 @@ BROADCAST_BOUNDS = 100_000
 BROADCAST_BLOCKS = 500_000
 
 
+def _joined_with(df: DataFrame, small: bool) -> DataFrame:
+    """``df`` as a side of a join: broadcast if it is ``small``, and else never. Spark goes by the bytes of a saved table, of which regular bounds take less than one a row."""
+    return F.broadcast(df) if small else df.hint("merge")
+
+
 def assignment(ranks: DataFrame, bounds: DataFrame, keys: Keys, folds: int, shape: Shape, spans: int = 0, role: str | None = None) -> DataFrame:
     """fold_id, role ('train' or 'test'), all columns of ``ranks`` but size: a row for each fold and role that a key has (both, in sample; as often as it is named, at repeated anchors).
 
@@ -33,7 +38,7 @@ def assignment(ranks: DataFrame, bounds: DataFrame, keys: Keys, folds: int, shap
         met = ranks.withColumn("_folds", F.array(*folds))
     else:
         per = bounds.groupBy(keys.entity).agg(F.collect_list(F.struct(*names)).alias("_folds"))
-        met = ranks.join(F.broadcast(per) if small else per, keys.entity)
+        met = ranks.join(_joined_with(per, small), keys.entity)
     pos, none = F.col("pos"), F.array().cast("array<string>")
 
     def roles(b):
@@ -68,12 +73,10 @@ def _by_blocks(ranks: DataFrame, bounds: DataFrame, keys: Keys, folds: int, shap
     edge = F.transform(ends, lambda b: F.struct(F.lit(-1).alias("level"), b.alias("block")))
     blocks = spans.withColumns({"_lo": lo, "_hi": hi}).select("fold_id", *entity, "role", "lo", "hi", F.explode(F.concat(whole, edge)).alias("_b"))
     blocks = blocks.select("fold_id", *entity, "role", "lo", "hi", "_b.level", "_b.block")
-    if n * (2 * levels + 2) <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
     own = F.expr(f"shiftright(pos, {low})")
     at = F.transform(F.sequence(F.lit(-1), F.lit(levels - 1)), lambda v: F.struct(v.alias("level"), F.call_function("shiftright", own, F.greatest(v, F.lit(0))).alias("block")))
     rows = ranks.drop("size").withColumn("_b", F.explode(at)).withColumns({"level": F.col("_b.level"), "block": F.col("_b.block")}).drop("_b")
-    return rows.join(blocks, [*entity, "level", "block"]).where("level >= 0 or pos >= lo and pos < hi")
+    return rows.join(_joined_with(blocks, n * (2 * levels + 2) <= BROADCAST_BLOCKS), [*entity, "level", "block"]).where("level >= 0 or pos >= lo and pos < hi")
 
 
 def _blocks_of_level(level):
@@ -86,7 +89,7 @@ def _blocks_of_level(level):
     return F.filter(F.array(first, last), lambda b: b.isNotNull())
 
 
-def time_ranges(ranks: DataFrame, bounds: DataFrame, keys: Keys) -> dict[tuple[int, str], Column]:
+def time_ranges(ranks: DataFrame, bounds: DataFrame, keys: Keys, pairs: int = 0) -> dict[tuple[int, str], Column]:
     """For each fold and role a condition on the time column with literals: from the first to the last time of its rows in all entities. Roles without rows have none.
 
     A row a fold and role comes to the driver, as numbers or texts that name a time exactly whatever the time zone.
@@ -94,17 +97,19 @@ def time_ranges(ranks: DataFrame, bounds: DataFrame, keys: Keys) -> dict[tuple[i
     kind = ranks.schema[keys.time].dataType.simpleString()
     out = F.unix_micros if kind == "timestamp" else lambda c: F.col(c).cast("string")
     back = (lambda v: F.timestamp_micros(F.lit(v))) if kind == "timestamp" else lambda v: F.lit(v).cast(kind)
-    ends = time_bounds(ranks, bounds, keys).groupBy("fold_id", "role").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ends = time_bounds(ranks, bounds, keys, pairs).groupBy("fold_id", "role").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     found = ends.select("fold_id", "role", out("first").alias("first"), out("last").alias("last")).collect()
     return {(r["fold_id"], r["role"]): F.col(keys.time).between(back(r["first"]), back(r["last"])) for r in found}
 
 
-def time_bounds(ranks: DataFrame, bounds: DataFrame, keys: Keys) -> DataFrame:
-    """Bounds as times, for filters that reach the scan of the raw table: fold_id, [entity], role, first and last time (points, where a test is a set, stay positions)."""
+def time_bounds(ranks: DataFrame, bounds: DataFrame, keys: Keys, pairs: int = 0) -> DataFrame:
+    """Bounds as times, for filters that reach the scan of the raw table: fold_id, [entity], role, first and last time (points, where a test is a set, stay positions). ``pairs``: (fold, entity) pairs of the bounds, if they are known."""
     ends = [("test", F.col("test_lo"), F.col("test_hi")), ("train", F.col("train_lo"), F.col("train_hi"))]
     rows = bounds.select("*", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), lo.alias("lo"), hi.alias("hi")) for r, lo, hi in ends))).alias("_e")).where("_e.hi > _e.lo")
     entity = [keys.entity] if keys.entity else []
     rows = rows.select("fold_id", *entity, "_e.role", "_e.lo", "_e.hi")
     at = rows.select("*", F.explode(F.array("lo", F.col("hi") - 1)).alias("pos"))
-    met = ranks.join(at if entity else F.broadcast(at), [*entity, "pos"])
+    if not entity or pairs > BROADCAST_BOUNDS:
+        at = _joined_with(at, not entity)
+    met = ranks.join(at, [*entity, "pos"])
     return met.groupBy("fold_id", *entity, "role").agg(F.min(keys.time).alias("first"), F.max(keys.time).alias("last"))

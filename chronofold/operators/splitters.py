@@ -118,7 +118,7 @@ class TemporalSplit:
     def _folds(self, df: DataFrame, found: Source, bounds: DataFrame, folds: int) -> Iterator[tuple[DataFrame, DataFrame]]:
         """Each side reads only its own times: they are literals of a filter, which a scan can use. Of a series, whose times are unique, nothing else tells a range of rows apart."""
         keys = found.keys
-        times = assigning.time_ranges(found.ranks, bounds, keys)
+        times = assigning.time_ranges(found.ranks, bounds, keys, folds * found.shape.entities)
         sets = len(self.spec.anchors or ()) > 1 and self.spec.mode == "is"
         if keys.entity is None and not keys.tiebreak:
             slices = {(i, role): df.where(times.get((i, role), F.lit(False))) for i in range(folds) for role in ("train", "test")}

@@ -92,3 +92,16 @@ def test_columns_of_any_name_go_along(spark):
         TSOutOfSampleSplit(2, test_size=2).assign_rows(df.withColumn("role", F.lit(1)), "t")
     rows = TSOutOfSampleSplit(2, test_size=2).assign_rows(df, "t")
     assert rows.columns == ["fold_id", "role", *df.columns] and {(r["pos"], r["size"], r["_b"]) for r in rows.collect()} == {("a", "b", "c")}
+
+
+def test_many_bounds_are_never_broadcast(spark, monkeypatch):
+    """However few bytes Spark expects of them."""
+    df = spark.range(600).select((F.col("id") % 6).alias("e"), (F.col("id") / 6).cast("int").alias("t"))
+    for limit, k in (("BROADCAST_BLOCKS", 40), ("BROADCAST_BOUNDS", 3)):
+        splitter = PanelOutOfSampleSplit(k, test_size=1, max_train_size=6)
+        for most, kind in ((10**6, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(assigning, limit, most)
+            out = splitter.assign(df, "t", "e")
+            assert out.count() == 6 * 7 * k
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert {x for x in ("BroadcastHashJoin", "SortMergeJoin") if x in plan} == {kind}
