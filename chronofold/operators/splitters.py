@@ -21,8 +21,10 @@ from chronofold.plans.spec import SplitSpec
 from chronofold.scratch import Scratch
 
 
-#: Bytes that Spark may expect of a row, at most, for a source to count as small.
-ROW_BYTES = 64
+#: Bytes that Spark expects of a row, at least (files are compressed), for a source to count as small.
+ROW_BYTES = 8
+#: Rows whose keys Spark may broadcast, if it expects few bytes of them; keys of more are joined by merging.
+BROADCAST_KEYS = 500_000
 
 
 def _prepared(df: DataFrame, keys: Keys, data: bool, hot: bool) -> Source:
@@ -126,17 +128,18 @@ class TemporalSplit:
                 test = slices[i, "test"]
                 if sets:
                     rows = assigning.assignment(found.ranks, bounds.where(F.col("fold_id") == i), keys, 1, found.shape, len(self.spec.anchors), "test")
-                    test = self._side(test, keys, rows, "test")
+                    test = self._side(test, found, rows, "test")
                 yield slices[i, "train"], test
             return
         for i in range(folds):
             part = {role: df.where(times.get((i, role), F.lit(False))) for role in ("train", "test")}
             rows = assigning.assignment(found.ranks, bounds.where(F.col("fold_id") == i), found.keys, 1, found.shape, len(self.spec.anchors or ()) if folds == 1 else 0)
-            yield self._side(part["train"], keys, rows, "train"), self._side(part["test"], keys, rows, "test")
+            yield self._side(part["train"], found, rows, "train"), self._side(part["test"], found, rows, "test")
 
     @staticmethod
-    def _side(df: DataFrame, keys: Keys, rows: DataFrame, role: str) -> DataFrame:
-        return df.join(rows.where(F.col("role") == role).select(*keys.columns).distinct(), keys.columns, "left_semi")
+    def _side(df: DataFrame, found: Source, rows: DataFrame, role: str) -> DataFrame:
+        own = rows.where(F.col("role") == role).select(*found.keys.columns).distinct()
+        return df.join(own if found.shape.rows <= BROADCAST_KEYS else own.hint("merge"), found.keys.columns, "left_semi")
 
     def get_n_splits(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None) -> int:
         """The number of folds that ``split`` gives for these data."""
@@ -198,7 +201,7 @@ class _EachEntity(_PanelOnly):
                 one = F.col(entity).eqNullSafe(F.lit(row[0]))
                 rows = assigning.assignment(found.ranks.where(one), own.where(one), found.keys, 1, found.shape)
                 part = df.where(one)
-                yield self._side(part, found.keys, rows, "train"), self._side(part, found.keys, rows, "test")
+                yield self._side(part, found, rows, "train"), self._side(part, found, rows, "test")
 
     def get_n_splits(self, df: DataFrame | Source, time: str | None = None, entity: str | None = None) -> int:
         return self.bounds(df, time, entity).count()

@@ -463,9 +463,9 @@ def per_entity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides of every fold by ``split``, whose filters on time reach the scan of the events."""
+    """Both sides of every fold by ``split``, whose filters on time reach the scan of the events. Events of one time stand in the order of their ids."""
     out = None
-    for i, pair in enumerate(cf.TSOutOfSampleSplit(3, gap=10, max_train_size=700).split(_table(spark, sf_dir, "events").select("ts", "value"), "ts")):
+    for i, pair in enumerate(cf.TSOutOfSampleSplit(3, gap=10, max_train_size=700, tiebreak="event_id").split(_table(spark, sf_dir, "events").select("ts", "event_id", "value"), "ts")):
         for role, rows in zip(("train", "test"), pair, strict=True):
             one = rows.agg(F.lit(i).alias("fold_id"), F.lit(role).alias("role"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first"), F.max("ts").alias("last"))
             out = one if out is None else out.unionByName(one)

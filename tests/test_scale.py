@@ -1,4 +1,6 @@
+import datetime as dt
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from chronofold import PanelInSampleSplit, PanelInSampleSplitPerEntity, PanelOutOfSampleSplit, PanelOutOfSampleSplitPerEntity, TSInSampleSplit, TSOutOfSampleSplit
 from chronofold.functions import features, metrics
 from chronofold.ml import TemporalSearch, TemporalSearchModel
+from chronofold.operators import splitters
+from chronofold.plans.queries import QUERIES
 
 
 def rows_read(df):
@@ -148,3 +152,28 @@ def test_search_over_folds(spark, tmp_path):
     assert PanelInSampleSplit is not None
     with pytest.raises(ValueError, match="no param maps"):
         TemporalSearch(steps, [], RegressionEvaluator(), splitter, "t", "e")
+
+
+def test_slices_of_equal_times(spark, tmp_path, monkeypatch):
+    """The query over events that share their times: each side is what their order by time and id says, by either join."""
+    rows = [(t, k * 500 + i, float(t % 7 + k)) for k in range(5) for i, t in enumerate(range(500))]
+    random.Random(3).shuffle(rows)
+    events = spark.createDataFrame(rows, "t int, event_id long, value double").select((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours="t")).alias("ts"), "event_id", "value")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    rows.sort()
+    n, size = len(rows), len(rows) // 4
+    expected = {}
+    for i in range(3):
+        lo = n - (3 - i) * size
+        for role, side in (("test", rows[lo : lo + size]), ("train", rows[max(0, lo - 710) : max(0, lo - 10)])):
+            expected[i, role] = len(side), round(sum(r[2] for r in side), 4), side[0][0], side[-1][0]
+    for most, kind in ((10**6, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(splitters, "BROADCAST_KEYS", most)
+        out = QUERIES["split_slices"](spark, str(tmp_path))
+        hours = lambda t: int((t - dt.datetime(2024, 1, 1)).total_seconds() // 3600)
+        with monkeypatch.context() as m:
+            m.setenv("TZ", "UTC")
+            time.tzset()
+            assert {(r["fold_id"], r["role"]): (r["n"], r["total"], hours(r["first"]), hours(r["last"])) for r in out.collect()} == expected
+        time.tzset()
+        assert kind in out._jdf.queryExecution().executedPlan().toString()
